@@ -1,4 +1,8 @@
-"""Text forms that must equal a compact ASCII JSON encoder byte for byte."""
+"""Text forms that must equal a compact ASCII JSON encoder byte for byte.
+
+The functions take and return SQL expression text, because one long parsed expression builds much
+faster than the same tree made of single column calls.
+"""
 
 from __future__ import annotations
 
@@ -6,98 +10,78 @@ from pyspark.sql import Column, functions as F
 
 from tracemill.schemas import FEATURE_VERSION
 
-PLAIN = r"^[ !#-\[\]-~]*$"
+PLAIN = r"^[ !#-\[\]-~]*\z"
 
 
-def _escaped_character(character: Column) -> Column:
-    point = F.ascii(character)
-    above = point - 0x10000
+def _unit(value: str) -> str:
+    return f"concat(char(92), 'u', lower(lpad(hex({value}), 4, '0')))"
 
-    def unit(value: Column) -> Column:
-        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(value), 4, "0")))
 
+def _escaped_character(character: str) -> str:
+    point = f"ascii({character})"
+    named = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
     return (
-        F.when(character == '"', F.lit('\\"'))
-        .when(character == "\\", F.lit("\\\\"))
-        .when(character == "\n", F.lit("\\n"))
-        .when(character == "\r", F.lit("\\r"))
-        .when(character == "\t", F.lit("\\t"))
-        .when(character == "\b", F.lit("\\b"))
-        .when(character == "\f", F.lit("\\f"))
-        .when((point >= 0x20) & (point <= 0x7E), character)
-        .when(point < 0x10000, unit(point))
-        .otherwise(F.concat(
-            unit(F.lit(0xD800) + F.shiftright(above, 10)),
-            unit(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))),
-        ))
+        f"CASE WHEN {point} = 34 THEN concat(char(92), char(34))"
+        f" WHEN {point} = 92 THEN concat(char(92), char(92))"
+        + "".join(f" WHEN {point} = {code} THEN concat(char(92), '{letter}')" for code, letter in named.items())
+        + f" WHEN {point} BETWEEN 32 AND 126 THEN {character}"
+        f" WHEN {point} < 65536 THEN {_unit(point)}"
+        f" ELSE concat({_unit(f'55296 + shiftright({point} - 65536, 10)')},"
+        f" {_unit(f'56320 + (({point} - 65536) & 1023)')}) END"
     )
 
 
-def json_string(column: Column) -> Column:
+def json_string(value: str) -> str:
     """A quoted JSON string in ASCII. Plain text takes no per-character work."""
-    letters = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.char_length(column), F.lit(1))),
-        lambda index: _escaped_character(F.substring(column, index, F.lit(1))),
+    letters = (
+        f"transform(sequence(1, char_length({value})), i -> "
+        f"{_escaped_character(f'substring({value}, i, 1)')})"
+    )
+    return (
+        f"concat(char(34), CASE WHEN {value} RLIKE r'{PLAIN}' THEN {value} "
+        f"ELSE array_join({letters}, '') END, char(34))"
     )
-    body = F.when(column.rlike(PLAIN), column).otherwise(F.array_join(letters, ""))
-    return F.concat(F.lit('"'), body, F.lit('"'))
 
 
-def json_double(column: Column) -> Column:
+def json_double(value: str) -> str:
     """The shortest decimal form with the exponent rules of a JSON float.
 
-    Positional between 1e-4 and 1e16, scientific with a two-digit exponent outside.
+    Positional between 1e-4 and 1e16, scientific with an exponent of two or more digits outside.
     """
-    size = F.abs(column)
-    text = size.cast("string")
-    sign = F.when((column < 0) | column.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    digits = F.regexp_replace(F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.0$", ""), r"\.", "")
-    power = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
-    whole = F.concat(size.try_cast("bigint").cast("string"), F.lit(".0"))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    large = F.concat(
-        F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(20))
+    size = f"abs({value})"
+    text = f"CAST({size} AS STRING)"
+    digits = f"replace(regexp_replace(split_part({text}, 'E', 1), r'\\.0$', ''), '.', '')"
+    power = f"TRY_CAST(split_part({text}, 'E', 2) AS INT)"
+    mantissa = (
+        f"CASE WHEN length({digits}) > 1 THEN concat(substring({digits}, 1, 1), '.', substring({digits}, 2, 20)) "
+        f"ELSE {digits} END"
     )
-    mantissa = F.when(
-        F.length(digits) > 1,
-        F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 20)),
-    ).otherwise(digits)
-    exponent = F.concat(
-        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")),
-        F.abs(power).cast("string"),
-    )
-    body = (
-        F.when((size < 1e16) & (size == F.floor(size)), whole)
-        .when((size >= 1e-3) & (size < 1e7), text)
-        .when((size >= 1e-4) & (size < 1e-3), small)
-        .when((size >= 1e7) & (size < 1e16), large)
-        .otherwise(F.concat(mantissa, exponent))
+    return (
+        f"concat(CASE WHEN CAST({value} AS STRING) LIKE '-%' THEN '-' ELSE '' END, CASE"
+        f" WHEN {size} < 1e16 AND {size} = floor({size}) THEN concat(TRY_CAST({size} AS BIGINT), '.0')"
+        f" WHEN {size} >= 1e-3 AND {size} < 1e7 THEN {text}"
+        f" WHEN {size} >= 1e-4 AND {size} < 1e-3 THEN concat('0.', repeat('0', -{power} - 1), {digits})"
+        f" WHEN {size} >= 1e7 AND {size} < 1e16 THEN"
+        f" concat(substring({digits}, 1, {power} + 1), '.', substring({digits}, {power} + 2, 20))"
+        f" ELSE concat({mantissa}, CASE WHEN {power} < 0 THEN 'e-' ELSE 'e+' END,"
+        f" CASE WHEN abs({power}) < 10 THEN '0' ELSE '' END, abs({power})) END)"
     )
-    return F.concat(sign, body)
 
 
-def json_array(column: Column, element) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(column, element), ","), F.lit("]"))
+def json_array(value: str, element) -> str:
+    return f"concat('[', array_join(transform({value}, x -> {element('x')}), ','), ']')"
 
 
-def json_boolean(column: Column) -> Column:
-    return F.when(column, F.lit("true")).otherwise(F.lit("false"))
+def json_boolean(value: str) -> str:
+    return f"CASE WHEN {value} THEN 'true' ELSE 'false' END"
 
 
-def window_id(
-    run_id: str = "run_id", boot_id: str = "boot_id", tgid: str = "tgid",
-    start_time_ns: str = "start_time_ns", start_ns: str = "start_ns", end_ns: str = "end_ns",
-    version: int = FEATURE_VERSION,
-) -> Column:
+def window_id(version: int = FEATURE_VERSION) -> Column:
     """Stable identity of a window: its values are left out, so replacements keep the id."""
-    payload = F.concat(
-        F.lit("["), json_string(F.col(run_id)), F.lit(","), json_string(F.col(boot_id)),
-        *[part for name in (tgid, start_time_ns, start_ns, end_ns)
-          for part in (F.lit(","), F.col(name).cast("string"))],
-        F.lit(f",{version}]"),
+    numbers = "".join(f", ',', {name}" for name in ("tgid", "start_time_ns", "start_ns", "end_ns"))
+    return F.expr(
+        f"sha2(concat('[', {json_string('run_id')}, ',', {json_string('boot_id')}{numbers}, ',{version}]'), 256)"
     )
-    return F.sha2(payload, 256)
 
 
 def is_digest(column: Column) -> Column:

@@ -105,52 +105,47 @@ def trigram_profile(
     """
     groups = [*keys, *buckets]
     grams = ["".join(letters) for letters in product(alphabet, repeat=3)]
-    code = {name: index for index, name in enumerate(grams)}
+    size = len(alphabet)
     inside = Window.partitionBy(*groups).orderBy(*order)
-    marked = df.select(
-        *groups,
-        F.col(symbol).alias("_one"),
-        F.lead(symbol, 1).over(inside).alias("_two"),
-        F.lead(symbol, 2).over(inside).alias("_three"),
-        F.lag(symbol, 1).over(inside).isNull().alias("_first"),
+    digit = f"array_position(array({', '.join(repr(s) for s in alphabet)}), {symbol}) - 1"
+    marked = df.withColumn("_one", F.expr(digit)).select(
+        *groups, "_one", F.col(symbol).alias("_text"),
+        F.lead("_one", 1).over(inside).alias("_two"),
+        F.lead("_one", 2).over(inside).alias("_three"),
+        F.lead(symbol, 1).over(inside).alias("_next"),
+        F.lag("_one", 1).over(inside).isNull().alias("_first"),
     )
-    size = len(alphabet)
-    digit = {
-        part: F.array_position(F.array(*[F.lit(s) for s in alphabet]), F.col(part)) - 1
-        for part in ("_one", "_two", "_three")
-    }
-    number = digit["_one"] * size * size + digit["_two"] * size + digit["_three"]
-    coded = marked.select(
+    coded = marked.selectExpr(
         *groups, "_one",
-        number.cast("int").alias("_gram"),
-        F.when(F.col("_first"), F.concat("_one", F.coalesce("_two", F.lit("")))).alias("_head"),
-        F.when(F.col("_two").isNotNull() & F.col("_three").isNull(), F.concat("_one", "_two"))
-        .when(F.col("_two").isNull() & F.col("_first"), F.col("_one")).alias("_tail"),
+        f"_one * {size * size} + _two * {size} + _three AS _gram",
+        "CASE WHEN _first THEN concat(_text, coalesce(_next, '')) END AS _head",
+        "CASE WHEN _two IS NOT NULL AND _three IS NULL THEN concat(_text, _next)"
+        " WHEN _two IS NULL AND _first THEN _text END AS _tail",
     )
+    sums = [f"{s}_sum" for s in alphabet]
     parts = coded.groupBy(*groups).agg(
-        *[F.count_if(F.col("_one") == s).alias(f"{s}_sum") for s in alphabet],
-        *[F.count_if(F.col("_gram") == code[g]).alias(g) for g in grams],
-        F.max("_head").alias("_head"),
-        F.max("_tail").alias("_tail"),
+        *[F.expr(f"count_if(_one = {i}) AS {name}") for i, name in enumerate(sums)],
+        *[F.expr(f"count_if(_gram = {i}) AS {gram}") for i, gram in enumerate(grams)],
+        F.expr("max(_head) AS _head"),
+        F.expr("max(_tail) AS _tail"),
     )
     # A trigram that starts in the last two rows of a bucket ends in the following buckets.
     along = Window.partitionBy(*keys).orderBy(*buckets)
-    following = F.substring(
-        F.concat(
-            F.coalesce(F.lead("_head", 1).over(along), F.lit("")),
-            F.coalesce(F.lead("_head", 2).over(along), F.lit("")),
-        ), 1, 2,
-    )
-    bridged = parts.withColumn("_text", F.concat("_tail", following)).select(
-        *keys, *[f"{s}_sum" for s in alphabet], *grams,
-        F.substring("_text", 1, 3).alias("_bridge_one"),
-        F.when(F.length("_tail") == 2, F.substring("_text", 2, 3)).alias("_bridge_two"),
+    bridged = parts.select(
+        *keys, *sums, *grams, "_tail",
+        F.lead("_head", 1).over(along).alias("_near"),
+        F.lead("_head", 2).over(along).alias("_far"),
+    ).selectExpr(
+        *keys, *sums, *grams, "_tail",
+        "concat(_tail, substring(concat(coalesce(_near, ''), coalesce(_far, '')), 1, 2)) AS _span",
+    ).selectExpr(
+        *keys, *sums, *grams, "substring(_span, 1, 3) AS _bridge_one",
+        "CASE WHEN length(_tail) = 2 THEN substring(_span, 2, 3) END AS _bridge_two",
     )
     return bridged.groupBy(*keys).agg(
-        *[F.sum(f"{s}_sum").alias(f"{s}_sum") for s in alphabet],
+        *[F.expr(f"sum({name}) AS {name}") for name in sums],
         *[
-            (F.sum(g) + F.count_if(F.col("_bridge_one") == g)
-             + F.count_if(F.col("_bridge_two") == g)).alias(g)
-            for g in grams
+            F.expr(f"sum({gram} + int(_bridge_one <=> '{gram}') + int(_bridge_two <=> '{gram}')) AS {gram}")
+            for gram in grams
         ],
     )

@@ -65,7 +65,7 @@ def tumbling_assign(bounded: DataFrame, window_ns: int = WINDOW_NS) -> DataFrame
 def operation_counts(bounded: DataFrame, window_ns: int = WINDOW_NS) -> DataFrame:
     """``O_sum``, ``C_sum`` and ``D_sum`` per window."""
     return tumbling_assign(bounded, window_ns).groupBy(*WINDOW_KEY).agg(
-        *[F.count_if(F.col("operation") == name).alias(f"{name}_sum") for name in OPERATIONS]
+        *[F.expr(f"count_if(operation = '{name}') AS {name}_sum") for name in OPERATIONS]
     )
 
 
@@ -77,13 +77,13 @@ def bucket_maxima(bounded: DataFrame, window_ns: int = WINDOW_NS, bucket_ns: int
 def _per_bucket(assigned: DataFrame, bucket_ns: int, *extra: Column) -> DataFrame:
     offset = F.col("timestamp_ns") - F.col("start_ns")
     return assigned.groupBy(*WINDOW_KEY, (offset - F.pmod(offset, F.lit(bucket_ns))).alias("_second")).agg(
-        *[F.count_if(F.col("operation") == name).alias(f"_{name}") for name in OPERATIONS], *extra
+        *[F.expr(f"count_if(operation = '{name}') AS _{name}") for name in OPERATIONS], *extra
     )
 
 
 def _maxima(per_bucket: DataFrame, *extra: Column) -> DataFrame:
     return per_bucket.groupBy(*WINDOW_KEY).agg(
-        *[F.max(f"_{name}").alias(f"{name}_max_1s") for name in OPERATIONS], *extra
+        *[F.expr(f"max(_{name}) AS {name}_max_1s") for name in OPERATIONS], *extra
     )
 
 
@@ -149,12 +149,11 @@ def loss_by_window(bounded: DataFrame, window_ns: int = WINDOW_NS) -> DataFrame:
 
 
 def quality_flags() -> Column:
-    flags = F.array_compact(F.array(
-        F.when(F.col("partial"), F.lit("partial")),
-        F.when(F.col("loss_count") > 0, F.lit("loss")),
-        F.when(F.col("late_event_count") > 0, F.lit("late")),
-    ))
-    return F.when(F.size(flags) > 0, flags).otherwise(F.array(F.lit("complete")))
+    flags = (
+        "array_compact(array(IF(partial, 'partial', NULL), IF(loss_count > 0, 'loss', NULL),"
+        " IF(late_event_count > 0, 'late', NULL)))"
+    )
+    return F.expr(f"CASE WHEN size({flags}) > 0 THEN {flags} ELSE array('complete') END")
 
 
 def with_quality(windows: DataFrame) -> DataFrame:
@@ -234,8 +233,8 @@ def in_window_order(windows: DataFrame) -> DataFrame:
 def feature_arrays(windows: DataFrame) -> DataFrame:
     """Replace the 33 feature columns by parallel name and value arrays."""
     return windows.withColumns({
-        "feature_names": F.array(*[F.lit(name) for name in FEATURES]),
-        "feature_values": F.array(*[F.col(name) for name in FEATURES]),
+        "feature_names": F.expr(f"array({', '.join(repr(name) for name in FEATURES)})"),
+        "feature_values": F.array(*FEATURES),
     }).drop(*FEATURES)
 
 

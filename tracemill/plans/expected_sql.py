@@ -9,7 +9,7 @@ DAY = 86_400_000_000_000
 HOUR = 3_600_000_000_000
 
 TEL = """tel AS (
-  SELECT 'run-0' AS run_id,
+  SELECT 'run-' || CASE WHEN user_id % 10 < 6 THEN 0 ELSE user_id % 10 - 5 END AS run_id,
     2 * (event_id + CASE WHEN event_id % 17 = 0 THEN 400 ELSE 0 END)
       + CASE WHEN event_id % 17 = 0 THEN 0 ELSE 1 END AS pos,
     event_id AS seq, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) * 1000 AS ts_ns,
@@ -17,14 +17,16 @@ TEL = """tel AS (
     event_id % 97 = 0 AS is_exit,
     CASE event_type WHEN 'purchase' THEN 'C' WHEN 'signup' THEN 'D' ELSE 'O' END AS op,
     CASE WHEN event_type = 'error' THEN -1 ELSE 0 END AS result,
-    CASE WHEN event_id % 97 <> 0 AND event_id % 211 = 0 THEN 3 ELSE 0 END AS lost
+    CASE WHEN event_id % 97 <> 0 AND event_id % 211 = 0
+      AND date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) % 5 = 0 THEN 3 ELSE 0 END AS lost
   FROM events)"""
 
 OK = f"""ok AS (
   SELECT *, ts_ns - ts_ns % {DAY} AS start_ns FROM mark WHERE NOT is_exit AND result >= 0)"""
 
 MARK = """mark AS (
-  SELECT *, max(ts_ns) OVER (PARTITION BY run_id ORDER BY pos) AS w FROM tel)"""
+  SELECT *, max(ts_ns) OVER (PARTITION BY run_id ORDER BY pos) AS w,
+    max(ts_ns) OVER (PARTITION BY run_id) AS run_end FROM tel)"""
 
 KEY = "run_id, boot_id, tgid, start_time_ns, start_ns"
 
@@ -39,7 +41,7 @@ LATE = f"""late AS (
     CAST(count(*) FILTER (o.start_ns + {DAY} <= o.w OR o.pos > coalesce(fx.exit_pos, 9223372036854775807)) AS BIGINT)
       AS late_event_count,
     max(fx.exit_pos) IS NOT NULL AS partial_by_exit,
-    max(fx.exit_pos) IS NOT NULL OR o.start_ns + {DAY} > (SELECT max(ts_ns) FROM tel) AS partial
+    max(fx.exit_pos) IS NOT NULL OR o.start_ns + {DAY} > max(o.run_end) AS partial
   FROM ok o LEFT JOIN fx USING (run_id, boot_id, tgid, start_time_ns, start_ns) GROUP BY 1, 2, 3, 4, 5)"""
 
 COUNTS = f"""counts AS (
@@ -171,6 +173,7 @@ STATEMENTS = {
     "health_running": f"""WITH {TEL} SELECT run_id, pos, row_number() OVER q AS records,
         CAST(row_number() OVER q AS DOUBLE) * 1000000000 / greatest(1, max(ts_ns) OVER q) AS event_rate,
         CAST(sum(lost) OVER q AS BIGINT) AS lost_events FROM tel WINDOW q AS (PARTITION BY run_id ORDER BY pos)""",
-    "run_summary": f"""{WINDOWS}, {SCORED} SELECT run_id, (SELECT count(*) FROM tel) AS records,
-        count(*) AS windows, count(*) FILTER (suspicious) AS alerts FROM scored GROUP BY run_id""",
+    "run_summary": f"""{WINDOWS}, {SCORED} SELECT run_id, records, count(*) AS windows,
+        count(*) FILTER (suspicious) AS alerts FROM scored
+        JOIN (SELECT run_id, count(*) AS records FROM tel GROUP BY 1) USING (run_id) GROUP BY ALL""",
 }

@@ -93,7 +93,7 @@ def window_ids(spark, sf_dir):
 
 
 def feature_windows_full(spark, sf_dir):
-    return _longs(windows.in_window_order(_windows(spark, sf_dir)).withColumn(
+    return _longs(_windows(spark, sf_dir).withColumn(
         "quality", F.array_join("quality", ",")))
 
 

@@ -7,7 +7,7 @@ Windows are one day and burst buckets one hour, because the tables cover thirty
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tracemill.schemas import TELEMETRY
 
@@ -16,26 +16,31 @@ HOUR_NS = 3_600_000_000_000
 RUNS = 20
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its file footer is read for the schema once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def micros_since_2024(column: str = "ts") -> Column:
     """Microseconds since the start of 2024, independent of the session time zone."""
-    days = F.unix_date(F.col(column).cast("date")) - F.unix_date(F.lit("2024-01-01").cast("date"))
-    seconds = F.hour(column) * 3600 + F.minute(column) * 60
-    return (
-        days.cast("bigint") * 86_400_000_000
-        + seconds.cast("bigint") * 1_000_000
-        + (F.extract(F.lit("SECONDS"), F.col(column)) * 1_000_000).cast("bigint")
+    return F.expr(
+        f"(unix_date(CAST({column} AS DATE)) - unix_date(DATE'2024-01-01')) * 86400000000L"
+        f" + (hour({column}) * 3600 + minute({column}) * 60) * 1000000L"
+        f" + CAST(extract(SECOND FROM {column}) * 1000000 AS BIGINT)"
     )
 
 
 def _fill(df: DataFrame) -> DataFrame:
     """Complete the telemetry schema with nulls and order its columns."""
-    return df.select(*[
-        (F.col(field.name) if field.name in df.columns else F.lit(None))
-        .cast(field.dataType).alias(field.name)
+    present = set(df.columns)
+    return df.selectExpr(*[
+        f"CAST({field.name if field.name in present else 'NULL'} AS {field.dataType.simpleString()}) AS {field.name}"
         for field in TELEMETRY
     ])
 
@@ -46,13 +51,18 @@ def _operation() -> Column:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events as one run. Every 17th record arrives 400 records late; every 97th is an exit."""
+    """All events as five runs, the first with six tenths of the users. Every 17th record arrives 400 records late; every 97th is an exit.
+
+    Every 211th record reports a loss on every fifth day.
+    """
     number = F.col("event_id")
     moved = number % 17 == 0
     is_exit = number % 97 == 0
+    run = F.expr("CAST(IF(user_id % 10 < 6, 0, user_id % 10 - 5) AS STRING)")
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
     return _fill(table(spark, sf_dir, "events").select(
-        F.lit("recording-0").alias("recording"),
-        F.lit("run-0").alias("run_id"),
+        F.concat(F.lit("rec-"), run).alias("recording"),
+        F.concat(F.lit("run-"), run).alias("run_id"),
         (2 * (number + F.when(moved, 400).otherwise(0)) + F.when(moved, 0).otherwise(1)).alias("pos"),
         F.when(is_exit, "process_exit").otherwise("event").alias("type"),
         number.alias("collector_sequence"),
@@ -63,7 +73,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") + 1).alias("tid"),
         F.when(~is_exit, _operation()).alias("operation"),
         F.when(~is_exit, F.when(F.col("event_type") == "error", -1).otherwise(0)).alias("result"),
-        F.when(~is_exit, F.when(number % 211 == 0, 3).otherwise(0)).alias("lost_events"),
+        F.when(~is_exit, F.when((number % 211 == 0) & (day % 5 == 0), 3).otherwise(0)).alias("lost_events"),
         F.when(~is_exit, F.lit("complete")).alias("telemetry_quality"),
     ))
 
