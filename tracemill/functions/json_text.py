@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F
 from tracemill.schemas import FEATURE_VERSION
 
 PLAIN = r"^[ !#-\[\]-~]*\z"
+PLAIN_UNICODE = r"^[^\x00-\x1F\x22\x5C]*\z"
 
 
 def _unit(value: str) -> str:
@@ -31,14 +32,16 @@ def _escaped_character(character: str) -> str:
     )
 
 
-def json_string(value: str) -> str:
-    """A quoted JSON string in ASCII. Plain text takes no per-character work."""
-    letters = (
-        f"transform(sequence(1, char_length({value})), i -> "
-        f"{_escaped_character(f'substring({value}, i, 1)')})"
-    )
+def json_string(value: str, ascii_only: bool = True) -> str:
+    """A quoted JSON string, in ASCII by default. Plain text takes no per-character work."""
+    plain = PLAIN if ascii_only else PLAIN_UNICODE
+    letter = f"substring({value}, i, 1)"
+    escaped = _escaped_character(letter)
+    if not ascii_only:
+        escaped = f"IF(ascii({letter}) > 126, {letter}, {escaped})"
+    letters = f"transform(sequence(1, char_length({value})), i -> {escaped})"
     return (
-        f"concat(char(34), CASE WHEN {value} RLIKE r'{PLAIN}' THEN {value} "
+        f"concat(char(34), CASE WHEN {value} RLIKE r'{plain}' THEN {value} "
         f"ELSE array_join({letters}, '') END, char(34))"
     )
 

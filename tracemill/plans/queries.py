@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracemill.operators import health, score, validate, windows
+from tracemill.operators import (
+    acceptance, audit, health, labelled, normalize, score, selection, serving, validate, windows,
+)
 from tracemill.plans import table_views as views
 from tracemill.plans.table_views import DAY_NS, HOUR_NS
+from tracemill.sources import recordings, sinks, tables
 from tracemill.schemas import PROCESS, WINDOW_KEY
 
 # Small ranges, so that the bucketed paths are taken on the test tables as well.
@@ -134,6 +137,432 @@ def run_summary(spark, sf_dir):
         views.telemetry(spark, sf_dir), _windows(spark, sf_dir), _predictions(spark, sf_dir))
 
 
+# --- recordings, normalization --------------------------------------------------------------------
+
+
+def contract_violations(spark, sf_dir):
+    parsed = recordings.parse_records(views.contract_lines(spark, sf_dir))
+    return parsed.select("recording", "pos", F.array_join("violations", "; ").alias("violations"))
+
+
+def parsed_events(spark, sf_dir):
+    parsed = recordings.parse_records(views.contract_lines(spark, sf_dir))
+    return recordings.telemetry_records(parsed).select(
+        "recording", "collector_sequence", "run_id", "timestamp_ns", "tgid", "operation", "result", "filename_bytes_b64")
+
+
+def rejected_line_numbers(spark, sf_dir):
+    lines = views.contract_lines(spark, sf_dir)
+    parsed = recordings.parse_records(lines.select(
+        "recording", "value", "pos", F.floor(F.col("pos") / 1000).alias("block")))
+    return recordings.line_numbers(
+        lines.select("recording", "pos", F.floor(F.col("pos") / 1000).alias("block"))
+        .withColumn("pos", F.floor(F.col("pos") / 3)),
+        parsed.filter("size(violations) > 0").withColumn("pos", F.floor(F.col("pos") / 3)),
+    ).select("recording", "line_number", F.element_at("violations", 1).alias("violation"))
+
+
+def byte_budget(spark, sf_dir):
+    lines = sinks.canonical_lines(views.recordings(spark, sf_dir)).select("recording", "pos", "value")
+    return sinks.byte_budget(lines, ["recording"], 100_000, RANGE_ROWS).select(
+        "recording", "pos", "written_bytes", "kept")
+
+
+def canonical_records(spark, sf_dir):
+    return sinks.canonical_lines(views.recordings(spark, sf_dir)).select(
+        "recording", "pos", F.sha2("value", 256).alias("line_digest"))
+
+
+def op_mapping(spark, sf_dir):
+    raw = views.raw_syscalls(spark, sf_dir)
+    intent = normalize.create_intent("name", "flags")
+    return raw.select(
+        "event_id", intent.alias("create_intent"), normalize.operation(F.col("name"), intent).alias("operation"),
+        (F.col("return_value") >= 0).alias("succeeded"))
+
+
+def protocol_violations(spark, sf_dir):
+    return normalize.protocol_violations(views.raw_syscalls(spark, sf_dir), strict_run_id=True).select(
+        "event_id", F.array_join("violations", "; ").alias("violations"))
+
+
+def contract_events(spark, sf_dir):
+    raw = normalize.protocol_violations(views.raw_syscalls(spark, sf_dir)).filter("size(violations) = 0")
+    return normalize.contract_events(raw).select(
+        "run_id", "collector_sequence", "timestamp_ns", "tgid", "tid", "operation", "result", "filename_bytes_b64"
+    ).withColumn("type", F.lit("event")).unionByName(
+        normalize.contract_exits(raw).select("run_id", "collector_sequence", "timestamp_ns", "tgid", "tid", "type"),
+        allowMissingColumns=True)
+
+
+def filename_display(spark, sf_dir):
+    """Whole document texts and page markup as raw names."""
+    documents = views.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc-"), "doc_id").alias("id"), F.encode("text", "UTF-8").alias("raw"))
+    pages = views.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("page-"), "page_id").alias("id"), F.encode("html", "UTF-8").alias("raw"))
+    shown = documents.unionByName(pages).select("id", normalize.filename_display("raw").alias("display"))
+    return shown.select("id", F.length("display").cast("bigint").alias("shown_length"), F.md5("display").alias("shown_digest"))
+
+
+def loss_deltas(spark, sf_dir):
+    return normalize.loss_deltas(views.loss_counters(spark, sf_dir), RANGE_ROWS)
+
+
+def counter_health(spark, sf_dir):
+    return normalize.counter_health(views.loss_counters(spark, sf_dir)).select(
+        "run_id", "pos", "loss_total", "telemetry_complete")
+
+
+# --- labelled data --------------------------------------------------------------------------------
+
+
+def experiment_plan(spark, sf_dir):
+    """Labelled rows per planned run, documents being dealt to the runs in plan order."""
+    dealt = views.labelled_rows(spark, sf_dir).groupBy((F.col("doc_id") % 40).cast("int").alias("plan_order")).agg(
+        F.count("*").alias("row_count"))
+    return labelled.experiment_plan(spark).join(dealt, "plan_order", "left").select(
+        "run_id", F.col("seed").cast("bigint").alias("seed"), "split", "behavior_label", "workload_identity",
+        F.coalesce("row_count", F.lit(0)).alias("row_count"))
+
+
+def _experiment_manifests(spark, sf_dir):
+    """One tracked process per run, taken from the telemetry."""
+    return views.telemetry(spark, sf_dir).filter("type = 'event'").groupBy("run_id").agg(
+        F.max("tgid").alias("_tgid")).selectExpr(
+        "run_id", "'training' AS split", "IF(run_id = 'run-0', 'suspicious', 'benign') AS behavior_label",
+        "array(named_struct('boot_id', 'b0', 'tgid', _tgid, 'start_time_ns', 0L),"
+        " named_struct('boot_id', 'b0', 'tgid', _tgid - 10, 'start_time_ns', 0L)) AS tracked_processes")
+
+
+def tracked_windows(spark, sf_dir):
+    manifests = _experiment_manifests(spark, sf_dir)
+    hashes = manifests.select("run_id", F.sha2("run_id", 256).alias("capture_hash"))
+    rows = labelled.build_labelled_rows(_windows(spark, sf_dir), manifests, hashes)
+    return rows.select("window_id", "capture_id", "capture_hash", "split", F.col("label").cast("bigint").alias("label"),
+                       F.array_join("features", ",").alias("features"), "complete", "quality")
+
+
+def recomputation_differences(spark, sf_dir):
+    """Window counts against themselves with some values changed."""
+    computed = window_counts(spark, sf_dir)
+    changed = computed.withColumn("C_sum", F.col("C_sum") + F.when(F.col("tgid") % 31 == 0, 1).otherwise(0))
+    return labelled.recomputation_differences(changed, computed)
+
+
+def set_completeness(spark, sf_dir):
+    planned = views.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("run_id"))
+    actual = views.table(spark, sf_dir, "labels").select(F.concat(F.lit("d"), F.col("doc_id") + 2).alias("run_id"))
+    return labelled.set_completeness(planned, actual)
+
+
+def capture_consistency(spark, sf_dir):
+    rows = views.labelled_rows(spark, sf_dir)
+    plan = rows.select("capture_id").distinct().selectExpr(
+        "capture_id AS run_id", "'training' AS split", "'suspicious' AS behavior_label")
+    return labelled.capture_consistency(rows, plan)
+
+
+def row_violations(spark, sf_dir):
+    return labelled.row_violations(views.labelled_rows(spark, sf_dir))
+
+
+def leakage_violations(spark, sf_dir):
+    return labelled.leakage_violations(views.labelled_rows(spark, sf_dir))
+
+
+def capture_summary(spark, sf_dir):
+    return _longs(labelled.capture_summary(views.labelled_rows(spark, sf_dir, clean=True)))
+
+
+def labelled_row_json(spark, sf_dir):
+    return views.labelled_rows(spark, sf_dir, clean=True).select("doc_id", labelled.row_json().alias("text"))
+
+
+def capture_content_hash(spark, sf_dir):
+    return labelled.sequential_digest(views.labelled_rows(spark, sf_dir, clean=True))
+
+
+def content_digest(spark, sf_dir):
+    return labelled.content_digest(views.labelled_rows(spark, sf_dir), ["capture_id"])
+
+
+def role_projection(spark, sf_dir):
+    return labelled.role_projection(views.labelled_rows(spark, sf_dir, clean=True)).select("role", "doc_id", "split")
+
+
+def role_totals(spark, sf_dir):
+    return labelled.role_totals(views.labelled_rows(spark, sf_dir, clean=True))
+
+
+def manifest_diff(spark, sf_dir):
+    rows = views.labelled_rows(spark, sf_dir, clean=True)
+    digests = labelled.content_digest(rows, ["capture_id"]).select(F.col("capture_id").alias("run_id"), "content_digest")
+    manifest = labelled.capture_summary(rows).join(digests, "run_id").selectExpr(
+        "IF(run_id = 'cap-1-3', 'cap-new', run_id) AS run_id",
+        "row_count + IF(run_id LIKE '%-7', 1, 0) AS row_count", "capture_sha256",
+        "IF(run_id LIKE '%-9', 'other', split) AS split", "label",
+        "IF(run_id LIKE '%-1_', 'changed', content_digest) AS content_digest")
+    return labelled.manifest_differences(rows, manifest)
+
+
+def manifest_consistency(spark, sf_dir):
+    rows = views.labelled_rows(spark, sf_dir, clean=True)
+    captures = labelled.capture_summary(rows).withColumn(
+        "capture_sha256", F.expr("CASE WHEN run_id LIKE '%-4' THEN 'zz' ELSE capture_sha256 END"))
+    roles = rows.groupBy(F.when(F.col("split") == "test", "test").otherwise("selection").alias("role")).agg(
+        (F.count("*") + 1).alias("row_count"))
+    plan = captures.filter("run_id NOT LIKE '%-5'").selectExpr(
+        "run_id", "IF(run_id LIKE '%-6', 'test', split) AS split", "IF(label = 1, 'suspicious', 'benign') AS behavior_label")
+    return labelled.manifest_consistency(captures, roles, plan)
+
+
+def plan_digest(spark, sf_dir):
+    """Digest of the capture list of the labelled rows, as a plan document."""
+    plan = views.labelled_rows(spark, sf_dir, clean=True).groupBy("capture_id").agg(F.max("split").alias("split")).select(
+        F.col("capture_id").alias("run_id"), "split")
+    return labelled.plan_digest(plan)
+
+
+def capture_acceptance(spark, sf_dir):
+    records = views.recordings(spark, sf_dir)
+    manifests, plan = views.capture_plan(spark, sf_dir)
+    verdicts = validate.validate_runs(records, bucket_rows=RANGE_ROWS)
+    return acceptance.accept_captures(records, verdicts, manifests, plan).select(
+        "run_id", "duration_ns", "record_count", "event_count", "heartbeat_count", "process_exit_count",
+        "tracked_event_count", "status", F.array_join("violations", "; ").alias("violations"))
+
+
+# --- model selection ------------------------------------------------------------------------------
+
+
+def _scored(spark, sf_dir):
+    """Three stand-in score columns of every labelled row, one row per model."""
+    rows = views.labelled_rows(spark, sf_dir, clean=True)
+    return rows.selectExpr(
+        "doc_id", "label", "capture_id",
+        "stack(3, 'rule', (features[1] + features[2]) / 10.0D, 'rbf_svm', features[5] / 7.0D - 3.0D,"
+        " 'random_forest', (doc_id % 101 + label * 30) / 131.0D) AS (model, score)")
+
+
+def selection_guard(spark, sf_dir):
+    return selection.selection_guard(views.labelled_rows(spark, sf_dir, clean=True))
+
+
+def fold_assignment(spark, sf_dir):
+    return _longs(selection.assign_folds(views.labelled_rows(spark, sf_dir, clean=True)))
+
+
+def threshold_sweep(spark, sf_dir):
+    return selection.threshold_sweep(_scored(spark, sf_dir), ["model"], 16)
+
+
+def best_threshold(spark, sf_dir):
+    return selection.best_threshold(threshold_sweep(spark, sf_dir), ["model"])
+
+
+def confusion_metrics(spark, sf_dir):
+    return selection.rates(selection.confusion(_scored(spark, sf_dir), ["model"], F.col("score") >= 0.5))
+
+
+def finalist(spark, sf_dir):
+    return _longs(selection.finalist(best_threshold(spark, sf_dir)))
+
+
+def metric_disagreements(spark, sf_dir):
+    stored = selection.rates(selection.confusion(_scored(spark, sf_dir), ["capture_id", "model"], F.col("score") >= 0.5))
+    changed = stored.withColumn("recall", F.expr("IF(capture_id LIKE '%-2', recall + 0.25, recall)")).withColumn(
+        "mcc", F.expr("IF(model = 'rule' AND capture_id LIKE '%-2', mcc - 0.125, mcc)"))
+    return selection.metric_disagreements(changed).select(
+        "capture_id", "model", F.array_join("disagrees", ",").alias("disagrees"))
+
+
+# --- audit ----------------------------------------------------------------------------------------
+
+
+def _rebuilt(spark, sf_dir):
+    return audit.rebuild_features(views.numbered_events(spark, sf_dir)[1], HOUR_NS, RANGE_ROWS)
+
+
+def legacy_adjusted(spark, sf_dir):
+    return audit.adjust_ids(views.numbered_events(spark, sf_dir)[1]).selectExpr(
+        "split", "CAST(capture_index AS BIGINT) AS capture_index", "row", "adjusted_id")
+
+
+def legacy_periods(spark, sf_dir):
+    return audit.with_periods(audit.adjust_ids(views.numbered_events(spark, sf_dir)[1]), HOUR_NS).select(
+        "split", "row", "adjusted_id", "period")
+
+
+def legacy_statistics(spark, sf_dir):
+    return audit.period_statistics(audit.with_periods(audit.adjust_ids(
+        views.numbered_events(spark, sf_dir)[1]), HOUR_NS))
+
+
+def legacy_trigrams(spark, sf_dir):
+    return audit.row_trigrams(audit.adjust_ids(views.numbered_events(spark, sf_dir)[1]), RANGE_ROWS)
+
+
+def legacy_long(spark, sf_dir):
+    return _longs(audit.long_features(_rebuilt(spark, sf_dir)).select("split", "pid", "feature", "value"))
+
+
+def legacy_wide(spark, sf_dir):
+    return audit.wide_features(_rebuilt(spark, sf_dir), "training")
+
+
+def legacy_captures(spark, sf_dir):
+    numbered, events = views.numbered_events(spark, sf_dir)
+    return _longs(audit.capture_summary(numbered, events, RANGE_ROWS))
+
+
+def id_collisions(spark, sf_dir):
+    return audit.id_collisions(views.numbered_events(spark, sf_dir)[1]).select(
+        "split", "adjusted_id", "capture_id", F.col("pid").alias("recorded_id"), "identities")
+
+
+def _label_ids(spark, sf_dir):
+    return views.table(spark, sf_dir, "labels").selectExpr(
+        "IF(doc_id % 2 = 0, 'training', 'testing') AS split", "doc_id * 2 AS pid")
+
+
+def label_join(spark, sf_dir):
+    features = audit.adjust_ids(views.numbered_events(spark, sf_dir)[1]).select(
+        "split", F.col("adjusted_id").alias("pid")).distinct()
+    return audit.label_join(features, _label_ids(spark, sf_dir))
+
+
+def label_regression(spark, sf_dir):
+    labels = _label_ids(spark, sf_dir)
+    expected = labels.groupBy("split").agg(F.count("*").alias("expected_labels")).selectExpr(
+        "split", "IF(split = 'training', 1L, 0L) AS expected_matches", "expected_labels")
+    return audit.label_regression(label_join(spark, sf_dir), labels, expected)
+
+
+def feature_diff(spark, sf_dir):
+    rebuilt = audit.long_features(_rebuilt(spark, sf_dir))
+    supplied = rebuilt.filter("pid % 53 <> 7 AND feature <> 'EEE'").selectExpr(
+        "split", "IF(pid % 41 = 3, pid + 1000000, pid) AS pid",
+        "IF(split = 'training' AND feature IN ('C_max', 'C_sum'), 3 - position, position) AS position", "feature",
+        "value + IF(pid % 29 = 1 AND feature IN ('O_sum', 'OOO'), 1, 0) AS value")
+    return audit.feature_differences(supplied, rebuilt)
+
+
+def inventory_status(spark, sf_dir):
+    return audit.inventory_status(*views.document_files(spark, sf_dir)).select("path", "status", "byte_representation")
+
+
+def verification_status(spark, sf_dir):
+    return audit.verification_status(*views.document_files(spark, sf_dir))
+
+
+def unlisted_files(spark, sf_dir):
+    manifest, inventory = views.document_files(spark, sf_dir)
+    return tables.unlisted_files(inventory, manifest).select("path")
+
+
+def overlap(spark, sf_dir):
+    return audit.content_overlap(audit.inventory_status(*views.document_files(spark, sf_dir)))
+
+
+def audit_verdict(spark, sf_dir):
+    manifest, inventory = views.document_files(spark, sf_dir)
+    status = audit.inventory_status(manifest, inventory)
+    return audit.audit_verdict(
+        status, tables.unlisted_files(inventory, manifest), label_regression(spark, sf_dir),
+        feature_diff(spark, sf_dir), audit.content_overlap(status), id_collisions(spark, sf_dir))
+
+
+def file_inventory(spark, sf_dir):
+    return tables.file_inventory(spark, sf_dir, "*.parquet")
+
+
+# --- serving --------------------------------------------------------------------------------------
+
+
+def list_runs(spark, sf_dir):
+    runs = views.recordings(spark, sf_dir).groupBy("recording").agg(
+        F.max("run_id").alias("run_id"), F.min("timestamp_ns").alias("started_ns"),
+        F.max("source").alias("source"), F.max("status").alias("status"))
+    return serving.list_runs(runs, limit=10, offset=3)
+
+
+def process_windows(spark, sf_dir):
+    return serving.processes(window_counts(spark, sf_dir))
+
+
+def list_processes(spark, sf_dir):
+    return serving.list_processes(window_counts(spark, sf_dir), limit=100, offset=5)
+
+
+def list_windows(spark, sf_dir):
+    listed = serving.list_windows(_windows(spark, sf_dir), _predictions(spark, sf_dir), limit=100, offset=20)
+    return listed.withColumn("features", F.expr(
+        "array_join(transform(array_sort(map_keys(features)), k -> concat(k, '=', features[k])), ',')"))
+
+
+def _changes(spark, sf_dir):
+    """Three prediction versions per window: two thresholds, then a partial replacement."""
+    scored = windows.tumbling_assign(_bounded(spark, sf_dir), DAY_NS).groupBy(*WINDOW_KEY, "end_ns").agg(
+        (F.count_if("operation <> 'O'") / F.lit(10.0)).alias("_score"), F.min("collector_sequence").alias("alert_id"))
+    return scored.select(
+        windows.window_id().alias("window_id"), *WINDOW_KEY, "alert_id", "_score",
+        F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("version"),
+    ).selectExpr(
+        "window_id", *WINDOW_KEY, "alert_id", "CAST(version AS BIGINT) AS version",
+        "IF(version = 3 AND tgid % 3 = 0, NULL, _score + version / 100.0D) AS score",
+        "IF(version = 3 AND tgid % 3 = 0, NULL, _score >= IF(version = 2, 0.2D, 0.1D)) AS suspicious")
+
+
+def alert_lifecycle(spark, sf_dir):
+    return serving.alert_lifecycle(_changes(spark, sf_dir))
+
+
+def latest_predictions(spark, sf_dir):
+    return serving.latest(_changes(spark, sf_dir).select("window_id", "version", "score", "suspicious"), ["window_id"])
+
+
+def list_alerts(spark, sf_dir):
+    changes = _changes(spark, sf_dir)
+    windows_once = changes.filter("version = 1").select(
+        "window_id", "run_id", "tgid", "start_time_ns", "alert_id")
+    stored = serving.alert_lifecycle(changes).join(windows_once, "window_id").withColumn(
+        "supporting_features", F.lit(None).cast("string"))
+    return serving.list_alerts(stored, limit=100, offset=10).drop("supporting_features")
+
+
+def current_predictions(spark, sf_dir):
+    """Stored verdicts after their window was replaced."""
+    found = _windows(spark, sf_dir)
+    replaced = found.withColumn("classifiable", F.col("classifiable") & (F.col("tgid") % 4 != 0))
+    return serving.current_predictions(replaced, score.score_windows(found, 0.2)).select(
+        "window_id", "score", "suspicious", "quality")
+
+
+def metrics(spark, sf_dir):
+    changes = _changes(spark, sf_dir)
+    now = serving.latest(changes.select("window_id", "version", "score", "suspicious"), ["window_id"])
+    return serving.metrics(now, now, serving.alert_lifecycle(changes))
+
+
+def integrity_violations(spark, sf_dir):
+    now = serving.latest(_changes(spark, sf_dir).select("window_id", "run_id", "tgid", "version", "suspicious"), ["window_id"])
+    runs = now.select("run_id").distinct().filter("run_id <> 'run-1'")
+    predicted = now.filter("tgid % 13 <> 1")
+    return serving.integrity_violations(
+        runs, now.filter("tgid % 17 <> 2"), predicted.unionByName(predicted.filter("tgid % 19 = 3")),
+        now.filter("suspicious"))
+
+
+def final_health(spark, sf_dir):
+    verdicts = validate.validate_runs(views.recordings(spark, sf_dir), bucket_rows=RANGE_ROWS)
+    return health.final_health(verdicts).select("recording", "connected", "event_rate", "lost_events", "error")
+
+
+def health_snapshot(spark, sf_dir):
+    return serving.health(health.health_running(_bounded(spark, sf_dir), RANGE_ROWS))
+
+
 REGISTERED = {
     name: value for name, value in list(globals().items())
     if callable(value) and getattr(value, "__module__", None) == __name__ and not name.startswith("_")

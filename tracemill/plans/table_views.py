@@ -130,3 +130,152 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("_lost") + F.when(index == 11, 1).otherwise(0)).alias("total_lost_events"),
     )
     return _fill(body).unionByName(_fill(starts)).unionByName(_fill(closes))
+
+
+def contract_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON text lines; multiples of some primes carry one defect each."""
+    pieces = [
+        """'{"type":"event","schema_version":1,"run_id":"run-'""", "event_id % 5",
+        """'","collector_sequence":'""", "event_id", """',"timestamp_ns":'""", "us * 1000",
+        """',"process":{"type":"process_identity","schema_version":1,"boot_id":"'""",
+        "IF(event_id % 31 = 0, ' ', 'b0')",
+        """'","tgid":'""", "IF(event_id % 37 = 0, 'true', CAST(user_id + 1 AS STRING))",
+        """',"start_time_ns":'""", "IF(event_id % 41 = 0, '18446744073709551616', '0')",
+        """'},"tid":'""", "IF(event_id % 43 = 0, '4294967296', '7')",
+        """',"operation":"'""", "IF(event_id % 47 = 0, 'X', 'O')",
+        """'","result":'""", "CASE WHEN event_id % 53 = 0 THEN '1.5' WHEN event_id % 3 = 0 THEN 'null' ELSE '0' END",
+        """',"filename":"f'""", "event_id",
+        """'","filename_bytes_b64":'""",
+        """CASE WHEN event_id % 59 = 0 THEN '"!!"' WHEN event_id % 2 = 0 THEN '"YWI="' ELSE 'null' END""",
+        """',"telemetry_quality":"complete","lost_events":'""", "IF(event_id % 61 = 0, '-1', '0')",
+        """IF(event_id % 67 = 0, ',"extra":1', '')""", "'}'",
+    ]
+    whole = f"concat({', '.join(pieces)})"
+    return table(spark, sf_dir, "events").withColumn("us", micros_since_2024()).selectExpr(
+        "concat('file-', event_id % 3) AS recording", "CAST(0 AS BIGINT) AS block", "event_id AS pos",
+        f"CASE WHEN event_id % 73 = 0 THEN '  ' WHEN event_id % 71 = 0 THEN substring({whole}, 1, 40)"
+        f" ELSE {whole} END AS value")
+
+
+def captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Capture manifest and events: seven captures in two splits, one manifest row without events."""
+    number = F.col("event_id")
+    events = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("cap-0"), F.when(number % 8 == 2, 3).otherwise(number % 8)).alias("capture_id"),
+        number.alias("row"),
+        (micros_since_2024() * 1000).alias("ts"),
+        (F.col("user_id") + F.when(number % 11 == 0, 10_000).otherwise(0)).alias("pid"),
+        F.when(F.col("event_type") == "view", "O").when(F.col("event_type") == "click", "C")
+        .when(F.col("event_type") == "purchase", "D").otherwise("E").alias("kind"),
+        F.expr("CAST(get_json_object(props, '$.k') AS BIGINT) - 30").alias("pattern"),
+    )
+    names = table(spark, sf_dir, "events").select((number % 8).alias("_slot")).distinct().select(
+        F.concat(F.lit("cap-0"), "_slot").alias("capture_id"),
+        F.concat(F.lit("logs/cap-0"), "_slot", F.lit(".csv")).alias("path"),
+        F.when(F.col("_slot") < 4, "training").otherwise("testing").alias("split"))
+    return names, events
+
+
+def numbered_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from tracemill.operators.audit import number_captures
+
+    manifest, events = captures(spark, sf_dir)
+    numbered = number_captures(manifest)
+    return numbered, events.join(numbered.select("capture_id", "split", "capture_index"), "capture_id")
+
+
+def labelled_rows(spark: SparkSession, sf_dir: str, clean: bool = False) -> DataFrame:
+    """Labelled documents as training rows.
+
+    The clean form keeps one label, split and hash per capture. The other form breaks every
+    dependency somewhere.
+    """
+    features = (
+        "transform(sequence(0, 32), i -> CAST(CASE i WHEN 1 THEN n_chars % 60 + 30 * quality"
+        " WHEN 2 THEN doc_id % 17 ELSE (n_chars * (i + 1) + doc_id) % 50 END AS DOUBLE))"
+    )
+    capture = "concat('cap-', quality, '-', doc_id % 20)" if clean else "concat('cap-', doc_id % 40)"
+    slot = "doc_id % 20 * 2" if clean else "doc_id % 40"
+    split = f"CASE WHEN {slot} < 24 THEN 'training' WHEN {slot} < 32 THEN 'validation' ELSE 'test' END"
+    digest = f"sha2({capture}, 256)"
+    window = "sha2(CAST(doc_id AS STRING), 256)"
+    if not clean:
+        split = f"IF(doc_id % 70 = 3, 'test', {split})"
+        digest = f"CASE WHEN doc_id % 50 = 7 THEN sha2('cap-1', 256) WHEN doc_id % 90 = 4 THEN 'short' ELSE {digest} END"
+        window = "sha2(CAST(IF(doc_id % 9 = 1, doc_id - 1, doc_id) AS STRING), 256)"
+    from tracemill.schemas import FEATURES
+
+    return table(spark, sf_dir, "labels").join(
+        table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id"
+    ).selectExpr(
+        "doc_id", f"{window} AS window_id", f"{capture} AS capture_id", f"{digest} AS capture_hash",
+        f"{split} AS split", "CAST(quality AS INT) AS label", "2 AS feature_version",
+        f"array({', '.join(map(repr, FEATURES))}) AS feature_names", f"{features} AS features",
+        "true AS complete", f"{'' if clean else 'IF(doc_id % 33 = 5, ' + repr('bad') + ', '}'good'{'' if clean else ')'} AS quality",
+    )
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as files: a manifest with recorded hashes and the inventory found on disk."""
+    digest = "sha2(text, 256)"
+    documents = table(spark, sf_dir, "documents")
+    manifest = documents.filter("doc_id % 19 <> 3").selectExpr(
+        "concat('logs/', doc_id, '.csv') AS path",
+        f"IF(doc_id % 13 = 0, sha2('changed', 256), {digest}) AS sha256",
+        "CAST(octet_length(text) + IF(doc_id % 29 = 0, 1, 0) AS BIGINT) AS size",
+        "'capture' AS kind", "concat('doc-', doc_id) AS capture_id",
+        "IF(doc_id % 2 = 0, 'training', 'testing') AS split",
+        f"IF(doc_id % 26 = 0, {digest}, NULL) AS git_blob_sha256",
+        "CAST(octet_length(text) AS BIGINT) AS git_blob_size")
+    inventory = documents.filter("doc_id % 17 <> 5").selectExpr(
+        "concat('logs/', doc_id, '.csv') AS path", "CAST(octet_length(text) AS BIGINT) AS actual_size",
+        f"{digest} AS actual_sha256")
+    return manifest, inventory
+
+
+def raw_syscalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw collector records; some break the shape rules."""
+    return table(spark, sf_dir, "events").withColumn("us", micros_since_2024()).selectExpr(
+        "concat('rec-', user_id % 5) AS recording", "event_id AS pos",
+        "CASE WHEN event_id % 83 = 0 THEN '' WHEN event_id % 79 = 0 THEN '-bad' ELSE concat('run-', user_id % 5) END AS run_id",
+        "event_id + 1 AS collector_sequence", "us * 1000 AS monotonic_ns",
+        "named_struct('boot_id', 'b0', 'tgid', user_id + 1, 'start_time_ns', 0L) AS process", "user_id + 1 AS tid",
+        "IF(event_id % 97 = 0, 'process_exit', 'syscall') AS event_type",
+        "CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'openat' WHEN 'purchase' THEN 'openat'"
+        " WHEN 'signup' THEN IF(event_id % 2 = 0, 'unlink', 'unlinkat') ELSE IF(event_id % 5 = 0, 'rename', 'open') END AS name",
+        "CAST((event_id * 37) % 256 AS BIGINT) AS flags",
+        "IF(event_type = 'error', -2L, event_id % 10) AS return_value", "event_id", "props",
+    ).withColumn("attempt", F.expr(
+        "IF(event_type = 'syscall' OR event_id % 194 = 0, named_struct('name', name, 'create_intent',"
+        " name IN ('open', 'openat') AND (flags & 64) <> 0), NULL)")
+    ).withColumn("result", F.expr(
+        "IF(event_type = 'syscall' AND event_id % 89 <> 0, named_struct('return_value', return_value,"
+        " 'succeeded', return_value >= 0), NULL)")
+    ).withColumn("filename", F.expr(
+        "IF(event_type = 'syscall', named_struct('raw_base64', base64(CAST(props AS BINARY)), 'display', props,"
+        " 'truncated', false), NULL)"))
+
+
+def loss_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative loss snapshots per user run; one counter sometimes falls."""
+    from tracemill.schemas import COUNTERS
+
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('run-', user_id % 5) AS run_id", "event_id AS pos",
+        *[f"CAST(IF(event_id % 501 = 0 AND {index} = 2, 0, event_id div {7 + 4 * index}) AS BIGINT) AS {name}"
+          for index, name in enumerate(COUNTERS)])
+
+
+def capture_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Manifests and plan rows for the twenty recordings; some disagree on purpose."""
+    slots = table(spark, sf_dir, "events").groupBy(F.expr(f"event_id % {RUNS}").alias("slot")).agg(
+        F.min(F.expr(f"IF((event_id div {RUNS}) % 10 <> 3 AND event_id % 97 = 0, user_id, NULL)")).alias("_exiting"),
+        F.max("user_id").alias("_last"), F.max(micros_since_2024()).alias("_us"))
+    tracked = "named_struct('boot_id', 'b0', 'tgid', IF(slot = 12, -5, coalesce(_exiting, _last)), 'start_time_ns', 0L)"
+    manifests = slots.selectExpr(
+        "concat('run-', slot) AS run_id", "'copying' AS scenario", "11L AS seed",
+        "IF(slot = 13, 'test', 'training') AS split", "'benign' AS behavior_label", f"array({tracked}) AS tracked_processes")
+    plan = slots.filter("slot <> 14").selectExpr(
+        "concat('run-', slot) AS run_id", "'copying' AS scenario", "11L AS seed", "'training' AS split",
+        "'benign' AS behavior_label", "IF(slot = 15, 60D, CAST(_us div 1000000 - 1 AS DOUBLE)) AS capture_duration_seconds")
+    return manifests, plan
