@@ -38,7 +38,7 @@ def final_health(verdicts: DataFrame) -> DataFrame:
         F.when(F.col("accepted"), F.col("total_lost_events"))
         .otherwise(F.col("observed_loss")).alias("lost_events"),
         F.lit(False).alias("recording_active"),
-        F.element_at("violations", 1).alias("error"),
+        F.get("violations", F.lit(0)).alias("error"),
     )
 
 

@@ -10,7 +10,8 @@ from tracemill.operators import (
 from tracemill.plans import table_views as views
 from tracemill.plans.table_views import DAY_NS, HOUR_NS
 from tracemill.sources import recordings, sinks, tables
-from tracemill.schemas import PROCESS, WINDOW_KEY
+from tracemill.schemas import WINDOW_KEY
+from tracemill.session import written
 
 # Small ranges, so that the bucketed paths are taken on the test tables as well.
 RANGE_ROWS = 4096
@@ -133,8 +134,8 @@ def health_running(spark, sf_dir):
 
 
 def run_summary(spark, sf_dir):
-    return health.run_summary(
-        views.telemetry(spark, sf_dir), _windows(spark, sf_dir), _predictions(spark, sf_dir))
+    found = written(_windows(spark, sf_dir), "windows")
+    return health.run_summary(views.telemetry(spark, sf_dir), found, score.score_windows(found, 0.2))
 
 
 # --- recordings, normalization --------------------------------------------------------------------
@@ -159,7 +160,7 @@ def rejected_line_numbers(spark, sf_dir):
         lines.select("recording", "pos", F.floor(F.col("pos") / 1000).alias("block"))
         .withColumn("pos", F.floor(F.col("pos") / 3)),
         parsed.filter("size(violations) > 0").withColumn("pos", F.floor(F.col("pos") / 3)),
-    ).select("recording", "line_number", F.element_at("violations", 1).alias("violation"))
+    ).select("recording", "line_number", F.get("violations", F.lit(0)).alias("violation"))
 
 
 def byte_budget(spark, sf_dir):
@@ -381,7 +382,7 @@ def metric_disagreements(spark, sf_dir):
 
 
 def _rebuilt(spark, sf_dir):
-    return audit.rebuild_features(views.numbered_events(spark, sf_dir)[1], HOUR_NS, RANGE_ROWS)
+    return written(audit.rebuild_features(views.numbered_events(spark, sf_dir)[1], HOUR_NS, RANGE_ROWS), "rebuilt")
 
 
 def legacy_adjusted(spark, sf_dir):
@@ -440,10 +441,10 @@ def label_regression(spark, sf_dir):
 
 
 def feature_diff(spark, sf_dir):
-    rebuilt = audit.long_features(_rebuilt(spark, sf_dir))
+    rebuilt = written(audit.long_features(_rebuilt(spark, sf_dir)), "features")
     supplied = rebuilt.filter("pid % 53 <> 7 AND feature <> 'EEE'").selectExpr(
         "split", "IF(pid % 41 = 3, pid + 1000000, pid) AS pid",
-        "IF(split = 'training' AND feature IN ('C_max', 'C_sum'), 3 - position, position) AS position", "feature",
+        "IF(split = 'training' AND feature IN ('C_max', 'C_sum'), 1 - position, position) AS position", "feature",
         "value + IF(pid % 29 = 1 AND feature IN ('O_sum', 'OOO'), 1, 0) AS value")
     return audit.feature_differences(supplied, rebuilt)
 
@@ -496,7 +497,8 @@ def list_processes(spark, sf_dir):
 
 
 def list_windows(spark, sf_dir):
-    listed = serving.list_windows(_windows(spark, sf_dir), _predictions(spark, sf_dir), limit=100, offset=20)
+    stored = written(_windows(spark, sf_dir), "windows")
+    listed = serving.list_windows(stored, score.score_windows(stored, 0.2), limit=100, offset=20)
     return listed.withColumn("features", F.expr(
         "array_join(transform(array_sort(map_keys(features)), k -> concat(k, '=', features[k])), ',')"))
 
@@ -504,7 +506,7 @@ def list_windows(spark, sf_dir):
 def _changes(spark, sf_dir):
     """Three prediction versions per window: two thresholds, then a partial replacement."""
     scored = windows.tumbling_assign(_bounded(spark, sf_dir), DAY_NS).groupBy(*WINDOW_KEY, "end_ns").agg(
-        (F.count_if("operation <> 'O'") / F.lit(10.0)).alias("_score"), F.min("collector_sequence").alias("alert_id"))
+        (F.count_if(F.col("operation") != "O") / F.lit(10.0)).alias("_score"), F.min("collector_sequence").alias("alert_id"))
     return scored.select(
         windows.window_id().alias("window_id"), *WINDOW_KEY, "alert_id", "_score",
         F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("version"),
@@ -533,7 +535,7 @@ def list_alerts(spark, sf_dir):
 
 def current_predictions(spark, sf_dir):
     """Stored verdicts after their window was replaced."""
-    found = _windows(spark, sf_dir)
+    found = written(_windows(spark, sf_dir), "windows")
     replaced = found.withColumn("classifiable", F.col("classifiable") & (F.col("tgid") % 4 != 0))
     return serving.current_predictions(replaced, score.score_windows(found, 0.2)).select(
         "window_id", "score", "suspicious", "quality")

@@ -106,6 +106,7 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~is_beat, 0).alias("start_time_ns"),
         F.when(~is_beat, F.col("user_id") + 1).alias("tid"),
         F.when(is_event, _operation()).alias("operation"),
+        F.when(is_event, F.concat(F.lit("f"), sequence)).alias("filename"),
         F.when(is_event & ~((slot == 2) & (number % 5 == 2) & (sequence % 3 == 0)),
                F.when(F.col("event_type") == "error", -1).otherwise(0)).alias("result"),
         F.when(is_event, F.when((slot == 3) & (sequence % 11 == 0), "degraded")
