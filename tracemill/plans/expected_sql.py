@@ -622,3 +622,4 @@ STATEMENTS = {
         SELECT run_id, true AS collector_connected, CAST(arg_max(records, pos) AS DOUBLE) * 1000000000 / greatest(1, arg_max(m, pos)) AS event_rate,
           arg_max(lost_events, pos) AS lost_events, true AS recording FROM h GROUP BY 1""",
 }
+STATEMENTS["stream_windows"] = STATEMENTS["feature_windows_full"]

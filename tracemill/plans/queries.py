@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracemill.operators import (
-    acceptance, audit, health, labelled, normalize, score, selection, serving, validate, windows,
+    acceptance, audit, health, labelled, models, normalize, score, selection, serving, validate, windows,
 )
 from tracemill.plans import table_views as views
 from tracemill.plans.table_views import DAY_NS, HOUR_NS
 from tracemill.sources import recordings, sinks, tables
+from tracemill.streaming.windows import WindowStream
 from tracemill.schemas import WINDOW_KEY
-from tracemill.session import written
+from tracemill.session import shared_folder, written
 
 # Small ranges, so that the bucketed paths are taken on the test tables as well.
 RANGE_ROWS = 4096
@@ -565,6 +566,32 @@ def health_snapshot(spark, sf_dir):
     return serving.health(health.health_running(_bounded(spark, sf_dir), RANGE_ROWS))
 
 
+def forest_scores(spark, sf_dir):
+    """A forest fitted on training captures; it scores all rows."""
+    rows = views.labelled_rows(spark, sf_dir, clean=True)
+    candidate = models.Candidate("random_forest", (40, 4), 37)
+    return candidate.score(candidate.fit(rows.filter("split = 'training'")), rows).select("doc_id", "label", "score")
+
+
+def svm_scores(spark, sf_dir):
+    rows = views.labelled_rows(spark, sf_dir, clean=True)
+    candidate = models.Candidate("rbf_svm", (1.0, "scale"), 37)
+    return candidate.score(candidate.fit(rows.filter("split = 'training'")), rows).select("doc_id", "label", "score")
+
+
+def stream_windows(spark, sf_dir):
+    """The events table as a stream: windows, late replacements and losses through micro-batches."""
+    folder = shared_folder(spark, "stream")
+    stream = WindowStream(f"{folder}/state", window_ns=DAY_NS, bucket_ns=HOUR_NS, bucket_rows=RANGE_ROWS)
+    bounds = views.run_bounds(views.telemetry(spark, sf_dir))
+    starts, ends = views.envelope_records(bounds)
+    stream.apply(starts, -1)
+    records = views.telemetry(spark, sf_dir, views.event_stream(spark, sf_dir))
+    stream.start(records, f"{folder}/checkpoint").awaitTermination()
+    stream.apply(ends, 1 << 40)
+    return _longs(stream.windows(spark).withColumn("quality", F.array_join("quality", ",")))
+
+
 REGISTERED = {
     name: value for name, value in list(globals().items())
     if callable(value) and getattr(value, "__module__", None) == __name__ and not name.startswith("_")

@@ -50,7 +50,7 @@ def _operation() -> Column:
     return F.when(kind == "purchase", "C").when(kind == "signup", "D").otherwise("O")
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def telemetry(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """All events as five runs, the first with six tenths of the users. Every 17th record arrives 400 records late; every 97th is an exit.
 
     Every 211th record reports a loss on every fifth day.
@@ -60,7 +60,8 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_exit = number % 97 == 0
     run = F.expr("CAST(IF(user_id % 10 < 6, 0, user_id % 10 - 5) AS STRING)")
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-    return _fill(table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events") if events is None else events
+    return _fill(events.select(
         F.concat(F.lit("rec-"), run).alias("recording"),
         F.concat(F.lit("run-"), run).alias("run_id"),
         (2 * (number + F.when(moved, 400).otherwise(0)) + F.when(moved, 0).otherwise(1)).alias("pos"),
@@ -78,6 +79,20 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream."""
+    shape = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def envelope_records(bounds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Run start and run end records of given run bounds."""
+    return (
+        _fill(bounds.select("run_id", "capture_start_ns", F.lit("run_start").alias("type"))),
+        _fill(bounds.select("run_id", F.col("capture_end_ns").alias("timestamp_ns"), F.lit("run_end").alias("type"))),
+    )
+
+
 def run_bounds(records: DataFrame) -> DataFrame:
     return records.groupBy("run_id").agg(
         F.lit(0).cast("bigint").alias("capture_start_ns"),
