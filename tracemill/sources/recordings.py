@@ -17,7 +17,8 @@ MAX_I63 = 2**63 - 1
 # Rows below the 33rd bit of the generated id count the rows of one read partition. A partition
 # holds at most as many rows as bytes, and at most one split size of bytes, so doubling the offset
 # of the file block keeps positions of later blocks above those of earlier ones.
-POSITION = "2 * _metadata.file_block_start + (monotonically_increasing_id() & 8589934591)"
+ROW_IN_PARTITION = "(monotonically_increasing_id() & 8589934591)"
+POSITION = f"2 * _metadata.file_block_start + {ROW_IN_PARTITION}"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -238,7 +239,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
         + "))"
         for kind, (fields, rules) in KINDS.items()
     )
-    wide = " OR ".join(f"coalesce({_number(path)} > {MAX_I63}BD, false)" for path in _WIDE)
+    wide = " OR ".join(f"coalesce({_number(path)} BETWEEN {MAX_I63 + 1}BD AND {MAX_U64}BD, false)" for path in _WIDE)
     too_wide = f"IF({wide}, array('integer needs more than 63 bits'), CAST(array() AS ARRAY<STRING>))"
     violations = (
         "CASE WHEN NOT is_valid_utf8(value) THEN array('invalid UTF-8')"

@@ -27,9 +27,10 @@ def whole_number(text: str) -> str:
 def _csv(spark: SparkSession, path, names: tuple[str, ...], multi_line: bool) -> DataFrame:
     shape = T.StructType([T.StructField(name, T.StringType()) for name in names]
                          + [T.StructField("_malformed", T.StringType())])
-    return spark.read.csv(
+    # A pruned last column would hide that a row is too short.
+    return spark.read.option("columnPruning", "false").csv(
         path, schema=shape, header=True, enforceSchema=False, mode="PERMISSIVE", escape='"',
-        columnNameOfCorruptRecord="_malformed", multiLine=multi_line, nanValue="\u0000",
+        columnNameOfCorruptRecord="_malformed", multiLine=multi_line,
     )
 
 

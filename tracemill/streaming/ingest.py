@@ -15,13 +15,12 @@ from tracemill.sources import recordings, sinks
 
 
 def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Lines of recordings as they appear in a folder, with file, block and position."""
+    """Lines of recordings as they appear in a folder, with their file and block."""
     reader = spark.readStream.option("lineSep", "\n")
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.format("text").load(folder).selectExpr(
-        "value", "_metadata.file_path AS recording", "_metadata.file_block_start AS block",
-        f"{recordings.POSITION} AS pos")
+        "value", "_metadata.file_path AS recording", "_metadata.file_block_start AS block")
 
 
 @dataclass(frozen=True)
@@ -36,18 +35,23 @@ class RunIngest:
 
     def apply(self, lines: DataFrame, batch_id: int) -> None:
         spark = lines.sparkSession
-        parsed = recordings.parse_records(lines)
+        # Row numbers are not allowed in a stream, but a micro-batch keeps the scan's partitions.
+        placed = lines.withColumn("pos", F.expr(f"2 * block + {recordings.ROW_IN_PARTITION}"))
+        parsed = recordings.parse_records(placed)
         self._append(recordings.quarantine(parsed).select("recording", "pos", "value", "type", "violations"),
                      "quarantine", batch_id)
         self._append(recordings.telemetry_records(parsed), "records", batch_id, "run_id")
 
         batch = self._records(spark).filter(F.col("batch_id") == batch_id)
         finished = batch.filter("type = 'run_end'").select("run_id").distinct()
-        # A run may come as several files; inside it the sequence is the arrival order.
-        whole = self._records(spark).join(finished, "run_id", "left_semi").drop("batch_id").withColumns({
+        # Arrival order is the line order of a file, or the sequence where a run spans files.
+        stored = self._records(spark).join(finished, "run_id", "left_semi").drop("batch_id")
+        files = stored.groupBy("run_id").agg(
+            (F.min("recording") != F.max("recording")).alias("_many"))
+        whole = stored.join(files, "run_id").withColumns({
             "recording": F.col("run_id"),
-            "pos": F.coalesce("collector_sequence", F.lit(0)),
-        })
+            "pos": F.when(F.col("_many"), F.coalesce("collector_sequence", F.lit(0))).otherwise(F.col("pos")),
+        }).drop("_many")
         damaged = self._quarantined_runs(spark)
         verdicts = written(
             validate.validate_runs(whole, bucket_rows=self.bucket_rows)
