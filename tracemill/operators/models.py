@@ -114,6 +114,8 @@ def _f1(scored: DataFrame, cut: float) -> float:
 
 def best_candidate(rows: DataFrame, candidates: list[Candidate]) -> Candidate:
     """Highest mean F1 over the grouped folds; the earlier candidate wins a tie."""
+    if len(candidates) == 1:
+        return candidates[0]
     folds = selection.assign_folds(rows, candidates[0].seed).select("capture_id", "fold")
     folded = written(rows.join(folds, "capture_id"), "folds")
     means = []

@@ -83,8 +83,9 @@ def rates(counts: DataFrame) -> DataFrame:
 
 def score_ranges(distinct_scores: DataFrame, ranges: int = SCORE_RANGES) -> list[float]:
     """Increasing cut points that spread the distinct scores evenly; at most ``ranges`` floats."""
+    ranges = max(ranges, 2)
     steps = [index / ranges for index in range(1, ranges)]
-    cuts = distinct_scores.approxQuantile("score", steps, 0.25 / ranges)
+    cuts = distinct_scores.approxQuantile("score", steps, 0.25 / ranges) or [0.0]
     return [float("-inf"), *sorted(set(cuts)), float("inf")]
 
 
