@@ -208,9 +208,9 @@ def row_violations(rows: DataFrame) -> DataFrame:
          (F.length("window_id") > 0) & (F.length("capture_id") > 0)),
         ("capture hash must be lowercase SHA-256", is_digest(F.col("capture_hash"))),
     ]
-    return rows.select("capture_id", "window_id", F.explode(F.array_compact(F.array(*[
-        F.when(~F.coalesce(good, F.lit(False)), F.lit(message)) for message, good in rules
-    ]))).alias("violation"))
+    return rows.select("capture_id", "window_id", F.explode(F.array_remove(F.array(*[
+        F.when(F.coalesce(good, F.lit(False)), F.lit("")).otherwise(F.lit(message)) for message, good in rules
+    ]), "")).alias("violation"))
 
 
 def leakage_violations(rows: DataFrame) -> DataFrame:

@@ -86,8 +86,8 @@ def protocol_violations(raw: DataFrame, strict_run_id: bool = False) -> DataFram
     ]
     if strict_run_id:
         rules.append(("invalid run_id format", F.coalesce(F.col("run_id").rlike(RUN_ID_PATTERN), F.lit(False))))
-    return raw.withColumn("violations", F.array_compact(F.array(
-        *[F.when(~good, F.lit(message)) for message, good in rules])))
+    return raw.withColumn("violations", F.array_remove(F.array(
+        *[F.when(good, F.lit("")).otherwise(F.lit(message)) for message, good in rules]), ""))
 
 
 def contract_events(raw: DataFrame) -> DataFrame:

@@ -150,8 +150,8 @@ def loss_by_window(bounded: DataFrame, window_ns: int = WINDOW_NS) -> DataFrame:
 
 def quality_flags() -> Column:
     flags = (
-        "array_compact(array(IF(partial, 'partial', NULL), IF(loss_count > 0, 'loss', NULL),"
-        " IF(late_event_count > 0, 'late', NULL)))"
+        "array_remove(array(IF(partial, 'partial', ''), IF(loss_count > 0, 'loss', ''),"
+        " IF(late_event_count > 0, 'late', '')), '')"
     )
     return F.expr(f"CASE WHEN size({flags}) > 0 THEN {flags} ELSE array('complete') END")
 

@@ -134,7 +134,6 @@ _PROCESS = [
 _LIST = "try_variant_get(x_{0}, '$', 'array<variant>')"
 _NAMES = _LIST.format("feature_names")
 _VALUES = _LIST.format("values")
-_WHOLE = "(schema_of_variant(x) = 'BIGINT' OR schema_of_variant(x) RLIKE '^DECIMAL[(](19|[23][0-9]),0[)]')"
 
 # Per record kind: its fields and the conditions a valid record meets, in checking order.
 KINDS: dict[str, tuple[tuple[str, ...], list[tuple[str, str]]]] = {
@@ -187,13 +186,15 @@ KINDS: dict[str, tuple[tuple[str, ...], list[tuple[str, str]]]] = {
          ("end_ns must be greater than start_ns", f"{_number('end_ns')} > {_number('start_ns')}"),
          ("partial must be a boolean", _optional("partial", f"{_kind('partial')} = 'BOOLEAN'")),
          ("feature_names must be non-empty strings",
-          f"forall({_NAMES}, x -> schema_of_variant(x) = 'STRING' AND length(variant_get(x, '$', 'string')) > 0)"),
+          "(k_feature_names IN ('ARRAY<STRING>', 'ARRAY<VOID>') AND NOT array_contains("
+          "try_variant_get(x_feature_names, '$', 'array<string>'), ''))"),
          ("feature_names must be unique",
           "size(array_distinct(try_variant_get(x_feature_names, '$', 'array<string>'))) = "
           "size(try_variant_get(x_feature_names, '$', 'array<string>'))"),
          ("feature names and values must have equal lengths", f"size({_NAMES}) = size({_VALUES})"),
          ("feature values must be non-negative integers",
-          f"forall({_VALUES}, x -> {_WHOLE} AND try_variant_get(x, '$', 'decimal(38,0)') >= 0)"),
+          "(k_values IN ('ARRAY<BIGINT>', 'ARRAY<VOID>') AND "
+          "coalesce(array_min(try_variant_get(x_values, '$', 'array<bigint>')), 0) >= 0)"),
          _optional_u64("loss_count"), _optional_u64("late_event_count")],
     ),
 }
@@ -232,11 +233,11 @@ def _fields(lines: DataFrame, names: list[str]) -> DataFrame:
 def parse_records(lines: DataFrame) -> DataFrame:
     """Parse each line once and list every violated rule in ``violations``."""
     branches = "".join(
-        f" WHEN '{kind}' THEN array_compact(array("
+        f" WHEN '{kind}' THEN array_remove(array("
         + f"IF(size(array_except(map_keys(fields), array({', '.join(map(repr, fields))}))) > 0,"
-        + " 'record has an unexpected field', NULL), "
-        + ", ".join(f"IF(coalesce({good}, false), NULL, '{message}')" for message, good in rules)
-        + "))"
+        + " 'record has an unexpected field', ''), "
+        + ", ".join(f"IF(coalesce({good}, false), '', '{message}')" for message, good in rules)
+        + "), '')"
         for kind, (fields, rules) in KINDS.items()
     )
     wide = " OR ".join(f"coalesce({_number(path)} BETWEEN {MAX_I63 + 1}BD AND {MAX_U64}BD, false)" for path in _WIDE)
@@ -336,12 +337,12 @@ def labeled_rows(lines: DataFrame) -> DataFrame:
         ("invalid row quality", f"({_kind('complete')} = 'BOOLEAN' AND {_kind('quality')} = 'STRING')"),
     ]
     parsed = _fields(lines.filter(r"value RLIKE r'\S'"), names)
-    checks = ", ".join(f"IF(coalesce({good}, false), NULL, '{message}')" for message, good in rules)
+    checks = ", ".join(f"IF(coalesce({good}, false), '', '{message}')" for message, good in rules)
     return parsed.selectExpr(
         *lines.columns,
         "CASE WHEN v IS NULL THEN array('invalid JSON')"
         " WHEN fields IS NULL THEN array('row must be an object')"
-        f" ELSE array_compact(array({checks})) END AS violations",
+        f" ELSE array_remove(array({checks}), '') END AS violations",
         *[f"try_variant_get(x_{field.name}, '$', '{field.dataType.simpleString()}') AS {field.name}"
           for field in LABELED_WINDOW],
     )

@@ -184,9 +184,9 @@ def publish_runs(
 
 
 def _replace(table: DataFrame, path: str) -> None:
-    table.repartition("run_id", F.pmod(F.xxhash64(*[
-        name for name in table.columns if name == "window_id"] or ["run_id"]), F.lit(16))
-    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    """Replace the run partitions a table holds; a large run is spread over several tasks."""
+    table.hint("rebalance", "run_id").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def alert_rows(windows: DataFrame, predictions: DataFrame) -> DataFrame:

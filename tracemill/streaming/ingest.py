@@ -70,7 +70,9 @@ class RunIngest:
         sinks.publish_runs(runs, found, score.score_windows(found, self.threshold), f"{self.root}/results")
 
     def _append(self, df: DataFrame, name: str, batch_id: int, *partitions: str) -> None:
-        df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+        rows = df.withColumn("batch_id", F.lit(batch_id))
+        rows = rows.hint("rebalance", *partitions) if partitions else rows.hint("rebalance")
+        rows.write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch_id").parquet(f"{self.root}/{name}")
 
     def _records(self, spark: SparkSession) -> DataFrame:

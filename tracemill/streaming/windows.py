@@ -58,8 +58,8 @@ class WindowStream:
         return spark.createDataFrame([], schema)
 
     def _write(self, df: DataFrame, name: str, *partitions: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            *partitions).parquet(f"{self.root}/{name}")
+        df.hint("rebalance", partitions[0]).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(f"{self.root}/{name}")
 
     def runs(self, spark: SparkSession, before: int | None = None) -> DataFrame:
         """Bounds and watermark of every run seen so far."""
