@@ -158,8 +158,7 @@ CONTRACT = f"""lines AS (
       CASE WHEN event_id % 47 = 0 THEN 'operation must be O, C, or D' END,
       CASE WHEN event_id % 53 = 0 THEN 'result must be a signed 64-bit integer or null' END,
       CASE WHEN event_id % 59 = 0 THEN 'filename_bytes_b64 must contain valid base64' END,
-      CASE WHEN event_id % 61 = 0 THEN 'lost_events must be an integer in [0, 2^64)' END,
-      CASE WHEN event_id % 41 = 0 THEN 'integer needs more than 63 bits' END) END AS violations
+      CASE WHEN event_id % 61 = 0 THEN 'lost_events must be an integer in [0, 2^64)' END) END AS violations
   FROM events)"""
 
 RECORDS = f"""{REC},
