@@ -37,6 +37,13 @@ def plain(value):
     return value
 
 
+@pytest.fixture(scope="module", autouse=True)
+def compiled_plans(spark):
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_equals_sql(spark, duck, name):
     frame = entry_module.queries()[name](spark, FOLDER)

@@ -15,6 +15,8 @@ SETTINGS = {
     # A repeated key in a JSON record keeps its last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Recording a Python call site for every column makes wide plans slow to build.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
