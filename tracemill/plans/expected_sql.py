@@ -560,6 +560,7 @@ STATEMENTS = {
     "legacy_statistics": f"WITH {LEGACY} SELECT * FROM stat",
     "legacy_trigrams": f"WITH {LEGACY} SELECT * FROM tri3",
     "legacy_long": f"WITH {LEGACY} SELECT * FROM long_table",
+    "legacy_wide": f"""WITH {LEGACY} SELECT adjusted_id AS PID, {", ".join(audit.COLUMNS)} FROM wide WHERE split = 'training'""",
     "legacy_captures": f"""WITH {LEGACY}, stepped AS (
         SELECT *, lag(ts) OVER (PARTITION BY capture_id ORDER BY row) AS earlier FROM adj)
         SELECT man.split, capture_id, 10000 * capture_index AS offset, coalesce(events, 0) AS events,

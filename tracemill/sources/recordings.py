@@ -74,7 +74,14 @@ def _is_integer(path: str) -> str:
 
 
 def _good_integer(path: str, low: int, high: int) -> str:
-    return f"({_is_integer(path)} AND {_number(path)} BETWEEN {low}BD AND {high}BD)"
+    """The usual case compares 64-bit values; only wider numbers become decimals."""
+    narrow = f"try_variant_get(x_{_ref(path)}, '$', 'bigint') BETWEEN {max(low, -MAX_I63)} AND {min(high, MAX_I63)}"
+    wide = f"({_is_wide(path)} AND {_number(path)} BETWEEN {low}BD AND {high}BD)"
+    return f"IF({_kind(path)} = 'BIGINT', {narrow}, {wide})"
+
+
+def _is_wide(path: str) -> str:
+    return f"{_kind(path)} RLIKE '^DECIMAL[(](19|[23][0-9]),0[)]'"
 
 
 def _good_text(path: str) -> str:
@@ -157,7 +164,7 @@ KINDS: dict[str, tuple[tuple[str, ...], list[tuple[str, str]]]] = {
          ("operation must be O, C, or D", _good_choice("operation", OPERATIONS)),
          ("result must be a signed 64-bit integer or null",
           f"({_missing('result')} OR {_kind('result')} = 'VOID' OR "
-          f"({_is_integer('result')} AND {_number('result')} BETWEEN {-2**63}BD AND {MAX_I63}BD))"),
+          f"{_kind('result')} = 'BIGINT' OR ({_is_wide('result')} AND {_number('result')} BETWEEN {-2**63}BD AND {MAX_I63}BD))"),
          ("filename must be a string", _optional("filename", f"{_kind('filename')} = 'STRING'")),
          ("filename_bytes_b64 must contain valid base64",
           f"({_missing('filename_bytes_b64')} OR {_kind('filename_bytes_b64')} = 'VOID' OR "
@@ -240,7 +247,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
         + "), '')"
         for kind, (fields, rules) in KINDS.items()
     )
-    wide = " OR ".join(f"coalesce({_number(path)} BETWEEN {MAX_I63 + 1}BD AND {MAX_U64}BD, false)" for path in _WIDE)
+    wide = " OR ".join(f"coalesce({_is_wide(path)} AND {_number(path)} BETWEEN {MAX_I63 + 1}BD AND {MAX_U64}BD, false)" for path in _WIDE)
     too_wide = f"IF({wide}, array('integer needs more than 63 bits'), CAST(array() AS ARRAY<STRING>))"
     violations = (
         "CASE WHEN NOT is_valid_utf8(value) THEN array('invalid UTF-8')"
