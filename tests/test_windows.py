@@ -109,7 +109,7 @@ def test_stream_in_any_chunks_equals_the_batch(spark, tmp_path, cuts):
     records, end = _random_stream(11)
     whole = [row("run_start", None, None, capture_start_ns=0, source="live"), *records,
              row("run_end", len(records) + 1, end, status="complete", total_lost_events=0)]
-    stream = WindowStream(str(tmp_path / "state"), bucket_rows=8)
+    stream = WindowStream(str(tmp_path / "state"), bucket_rows=8, slot_windows=2)
     begin = 0
     for number, cut in enumerate([*cuts, len(whole)]):
         chunk = frame(spark, whole[begin:cut])

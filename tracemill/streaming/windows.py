@@ -1,7 +1,8 @@
 """Feature windows from a stream of telemetry, with replacements for late events and losses.
 
 Each micro-batch is handled with the same operators as a whole recording. State lives in tables
-below one folder: watermarked telemetry, run bounds and the log of window versions. A run may hold
+below one folder: watermarked events, exits and losses, run bounds, and the log of window versions.
+The first is partitioned by run and time slot, and a batch reads the slots it can change. A run may hold
 any share of a batch, because no step gathers a run in one task. Everything a batch writes carries
 its batch id and is replaced as a whole, so a repeated batch changes nothing.
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracemill.functions.ordered import BUCKET_ROWS
@@ -29,8 +30,8 @@ _RUNS = T.StructType([
     T.StructField("watermark_ns", T.LongType()),
     T.StructField("batch_id", T.LongType()),
 ])
-_MARKED = T.StructType([*TELEMETRY.fields, T.StructField("watermark_ns", T.LongType()),
-                        T.StructField("batch_id", T.LongType())])
+_MARKED = T.StructType([*TELEMETRY.fields, *[
+    T.StructField(name, T.LongType()) for name in ("watermark_ns", "slot", "batch_id")]])
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -44,12 +45,14 @@ class WindowStream:
 
     Records are flat telemetry with run start and end records. ``pos`` must grow with arrival
     inside a run, over batches too; ``collector_sequence`` is such a position in a valid stream.
+    ``slot_windows`` is the number of windows per partition of the stored telemetry.
     """
 
     root: str
     window_ns: int = WINDOW_NS
     bucket_ns: int = SECOND_NS
     bucket_rows: int = BUCKET_ROWS
+    slot_windows: int = 360
 
     def _read(self, spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -80,23 +83,49 @@ class WindowStream:
         carried = marked.join(
             earlier.select("run_id", F.col("watermark_ns").alias("_carried")), "run_id", "left"
         ).withColumn("watermark_ns", F.greatest("watermark_ns", "_carried"))
+        carried = written(carried, "carried")
         self._write(
-            carried.withColumn("batch_id", F.lit(batch_id)).select(*_MARKED.names),
-            "marked", "run_id", "batch_id")
-
-        batch = self._read(spark, "marked", _MARKED).filter(F.col("batch_id") == batch_id)
+            self._stored_rows(carried).withColumn("batch_id", F.lit(batch_id)).select(*_MARKED.names),
+            "marked", "run_id", "slot", "batch_id")
         self._write(
             starts.select("run_id", "capture_start_ns")
             .unionByName(records.filter("type = 'run_end'").select(
                 "run_id", F.col("timestamp_ns").alias("capture_end_ns")), allowMissingColumns=True)
-            .unionByName(batch.select("run_id", "watermark_ns"), allowMissingColumns=True)
+            .unionByName(carried.select("run_id", "watermark_ns"), allowMissingColumns=True)
             .groupBy("run_id").agg(*[
                 F.max(name).alias(name) for name in ("capture_start_ns", "capture_end_ns", "watermark_ns")])
             .withColumn("batch_id", F.lit(batch_id)).select(*_RUNS.names),
             "runs", "batch_id")
-        if not batch.isEmpty() or not records.filter("type = 'run_end'").isEmpty():
+        if not carried.isEmpty() or not records.filter("type = 'run_end'").isEmpty():
+            batch = self._read(spark, "marked", _MARKED).filter(F.col("batch_id") == batch_id)
             self._write(self._new_versions(spark, batch, batch_id), "changes", "batch_id")
 
+    def _slot(self, start: Column) -> Column:
+        return F.floor(start / F.lit(self.window_ns * self.slot_windows))
+
+    def _stored_rows(self, carried: DataFrame) -> DataFrame:
+        """What later batches need: successful events, exits, and losses as rows of their own."""
+        events = carried.filter(F.col("type") == "event").filter(ops.succeeded()).withColumns({
+            "lost_events": F.lit(0).cast("bigint"),
+            "slot": self._slot(ops.window_start("timestamp_ns", self.window_ns))})
+        exits = carried.filter("type = 'process_exit'").withColumn(
+            "slot", self._slot(ops.window_start("watermark_ns", self.window_ns)))
+        losses = carried.filter("lost_events > 0").withColumns({
+            "type": F.lit("heartbeat"),
+            "slot": self._slot(ops.loss_window_start("timestamp_ns", self.window_ns))})
+        return events.unionByName(exits).unionByName(losses)
+
+    def _needed_slots(self, runs: DataFrame, *starts: DataFrame) -> DataFrame:
+        """Slots of changed windows, and of all windows the watermark passed in this batch."""
+        first, last = (
+            self._slot(ops.window_start(column, self.window_ns))
+            for column in (F.coalesce("_from", "capture_start_ns"), F.col("watermark_ns")))
+        needed = runs.filter("watermark_ns IS NOT NULL").select(
+            "run_id", F.explode(F.sequence(first, last)).alias("slot"))
+        for keys in starts:
+            needed = needed.unionByName(keys.select("run_id", self._slot(F.col("start_ns")).alias("slot")))
+        return needed.distinct()
+
     def _new_versions(self, spark: SparkSession, batch: DataFrame, batch_id: int) -> DataFrame:
         """Windows this batch closed or changed after closing."""
         before = self.runs(spark, before=batch_id).select("run_id", F.col("watermark_ns").alias("_from"))
@@ -107,9 +136,6 @@ class WindowStream:
             F.max(name).alias(name) for name in ("capture_start_ns", "capture_end_ns", "watermark_ns")])
         runs = written(now.join(present, "run_id").join(before, "run_id", "left"), "runs")
 
-        stored = self._read(spark, "marked", _MARKED).filter(F.col("batch_id") <= batch_id).join(
-            runs.select("run_id"), "run_id", "left_semi")
-        events = ops.tumbling_assign(stored, self.window_ns)
         changed_keys = (
             ops.tumbling_assign(batch, self.window_ns).select(*WINDOW_KEY)
             .unionByName(batch.filter("type = 'process_exit'").select(
@@ -117,6 +143,9 @@ class WindowStream:
             .distinct().withColumn("_changed", F.lit(True)))
         losses = ops.loss_by_window(batch, self.window_ns).select(
             "run_id", "start_ns", F.lit(True).alias("_lost"))
+        stored = self._read(spark, "marked", _MARKED).filter(F.col("batch_id") <= batch_id).join(
+            self._needed_slots(runs, changed_keys, losses), ["run_id", "slot"], "left_semi")
+        events = ops.tumbling_assign(stored, self.window_ns)
         end = F.col("start_ns") + self.window_ns
         closed_now = (end > F.coalesce("_from", "capture_start_ns")) & (end <= F.col("watermark_ns"))
         touched = written(
@@ -127,13 +156,9 @@ class WindowStream:
                     | closed_now | (F.col("_ended") & (end > F.col("watermark_ns"))))
             .select(*WINDOW_KEY), "touched")
 
-        # Losses and exits of the run count in full, events only for the windows to renew.
         kept = written(
             events.join(touched, list(WINDOW_KEY), "left_semi").select(*stored.columns)
-            .withColumn("lost_events", F.lit(0).cast("bigint"))
-            .unionByName(stored.filter("type = 'process_exit'"))
-            .unionByName(stored.filter("lost_events > 0").withColumn("type", F.lit("heartbeat"))),
-            "kept")
+            .unionByName(stored.filter("type <> 'event'")), "kept")
         bounds = runs.select("run_id", "capture_start_ns",
                              F.coalesce("capture_end_ns", F.lit(_OPEN_END)).alias("capture_end_ns"))
         renewed = ops.windows_from_marked(
