@@ -19,7 +19,7 @@ ENTROPY_SHARE = 0.95
 MAX_REPEATS = 4.0
 BLOCK_TOKENS = 1 << 16
 # Rows of one source and pass that are sorted together.
-RANGE_ROWS = 1 << 16
+RANGE_ROWS = 1 << 13
 _DIGITS = (2, 4, 6)
 
 
