@@ -6,6 +6,7 @@ repeated run the first occurrence stays; sentences covered by any other occurren
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -33,6 +34,19 @@ def sentences(text: str | None) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], ends) if a < b]
 
 
+def _key(text: str | None) -> tuple[int, int]:
+    digest = hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest()
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:16], "big", signed=True)
+
+
+def _long(start: int) -> "F.Column":
+    """Sixteen hex digits of the text's SHA-256 as a signed long, as in ``_key``."""
+    digits = F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), start, 16)
+    high = F.conv(F.substring(digits, 1, 8), 16, 10).cast("bigint")
+    low = F.conv(F.substring(digits, 9, 8), 16, 10).cast("bigint")
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
 def runs(pieces: list[str], min_sentences: int, min_words: int) -> list[tuple[int, int, bytes]]:
     """``(first, last, digest)`` of the run that starts at each sentence; runs that the text cannot
     complete are left out. White space does not count."""
@@ -54,58 +68,55 @@ def runs(pieces: list[str], min_sentences: int, min_words: int) -> list[tuple[in
 
 
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, digest, n_sentences, removed)`` for every different pair of doc_id and text.
+    """``(doc_id, k1, k2, n_sentences, removed)`` for every different pair of doc_id and text.
 
-    digest is the text's SHA-256, removed the sorted numbers (from 0) of the sentences to take out.
-    The first occurrence of a run is the one with the smallest doc_id (null first), then text digest,
-    then place. Equal rows count as one document.
+    k1 and k2 are the first 16 bytes of the text's SHA-256 as two longs, removed the sorted numbers
+    (from 0) of the sentences to take out. The first occurrence of a run is the one with the smallest
+    doc_id (null first), then k1 and k2, then place. Equal rows count as one document.
     """
     scratch = Scratch(docs.sparkSession, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, lists = [], []
+            counts, lists, keys = [], [], []
             for text in batch.column("text"):
                 pieces = sentences(text.as_py())
+                keys.append(_key(text.as_py()))
                 counts.append(len(pieces))
                 lists.append([
                     {"first": a, "last": b, "high": int.from_bytes(h[:8], "big", signed=True),
                      "low": int.from_bytes(h[8:], "big", signed=True)}
                     for a, b, h in runs(pieces, min_sentences, min_words)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("digest"), pa.array(counts, pa.int32()),
-                 pa.array(lists, kind)], ["doc_id", "digest", "n_sentences", "runs"])
+                [batch.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()),
+                 pa.array([k[1] for k in keys], pa.int64()), pa.array(counts, pa.int32()), pa.array(lists, kind)],
+                ["doc_id", "k1", "k2", "n_sentences", "runs"])
 
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("high", pa.int64()), ("low", pa.int64())]))
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     per_row = scratch.keep(keyed.mapInArrow(
-        run, "doc_id bigint, digest string, n_sentences int, "
+        run, "doc_id bigint, k1 bigint, k2 bigint, n_sentences int, "
              "runs array<struct<first int, last int, high bigint, low bigint>>"), "runs")
     # Equal rows are one document: only their identity is compared, not their runs.
-    repeats = per_row.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    repeats = per_row.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     single = per_row
     if repeats.head(1):
-        again = per_row.join(repeats, (per_row.doc_id.eqNullSafe(repeats.doc_id))
-                             & (per_row.digest == repeats.digest), "left_semi").dropDuplicates(["doc_id", "digest"])
-        once = per_row.join(repeats, (per_row.doc_id.eqNullSafe(repeats.doc_id))
-                            & (per_row.digest == repeats.digest), "left_anti")
-        single = scratch.keep(once.union(again), "single")
-    spans = single.select("doc_id", "digest", F.inline("runs"))
-    place = F.struct("doc_id", F.substring("digest", 1, 16).alias("digest"), "first")
+        same = (per_row.doc_id.eqNullSafe(repeats.doc_id)) & (per_row.k1 == repeats.k1) & (per_row.k2 == repeats.k2)
+        again = per_row.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+        single = scratch.keep(per_row.join(repeats, same, "left_anti").union(again), "single")
+    spans = single.select("doc_id", "k1", "k2", F.inline("runs"))
     firsts = spans.groupBy("high", "low").agg(
-        F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).where("n > 1")
-    others = spans.join(scratch.keep(firsts, "firsts"), ["high", "low"]).where(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k1", "k2", "first")).alias("kept")).where("n > 1")
+    others = spans.join(scratch.keep(firsts.drop("n"), "firsts"), ["high", "low"]).where(
         ~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("first") == F.col("kept.first"))
-          & (F.substring("digest", 1, 16) == F.col("kept.digest"))))
+          & (F.col("k1") == F.col("kept.k1")) & (F.col("k2") == F.col("kept.k2"))))
     # One list per document; it is no longer than the document.
-    covered = others.groupBy("doc_id", "digest").agg(
+    covered = others.groupBy("doc_id", "k1", "k2").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last"))))).alias("removed"))
-    counts = single.select("doc_id", "digest", "n_sentences")
-    return counts.join(covered.withColumnsRenamed({"doc_id": "d", "digest": "t"}),
-                       F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("t")), "left").select(
-        "doc_id", "digest", "n_sentences",
-        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    counts = single.select("doc_id", "k1", "k2", "n_sentences")
+    return counts.join(covered.toDF("d", "a", "b", "removed"), (
+        F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b")), "left").select(
+        "doc_id", "k1", "k2", "n_sentences", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def without_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -119,11 +130,10 @@ def without_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
     names = ["n_sentences", "n_removed", "removed", "kept_text"]
     base = docs.drop(*names)
     spans = repeated_spans(docs, min_sentences, min_words).select(
-        F.struct(F.col("doc_id").alias("i"), F.col("digest").alias("t")).alias("_key"), "n_sentences", "removed")
+        F.struct(F.col("doc_id").alias("i"), "k1", "k2").alias("_key"), "n_sentences", "removed")
     whole = base.select(
         F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("_row"), F.col("text").alias("_text"),
-        F.struct(F.col("doc_id").cast("bigint").alias("i"),
-                 F.sha2(F.coalesce("text", F.lit("")), 256).alias("t")).alias("_key"))
+        F.struct(F.col("doc_id").cast("bigint").alias("i"), _long(1).alias("k1"), _long(17).alias("k2")).alias("_key"))
     joined = whole.join(spans, "_key").select("_row", "_text", "n_sentences", "removed")
     schema = T.StructType(list(joined.schema.fields) + [T.StructField("kept_text", T.StringType())])
 
