@@ -98,12 +98,14 @@ def _dealt(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTROPY_SHARE,
-        max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, range_rows: int = RANGE_ROWS) -> DataFrame:
+        max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, range_rows: int = RANGE_ROWS,
+        tokens: str | None = None) -> DataFrame:
     """The mixed corpus: rows of ``docs``, repeated or left out, with ``mix_tokens``, ``mix_epoch``,
     ``mix_block`` and ``mix_order``.
 
     A source passes over its documents as often as its budget holds; the last pass ends before the
-    first document that would exceed the budget. Every pass is a permutation of its own. mix_block
+    first document that would exceed the budget. Tokens are the words of ``text``, or the numbers in the
+    column that ``tokens`` names; then the texts need not be there. Every pass is a permutation of its own. mix_block
     numbers the pieces of ``block_tokens`` tokens in a source's stream; ordering rows by mix_order
     (place in the stream, in millionths) interleaves all sources evenly. Rows without words spend
     nothing and go along with every pass; a source without any words has weight zero and is left out.
@@ -116,8 +118,8 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTRO
     scratch = Scratch(docs.sparkSession, "mixing")
     names = ["mix_tokens", "mix_epoch", "mix_block", "mix_order"]
     base = docs.drop(*names)
-    counted = base.select(
-        F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"), words().alias("n_tokens"))
+    size = (words() if tokens is None else F.coalesce(F.col(tokens), F.lit(0)).cast("bigint")).alias("n_tokens")
+    counted = base.select(F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"), size)
     sums = scratch.keep(counted.groupBy("source").agg(
         F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_rows")), "sums")
     plan = weights(sums, budget, entropy_share, max_repeats).select(
@@ -127,9 +129,9 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTRO
     plan = scratch.keep(plan.join(sums.select("source", ranges), "source"), "plan")
     whole_row = F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row")
     source = F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source")
-    dealt = _dealt(base.select(whole_row, "doc_id", source, words().alias("n_tokens")), plan)
+    dealt = _dealt(base.select(whole_row, "doc_id", source, size), plan)
     part = ["source", "epoch", "range"]
-    slim = _dealt(base.select("doc_id", source, words().alias("n_tokens")), plan.where("ranges > 1"))
+    slim = _dealt(base.select("doc_id", source, size), plan.where("ranges > 1"))
     earlier = Window.partitionBy("source", "epoch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = slim.groupBy(*part).agg(F.sum("n_tokens").alias("held")).withColumn(
         "start", F.coalesce(F.sum("held").over(earlier), F.lit(0))).select(*part, "start")

@@ -14,7 +14,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_source_mixing(spark, sf_dir):
-    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words().alias("n_words"))
+    return mixing.mix(docs, tokens="n_words").select(
         "doc_id", "source", "mix_tokens", "mix_epoch", "mix_block", "mix_order")
 
 
