@@ -189,6 +189,45 @@ def test_ingest_publishes_accepted_runs_only(spark, tmp_path):
     assert errors == {"demo": None, "bad": validate.SEQUENCE, "torn": "invalid collector line"}
 
 
+def test_ingest_of_clean_files_in_several_batches(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    ingest = RunIngest(str(tmp_path / "state"), threshold=0.2)
+
+    def arrive(name, records):
+        write(folder / name, records)
+        ingest.start(stream_lines(spark, str(folder)), str(tmp_path / "check")).awaitTermination()
+
+    results = str(tmp_path / "state" / "results")
+    arrive("a.jsonl", golden()[:2])
+    arrive("b.jsonl", golden()[2:])
+    assert sinks.read_results(spark, results, "windows").count() == 1
+    # The same swap of two records is refused in one file and in two.
+    for run, parts in (("one", [(0, 1, 3, 2, 4, 5)]), ("two", [(0, 1, 3), (2, 4, 5)])):
+        for n, part in enumerate(parts):
+            arrive(f"{run}{n}.jsonl", [{**golden()[i], "run_id": run} for i in part])
+    assert [r["run_id"] for r in sinks.read_results(spark, results, "runs").collect()] == ["demo"]
+    errors = {r["run_id"]: r["error"] for r in spark.read.parquet(str(tmp_path / "state" / "health")).collect()}
+    assert errors["one"] == errors["two"] is not None
+
+
+def test_republishing_removes_what_an_older_version_held(spark, tmp_path):
+    path = write(tmp_path / "demo.jsonl", golden())
+    results = str(tmp_path / "results")
+    replay_and_publish(spark, path, results, threshold=0.2)
+    assert sinks.read_results(spark, results, "alerts").count() == 1
+    replay_and_publish(spark, path, results, threshold=1000.0)
+    assert [sinks.read_results(spark, results, n).count() for n in ("runs", "windows", "predictions", "alerts")] == [1, 1, 1, 0]
+
+
+def test_whole_numbers(spark):
+    from tracemill.sources.tables import whole_number
+
+    cells = ["1", "1.0", "1.0000000000000000000001", "1e3", "1.5", "-1", "99999999999", "18446744073709551615", "18446744073709551616", ""]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cells], "c string").selectExpr(whole_number("c")).collect()]
+    assert [None if v is None else int(v) for v in got] == [1, 1, None, 1000, None, None, 99999999999, 2**64 - 1, None, None]
+
+
 def test_filename_display(spark):
     names = [b"report-\xff\n<script>&\\.txt", b"plain name.txt", "é​ 😀".encode(), b"\x7f\x80", b""]
     shown = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n binary").select(

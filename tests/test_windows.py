@@ -120,6 +120,28 @@ def test_stream_in_any_chunks_equals_the_batch(spark, tmp_path, cuts):
     assert collected(stream.windows(spark)) == by_definition(records, 0, end)
 
 
+@pytest.mark.parametrize("cuts", [(5, 20), (0, 33)])
+def test_records_before_their_run_start_are_held(spark, tmp_path, cuts):
+    records, end = _random_stream(11)
+    late = [*records[:25], row("run_start", None, None, capture_start_ns=0, source="live"), *records[25:],
+            row("run_end", len(records) + 1, end, status="complete", total_lost_events=0)]
+    stream = WindowStream(str(tmp_path / "state"), bucket_rows=8, slot_windows=2)
+    begin = 0
+    for number, cut in enumerate([*cuts, len(late)]):
+        stream.apply(frame(spark, late[begin:cut]), number)
+        begin = cut
+    assert collected(stream.windows(spark)) == by_definition(records, 0, end)
+
+
+def test_a_run_whose_start_comes_last_is_complete(spark, tmp_path):
+    stream = WindowStream(str(tmp_path / "state"))
+    stream.apply(frame(spark, [event(1, 0), event(2, 1, "C")]), 0)
+    stream.apply(frame(spark, [row("run_end", 3, LENGTH, status="complete", total_lost_events=0)]), 1)
+    stream.apply(frame(spark, [row("run_start", None, None, capture_start_ns=0, source="live")]), 2)
+    (window,) = stream.windows(spark).collect()
+    assert (window["O_sum"], window["C_sum"]) == (1, 1)
+
+
 def test_file_stream_feeds_the_windows(spark, tmp_path):
     records = [row("run_start", None, None, capture_start_ns=0, source="live"), event(1, 0), beat(2, LENGTH),
                event(3, 1, "C"), row("run_end", 4, LENGTH, status="complete", total_lost_events=0)]

@@ -24,7 +24,7 @@ def health_running(bounded: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFr
     elapsed = F.greatest(F.col("_last") - F.col("capture_start_ns"), F.lit(1))
     return counted.select(
         "run_id", "pos", "records",
-        (F.col("records") * F.lit(1_000_000_000) / elapsed).alias("event_rate"),
+        (F.col("records") * F.lit(1e9) / elapsed).alias("event_rate"),
         F.col("lost").alias("lost_events"),
         F.lit(True).alias("connected"), F.lit(True).alias("recording"),
     )

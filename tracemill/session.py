@@ -32,10 +32,16 @@ def build_session(name: str = "tracemill", master: str | None = None, **conf: st
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path for intermediate tables, in the folder every executor can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. A local temporary folder is
-    used only where the setting is absent, which is the case in single-machine tests.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where the setting is absent, a
+    temporary folder is used if everything runs in this one process, as in tests; on a cluster
+    that is an error, since executors would not see each other's files.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracemill-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tracemill-")
     return f"{root.rstrip('/')}/tracemill-{label}-{uuid.uuid4().hex}"
 
 

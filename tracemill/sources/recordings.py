@@ -201,6 +201,8 @@ KINDS: dict[str, tuple[tuple[str, ...], list[tuple[str, str]]]] = {
          ("feature names and values must have equal lengths", f"size({_NAMES}) = size({_VALUES})"),
          ("feature values must be non-negative integers",
           "(k_values IN ('ARRAY<BIGINT>', 'ARRAY<VOID>') AND "
+          "size(array_compact(try_variant_get(x_values, '$', 'array<bigint>'))) = size(try_variant_get("
+          "x_values, '$', 'array<bigint>')) AND "
           "coalesce(array_min(try_variant_get(x_values, '$', 'array<bigint>')), 0) >= 0)"),
          _optional_u64("loss_count"), _optional_u64("late_event_count")],
     ),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracemill.functions.json_text import json_string
@@ -169,16 +171,22 @@ def publish_runs(
 ) -> None:
     """Replace everything derived from the given runs and leave other runs alone.
 
-    Windows, predictions and alerts are checked before anything is replaced. Their partitions are
-    replaced per run and the run row comes last; readers take runs with a run row.
+    Windows, predictions and alerts are checked before anything is written. They go to folders of
+    a new version; the run row, written last, names the version that readers follow. Whatever an
+    older version held (alerts below a raised threshold, windows that are gone) is out of sight.
     """
     spark = runs.sparkSession
     alerts = alert_rows(windows, predictions)
     problem = serving.integrity_violations(runs, windows, predictions, alerts).first()
     if problem is not None:
         raise ValueError(f"results are inconsistent: {problem.asDict()}")
-    for name, table in (("windows", windows), ("predictions", predictions), ("alerts", alerts), ("runs", runs)):
-        _replace(table, f"{path}/{name}")
+    version = uuid.uuid4().hex
+    for name, table in (("windows", windows), ("predictions", predictions), ("alerts", alerts)):
+        named = table.withColumn("version", F.lit(version))
+        # An empty table has no files to tell its columns.
+        named.limit(0).write.mode("overwrite").parquet(f"{path}/_schemas/{name}")
+        named.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id", "version").parquet(f"{path}/{name}")
+    _replace(runs.withColumn("version", F.lit(version)), f"{path}/runs")
     for name in RESULT_TABLES:
         spark.catalog.refreshByPath(f"{path}/{name}")
 
@@ -203,8 +211,10 @@ def read_results(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A stored table, limited to runs whose publication completed."""
     complete = spark.read.parquet(f"{path}/runs").filter("status = 'complete'")
     if name == "runs":
-        return complete
-    return spark.read.parquet(f"{path}/{name}").join(complete.select("run_id"), "run_id", "left_semi")
+        return complete.drop("version")
+    shape = spark.read.parquet(f"{path}/_schemas/{name}").schema
+    return spark.read.schema(shape).parquet(f"{path}/{name}").join(
+        complete.select("run_id", "version"), ["run_id", "version"], "left_semi").drop("version")
 
 
 def upsert(changes: DataFrame, path: str, keys: list[str]) -> None:

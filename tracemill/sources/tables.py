@@ -18,8 +18,10 @@ FEATURE_NAME = r"^([OCDE]_(max|sum)|P_(max|sum)|[OCDE]{3})\z"
 def whole_number(text: str) -> str:
     """SQL for a cell holding a non-negative 64-bit integer, ``1.0`` included; null if it does not."""
     value = f"TRY_CAST(trim({text}) AS DECIMAL(38,18))"
+    # The cast rounds to 18 places, so a longer fraction is told by its digits.
+    plain = f"({text} RLIKE '[eE]' OR NOT {text} RLIKE '[.][0-9]*[1-9]')"
     return (
-        f"CASE WHEN {value} = floor({value}) AND {value} BETWEEN 0 AND 18446744073709551615BD"
+        f"CASE WHEN {plain} AND {value} = floor({value}) AND {value} BETWEEN 0 AND 18446744073709551615BD"
         f" THEN CAST({value} AS DECIMAL(20,0)) END"
     )
 
@@ -47,7 +49,8 @@ def read_captures(spark: SparkSession, path: str | list[str], multi_line: bool =
         "path", "row",
         f"{whole_number('TS')} AS ts",
         f"{whole_number('PID')} AS pid",
-        f"substring('{KIND_CODES}', int({whole_number('TYPE')}) + 1, 1) AS kind",
+        f"CASE WHEN {whole_number('TYPE')} <= 3 THEN substring('{KIND_CODES}', int({whole_number('TYPE')}) + 1, 1)"
+        " ELSE '' END AS kind",
         f"{whole_number('PATTERN')} AS pattern",
         "array_compact(array(IF(_malformed IS NOT NULL, 'malformed row width', NULL),"
         f" IF({bad_number}, 'expected a nonnegative 64-bit integer', NULL),"

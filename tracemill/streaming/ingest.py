@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracemill.functions.ordered import BUCKET_ROWS
@@ -43,15 +43,17 @@ class RunIngest:
         self._append(recordings.telemetry_records(parsed), "records", batch_id, "run_id")
 
         batch = self._records(spark).filter(F.col("batch_id") == batch_id)
-        finished = batch.filter("type = 'run_end'").select("run_id").distinct()
-        # Arrival order is the line order of a file, or the sequence where a run spans files.
-        stored = self._records(spark).join(finished, "run_id", "left_semi").drop("batch_id")
-        files = stored.groupBy("run_id").agg(
-            (F.min("recording") != F.max("recording")).alias("_many"))
-        whole = stored.join(files, "run_id").withColumns({
-            "recording": F.col("run_id"),
-            "pos": F.when(F.col("_many"), F.coalesce("collector_sequence", F.lit(0))).otherwise(F.col("pos")),
-        }).drop("_many")
+        # Every ended run with news is judged, so a late file can reopen a verdict.
+        finished = self._records(spark).filter("type = 'run_end'").select("run_id").join(
+            batch.select("run_id"), "run_id", "left_semi").distinct()
+        # Arrival order is (batch, file, line), however a run is cut into files.
+        stored = self._records(spark).join(finished, "run_id", "left_semi")
+        earlier = Window.partitionBy("run_id").orderBy("batch_id", "recording").rowsBetween(
+            Window.unboundedPreceding, -1)
+        files = stored.groupBy("run_id", "batch_id", "recording").agg((F.max("pos") + 1).alias("_rows")).select(
+            "run_id", "batch_id", "recording", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        whole = stored.join(files, ["run_id", "batch_id", "recording"]).withColumns({
+            "recording": F.col("run_id"), "pos": F.col("pos") + F.col("_before")}).drop("_before", "batch_id")
         damaged = self._quarantined_runs(spark)
         verdicts = written(
             validate.validate_runs(whole, bucket_rows=self.bucket_rows)
@@ -81,7 +83,9 @@ class RunIngest:
 
     def _quarantined_runs(self, spark: SparkSession) -> DataFrame:
         """Runs whose files held lines that could not be accepted."""
-        bad = spark.read.parquet(f"{self.root}/quarantine").groupBy("recording").agg(F.count("*").alias("_n"))
+        # The schema is given, since no file exists while no line was refused.
+        bad = spark.read.schema("recording string, pos bigint").parquet(f"{self.root}/quarantine").groupBy(
+            "recording").agg(F.count("*").alias("_n"))
         return self._records(spark).select("recording", "run_id").distinct().join(bad, "recording").groupBy(
             "run_id").agg(F.sum("_n").alias("_bad_lines"))
 

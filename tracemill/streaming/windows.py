@@ -77,8 +77,10 @@ class WindowStream:
         spark = records.sparkSession
         earlier = self.runs(spark, before=batch_id)
         starts = records.filter("type = 'run_start'").select("run_id", "capture_start_ns")
-        bounds = earlier.select("run_id", "capture_start_ns").unionByName(starts).groupBy("run_id").agg(
+        begun = earlier.filter("capture_start_ns IS NOT NULL").select("run_id", "capture_start_ns")
+        bounds = begun.unionByName(starts).groupBy("run_id").agg(
             F.max("capture_start_ns").alias("capture_start_ns"))
+        records = self._with_held(records, starts.join(begun, "run_id", "left_anti"), bounds, batch_id)
         marked = ops.running_watermark(ops.with_run_bounds(records, bounds), self.bucket_rows)
         carried = marked.join(
             earlier.select("run_id", F.col("watermark_ns").alias("_carried")), "run_id", "left"
@@ -100,6 +102,20 @@ class WindowStream:
             batch = self._read(spark, "marked", _MARKED).filter(F.col("batch_id") == batch_id)
             self._write(self._new_versions(spark, batch, batch_id), "changes", "batch_id")
 
+    def _with_held(self, records: DataFrame, fresh: DataFrame, bounds: DataFrame, batch_id: int) -> DataFrame:
+        """The batch together with what waited for run starts that it brings.
+
+        Telemetry of runs without a start is stored until the start comes; nothing is dropped.
+        """
+        spark = records.sparkSession
+        self._write(
+            records.filter("type NOT IN ('run_start', 'run_end')").join(bounds, "run_id", "left_anti")
+            .withColumn("batch_id", F.lit(batch_id)), "held", "batch_id")
+        shape = T.StructType([*records.schema.fields, T.StructField("batch_id", T.LongType())])
+        waiting = self._read(spark, "held", shape).filter(F.col("batch_id") < batch_id).join(
+            fresh.select("run_id").distinct(), "run_id", "left_semi").drop("batch_id")
+        return records.unionByName(waiting)
+
     def _slot(self, start: Column) -> Column:
         return F.floor(start / F.lit(self.window_ns * self.slot_windows))
 
@@ -131,10 +147,13 @@ class WindowStream:
         before = self.runs(spark, before=batch_id).select("run_id", F.col("watermark_ns").alias("_from"))
         known = self._read(spark, "runs", _RUNS).filter(F.col("batch_id") <= batch_id)
         present = known.filter(F.col("batch_id") == batch_id).select(
-            "run_id", F.col("capture_end_ns").isNotNull().alias("_ended"))
+            "run_id", F.coalesce("capture_end_ns", "capture_start_ns").isNotNull().alias("_news"))
         now = known.groupBy("run_id").agg(*[
             F.max(name).alias(name) for name in ("capture_start_ns", "capture_end_ns", "watermark_ns")])
-        runs = written(now.join(present, "run_id").join(before, "run_id", "left"), "runs")
+        # A run ends in the batch of its end record, or of its start if that comes later.
+        runs = written(now.join(present, "run_id").join(before, "run_id", "left").withColumn(
+            "_ended", F.col("_news") & F.col("capture_end_ns").isNotNull()).drop("_news").filter(
+            "capture_start_ns IS NOT NULL"), "runs")
 
         changed_keys = (
             ops.tumbling_assign(batch, self.window_ns).select(*WINDOW_KEY)
