@@ -132,15 +132,15 @@ def without_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
     spans = repeated_spans(docs, min_sentences, min_words).select(
         F.struct(F.col("doc_id").alias("i"), "k1", "k2").alias("_key"), "n_sentences", "removed")
     whole = base.select(
-        F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("_row"), F.col("text").alias("_text"),
+        F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("_row"),
         F.struct(F.col("doc_id").cast("bigint").alias("i"), _long(1).alias("k1"), _long(17).alias("k2")).alias("_key"))
-    joined = whole.join(spans, "_key").select("_row", "_text", "n_sentences", "removed")
+    joined = whole.join(spans, "_key").select("_row", "n_sentences", "removed")
     schema = T.StructType(list(joined.schema.fields) + [T.StructField("kept_text", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for text, gone in zip(batch.column("_text").to_pylist(), batch.column("removed").to_pylist()):
+            for text, gone in zip(batch.column("_row").field("text").to_pylist(), batch.column("removed").to_pylist()):
                 drop = set(gone)
                 kept.append(text if not drop else "".join(
                     s for i, s in enumerate(sentences(text)) if i not in drop))
