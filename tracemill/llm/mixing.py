@@ -92,7 +92,7 @@ def _dealt(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Each row once per pass of its source, with its place in that pass and the range it falls in."""
     passes = rows.join(plan, "source").withColumn(
         "epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes"))))
-    return passes.withColumn("place", position(F.col("epoch"), F.col("doc_id"))).withColumn(
+    return passes.withColumn("place", position(F.col("epoch"), F.col("who"))).withColumn(
         "range", F.least(F.col("ranges") - 1, F.floor(
             F.col("place") / F.lit(float(1 << BITS)) * F.col("ranges")).cast("bigint")))
 
@@ -109,8 +109,9 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTRO
     numbers the pieces of ``block_tokens`` tokens in a source's stream; ordering rows by mix_order
     (place in the stream, in millionths) interleaves all sources evenly. Rows without words spend
     nothing and go along with every pass; a source without any words has weight zero and is left out.
-    Null texts count as empty, null is a source of its own, repeated rows are used like different
-    documents, an empty table gives no rows, other columns pass through.
+    Null texts count as empty, null is a source of its own, rows without a doc_id are placed by their
+    content, repeated rows are used like different documents, an empty table gives no rows, other
+    columns pass through.
 
     Running sums are made inside ranges of the permutation and then over one summary row per range,
     so no source has to fit into a task.
@@ -129,9 +130,11 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTRO
     plan = scratch.keep(plan.join(sums.select("source", ranges), "source"), "plan")
     whole_row = F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row")
     source = F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source")
-    dealt = _dealt(base.select(whole_row, "doc_id", source, size), plan)
+    content = F.xxhash64(*[c for c in ("text", tokens) if c in base.columns])
+    who = F.coalesce(F.col("doc_id").cast("string"), content.cast("string")).alias("who")
+    dealt = _dealt(base.select(whole_row, "doc_id", who, source, size), plan)
     part = ["source", "epoch", "range"]
-    slim = _dealt(base.select("doc_id", source, size), plan.where("ranges > 1"))
+    slim = _dealt(base.select(who, source, size), plan.where("ranges > 1"))
     earlier = Window.partitionBy("source", "epoch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = slim.groupBy(*part).agg(F.sum("n_tokens").alias("held")).withColumn(
         "start", F.coalesce(F.sum("held").over(earlier), F.lit(0))).select(*part, "start")
