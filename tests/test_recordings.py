@@ -50,21 +50,21 @@ def test_golden_recording(spark, tmp_path):
 
 
 @pytest.mark.parametrize("change, reason", [
-    ({"process": {**PROCESS, "boot_id": " "}}, "boot_id must be a non-empty string"),
-    ({"process": {**PROCESS, "tgid": True}}, "tgid must be an integer in [1, 2^32)"),
-    ({"process": {**PROCESS, "tgid": 2**32}}, "tgid must be an integer in [1, 2^32)"),
-    ({"process": {**PROCESS, "more": 1}}, "process has an unexpected field"),
-    ({"timestamp_ns": 2**64}, "timestamp_ns must be an integer in [0, 2^64)"),
+    ({"process": {**PROCESS, "boot_id": " "}}, "boot_id is no text or empty"),
+    ({"process": {**PROCESS, "tgid": True}}, "tgid is no integer from 1 to 2^32 - 1"),
+    ({"process": {**PROCESS, "tgid": 2**32}}, "tgid is no integer from 1 to 2^32 - 1"),
+    ({"process": {**PROCESS, "more": 1}}, "process has a field that is not known"),
+    ({"timestamp_ns": 2**64}, "timestamp_ns is no integer from 0 to 2^64 - 1"),
     ({"timestamp_ns": 2**63}, "integer needs more than 63 bits"),
-    ({"timestamp_ns": 1.0}, "timestamp_ns must be an integer in [0, 2^64)"),
-    ({"timestamp_ns": "1"}, "timestamp_ns must be an integer in [0, 2^64)"),
-    ({"operation": "X"}, "operation must be O, C, or D"),
-    ({"filename_bytes_b64": "!!"}, "filename_bytes_b64 must contain valid base64"),
-    ({"lost_events": -1}, "lost_events must be an integer in [0, 2^64)"),
-    ({"schema_version": 2}, "unsupported schema version"),
-    ({"extra": 1}, "record has an unexpected field"),
+    ({"timestamp_ns": 1.0}, "timestamp_ns is no integer from 0 to 2^64 - 1"),
+    ({"timestamp_ns": "1"}, "timestamp_ns is no integer from 0 to 2^64 - 1"),
+    ({"operation": "X"}, "operation is none of O, C, D"),
+    ({"filename_bytes_b64": "!!"}, "filename_bytes_b64 is not base64"),
+    ({"lost_events": -1}, "lost_events is no integer from 0 to 2^64 - 1"),
+    ({"schema_version": 2}, "schema_version is not the known one"),
+    ({"extra": 1}, "record has a field that is not known"),
     ({"type": "other"}, "unknown record type"),
-    ({"result": 2**63}, "result must be a signed 64-bit integer or null"),
+    ({"result": 2**63}, "result is neither null nor a 64-bit integer"),
 ])
 def test_rejected_records(spark, change, reason):
     line = json.dumps({**golden()[1], **change})
@@ -79,7 +79,7 @@ def test_line_errors_name_file_and_line(spark, tmp_path):
     lines = recordings.read_lines(spark, str(path))
     got = recordings.quarantine(recordings.parse_records(lines), lines).orderBy("line_number").collect()
     assert [(r["line_number"], r["violations"][0]) for r in got] == [
-        (2, "blank JSONL record"), (3, "JSON record must be an object"), (4, "invalid JSON"), (5, "invalid UTF-8")]
+        (2, "blank JSONL record"), (3, "line is no JSON object"), (4, "invalid JSON"), (5, "invalid UTF-8")]
     with pytest.raises(ValueError, match="bad.jsonl:2: blank JSONL record"):
         replay(spark, str(path))
 
@@ -114,8 +114,8 @@ def test_feature_windows_check_their_id(spark, tmp_path):
     reasons = [r["violations"] for r in got.collect()]
     assert reasons[0] == []
     assert reasons[1] == ["feature window_id does not match its identity fields"]
-    assert reasons[2] == ["feature input must contain only feature-window records"]
-    assert reasons[3] == ["feature names and values must have equal lengths"]
+    assert reasons[2] == ["record is no feature window"]
+    assert reasons[3] == ["numbers of feature names and values differ"]
     spread = recordings.spread_features(got.filter("size(violations) = 0")).first()
     assert {name: spread[name] for name in FEATURES} == {name: w[name] for name in FEATURES}
 
@@ -186,7 +186,7 @@ def test_ingest_publishes_accepted_runs_only(spark, tmp_path):
     assert [r["run_id"] for r in sinks.read_results(spark, results, "runs").collect()] == ["demo"]
     assert sinks.read_results(spark, results, "alerts").count() == 1
     errors = {r["run_id"]: r["error"] for r in spark.read.parquet(str(tmp_path / "state" / "health")).collect()}
-    assert errors == {"demo": None, "bad": validate.SEQUENCE, "torn": "invalid collector line"}
+    assert errors == {"demo": None, "bad": validate.SEQUENCE, "torn": "recording has lines that could not be read"}
 
 
 def test_ingest_of_clean_files_in_several_batches(spark, tmp_path):
@@ -255,7 +255,7 @@ def test_raw_records_become_contract_records(spark):
         [(json.dumps(r), "f", i) for i, r in enumerate((raw, exit_, broken))], "value string, recording string, pos bigint")
     checked = normalize.protocol_violations(recordings.raw_syscalls(lines))
     assert [r["violations"] for r in checked.orderBy("pos").collect()] == [
-        [], [], ["syscall events require attempt, result, and filename"]]
+        [], [], ["attempt, result or filename of a syscall is missing"]]
     (e,) = normalize.contract_events(checked.filter("size(violations) = 0")).collect()
     assert (e["operation"], e["result"], e["filename_bytes_b64"]) == ("C", -2, "eA==")
     assert normalize.contract_exits(checked).count() == 1
@@ -264,8 +264,8 @@ def test_raw_records_become_contract_records(spark):
 def test_labelled_rows_need_exact_fields(spark):
     good = {"window_id": "w", "capture_id": "c", "capture_hash": "h", "split": "test", "label": 1, "feature_version": 2,
             "feature_names": ["a"], "features": [1, 2.5], "complete": True, "quality": "good"}
-    cases = [(good, []), ({**good, "label": True}, ["invalid label"]), ({**good, "x": 1}, ["unexpected labeled-window fields"]),
-             ({**good, "features": [True]}, ["invalid feature values"]), ("", None), ("[]", ["row must be an object"])]
+    cases = [(good, []), ({**good, "label": True}, ["invalid label"]), ({**good, "x": 1}, ["fields are not those of a labelled window"]),
+             ({**good, "features": [True]}, ["features holds other than numbers"]), ("", None), ("[]", ["row is no JSON object"])]
     lines = spark.createDataFrame(
         [(c if isinstance(c, str) else json.dumps(c), i) for i, (c, _) in enumerate(cases)], "value string, pos bigint")
     got = {r["pos"]: r for r in recordings.labeled_rows(lines).collect()}

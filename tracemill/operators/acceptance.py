@@ -42,16 +42,16 @@ def accept_captures(
     duration = F.col("capture_end_ns") - F.col("capture_start_ns")
     wanted = (F.col("capture_duration_seconds") * SECOND_NS).cast("bigint")
     rules = [
-        ("runtime manifest run is absent from the experiment plan", F.col("capture_duration_seconds").isNotNull()),
-        ("runtime manifest does not match its experiment-plan run", agrees),
-        ("capture is missing", F.col("recording").isNotNull()),
-        ("capture contains invalid or empty telemetry",
+        ("run is not planned", F.col("capture_duration_seconds").isNotNull()),
+        ("manifest and plan differ for this run", agrees),
+        ("no recording for this run", F.col("recording").isNotNull()),
+        ("recording holds no valid telemetry",
          F.col("event_count") + F.col("heartbeat_count") + F.col("process_exit_count") > 0),
-        ("capture run start does not match the runtime manifest", F.col("source") == "live"),
-        ("capture duration does not match the experiment plan",
+        ("run was not recorded live", F.col("source") == "live"),
+        ("recording is shorter or longer than planned",
          (duration >= wanted) & (duration <= wanted + OVERRUN_NS)),
-        ("capture contains no event for the tracked workload process", F.col("tracked_event_count") >= 1),
-        ("capture is missing the tracked workload process exit", F.col("missing_exits") == 0),
+        ("no event of any tracked process", F.col("tracked_event_count") >= 1),
+        ("a tracked process has no exit", F.col("missing_exits") == 0),
     ]
     own = F.array_compact(F.array(*[
         F.when(~F.coalesce(good, F.lit(False)), F.lit(message)) for message, good in rules]))

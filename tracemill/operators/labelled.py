@@ -81,31 +81,31 @@ def manifest_violations(manifests: DataFrame, plan: DataFrame | None = None) ->
     for name, value in LIMITS.items():
         limits = limits & (F.col(f"limits.{name}") == value)
     rules = [
-        ("unsupported workload manifest", F.col("schema_version") == 1),
-        ("workload manifest needs a run ID", F.length("run_id") > 0),
-        ("workload manifest has an unknown scenario", behaviour.isNotNull()),
-        ("workload manifest has an invalid seed", F.col("seed").isNotNull()),
-        ("workload manifest run ID does not match scenario and seed",
+        ("manifest has another schema version than 1", F.col("schema_version") == 1),
+        ("run_id is empty", F.length("run_id") > 0),
+        ("scenario is not one of the planned ones", behaviour.isNotNull()),
+        ("seed is no integer", F.col("seed").isNotNull()),
+        ("run_id is not made of scenario and seed",
          F.col("run_id") == F.format_string("controlled-%s-seed-%d", "scenario", "seed")),
-        ("unsupported workload seed", expected_split.isNotNull()),
-        ("workload manifest has an invalid split", F.col("split").isin(*SPLITS)),
-        ("workload manifest split does not match the fixed seed policy", F.col("split") == expected_split),
-        ("workload manifest has an unknown behavior label", F.col("behavior_label").isin(*LABELS)),
-        ("workload manifest behavior label does not match scenario", F.col("behavior_label") == behaviour),
-        ("workload manifest lacks controlled label provenance", F.col("label_provenance") == "controlled_workload"),
-        ("workload manifest must describe a completed workload", F.col("status") == "completed"),
-        ("workload manifest hold duration must be 50 seconds", F.col("workload_hold_seconds") == HOLD_SECONDS),
-        ("background activity must remain unlabeled", F.col("background_activity") == "unlabeled"),
-        ("workload manifest must label only the exact root process",
+        ("seed is not one of the planned ones", expected_split.isNotNull()),
+        ("split is none of training, validation, test", F.col("split").isin(*SPLITS)),
+        ("seed belongs to another split", F.col("split") == expected_split),
+        ("behavior_label is neither benign nor suspicious", F.col("behavior_label").isin(*LABELS)),
+        ("scenario has another behavior_label", F.col("behavior_label") == behaviour),
+        ("label_provenance is not controlled_workload", F.col("label_provenance") == "controlled_workload"),
+        ("status is not completed", F.col("status") == "completed"),
+        ("workload_hold_seconds is not 50", F.col("workload_hold_seconds") == HOLD_SECONDS),
+        ("background_activity is not unlabeled", F.col("background_activity") == "unlabeled"),
+        ("process_scope_policy is not root_process_only",
          F.col("process_scope_policy") == "root_process_only"),
-        ("workload manifest does not use the fixed experiment limits", limits),
-        ("workload manifest must track exactly one root process", F.size(tracked) == 1),
-        ("invalid tracked process identity", identity_ok),
+        ("limits differ from the planned ones", limits),
+        ("number of tracked processes is not one", F.size(tracked) == 1),
+        ("tracked process is not fully identified", identity_ok),
     ]
     if plan is not None:
         digests = plan.select("run_id", F.col("plan_sha256").alias("_planned"))
         manifests = manifests.join(digests, "run_id", "left")
-        rules.append(("workload manifest plan hash does not match the fixed workload plan",
+        rules.append(("plan_sha256 is not that of the planned workload",
                       F.col("plan_sha256") == F.col("_planned")))
     return manifests.withColumn("violations", F.array_compact(F.array(*[
         F.when(~F.coalesce(good, F.lit(False)), F.lit(message)) for message, good in rules
@@ -177,16 +177,16 @@ def capture_consistency(rows: DataFrame, plan: DataFrame) -> DataFrame:
     reused = rows.join(shared, "capture_hash", "left_semi").select("capture_id").distinct()
     joined = planned.join(totals, "capture_id", "left")
     rules = [
-        ("dataset does not contain its planned capture", F.col("row_count").isNull()),
-        ("dataset label or split disagrees with the plan",
+        ("planned capture has no rows", F.col("row_count").isNull()),
+        ("rows have another label or split than planned",
          (F.col("low_split") != F.col("_split")) | (F.col("high_split") != F.col("_split"))
          | (F.col("low_label") != F.col("_label")) | (F.col("high_label") != F.col("_label"))),
-        ("dataset contains multiple raw capture hashes", F.col("low_capture_hash") != F.col("high_capture_hash")),
+        ("rows of one capture have several hashes", F.col("low_capture_hash") != F.col("high_capture_hash")),
     ]
     broken = joined.select("capture_id", F.explode(F.array_compact(F.array(*[
         F.when(bad, F.lit(message)) for message, bad in rules]))).alias("violation"))
     return broken.unionByName(reused.select(
-        "capture_id", F.lit("the same raw capture hash is assigned to multiple planned runs").alias("violation")))
+        "capture_id", F.lit("planned runs share one capture hash").alias("violation")))
 
 
 def duplicate_windows(rows: DataFrame) -> DataFrame:
@@ -198,15 +198,15 @@ def row_violations(rows: DataFrame) -> DataFrame:
     finite = F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     names = F.expr(f"array({', '.join(map(repr, FEATURES))})")
     rules = [
-        ("incompatible feature schema or order",
+        ("features have another version, names or order",
          (F.col("feature_version") == FEATURE_VERSION) & (F.col("feature_names") == names)),
-        ("invalid numeric feature vector", (F.size("features") == F.size("feature_names")) & finite),
+        ("feature values are missing or not finite", (F.size("features") == F.size("feature_names")) & finite),
         ("unknown split", F.col("split").isin(*SPLITS)),
-        ("unlabeled windows cannot be used for training", F.col("label").isin(0, 1)),
-        ("only complete good-quality windows can be trained", F.col("complete") & (F.col("quality") == "good")),
-        ("window and capture identifiers are required",
+        ("label is neither 0 nor 1", F.col("label").isin(0, 1)),
+        ("window is incomplete or of poor quality", F.col("complete") & (F.col("quality") == "good")),
+        ("window_id or capture_id is empty",
          (F.length("window_id") > 0) & (F.length("capture_id") > 0)),
-        ("capture hash must be lowercase SHA-256", is_digest(F.col("capture_hash"))),
+        ("capture_hash is not 64 lower-case hex digits", is_digest(F.col("capture_hash"))),
     ]
     return rows.select("capture_id", "window_id", F.explode(F.array_remove(F.array(*[
         F.when(F.coalesce(good, F.lit(False)), F.lit("")).otherwise(F.lit(message)) for message, good in rules
@@ -221,9 +221,9 @@ def leakage_violations(rows: DataFrame) -> DataFrame:
     """
     totals = capture_totals(rows)
     across = [
-        ("split", "capture appears across splits"),
-        ("capture_hash", "capture ID has multiple raw hashes"),
-        ("label", "capture ID has multiple labels"),
+        ("split", "capture lies in several splits"),
+        ("capture_hash", "capture has several hashes"),
+        ("label", "capture has several labels"),
     ]
     per_capture = totals.select(F.col("capture_id").alias("subject"), F.explode(F.array_compact(F.array(*[
         F.when(F.col(f"low_{name}") != F.col(f"high_{name}"), F.lit(message)) for name, message in across
@@ -232,9 +232,9 @@ def leakage_violations(rows: DataFrame) -> DataFrame:
         F.min("capture_id").alias("_low"), F.max("capture_id").alias("_high")
     ).filter("_low <> _high").select(
         F.col("capture_hash").alias("subject"),
-        F.lit("capture hash is assigned to multiple capture IDs").alias("violation"))
+        F.lit("several captures have this hash").alias("violation"))
     repeated = duplicate_windows(rows).select(
-        F.col("window_id").alias("subject"), F.lit("duplicate window ID").alias("violation"))
+        F.col("window_id").alias("subject"), F.lit("window_id used twice").alias("violation"))
     return per_capture.unionByName(per_hash).unionByName(repeated)
 
 
@@ -253,7 +253,7 @@ def role_projection(rows: DataFrame) -> DataFrame:
 
 def role_rows(rows: DataFrame, role: str) -> DataFrame:
     if role not in ROLES:
-        raise ValueError("unknown aggregate dataset role")
+        raise ValueError("role is none of all, selection, test")
     return {"all": rows, "selection": rows.filter("split <> 'test'"), "test": rows.filter("split = 'test'")}[role]
 
 
@@ -361,18 +361,18 @@ def manifest_consistency(captures: DataFrame, roles: DataFrame, plan: DataFrame)
                           _lookup(LABELS, F.col("behavior_label")).alias("_label"))
     entries = captures.join(planned, "run_id", "full_outer").select(
         F.col("run_id").alias("subject"), F.explode(F.array_compact(F.array(
-            F.when(F.col("row_count").isNull(), F.lit("aggregate manifest must contain every planned capture")),
+            F.when(F.col("row_count").isNull(), F.lit("planned capture is not in the manifest")),
             F.when(F.col("_split").isNull() | (F.col("split") != F.col("_split")) | (F.col("label") != F.col("_label")),
-                   F.lit("aggregate capture entry disagrees with the experiment plan")),
-            F.when(F.col("row_count") < 1, F.lit("capture row count is invalid")),
-            F.when(~is_digest(F.col("capture_sha256")) & F.col("row_count").isNotNull(), F.lit("invalid raw capture hash")),
+                   F.lit("entry has another label or split than planned")),
+            F.when(F.col("row_count") < 1, F.lit("row_count is below 1")),
+            F.when(~is_digest(F.col("capture_sha256")) & F.col("row_count").isNotNull(), F.lit("capture_sha256 is not 64 lower-case hex digits")),
         ))).alias("violation"))
     repeated = captures.groupBy("capture_sha256").agg(F.count("*").alias("n")).filter("n > 1").select(
-        F.col("capture_sha256").alias("subject"), F.lit("aggregate manifest repeats a raw capture hash").alias("violation"))
+        F.col("capture_sha256").alias("subject"), F.lit("several entries have this capture hash").alias("violation"))
     expected = role_projection(captures).groupBy("role").agg(F.sum("row_count").alias("_expected"))
     counts = roles.join(expected, "role", "full_outer").filter(
         ~F.col("row_count").eqNullSafe(F.col("_expected"))).select(
-        F.col("role").alias("subject"), F.lit("split dataset row counts do not match capture entries").alias("violation"))
+        F.col("role").alias("subject"), F.lit("row_count differs from the sum of the entries").alias("violation"))
     return entries.unionByName(repeated).unionByName(counts)
 
 

@@ -170,7 +170,7 @@ def evaluate(selected: Selected, rows: DataFrame) -> DataFrame:
     """One row of confusion counts and rates; scores must be finite, one per row."""
     scored = written(selected.score(rows).select("label", "score"), "evaluation")
     if not scored.filter("score IS NULL OR isnan(score) OR abs(score) = double('inf')").isEmpty():
-        raise ValueError("model returned invalid scores")
+        raise ValueError("scores must be finite and complete")
     return selection.rates(selection.confusion(scored, [], F.col("score") >= selected.threshold))
 
 
@@ -185,7 +185,7 @@ def save_model(selected: Selected, path: str, *, selection_digest: str, dataset_
     spark = selected.evaluations.sparkSession
     for digest in (selection_digest, dataset_digest):
         if len(digest) != 64 or set(digest) - set("0123456789abcdef"):
-            raise ValueError("invalid dataset hash")
+            raise ValueError("dataset digests must be 64 lower-case hex digits")
     parameters = [] if selected.candidate is None else [str(value) for value in selected.candidate.parameters]
     row = (selected.name, selected.threshold, parameters, selected.seed, FEATURE_VERSION, list(FEATURES),
            selection_digest, dataset_digest)
@@ -198,7 +198,7 @@ def save_model(selected: Selected, path: str, *, selection_digest: str, dataset_
 def load_model(spark: SparkSession, path: str) -> Selected:
     metadata = spark.read.schema(_METADATA).parquet(f"{path}/metadata").first()
     if metadata["feature_version"] != FEATURE_VERSION or tuple(metadata["feature_names"]) != FEATURES:
-        raise ValueError("incompatible feature schema or order")
+        raise ValueError("features have another version, names or order")
     name, parameters = metadata["model_name"], metadata["parameters"]
     candidate, stages = None, []
     if name != "rule":
@@ -214,9 +214,9 @@ def record_evaluation(spark: SparkSession, path: str, metrics: DataFrame, *, mod
     """The one test evaluation of a model: a second one, or other data, is refused."""
     metadata = spark.read.schema(_METADATA).parquet(f"{path}/metadata").first()
     if metadata["dataset_digest"] != dataset_digest:
-        raise ValueError("test dataset does not match the selected model")
+        raise ValueError("model was selected for another test set")
     if not selection.metric_disagreements(metrics).isEmpty():
-        raise ValueError("test metrics do not agree with their confusion counts")
+        raise ValueError("stored metrics differ from those of the counts")
     append_once(
         metrics.select(F.lit(model_id).alias("model_id"), F.lit(dataset_digest).alias("dataset_digest"), "*"),
         f"{path}/ledger", "model_id", "test evaluation")

@@ -74,18 +74,18 @@ def protocol_violations(raw: DataFrame, strict_run_id: bool = False) -> DataFram
     syscall = F.col("event_type") == "syscall"
     parts = [F.col(name).isNotNull() for name in ("attempt", "result", "filename")]
     rules = [
-        ("run_id must be non-empty", F.coalesce(F.col("run_id").rlike(r"\S"), F.lit(False))),
-        ("unsupported event type", F.coalesce(F.col("event_type").isin("syscall", "process_exit"), F.lit(False))),
-        ("syscall events require attempt, result, and filename",
+        ("run_id is blank", F.coalesce(F.col("run_id").rlike(r"\S"), F.lit(False))),
+        ("event_type is neither syscall nor process_exit", F.coalesce(F.col("event_type").isin("syscall", "process_exit"), F.lit(False))),
+        ("attempt, result or filename of a syscall is missing",
          ~F.coalesce(syscall, F.lit(False)) | (parts[0] & parts[1] & parts[2])),
-        ("process-exit events cannot contain syscall data",
+        ("process_exit carries fields of a syscall",
          F.coalesce(F.col("event_type") != "process_exit", F.lit(True)) | ~(parts[0] | parts[1] | parts[2])),
-        ("unsupported operation",
+        ("syscall is not one that is mapped",
          ~F.coalesce(syscall, F.lit(False)) | F.coalesce(
              F.col("attempt.name").isin(*OPEN_CALLS, *UNLINK_CALLS), F.lit(False))),
     ]
     if strict_run_id:
-        rules.append(("invalid run_id format", F.coalesce(F.col("run_id").rlike(RUN_ID_PATTERN), F.lit(False))))
+        rules.append(("run_id has characters that are not allowed", F.coalesce(F.col("run_id").rlike(RUN_ID_PATTERN), F.lit(False))))
     return raw.withColumn("violations", F.array_remove(F.array(
         *[F.when(good, F.lit("")).otherwise(F.lit(message)) for message, good in rules]), ""))
 

@@ -11,14 +11,14 @@ from tracemill.schemas import DEFAULT_THRESHOLD, FEATURES, RULE_VERSION
 
 def check_threshold(threshold: float) -> float:
     if isinstance(threshold, bool) or not math.isfinite(threshold) or threshold < 0:
-        raise ValueError("rule threshold must be a finite non-negative number")
+        raise ValueError("threshold must be a number from 0 up")
     return float(threshold)
 
 
 def check_feature_order(windows: DataFrame) -> None:
     present = tuple(name for name in windows.columns if name in FEATURES)
     if present != FEATURES:
-        raise ValueError("incompatible feature order")
+        raise ValueError("feature columns are missing or in another order")
 
 
 def rule_score() -> Column:

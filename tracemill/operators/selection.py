@@ -26,12 +26,12 @@ def selection_guard(rows: DataFrame) -> DataFrame:
     captures = rows.filter("split = 'training'").select("capture_id", "label").distinct().groupBy().agg(
         F.count_if(F.col("label") == 0).alias("_negative"), F.count_if(F.col("label") == 1).alias("_positive"))
     first = counted.select(F.explode(F.array_compact(F.array(
-        F.when(F.col("_test") > 0, F.lit("test samples must remain withheld during model selection")),
+        F.when(F.col("_test") > 0, F.lit("rows of the test split are present")),
         F.when((F.col("_training") == 0) | (F.col("_validation") == 0),
-               F.lit("training and validation samples are required")),
+               F.lit("training or validation split is empty")),
     ))).alias("violation"))
     second = captures.filter("_negative < 3 OR _positive < 3").select(
-        F.lit("three independent training captures per class are required").alias("violation"))
+        F.lit("a label has fewer than 3 training captures").alias("violation"))
     return first.unionByName(second)
 
 

@@ -7,19 +7,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tracemill.functions.ordered import BUCKET_ROWS, order_bucket
 from tracemill.operators.windows import STREAM_TYPES
 
-BEGIN = "stream must begin with exactly one run-start record"
-END = "stream must end with exactly one run-end record"
-ENVELOPE = "stream contains a non-telemetry record inside its envelope"
-STATUS = "stream terminal status is not complete"
-RUN_ID = "stream run ID changed"
-START_MATCH = "capture_start_ns does not match recorded run start"
-END_MATCH = "capture_end_ns does not match recorded run end"
-SEQUENCE = "collector sequence is not contiguous from one"
-BOUNDARY = "stream timestamp is outside the run boundary"
-LOSS_TOTAL = "stream loss telemetry total does not match run end"
-LOSSY = "stream contains lost events"
-DEGRADED = "stream contains degraded telemetry"
-NO_RESULT = "stream event is missing its syscall result"
+BEGIN = "first record is not the only run start"
+END = "last record is not the only run end"
+ENVELOPE = "record of another kind between run start and run end"
+STATUS = "run did not finish as complete"
+RUN_ID = "records of several runs in one recording"
+START_MATCH = "run starts at another time than expected"
+END_MATCH = "run ends at another time than expected"
+SEQUENCE = "sequence numbers are not 1, 2, 3 and so on"
+BOUNDARY = "time lies before run start or after run end"
+LOSS_TOTAL = "losses do not add up to the total at run end"
+LOSSY = "events were lost"
+DEGRADED = "some telemetry is degraded"
+NO_RESULT = "an event has no result"
 
 
 def sequence_order(records: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -61,10 +61,10 @@ def duplicate_sequences(records: DataFrame) -> DataFrame:
 def engine_violations(bounded: DataFrame) -> DataFrame:
     """Records the window logic itself refuses: before the run start, or repeated sequences."""
     early = bounded.filter(F.col("timestamp_ns") < F.col("capture_start_ns")).select(
-        "run_id", "collector_sequence", F.lit("record timestamp precedes capture start").alias("violation"))
+        "run_id", "collector_sequence", F.lit("time lies before run start").alias("violation"))
     repeated = duplicate_sequences(bounded).select(
         "run_id", "collector_sequence",
-        F.lit("duplicate collector sequence").alias("violation"))
+        F.lit("sequence number used twice").alias("violation"))
     return early.unionByName(repeated)
 
 

@@ -150,15 +150,15 @@ CONTRACT = f"""lines AS (
   SELECT event_id AS n, 'file-' || (event_id % 3) AS recording, event_id AS pos, user_id, {US} * 1000 AS ts_ns,
     CASE WHEN event_id % 73 = 0 THEN 'blank JSONL record' WHEN event_id % 71 = 0 THEN 'invalid JSON'
     ELSE concat_ws('; ',
-      CASE WHEN event_id % 67 = 0 THEN 'record has an unexpected field' END,
-      CASE WHEN event_id % 31 = 0 THEN 'boot_id must be a non-empty string' END,
-      CASE WHEN event_id % 37 = 0 THEN 'tgid must be an integer in [1, 2^32)' END,
-      CASE WHEN event_id % 41 = 0 THEN 'start_time_ns must be an integer in [0, 2^64)' END,
-      CASE WHEN event_id % 43 = 0 THEN 'tid must be an integer in [1, 2^32)' END,
-      CASE WHEN event_id % 47 = 0 THEN 'operation must be O, C, or D' END,
-      CASE WHEN event_id % 53 = 0 THEN 'result must be a signed 64-bit integer or null' END,
-      CASE WHEN event_id % 59 = 0 THEN 'filename_bytes_b64 must contain valid base64' END,
-      CASE WHEN event_id % 61 = 0 THEN 'lost_events must be an integer in [0, 2^64)' END) END AS violations
+      CASE WHEN event_id % 67 = 0 THEN 'record has a field that is not known' END,
+      CASE WHEN event_id % 31 = 0 THEN 'boot_id is no text or empty' END,
+      CASE WHEN event_id % 37 = 0 THEN 'tgid is no integer from 1 to 2^32 - 1' END,
+      CASE WHEN event_id % 41 = 0 THEN 'start_time_ns is no integer from 0 to 2^64 - 1' END,
+      CASE WHEN event_id % 43 = 0 THEN 'tid is no integer from 1 to 2^32 - 1' END,
+      CASE WHEN event_id % 47 = 0 THEN 'operation is none of O, C, D' END,
+      CASE WHEN event_id % 53 = 0 THEN 'result is neither null nor a 64-bit integer' END,
+      CASE WHEN event_id % 59 = 0 THEN 'filename_bytes_b64 is not base64' END,
+      CASE WHEN event_id % 61 = 0 THEN 'lost_events is no integer from 0 to 2^64 - 1' END) END AS violations
   FROM events)"""
 
 RECORDS = f"""{REC},
@@ -205,10 +205,10 @@ mapped AS (
     CASE WHEN name IN ('open', 'openat') THEN CASE WHEN (flags & 64) <> 0 THEN 'C' ELSE 'O' END
       WHEN name IN ('unlink', 'unlinkat') THEN 'D' END AS op FROM raw)"""
 
-RAW_FLAGS = """concat_ws('; ', CASE WHEN event_id % 83 = 0 THEN 'run_id must be non-empty' END,
-  CASE WHEN NOT is_exit AND event_id % 89 = 0 THEN 'syscall events require attempt, result, and filename' END,
-  CASE WHEN is_exit AND event_id % 194 = 0 THEN 'process-exit events cannot contain syscall data' END,
-  CASE WHEN NOT is_exit AND op IS NULL THEN 'unsupported operation' END{extra})"""
+RAW_FLAGS = """concat_ws('; ', CASE WHEN event_id % 83 = 0 THEN 'run_id is blank' END,
+  CASE WHEN NOT is_exit AND event_id % 89 = 0 THEN 'attempt, result or filename of a syscall is missing' END,
+  CASE WHEN is_exit AND event_id % 194 = 0 THEN 'process_exit carries fields of a syscall' END,
+  CASE WHEN NOT is_exit AND op IS NULL THEN 'syscall is not one that is mapped' END{extra})"""
 
 LOSSES = f"""snap AS (
   SELECT 'run-' || (user_id % 5) AS run_id, event_id AS pos,
@@ -432,9 +432,9 @@ STATEMENTS = {
     "run_verdicts": _verdicts(),
     "engine_violations": f"""WITH {TEL}, shifted AS (
         SELECT run_id, ts_ns, CASE WHEN pos % 101 = 0 THEN seq + 1 ELSE seq END AS collector_sequence FROM tel)
-        SELECT run_id, collector_sequence, 'record timestamp precedes capture start' AS violation
+        SELECT run_id, collector_sequence, 'time lies before run start' AS violation
         FROM shifted WHERE ts_ns < {HOUR}
-        UNION ALL SELECT run_id, collector_sequence, 'duplicate collector sequence' FROM shifted
+        UNION ALL SELECT run_id, collector_sequence, 'sequence number used twice' FROM shifted
         GROUP BY ALL HAVING count(*) > 1""",
     "health_running": f"""WITH {TEL} SELECT run_id, pos, row_number() OVER q AS records,
         CAST(row_number() OVER q AS DOUBLE) * 1000000000 / greatest(1, max(ts_ns) OVER q) AS event_rate,
@@ -456,7 +456,7 @@ STATEMENTS = {
     "canonical_records": f"WITH {RECORDS} SELECT recording, pos, sha256(value) AS line_digest FROM texts",
     "op_mapping": f"WITH {RAW} SELECT event_id, intent AS create_intent, op AS operation, ret >= 0 AS succeeded FROM mapped",
     "protocol_violations": "WITH " + RAW + " SELECT event_id, " + RAW_FLAGS.format(
-        extra=", CASE WHEN event_id % 83 = 0 OR event_id % 79 = 0 THEN 'invalid run_id format' END") + " AS violations FROM mapped",
+        extra=", CASE WHEN event_id % 83 = 0 OR event_id % 79 = 0 THEN 'run_id has characters that are not allowed' END") + " AS violations FROM mapped",
     "contract_events": "WITH " + RAW + """ SELECT run_id, event_id + 1 AS collector_sequence, ts_ns AS timestamp_ns,
         user_id + 1 AS tgid, user_id + 1 AS tid, CASE WHEN NOT is_exit THEN op END AS operation,
         CASE WHEN NOT is_exit THEN ret END AS result, CASE WHEN NOT is_exit THEN to_base64(encode(props)) END AS filename_bytes_b64,
@@ -483,22 +483,22 @@ STATEMENTS = {
         SELECT run_id, 'missing' AS status FROM (SELECT * FROM p EXCEPT SELECT * FROM a)
         UNION ALL SELECT run_id, 'unexpected' FROM (SELECT * FROM a EXCEPT SELECT * FROM p)""",
     "capture_consistency": f"""{BROKEN}
-        SELECT capture_id, 'dataset label or split disagrees with the plan' AS violation FROM rows GROUP BY 1
+        SELECT capture_id, 'rows have another label or split than planned' AS violation FROM rows GROUP BY 1
           HAVING bool_or(label <> 1 OR split <> 'training')
-        UNION ALL SELECT capture_id, 'dataset contains multiple raw capture hashes' FROM rows GROUP BY 1
+        UNION ALL SELECT capture_id, 'rows of one capture have several hashes' FROM rows GROUP BY 1
           HAVING count(DISTINCT capture_hash) > 1
-        UNION ALL SELECT DISTINCT capture_id, 'the same raw capture hash is assigned to multiple planned runs' FROM rows
+        UNION ALL SELECT DISTINCT capture_id, 'planned runs share one capture hash' FROM rows
           WHERE capture_hash IN (SELECT capture_hash FROM rows GROUP BY 1 HAVING count(DISTINCT capture_id) > 1)""",
     "row_violations": f"""{BROKEN}
-        SELECT capture_id, window_id, 'only complete good-quality windows can be trained' AS violation FROM rows WHERE row_quality <> 'good'
-        UNION ALL SELECT capture_id, window_id, 'capture hash must be lowercase SHA-256' FROM rows WHERE length(capture_hash) <> 64""",
+        SELECT capture_id, window_id, 'window is incomplete or of poor quality' AS violation FROM rows WHERE row_quality <> 'good'
+        UNION ALL SELECT capture_id, window_id, 'capture_hash is not 64 lower-case hex digits' FROM rows WHERE length(capture_hash) <> 64""",
     "leakage_violations": f"""{BROKEN}
-        SELECT capture_id AS subject, 'capture appears across splits' AS violation FROM rows GROUP BY 1 HAVING count(DISTINCT split) > 1
-        UNION ALL SELECT capture_id, 'capture ID has multiple raw hashes' FROM rows GROUP BY 1 HAVING count(DISTINCT capture_hash) > 1
-        UNION ALL SELECT capture_id, 'capture ID has multiple labels' FROM rows GROUP BY 1 HAVING count(DISTINCT label) > 1
-        UNION ALL SELECT capture_hash, 'capture hash is assigned to multiple capture IDs' FROM rows GROUP BY 1
+        SELECT capture_id AS subject, 'capture lies in several splits' AS violation FROM rows GROUP BY 1 HAVING count(DISTINCT split) > 1
+        UNION ALL SELECT capture_id, 'capture has several hashes' FROM rows GROUP BY 1 HAVING count(DISTINCT capture_hash) > 1
+        UNION ALL SELECT capture_id, 'capture has several labels' FROM rows GROUP BY 1 HAVING count(DISTINCT label) > 1
+        UNION ALL SELECT capture_hash, 'several captures have this hash' FROM rows GROUP BY 1
           HAVING count(DISTINCT capture_id) > 1
-        UNION ALL SELECT window_id, 'duplicate window ID' FROM rows GROUP BY 1 HAVING count(*) > 1""",
+        UNION ALL SELECT window_id, 'window_id used twice' FROM rows GROUP BY 1 HAVING count(*) > 1""",
     "capture_summary": f"""{CLEAN} SELECT capture_id AS run_id, count(*) AS row_count, min(capture_hash) AS capture_sha256,
         CAST(min(label) AS BIGINT) AS label, min(split) AS split FROM rows GROUP BY 1""",
     "labelled_row_json": f"{CLEAN} SELECT doc_id, text FROM texts",
@@ -515,11 +515,11 @@ STATEMENTS = {
         FROM caps WHERE run_id = 'cap-1-3' OR run_id LIKE '%-7' OR run_id LIKE '%-9' OR run_id LIKE '%-1_'
         UNION ALL SELECT 'cap-new', 'capture missing from dataset' FROM caps WHERE run_id = 'cap-1-3'""",
     "manifest_consistency": f"""{CLEAN}, caps AS (SELECT capture_id AS run_id, min(split) AS split FROM rows GROUP BY 1)
-        SELECT run_id AS subject, 'aggregate capture entry disagrees with the experiment plan' AS violation FROM caps
+        SELECT run_id AS subject, 'entry has another label or split than planned' AS violation FROM caps
           WHERE run_id LIKE '%-5' OR (run_id LIKE '%-6' AND split <> 'test')
-        UNION ALL SELECT run_id, 'invalid raw capture hash' FROM caps WHERE run_id LIKE '%-4'
-        UNION ALL SELECT 'zz', 'aggregate manifest repeats a raw capture hash' FROM caps WHERE run_id LIKE '%-4' HAVING count(*) > 1
-        UNION ALL SELECT role, 'split dataset row counts do not match capture entries' FROM (
+        UNION ALL SELECT run_id, 'capture_sha256 is not 64 lower-case hex digits' FROM caps WHERE run_id LIKE '%-4'
+        UNION ALL SELECT 'zz', 'several entries have this capture hash' FROM caps WHERE run_id LIKE '%-4' HAVING count(*) > 1
+        UNION ALL SELECT role, 'row_count differs from the sum of the entries' FROM (
           SELECT 'all' AS role FROM caps UNION SELECT CASE WHEN split = 'test' THEN 'test' ELSE 'selection' END FROM caps)""",
     "plan_digest": f"""{CLEAN}, caps AS (SELECT capture_id AS run_id, max(split) AS split FROM rows GROUP BY 1)
         SELECT sha256('[' || string_agg('{{"run_id":"' || run_id || '","split":"' || split || '"}}', ',' ORDER BY run_id) || ']')
@@ -531,20 +531,20 @@ STATEMENTS = {
           CASE WHEN slot <> 6 THEN c.process_exit_count END AS process_exit_count, n_events AS tracked_event_count,
           CASE WHEN all_text = '' THEN 'accepted' ELSE 'rejected' END AS status, all_text AS violations
         FROM (SELECT *, concat_ws('; ',
-            CASE WHEN slot = 14 THEN 'runtime manifest run is absent from the experiment plan' END,
-            CASE WHEN slot IN (13, 14) THEN 'runtime manifest does not match its experiment-plan run' END,
-            CASE WHEN slot = 6 THEN 'capture is missing' END,
-            CASE WHEN slot = 6 THEN 'capture contains invalid or empty telemetry' END,
-            CASE WHEN slot IN (6, 7) THEN 'capture run start does not match the runtime manifest' END,
-            CASE WHEN slot IN (6, 8, 14, 15) THEN 'capture duration does not match the experiment plan' END,
-            CASE WHEN n_events < 1 THEN 'capture contains no event for the tracked workload process' END,
-            CASE WHEN n_exits < 1 THEN 'capture is missing the tracked workload process exit' END,
+            CASE WHEN slot = 14 THEN 'run is not planned' END,
+            CASE WHEN slot IN (13, 14) THEN 'manifest and plan differ for this run' END,
+            CASE WHEN slot = 6 THEN 'no recording for this run' END,
+            CASE WHEN slot = 6 THEN 'recording holds no valid telemetry' END,
+            CASE WHEN slot IN (6, 7) THEN 'run was not recorded live' END,
+            CASE WHEN slot IN (6, 8, 14, 15) THEN 'recording is shorter or longer than planned' END,
+            CASE WHEN n_events < 1 THEN 'no event of any tracked process' END,
+            CASE WHEN n_exits < 1 THEN 'a tracked process has no exit' END,
             CASE WHEN slot <> 6 THEN nullif(violations, '') END) AS all_text
           FROM cand JOIN tracked USING (slot) JOIN (SELECT recording, records, violations FROM verdict) USING (recording)) c
         JOIN (SELECT recording, records FROM verdict) v USING (recording)""",
-    "selection_guard": f"""{CLEAN} SELECT 'test samples must remain withheld during model selection' AS violation FROM rows
+    "selection_guard": f"""{CLEAN} SELECT 'rows of the test split are present' AS violation FROM rows
         WHERE split = 'test' HAVING count(*) > 0
-        UNION ALL SELECT 'three independent training captures per class are required' FROM rows WHERE split = 'training'
+        UNION ALL SELECT 'a label has fewer than 3 training captures' FROM rows WHERE split = 'training'
         HAVING count(DISTINCT capture_id) FILTER (label = 0) < 3 OR count(DISTINCT capture_id) FILTER (label = 1) < 3""",
     "fold_assignment": f"""{CLEAN}, caps AS (SELECT capture_id, CAST(max(label) AS BIGINT) AS label, count(*) AS n FROM rows GROUP BY 1)
         SELECT *, (row_number() OVER (PARTITION BY label ORDER BY n DESC, md5(capture_id || ':37'), capture_id) - 1) % 3 AS fold FROM caps""",

@@ -101,7 +101,7 @@ def _optional(path: str, good: str) -> str:
 
 
 def _u64(path: str) -> tuple[str, str]:
-    return f"{path} must be an integer in [0, 2^64)", _good_integer(path, 0, MAX_U64)
+    return f"{path} is no integer from 0 to 2^64 - 1", _good_integer(path, 0, MAX_U64)
 
 
 def _optional_u64(path: str) -> tuple[str, str]:
@@ -110,31 +110,31 @@ def _optional_u64(path: str) -> tuple[str, str]:
 
 
 _VERSION = (
-    "unsupported schema version",
+    "schema_version is not the known one",
     f"({_is_integer('schema_version')} AND {_number('schema_version')} = {CONTRACT_VERSION})",
 )
-_RUN_ID = ("run_id must be a non-empty string", _good_text("run_id"))
+_RUN_ID = ("run_id is no text or empty", _good_text("run_id"))
 _SEQUENCE = _u64("collector_sequence")
 _TIME = _u64("timestamp_ns")
-_TID = ("tid must be an integer in [1, 2^32)", _good_integer("tid", 1, MAX_U32))
+_TID = ("tid is no integer from 1 to 2^32 - 1", _good_integer("tid", 1, MAX_U32))
 
 
 def _identity(prefix: str) -> list[tuple[str, str]]:
     return [
-        ("invalid process identity record type", _good_choice(f"{prefix}type", ("process_identity",))),
-        ("unsupported process schema version",
+        ("type of process is not process_identity", _good_choice(f"{prefix}type", ("process_identity",))),
+        ("schema_version of process is not the known one",
          f"({_is_integer(f'{prefix}schema_version')} AND {_number(f'{prefix}schema_version')} = {CONTRACT_VERSION})"),
-        ("boot_id must be a non-empty string", _good_text(f"{prefix}boot_id")),
-        ("tgid must be an integer in [1, 2^32)", _good_integer(f"{prefix}tgid", 1, MAX_U32)),
-        ("start_time_ns must be an integer in [0, 2^64)", _good_integer(f"{prefix}start_time_ns", 0, MAX_U64)),
+        ("boot_id is no text or empty", _good_text(f"{prefix}boot_id")),
+        ("tgid is no integer from 1 to 2^32 - 1", _good_integer(f"{prefix}tgid", 1, MAX_U32)),
+        ("start_time_ns is no integer from 0 to 2^64 - 1", _good_integer(f"{prefix}start_time_ns", 0, MAX_U64)),
     ]
 
 
 _PROCESS_FIELDS = ("type", "schema_version", "boot_id", "tgid", "start_time_ns")
 _PROCESS = [
-    ("process must be an object", f"{_kind('process')} LIKE 'OBJECT%'"),
+    ("process is no JSON object", f"{_kind('process')} LIKE 'OBJECT%'"),
     *_identity("process."),
-    ("process has an unexpected field",
+    ("process has a field that is not known",
      f"size(array_except(map_keys(process_fields), array({', '.join(map(repr, _PROCESS_FIELDS))}))) = 0"),
 ]
 
@@ -148,29 +148,29 @@ KINDS: dict[str, tuple[tuple[str, ...], list[tuple[str, str]]]] = {
     "run_start": (
         ("type", "schema_version", "run_id", "capture_start_ns", "source"),
         [_VERSION, _RUN_ID, _u64("capture_start_ns"),
-         ("unsupported run source", _good_choice("source", RUN_SOURCES))],
+         ("source is not a known one", _good_choice("source", RUN_SOURCES))],
     ),
     "run_end": (
         ("type", "schema_version", "run_id", "collector_sequence", "timestamp_ns", "status",
          "total_lost_events"),
         [_VERSION, _RUN_ID, _SEQUENCE, _TIME,
-         ("run end status must be complete or failed", _optional("status", _good_choice("status", END_STATUSES))),
+         ("status is neither complete nor failed", _optional("status", _good_choice("status", END_STATUSES))),
          _optional_u64("total_lost_events")],
     ),
     "event": (
         ("type", "schema_version", "run_id", "collector_sequence", "timestamp_ns", "process", "tid",
          "operation", "result", "filename", "filename_bytes_b64", "telemetry_quality", "lost_events"),
         [_VERSION, _RUN_ID, _SEQUENCE, _TIME, *_PROCESS, _TID,
-         ("operation must be O, C, or D", _good_choice("operation", OPERATIONS)),
-         ("result must be a signed 64-bit integer or null",
+         ("operation is none of O, C, D", _good_choice("operation", OPERATIONS)),
+         ("result is neither null nor a 64-bit integer",
           f"({_missing('result')} OR {_kind('result')} = 'VOID' OR "
           f"{_kind('result')} = 'BIGINT' OR ({_is_wide('result')} AND {_number('result')} BETWEEN {-2**63}BD AND {MAX_I63}BD))"),
-         ("filename must be a string", _optional("filename", f"{_kind('filename')} = 'STRING'")),
-         ("filename_bytes_b64 must contain valid base64",
+         ("filename is no text", _optional("filename", f"{_kind('filename')} = 'STRING'")),
+         ("filename_bytes_b64 is not base64",
           f"({_missing('filename_bytes_b64')} OR {_kind('filename_bytes_b64')} = 'VOID' OR "
           f"({_kind('filename_bytes_b64')} = 'STRING' AND {_text('filename_bytes_b64')} RLIKE "
           "'^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$'))"),
-         ("telemetry_quality must be complete or degraded",
+         ("telemetry_quality is neither complete nor degraded",
           _optional("telemetry_quality", _good_choice("telemetry_quality", QUALITIES))),
          _optional_u64("lost_events")],
     ),
@@ -187,19 +187,19 @@ KINDS: dict[str, tuple[tuple[str, ...], list[tuple[str, str]]]] = {
          "end_ns", "feature_names", "values", "partial", "loss_count", "late_event_count", "quality",
          "complete", "classifiable"),
         [_VERSION,
-         ("unsupported feature version", _optional("feature_version",
+         ("feature_version is not the known one", _optional("feature_version",
           f"({_is_integer('feature_version')} AND {_number('feature_version')} = {FEATURE_VERSION})")),
          _RUN_ID, *_PROCESS, _u64("start_ns"), _u64("end_ns"),
-         ("end_ns must be greater than start_ns", f"{_number('end_ns')} > {_number('start_ns')}"),
-         ("partial must be a boolean", _optional("partial", f"{_kind('partial')} = 'BOOLEAN'")),
-         ("feature_names must be non-empty strings",
+         ("end_ns is not above start_ns", f"{_number('end_ns')} > {_number('start_ns')}"),
+         ("partial is neither true nor false", _optional("partial", f"{_kind('partial')} = 'BOOLEAN'")),
+         ("feature_names holds empty or other than text",
           "(k_feature_names IN ('ARRAY<STRING>', 'ARRAY<VOID>') AND NOT array_contains("
           "try_variant_get(x_feature_names, '$', 'array<string>'), ''))"),
-         ("feature_names must be unique",
+         ("feature_names holds a name twice",
           "size(array_distinct(try_variant_get(x_feature_names, '$', 'array<string>'))) = "
           "size(try_variant_get(x_feature_names, '$', 'array<string>'))"),
-         ("feature names and values must have equal lengths", f"size({_NAMES}) = size({_VALUES})"),
-         ("feature values must be non-negative integers",
+         ("numbers of feature names and values differ", f"size({_NAMES}) = size({_VALUES})"),
+         ("a feature value is no integer from 0 up",
           "(k_values IN ('ARRAY<BIGINT>', 'ARRAY<VOID>') AND "
           "size(array_compact(try_variant_get(x_values, '$', 'array<bigint>'))) = size(try_variant_get("
           "x_values, '$', 'array<bigint>')) AND "
@@ -244,7 +244,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
     branches = "".join(
         f" WHEN '{kind}' THEN array_remove(array("
         + f"IF(size(array_except(map_keys(fields), array({', '.join(map(repr, fields))}))) > 0,"
-        + " 'record has an unexpected field', ''), "
+        + " 'record has a field that is not known', ''), "
         + ", ".join(f"IF(coalesce({good}, false), '', '{message}')" for message, good in rules)
         + "), '')"
         for kind, (fields, rules) in KINDS.items()
@@ -255,7 +255,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
         "CASE WHEN NOT is_valid_utf8(value) THEN array('invalid UTF-8')"
         r" WHEN NOT value RLIKE r'\S' THEN array('blank JSONL record')"
         " WHEN v IS NULL THEN array('invalid JSON')"
-        " WHEN fields IS NULL THEN array('JSON record must be an object')"
+        " WHEN fields IS NULL THEN array('line is no JSON object')"
         f" ELSE concat(coalesce(CASE type{branches} END, array('unknown record type')), {too_wide}) END"
     )
     typed = _evaluated(
@@ -315,7 +315,7 @@ def feature_windows(parsed: DataFrame) -> DataFrame:
     ).withColumn("window_id", window_id())
     return flat.withColumn("violations", F.expr(
         "CASE WHEN size(violations) > 0 THEN violations"
-        " WHEN type <> 'feature_window' THEN array('feature input must contain only feature-window records')"
+        " WHEN type <> 'feature_window' THEN array('record is no feature window')"
         " WHEN supplied_id <> window_id THEN array('feature window_id does not match its identity fields')"
         " ELSE violations END"))
 
@@ -333,16 +333,16 @@ def labeled_rows(lines: DataFrame) -> DataFrame:
     names = sorted(field.name for field in LABELED_WINDOW)
     number = "(schema_of_variant(x) = 'BIGINT' OR schema_of_variant(x) = 'DOUBLE' OR schema_of_variant(x) LIKE 'DECIMAL%')"
     rules = [
-        ("unexpected labeled-window fields",
+        ("fields are not those of a labelled window",
          f"array_sort(map_keys(fields)) = array({', '.join(map(repr, names))})"),
         ("invalid window ID", f"({_kind('window_id')} = 'STRING' AND length({_text('window_id')}) > 0)"),
         ("invalid capture ID", f"({_kind('capture_id')} = 'STRING' AND length({_text('capture_id')}) > 0)"),
         ("invalid capture hash", f"{_kind('capture_hash')} = 'STRING'"),
         ("invalid split", f"{_kind('split')} = 'STRING'"),
         ("invalid label", _is_integer("label")),
-        ("invalid feature version", _is_integer("feature_version")),
-        ("invalid feature names", f"forall({_NAMES}, x -> schema_of_variant(x) = 'STRING')"),
-        ("invalid feature values", f"forall({_LIST.format('features')}, x -> {number})"),
+        ("feature_version is no integer", _is_integer("feature_version")),
+        ("feature_names holds other than text", f"forall({_NAMES}, x -> schema_of_variant(x) = 'STRING')"),
+        ("features holds other than numbers", f"forall({_LIST.format('features')}, x -> {number})"),
         ("invalid row quality", f"({_kind('complete')} = 'BOOLEAN' AND {_kind('quality')} = 'STRING')"),
     ]
     parsed = _fields(lines.filter(r"value RLIKE r'\S'"), names)
@@ -350,7 +350,7 @@ def labeled_rows(lines: DataFrame) -> DataFrame:
     return parsed.selectExpr(
         *lines.columns,
         "CASE WHEN v IS NULL THEN array('invalid JSON')"
-        " WHEN fields IS NULL THEN array('row must be an object')"
+        " WHEN fields IS NULL THEN array('row is no JSON object')"
         f" ELSE array_remove(array({checks}), '') END AS violations",
         *[f"try_variant_get(x_{field.name}, '$', '{field.dataType.simpleString()}') AS {field.name}"
           for field in LABELED_WINDOW],

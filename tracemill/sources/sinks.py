@@ -125,7 +125,7 @@ def assemble_dataset(rows: DataFrame, plan: DataFrame, path: str) -> None:
 def load_dataset(spark: SparkSession, path: str, role: str) -> DataFrame:
     """Rows of one role, only if they match the manifest written beside them."""
     if role not in labelled.ROLES:
-        raise ValueError("unknown aggregate dataset role")
+        raise ValueError("role is none of all, selection, test")
     rows = spark.read.schema(
         spark.read.parquet(f"{path}/rows").schema).parquet(f"{path}/rows").filter(F.col("role") == role).drop("role")
     manifest = labelled.role_rows(spark.read.parquet(f"{path}/captures"), role)

@@ -58,7 +58,7 @@ class RunIngest:
         verdicts = written(
             validate.validate_runs(whole, bucket_rows=self.bucket_rows)
             .join(damaged, "run_id", "left").withColumn("violations", F.when(
-                F.col("_bad_lines") > 0, F.concat(F.array(F.lit("invalid collector line")), F.col("violations")))
+                F.col("_bad_lines") > 0, F.concat(F.array(F.lit("recording has lines that could not be read")), F.col("violations")))
                 .otherwise(F.col("violations")))
             .withColumn("accepted", F.size("violations") == 0).drop("_bad_lines"), "verdicts")
         self._append(health.final_health(verdicts), "health", batch_id)
