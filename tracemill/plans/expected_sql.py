@@ -439,6 +439,11 @@ STATEMENTS = {
     "health_running": f"""WITH {TEL} SELECT run_id, pos, row_number() OVER q AS records,
         CAST(row_number() OVER q AS DOUBLE) * 1000000000 / greatest(1, max(ts_ns) OVER q) AS event_rate,
         CAST(sum(lost) OVER q AS BIGINT) AS lost_events FROM tel WINDOW q AS (PARTITION BY run_id ORDER BY pos)""",
+    "republished_state": f"""{WINDOWS}, {SCORED}, again AS (
+        SELECT *, CASE WHEN run_id = 'run-1' THEN 0.1::DOUBLE ELSE 0.3::DOUBLE END AS level FROM scored
+        WHERE run_id = 'run-1' OR tgid % 3 <> 0)
+        SELECT window_id, run_id, level AS threshold, score, score >= level AS suspicious,
+        coalesce(score >= level, false) AS alert FROM again""",
     "run_summary": f"""{WINDOWS}, {SCORED} SELECT run_id, records, count(*) AS windows,
         count(*) FILTER (suspicious) AS alerts FROM scored
         JOIN (SELECT run_id, count(*) AS records FROM tel GROUP BY 1) USING (run_id) GROUP BY ALL""",
@@ -623,3 +628,4 @@ STATEMENTS = {
           arg_max(lost_events, pos) AS lost_events, true AS recording FROM h GROUP BY 1""",
 }
 STATEMENTS["stream_windows"] = STATEMENTS["feature_windows_full"]
+STATEMENTS["stream_windows_batches"] = STATEMENTS["feature_windows_full"]

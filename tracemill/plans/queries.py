@@ -592,6 +592,41 @@ def stream_windows(spark, sf_dir):
     return _longs(stream.windows(spark).withColumn("quality", F.array_join("quality", ",")))
 
 
+def stream_windows_batches(spark, sf_dir):
+    """The telemetry in five micro-batches; run starts come with the second, run ends after the last.
+
+    Records before their run start are held, and windows are replaced across batches.
+    """
+    folder = shared_folder(spark, "batches")
+    stream = WindowStream(f"{folder}/state", window_ns=DAY_NS, bucket_ns=HOUR_NS, bucket_rows=RANGE_ROWS)
+    records = views.telemetry(spark, sf_dir)
+    starts, ends = views.envelope_records(views.run_bounds(records))
+    last = records.agg(F.max("pos")).first()[0] or 0
+    for number in range(5):
+        low, high = number * (last + 1) // 5, (number + 1) * (last + 1) // 5
+        part = records.filter((F.col("pos") >= low) & (F.col("pos") < high))
+        stream.apply(part.unionByName(starts, allowMissingColumns=True) if number == 1 else part, number)
+    stream.apply(ends, 5)
+    return _longs(stream.windows(spark).withColumn("quality", F.array_join("quality", ",")))
+
+
+def republished_state(spark, sf_dir):
+    """Predictions and alerts after all runs but one were published again, at a higher threshold and
+    with fewer windows."""
+    path = f"{shared_folder(spark, 'republished')}/results"
+    found = written(_windows(spark, sf_dir), "windows")
+    runs = written(views.run_bounds(views.telemetry(spark, sf_dir)).select(
+        "run_id", F.lit("live").alias("source"), F.col("capture_start_ns").alias("started_ns"),
+        F.lit("complete").alias("status")), "runs")
+    sinks.publish_runs(runs, found, score.score_windows(found, 0.1), path)
+    others = "run_id <> 'run-1'"
+    fewer = found.filter(others).filter("tgid % 3 <> 0")
+    sinks.publish_runs(runs.filter(others), fewer, score.score_windows(fewer, 0.3), path)
+    alerted = sinks.read_results(spark, path, "alerts").select("window_id", F.lit(True).alias("alert"))
+    return sinks.read_results(spark, path, "predictions").join(alerted, "window_id", "left").select(
+        "window_id", "run_id", "threshold", "score", "suspicious", F.coalesce("alert", F.lit(False)).alias("alert"))
+
+
 REGISTERED = {
     name: value for name, value in list(globals().items())
     if callable(value) and getattr(value, "__module__", None) == __name__ and not name.startswith("_")
