@@ -390,3 +390,14 @@ def test_shards_are_written_as_one_file_each(docs, tmp_path, spark):
     sharding.write_shards(docs.select("doc_id", "text"), str(tmp_path / "out"), limit=5000)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(documents())
     assert all(len(list(p.glob("part-*"))) == 1 for p in (tmp_path / "out").glob("shard=*"))
+
+
+def test_rows_without_an_id_spread_over_the_ranges(spark):
+    """Null ids are placed by content, so no range holds all of them; the mix is that of one range."""
+    rows = [(None, f"{'word ' * (i % 7 + 1)}{i}", "a") for i in range(60)] + [(1, "b b", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole = mixing.mix(docs, range_rows=1000)
+    parts = mixing.mix(docs, range_rows=4)
+    columns = ["text", "source", "mix_tokens", "mix_epoch", "mix_block", "mix_order"]
+    assert counted(whole.select(columns).collect()) == counted(parts.select(columns).collect())
+    assert len({r.mix_order for r in whole.where("source = 'a'").collect()}) > 30
