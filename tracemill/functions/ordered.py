@@ -28,10 +28,12 @@ def running(
     order: Sequence[Column],
     buckets: Sequence[str],
     values: dict[str, tuple[str, Column]],
+    totals_of: Sequence[str] = (),
 ) -> DataFrame:
     """Add inclusive running ``max``, ``sum`` or ``count`` columns along ``order`` per key.
 
-    ``buckets`` name columns that split a key into ranges and sort like ``order`` does.
+    ``buckets`` name columns that split a key into ranges and sort like ``order`` does. Values
+    named in ``totals_of`` also get the value of the whole key, as ``<name>_total``.
     """
     inside_function = {"max": F.max, "sum": F.sum, "count": F.count}
     before_function = {"max": F.max, "sum": F.sum, "count": F.sum}
@@ -51,6 +53,8 @@ def running(
         *groups,
         *[before_function[kind](name).over(earlier).alias(f"_before_{name}")
           for name, (kind, _) in values.items()],
+        *[before_function[values[name][0]](name).over(Window.partitionBy(*keys)).alias(f"{name}_total")
+          for name in totals_of],
     )
     local = df.select(
         "*",
@@ -63,7 +67,7 @@ def running(
               + F.coalesce(F.col(f"_before_{name}"), F.lit(0))).alias(name)
         for name, (kind, _) in values.items()
     ]
-    return local.join(carried, groups).select(*df.columns, *merged)
+    return local.join(carried, groups).select(*df.columns, *merged, *[f"{name}_total" for name in totals_of])
 
 
 def previous(
@@ -101,7 +105,8 @@ def trigram_profile(
     """Count every symbol and every overlapping run of three symbols per key.
 
     Output columns: the keys, ``<s>_sum`` per symbol, one column per possible trigram.
-    Rows are shuffled once by (key, bucket); only bucket summaries are shuffled by key.
+    Rows are shuffled once by (key, bucket) and counted there per trigram; only bucket summaries,
+    which hold each trigram at most once, are shuffled by key.
     """
     groups = [*keys, *buckets]
     grams = ["".join(letters) for letters in product(alphabet, repeat=3)]
@@ -115,37 +120,45 @@ def trigram_profile(
         F.lead(symbol, 1).over(inside).alias("_next"),
         F.lag("_one", 1).over(inside).isNull().alias("_first"),
     )
-    coded = marked.selectExpr(
-        *groups, "_one",
-        f"_one * {size * size} + _two * {size} + _three AS _gram",
+    # The first symbol of a trigram is its code's leading digit; the last two rows of a bucket
+    # start no trigram inside it and count below zero.
+    parts = marked.selectExpr(
+        *groups,
+        f"coalesce(_one * {size * size} + _two * {size} + _three, -1 - _one) AS _code",
         "CASE WHEN _first THEN concat(_text, coalesce(_next, '')) END AS _head",
         "CASE WHEN _two IS NOT NULL AND _three IS NULL THEN concat(_text, _next)"
         " WHEN _two IS NULL AND _first THEN _text END AS _tail",
-    )
-    sums = [f"{s}_sum" for s in alphabet]
-    parts = coded.groupBy(*groups).agg(
-        *[F.expr(f"count_if(_one = {i}) AS {name}") for i, name in enumerate(sums)],
-        *[F.expr(f"count_if(_gram = {i}) AS {gram}") for i, gram in enumerate(grams)],
-        F.expr("max(_head) AS _head"),
-        F.expr("max(_tail) AS _tail"),
-    )
+    ).groupBy(*groups, "_code").agg(
+        F.count("*").alias("_n"), F.max("_head").alias("_head"), F.max("_tail").alias("_tail"))
+    summaries = parts.groupBy(*groups).agg(
+        F.collect_list(F.struct("_code", "_n")).alias("_counts"),
+        F.max("_head").alias("_head"), F.max("_tail").alias("_tail"))
     # A trigram that starts in the last two rows of a bucket ends in the following buckets.
     along = Window.partitionBy(*keys).orderBy(*buckets)
-    bridged = parts.select(
-        *keys, *sums, *grams, "_tail",
+    bridged = summaries.select(
+        *keys, "_counts", "_tail",
         F.lead("_head", 1).over(along).alias("_near"),
         F.lead("_head", 2).over(along).alias("_far"),
     ).selectExpr(
-        *keys, *sums, *grams, "_tail",
+        *keys, "_counts", "_tail",
         "concat(_tail, substring(concat(coalesce(_near, ''), coalesce(_far, '')), 1, 2)) AS _span",
     ).selectExpr(
-        *keys, *sums, *grams, "substring(_span, 1, 3) AS _bridge_one",
-        "CASE WHEN length(_tail) = 2 THEN substring(_span, 2, 3) END AS _bridge_two",
+        *keys, "_counts", "substring(_span, 1, 3) AS _bridge_one",
+        "IF(length(_tail) = 2, substring(_span, 2, 3), '') AS _bridge_two",
     )
-    return bridged.groupBy(*keys).agg(
-        *[F.expr(f"sum({name}) AS {name}") for name in sums],
-        *[
-            F.expr(f"sum({gram} + int(_bridge_one <=> '{gram}') + int(_bridge_two <=> '{gram}')) AS {gram}")
-            for gram in grams
-        ],
+    names = f"array({', '.join(map(repr, grams))})"
+    # Bridging trigrams are added to the pattern only: their first symbol is counted already.
+    counted = bridged.selectExpr(
+        *keys,
+        "inline(concat(transform(_counts, c -> named_struct('_code', c._code, '_n', c._n, '_bridge', 0L)),"
+        " transform(filter(array(_bridge_one, _bridge_two), b -> length(b) = 3),"
+        f" b -> named_struct('_code', array_position({names}, b) - 1, '_n', 0L, '_bridge', 1L))))",
+    ).groupBy(*keys, "_code").agg(F.sum("_n").alias("_n"), F.sum("_bridge").alias("_bridge"))
+    symbol_of = f"IF(_code < 0, -1 - _code, _code div {size * size})"
+    return counted.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_code", F.col("_n") + F.col("_bridge")))).alias("_by_code"),
+        *[F.expr(f"sum(IF({symbol_of} = {i}, _n, 0L)) AS {s}_sum") for i, s in enumerate(alphabet)],
+    ).select(
+        *keys, *[f"{s}_sum" for s in alphabet],
+        *[F.expr(f"coalesce(_by_code[{i}L], 0L) AS {gram}") for i, gram in enumerate(grams)],
     )

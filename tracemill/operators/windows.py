@@ -18,8 +18,12 @@ from tracemill.schemas import (
     FEATURE_VERSION, FEATURES, GRAMS, MAXIMA, OPERATIONS, PROCESS, SECOND_NS, SUMS, WINDOW_KEY,
     WINDOW_NS,
 )
+from tracemill.session import written
 
 STREAM_TYPES = ("event", "heartbeat", "process_exit")
+# What windows need of a record; names and other wide fields stay out of shuffles and tables.
+NARROW = ("run_id", "type", *PROCESS, "operation", "result", "timestamp_ns", "pos", "collector_sequence",
+          "lost_events")
 
 
 def _column(value: str | Column) -> Column:
@@ -112,6 +116,21 @@ def running_watermark(bounded: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Dat
     )
 
 
+def mark_telemetry(telemetry: DataFrame, runs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """What windows need of the stream records, with ``watermark_ns`` and ``run_last_ns``.
+
+    ``run_last_ns`` is the greatest timestamp of the run. It comes from the range summaries of the
+    watermark, and run bounds are joined once, after it.
+    """
+    ranged = telemetry.filter(F.col("type").isin(*STREAM_TYPES)).select(
+        *NARROW, order_bucket("pos", bucket_rows).alias("_range"))
+    seen = running(
+        ranged, ["run_id"], [F.col("pos")], ["_range"], {"_seen": ("max", F.col("timestamp_ns"))}, ["_seen"])
+    return seen.join(runs.select("run_id", "capture_start_ns"), "run_id").select(
+        *NARROW, "capture_start_ns", F.greatest("_seen", "capture_start_ns").alias("watermark_ns"),
+        F.col("_seen_total").alias("run_last_ns"))
+
+
 def exit_positions(marked: DataFrame, window_ns: int = WINDOW_NS) -> DataFrame:
     """Where an exit closed a process window: ``exit_pos`` per window, if any.
 
@@ -170,19 +189,21 @@ def window_closings(
     marked: DataFrame, runs: DataFrame, window_ns: int = WINDOW_NS, bucket_ns: int = SECOND_NS
 ) -> DataFrame:
     """Maxima, lateness and partial flags per window, from watermarked telemetry."""
+    known = "run_last_ns" in marked.columns
     per_bucket = _per_bucket(
         late_events(marked, window_ns), bucket_ns,
         F.count_if("late").alias("_late"), F.max("exit_pos").alias("_exit"),
+        *([F.max("run_last_ns").alias("_last")] if known else []),
     )
     closed = _maxima(
-        per_bucket, F.sum("_late").alias("late_event_count"), F.max("_exit").alias("exit_pos")
-    )
-    last = marked.groupBy("run_id").agg(F.max("timestamp_ns").alias("_last"))
-    ends = runs.select("run_id", "capture_end_ns").join(last, "run_id").select(
-        "run_id", F.greatest("_last", "capture_end_ns").alias("_end")
+        per_bucket, F.sum("_late").alias("late_event_count"), F.max("_exit").alias("exit_pos"),
+        *([F.max("_last").alias("_last")] if known else []),
     )
+    ends = runs.select("run_id", "capture_end_ns")
+    if not known:
+        ends = ends.join(marked.groupBy("run_id").agg(F.max("timestamp_ns").alias("_last")), "run_id")
     by_exit = F.col("exit_pos").isNotNull()
-    by_end = F.col("start_ns") + window_ns > F.col("_end")
+    by_end = F.col("start_ns") + window_ns > F.greatest("_last", "capture_end_ns")
     return closed.join(ends, "run_id").select(
         *WINDOW_KEY, *MAXIMA, "late_event_count",
         by_exit.alias("partial_by_exit"), (by_exit | by_end).alias("partial"),
@@ -217,10 +238,10 @@ def extract_windows(
 ) -> DataFrame:
     """Telemetry and run bounds to one row per process window.
 
-    The plan reads ``running_watermark`` more than once. For long inputs write that DataFrame as
-    a table first and continue with ``windows_from_marked``, as ``plans.replay`` does.
+    Watermarked records are written once, with the columns windows need, and every later branch
+    reads that table.
     """
-    marked = running_watermark(with_run_bounds(telemetry, runs), bucket_rows)
+    marked = written(mark_telemetry(telemetry, runs, bucket_rows), "marked")
     return windows_from_marked(
         marked, runs, window_ns=window_ns, bucket_ns=bucket_ns, bucket_rows=bucket_rows
     )

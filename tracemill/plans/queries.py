@@ -37,8 +37,9 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = views.telemetry(spark, sf_dir)
+    runs = written(views.run_bounds(records), "bounds")
     return windows.extract_windows(
-        records, views.run_bounds(records), window_ns=DAY_NS, bucket_ns=HOUR_NS, bucket_rows=RANGE_ROWS)
+        records, runs, window_ns=DAY_NS, bucket_ns=HOUR_NS, bucket_rows=RANGE_ROWS)
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,16 +72,19 @@ def running_watermark(spark, sf_dir):
     return _marked(spark, sf_dir).select("run_id", "pos", "timestamp_ns", "watermark_ns")
 
 
+def _closings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = views.telemetry(spark, sf_dir)
+    runs = written(views.run_bounds(records), "bounds")
+    marked = written(windows.mark_telemetry(records, runs, RANGE_ROWS), "marked")
+    return windows.window_closings(marked, runs, DAY_NS, HOUR_NS)
+
+
 def late_counts(spark, sf_dir):
-    return windows.window_closings(
-        _marked(spark, sf_dir), views.run_bounds(views.telemetry(spark, sf_dir)), DAY_NS, HOUR_NS
-    ).filter("late_event_count > 0").select(*WINDOW_KEY, "late_event_count")
+    return _closings(spark, sf_dir).filter("late_event_count > 0").select(*WINDOW_KEY, "late_event_count")
 
 
 def exit_partial(spark, sf_dir):
-    return windows.window_closings(
-        _marked(spark, sf_dir), views.run_bounds(views.telemetry(spark, sf_dir)), DAY_NS, HOUR_NS
-    ).select(*WINDOW_KEY, "partial_by_exit", "partial")
+    return _closings(spark, sf_dir).select(*WINDOW_KEY, "partial_by_exit", "partial")
 
 
 def loss_attribution(spark, sf_dir):

@@ -37,10 +37,8 @@ def replay(
     if broken is not None:
         raise ValueError(f"{broken['recording']}: {broken['violations'][0]}")
     runs = validate.accepted_runs(verdicts)
-    marked = written(
-        windows.running_watermark(windows.with_run_bounds(telemetry, runs), bucket_rows), "marked")
-    found = written(windows.windows_from_marked(
-        marked, runs, window_ns=window_ns, bucket_ns=bucket_ns, bucket_rows=bucket_rows), "windows")
+    found = written(windows.extract_windows(
+        telemetry, runs, window_ns=window_ns, bucket_ns=bucket_ns, bucket_rows=bucket_rows), "windows")
     return runs, found, score.score_windows(found, threshold)
 
 
