@@ -140,3 +140,14 @@ def loss_deltas(snapshots: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFra
         *[name for name in snapshots.columns if name not in COUNTERS],
         sum(steps[1:], steps[0]).alias("lost_events"), regressed.alias("regressed"),
     )
+
+
+def heartbeats(snapshots: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Heartbeat records from cumulative health snapshots, for validation and windows.
+
+    Snapshots carry ``run_id``, ``pos``, ``timestamp_ns`` and the counters. A snapshot whose counters
+    fell gives no record; ``loss_deltas`` lists it as ``regressed``.
+    """
+    return loss_deltas(snapshots, bucket_rows).filter(~F.col("regressed")).select(
+        "run_id", "pos", F.lit("heartbeat").alias("type"), F.col("pos").alias("collector_sequence"),
+        "timestamp_ns", "lost_events")

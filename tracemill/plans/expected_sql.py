@@ -408,6 +408,43 @@ lifecycle AS (
     min(version) FILTER (suspicious) AS raised_version FROM changes GROUP BY 1 HAVING bool_or(coalesce(suspicious, false))),
 now AS (SELECT * FROM changes WHERE version = 3)"""
 
+def _manifest_violations() -> str:
+    benign, scenarios = "idx < 5", ", ".join(f"'{name}'" for name in labelled.SCENARIOS)
+    flags = [
+        ("doc_id % 31 = 1", "manifest has another schema version than 1"),
+        ("run_id IS NULL OR run_id = ''", "run_id is empty"),
+        ("idx = 8", "scenario is not one of the planned ones"),
+        ("seed IS NULL", "seed is no integer"),
+        ("seed IS NULL OR run_id <> 'controlled-' || scenario || '-seed-' || seed", "run_id is not made of scenario and seed"),
+        ("coalesce(seed, 77) = 77", "seed is not one of the planned ones"),
+        ("split = 'later'", "split is none of training, validation, test"),
+        ("coalesce(split <> CASE seed WHEN 41 THEN 'validation' WHEN 53 THEN 'test' WHEN 77 THEN 'none'"
+         " ELSE 'training' END OR seed IS NULL, true)", "seed belongs to another split"),
+        ("label = 'odd'", "behavior_label is neither benign nor suspicious"),
+        (f"idx = 8 OR label <> CASE WHEN {benign} THEN 'benign' ELSE 'suspicious' END", "scenario has another behavior_label"),
+        ("doc_id % 53 = 7", "label_provenance is not controlled_workload"),
+        ("doc_id % 59 = 8", "status is not completed"),
+        ("doc_id % 61 = 9", "workload_hold_seconds is not 50"),
+        ("doc_id % 67 = 10", "background_activity is not unlabeled"),
+        ("doc_id % 71 = 11", "process_scope_policy is not root_process_only"),
+        ("doc_id % 73 = 12", "limits differ from the planned ones"),
+        ("doc_id % 79 = 13", "number of tracked processes is not one"),
+        ("doc_id % 89 = 15 OR doc_id % 83 = 14", "tracked process is not fully identified"),
+        ("doc_id % 97 = 16 OR run_id IS NULL OR run_id = 'other'", "plan_sha256 is not that of the planned workload"),
+    ]
+    return f"""WITH base AS (
+      SELECT doc_id, doc_id % 9 AS idx, list_extract([{scenarios}, 'unplanned'], CAST(doc_id % 9 AS INT) + 1) AS scenario,
+        CASE WHEN doc_id % 37 <> 2 THEN list_extract([11, 23, 37, 41, 53, 77], CAST(doc_id % 6 AS INT) + 1) END AS seed,
+        CASE WHEN doc_id % 41 = 5 THEN 'test' ELSE list_extract(['training', 'training', 'training', 'validation', 'test',
+          'later'], CAST(doc_id % 6 AS INT) + 1) END AS split,
+        CASE WHEN doc_id % 47 = 6 THEN 'odd' WHEN doc_id % 9 BETWEEN 5 AND 7 THEN 'suspicious' ELSE 'benign' END AS label
+      FROM documents),
+    named AS (SELECT *, CASE WHEN doc_id % 29 = 3 THEN 'other' WHEN doc_id % 43 = 4 THEN ''
+        ELSE 'controlled-' || scenario || '-seed-' || seed END AS run_id FROM base)
+    SELECT doc_id, concat_ws('; ', {", ".join(f"CASE WHEN {bad} THEN '{text}' END" for bad, text in flags)}) AS violations
+    FROM named"""
+
+
 STATEMENTS = {
     "successful_events": f"""{BASE} SELECT seq AS collector_sequence, tgid, ts_ns AS timestamp_ns, op AS operation,
         CAST(result AS BIGINT) AS result FROM ok""",
@@ -430,6 +467,13 @@ STATEMENTS = {
         quality, supporting_features FROM scored""",
     "alerts": f"{WINDOWS}, {SCORED} SELECT window_id, run_id, score FROM scored WHERE suspicious",
     "run_verdicts": _verdicts(),
+    "expected_bounds": f"""WITH {REC}, last AS (
+        SELECT recording, slot, count(*) AS n, count(*) FILTER (pos = 3) AS third FROM rec GROUP BY ALL)
+        SELECT recording, n + CASE WHEN slot IN (6, 8) THEN 1 ELSE 2 END AS records,
+          CASE WHEN slot = 16 AND third > 0 THEN '{rules.ENVELOPE}' WHEN slot = 17 THEN '{rules.START_MATCH}'
+            WHEN slot IN (9, 18) THEN '{rules.END_MATCH}' ELSE '' END AS violations FROM last""",
+    "manifest_violations": _manifest_violations(),
+    "foreign_windows": f"{WINDOWS} SELECT window_id, run_id FROM full_windows WHERE run_id = 'run-1'",
     "engine_violations": f"""WITH {TEL}, shifted AS (
         SELECT run_id, ts_ns, CASE WHEN pos % 101 = 0 THEN seq + 1 ELSE seq END AS collector_sequence FROM tel)
         SELECT run_id, collector_sequence, 'time lies before run start' AS violation
@@ -471,6 +515,13 @@ STATEMENTS = {
         FROM snap WINDOW q AS (PARTITION BY run_id ORDER BY pos))
         SELECT run_id, pos, {" + ".join(f"d{i}" for i in range(6))} AS lost_events,
           {" OR ".join(f"d{i} < 0" for i in range(6))} AS regressed FROM stepped""",
+    "heartbeat_losses": f"""WITH {LOSSES}, stepped AS (
+        SELECT run_id, pos, {", ".join(f"c{i} - coalesce(lag(c{i}) OVER q, 0) AS d{i}" for i in range(6))}
+        FROM snap WINDOW q AS (PARTITION BY run_id ORDER BY pos)),
+        tel AS (SELECT run_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) * 1000 AS ts_ns,
+          {" + ".join(f"d{i}" for i in range(6))} AS lost FROM stepped JOIN events ON event_id = pos
+          WHERE NOT ({" OR ".join(f"d{i} < 0" for i in range(6))})), {LOSS}
+        SELECT * FROM loss""",
     "counter_health": f"""WITH {LOSSES} SELECT run_id, pos, {" + ".join(f"c{i}" for i in range(6))} AS loss_total,
         {" + ".join(f"c{i}" for i in range(6))} = 0 AS telemetry_complete FROM snap""",
     "experiment_plan": f"""{BROKEN}, {PLAN} SELECT 'controlled-' || scenario || '-seed-' || seed AS run_id,
@@ -566,6 +617,7 @@ STATEMENTS = {
     "legacy_trigrams": f"WITH {LEGACY} SELECT * FROM tri3",
     "legacy_long": f"WITH {LEGACY} SELECT * FROM long_table",
     "legacy_wide": f"""WITH {LEGACY} SELECT adjusted_id AS PID, {", ".join(audit.COLUMNS)} FROM wide WHERE split = 'training'""",
+    "legacy_wide_testing": f"""WITH {LEGACY} SELECT adjusted_id AS PID, {", ".join(audit.COLUMNS)} FROM wide WHERE split = 'testing'""",
     "legacy_captures": f"""WITH {LEGACY}, stepped AS (
         SELECT *, lag(ts) OVER (PARTITION BY capture_id ORDER BY row) AS earlier FROM adj)
         SELECT man.split, capture_id, 10000 * capture_index AS offset, coalesce(events, 0) AS events,

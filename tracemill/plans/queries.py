@@ -125,6 +125,20 @@ def run_verdicts(spark, sf_dir):
         "observed_loss", "accepted", F.array_join("violations", "; ").alias("violations"))
 
 
+def expected_bounds(spark, sf_dir):
+    """Recordings against announced bounds, and a foreign record inside one envelope."""
+    records = views.recordings(spark, sf_dir).withColumn(
+        "type", F.expr("IF(recording = 'rec-16' AND pos = 3, 'process_identity', type)"))
+    expected = records.filter("type NOT IN ('run_start', 'run_end')").groupBy("recording").agg(
+        F.max("timestamp_ns").alias("_last")).selectExpr(
+        "recording", "IF(recording = 'rec-17', 1L, 0L) AS capture_start_ns",
+        "_last + IF(recording = 'rec-18', 1, 0) AS capture_end_ns")
+    found = validate.validate_runs(records, expected=expected, bucket_rows=RANGE_ROWS)
+    wanted = (validate.ENVELOPE, validate.START_MATCH, validate.END_MATCH)
+    return found.select("recording", "records", F.array_join(
+        F.filter("violations", lambda text: text.isin(*wanted)), "; ").alias("violations"))
+
+
 def engine_violations(spark, sf_dir):
     records = views.telemetry(spark, sf_dir).withColumn(
         "collector_sequence", F.when(F.col("pos") % 101 == 0, F.col("collector_sequence") + 1)
@@ -215,6 +229,12 @@ def loss_deltas(spark, sf_dir):
     return normalize.loss_deltas(views.loss_counters(spark, sf_dir), RANGE_ROWS)
 
 
+def heartbeat_losses(spark, sf_dir):
+    """Health snapshots as heartbeats that feed the loss of windows."""
+    beats = normalize.heartbeats(views.timed_loss_counters(spark, sf_dir), RANGE_ROWS)
+    return windows.loss_by_window(windows.with_run_bounds(beats, views.run_bounds(beats)), DAY_NS)
+
+
 def counter_health(spark, sf_dir):
     return normalize.counter_health(views.loss_counters(spark, sf_dir)).select(
         "run_id", "pos", "loss_total", "telemetry_complete")
@@ -241,6 +261,18 @@ def _experiment_manifests(spark, sf_dir):
         " named_struct('boot_id', 'b0', 'tgid', _tgid - 10, 'start_time_ns', 0L)) AS tracked_processes")
 
 
+def manifest_violations(spark, sf_dir):
+    manifests, plan = views.workload_manifests(spark, sf_dir)
+    return labelled.manifest_violations(manifests, plan).select(
+        "doc_id", F.array_join("violations", "; ").alias("violations"))
+
+
+def foreign_windows(spark, sf_dir):
+    """Windows of the one run that has no manifest."""
+    manifests = _experiment_manifests(spark, sf_dir).filter("run_id <> 'run-1'")
+    return labelled.foreign_windows(_windows(spark, sf_dir), manifests).select("window_id", "run_id")
+
+
 def tracked_windows(spark, sf_dir):
     manifests = _experiment_manifests(spark, sf_dir)
     hashes = manifests.select("run_id", F.sha2("run_id", 256).alias("capture_hash"))
@@ -417,6 +449,10 @@ def legacy_wide(spark, sf_dir):
     return audit.wide_features(_rebuilt(spark, sf_dir), "training")
 
 
+def legacy_wide_testing(spark, sf_dir):
+    return audit.wide_features(_rebuilt(spark, sf_dir), "testing")
+
+
 def legacy_captures(spark, sf_dir):
     numbered, events = views.numbered_events(spark, sf_dir)
     return _longs(audit.capture_summary(numbered, events, RANGE_ROWS))

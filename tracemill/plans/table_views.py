@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tracemill.operators import labelled
 from tracemill.schemas import TELEMETRY
 
 DAY_NS = 86_400_000_000_000
@@ -295,3 +296,40 @@ def capture_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         "concat('run-', slot) AS run_id", "'copying' AS scenario", "11L AS seed", "'training' AS split",
         "'benign' AS behavior_label", "IF(slot = 15, 60D, CAST(_us div 1000000 - 1 AS DOUBLE)) AS capture_duration_seconds")
     return manifests, plan
+
+
+def workload_manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A run manifest per document and the plan's digests; every rule is broken by some of them."""
+    names = ", ".join(repr(name) for name in labelled.SCENARIOS)
+    limits = ", ".join(f"'{name}', {value}" for name, value in labelled.LIMITS.items())
+    tracked = ("named_struct('boot_id', IF(doc_id % 89 = 15, ' ', 'b0'), 'tgid', IF(doc_id % 83 = 14, 0L, doc_id + 1),"
+               " 'start_time_ns', 0L)")
+    manifests = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"element_at(array({names}, 'unplanned'), CAST(doc_id % 9 AS INT) + 1) AS scenario",
+        "IF(doc_id % 37 = 2, NULL, element_at(array(11, 23, 37, 41, 53, 77), CAST(doc_id % 6 AS INT) + 1)) AS seed",
+    ).selectExpr(
+        "*", "IF(doc_id % 31 = 1, 2, 1) AS schema_version",
+        "CASE WHEN doc_id % 29 = 3 THEN 'other' WHEN doc_id % 43 = 4 THEN ''"
+        " ELSE concat('controlled-', scenario, '-seed-', seed) END AS run_id",
+        "CASE WHEN doc_id % 41 = 5 THEN 'test' ELSE element_at(array('training', 'training', 'training',"
+        " 'validation', 'test', 'later'), CAST(doc_id % 6 AS INT) + 1) END AS split",
+        "CASE WHEN doc_id % 47 = 6 THEN 'odd' WHEN doc_id % 9 BETWEEN 5 AND 7 THEN 'suspicious' ELSE 'benign' END"
+        " AS behavior_label",
+        "IF(doc_id % 53 = 7, 'guess', 'controlled_workload') AS label_provenance",
+        "IF(doc_id % 59 = 8, 'failed', 'completed') AS status",
+        "IF(doc_id % 61 = 9, 49D, 50D) AS workload_hold_seconds",
+        "IF(doc_id % 67 = 10, NULL, 'unlabeled') AS background_activity",
+        "IF(doc_id % 71 = 11, 'tree', 'root_process_only') AS process_scope_policy",
+        f"IF(doc_id % 73 = 12, NULL, named_struct({limits})) AS limits",
+        f"IF(doc_id % 79 = 13, array({tracked}, {tracked}), array({tracked})) AS tracked_processes",
+    ).withColumn("plan_sha256", F.expr("IF(doc_id % 97 = 16, sha2('changed', 256), sha2(run_id, 256))"))
+    plan = manifests.filter("run_id <> 'other'").select("run_id").distinct().select(
+        "run_id", F.sha2("run_id", 256).alias("plan_sha256"))
+    return manifests, plan
+
+
+def timed_loss_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss snapshots with the time they were taken at."""
+    times = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("pos"), (micros_since_2024() * 1000).alias("timestamp_ns"))
+    return loss_counters(spark, sf_dir).join(times, "pos")
