@@ -169,6 +169,6 @@ def test_rule_scores_and_abstention(spark):
 def test_windows_read_the_marked_table_few_times(spark):
     """Every branch of the window plan reads one narrow table; none repeats the watermark."""
     records = arriving(event(1, 1), event(2, LENGTH + 2), gone(3, LENGTH + 3))
-    plan = extract_windows(frame(spark, records), bounds(spark, 0, 2 * LENGTH))._jdf.queryExecution().executedPlan().toString()
+    plan = windows.extract_windows(frame(spark, records), bounds(spark, 0, 2 * LENGTH))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") <= 5
     assert "watermark_ns" in plan and "filename" not in plan
