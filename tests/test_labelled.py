@@ -141,6 +141,18 @@ def test_acceptance_needs_tracked_activity_and_exit(spark, tmp_path):
         sinks.write_capture_acceptance(accepted, path)
 
 
+def test_number_of_score_ranges_follows_the_data(spark, monkeypatch):
+    monkeypatch.setattr(selection, "RANGE_SCORES", 2)
+    monkeypatch.setattr(selection, "SCORE_RANGES", 2)
+    df = spark.createDataFrame([("m", float(i % 50), i % 3 // 2) for i in range(200)], "model string, score double, label int")
+    seen = []
+    cut = selection.score_ranges
+    monkeypatch.setattr(selection, "score_ranges", lambda scores, ranges: seen.append(ranges) or cut(scores, ranges))
+    found = {r["threshold"]: r["true_positives"] for r in selection.threshold_sweep(df, ["model"]).collect()}
+    assert seen == [25]
+    assert all(found[t] == sum(1 for i in range(200) if i % 3 // 2 and i % 50 >= t) for t in map(float, range(50)))
+
+
 def test_threshold_sweep_equals_brute_force(spark):
     import random
 

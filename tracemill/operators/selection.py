@@ -6,6 +6,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracemill.functions.ordered import running
+from tracemill.session import written
 
 # Fixed values of the selection rule.
 COMPLEXITY = {"rule": 0, "rbf_svm": 1, "random_forest": 2}
@@ -14,6 +15,7 @@ FOLDS = 3
 TOLERANCE = 1e-12
 
 SCORE_RANGES = 64
+RANGE_SCORES = 1 << 20
 
 
 def selection_guard(rows: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def rates(counts: DataFrame) -> DataFrame:
     )
 
 
-def score_ranges(distinct_scores: DataFrame, ranges: int = SCORE_RANGES) -> list[float]:
+def score_ranges(distinct_scores: DataFrame, ranges: int) -> list[float]:
     """Increasing cut points that spread the distinct scores evenly; at most ``ranges`` floats."""
     ranges = max(ranges, 2)
     steps = [index / ranges for index in range(1, ranges)]
@@ -89,15 +91,19 @@ def score_ranges(distinct_scores: DataFrame, ranges: int = SCORE_RANGES) -> list
     return [float("-inf"), *sorted(set(cuts)), float("inf")]
 
 
-def threshold_sweep(scored: DataFrame, keys: list[str], ranges: int = SCORE_RANGES) -> DataFrame:
+def threshold_sweep(scored: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
     """Confusion counts at every candidate threshold per key.
 
     Candidates are the distinct scores and one just above the greatest. Counts accumulate from the
-    highest score down over score ranges, so no task holds all candidates.
+    highest score down over score ranges, so no task holds all candidates. Unless ``ranges`` is
+    given, their number follows the data: about ``RANGE_SCORES`` scores each, at least
+    ``SCORE_RANGES`` ranges. Distinct scores are written once, since several steps read them.
     """
-    by_score = scored.groupBy(*keys, "score").agg(
+    by_score = written(scored.groupBy(*keys, "score").agg(
         F.count_if(F.col("label") == 1).alias("_positive"),
-        F.count_if(F.col("label") == 0).alias("_negative"))
+        F.count_if(F.col("label") == 0).alias("_negative")), "scores")
+    if ranges is None:
+        ranges = max(SCORE_RANGES, by_score.count() // RANGE_SCORES)
     cuts = score_ranges(by_score, ranges)
     ranged = Bucketizer(splits=cuts, inputCol="score", outputCol="_cut").transform(by_score).withColumn(
         "_range", -F.col("_cut"))
