@@ -5,7 +5,8 @@ import pytest
 from tests.builders import (
     LENGTH, SECOND, arriving, beat, bounds, by_definition, collected, event, frame, gone, row,
 )
-from tracemill.operators import score, windows
+from tracemill.operators import normalize, score, windows
+from tracemill.schemas import COUNTERS
 from tracemill.streaming.windows import WindowStream
 
 
@@ -172,3 +173,13 @@ def test_windows_read_the_marked_table_few_times(spark):
     plan = windows.extract_windows(frame(spark, records), bounds(spark, 0, 2 * LENGTH))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") <= 5
     assert "watermark_ns" in plan and "filename" not in plan
+
+
+def test_heartbeats_from_snapshots_feed_window_losses(spark):
+    shape = "run_id string, pos bigint, timestamp_ns bigint, " + ", ".join(f"{name} bigint" for name in COUNTERS)
+    rest = [0] * (len(COUNTERS) - 1)
+    rows = [("r", 1, 5, 2, *rest), ("r", 2, LENGTH, 3, *rest), ("r", 3, LENGTH + 1, 1, *rest), ("r", 4, LENGTH + 2, 6, *rest)]
+    beats = normalize.heartbeats(spark.createDataFrame(rows, shape), 2)
+    assert {(r["pos"], r["lost_events"]) for r in beats.collect()} == {(1, 2), (2, 1), (4, 5)}
+    lost = windows.loss_by_window(windows.with_run_bounds(beats, bounds(spark, 0, 3 * LENGTH)), LENGTH)
+    assert {(r["start_ns"], r["loss_count"]) for r in lost.collect()} == {(0, 3), (LENGTH, 5)}
