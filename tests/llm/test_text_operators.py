@@ -146,6 +146,46 @@ def test_near_copies_find_edited_texts_and_spare_others(spark):
     assert got == {i: i % 100 if 100 <= i < 500 else i for i, _ in rows}
 
 
+def brute_similar(a, b):
+    x, y = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y) >= 0.8
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_near_copies_equal_pairs_of_shingle_sets_also_in_large_buckets(spark, block):
+    import random
+
+    rng = random.Random(21)
+    rows = []
+    for _ in range(4):
+        base = [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(300)]
+        for _ in range(25):  # two edits of one base are often less similar than 0.8 to each other
+            words = list(base)
+            for at in rng.sample(range(300), rng.choice([1, 4, 7, 9])):
+                words[at] = f"new{rng.randrange(10 ** 6)}"
+            rows.append((len(rows), " ".join(words)))
+    root = {i: i for i, _ in rows}
+    for i, a in rows:
+        for j, b in rows[:i]:
+            if root[i] != root[j] and brute_similar(a, b):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    assert {r.doc_id: r.component_id for r in got} == root and 4 < len(set(root.values()))
+
+
+def test_near_copy_candidates_do_not_depend_on_the_bucket():
+    """Pairs at 0.8: nearly all share a key."""
+    import numpy as np
+
+    rng, met = np.random.default_rng(3), 0
+    for _ in range(400):
+        shared, a, b = (np.sort(rng.integers(0, 1 << 63, n, np.uint64)) for n in (240, 30, 30))
+        x, y = (simhash.sketch(np.concatenate([shared, z])).reshape(simhash.TABLES, -1) for z in (a, b))
+        met += bool((x == y).all(axis=1).any())
+    assert met >= 398
+
+
 # Sentence spans
 
 

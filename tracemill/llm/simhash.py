@@ -144,119 +144,212 @@ def hexadecimal(column: str) -> "F.Column":
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-# Near copies: wide fingerprints of WIDE_WORDS * 64 bits in segments of one byte. Texts whose five-word
-# shingles are similar to 0.8 differ in about a tenth of the bits, unrelated ones in half of them.
-WIDE_WORDS = 8
-WIDE_SHARE = 0.125
-KEY_SEGMENTS = 3
-_SALTS = 16
-_GOLDEN = 0x9E3779B97F4A7C15
-
-
-def wide_fingerprint(text: str | None, words: int = WIDE_WORDS) -> bytes:
-    """As ``fingerprint``, with ``words`` independent hashes per shingle. No words: all zeros."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return bytes(8 * words)
-    shingles = [b" ".join(parts)] if len(parts) < 3 else map(b" ".join, zip(parts, parts[1:], parts[2:]))
+# Near copies: texts whose sets of five-word shingles are similar (Jaccard) to SIMILAR. Candidates agree in
+# all PER_KEY min-hashes of at least one of TABLES tables: 99.96 % of pairs at 0.8, whatever the corpus size.
+SIMILAR = 0.8
+SHINGLE_WORDS = 5
+TABLES, PER_KEY = 20, 5
+# Texts of one bucket that are compared in one task; larger buckets are compared block by block.
+BLOCK = 512
+# Pairs agreeing in fewer min-hashes are not compared by their sets: at 0.8 one pair in a million.
+_LEAST_EQUAL = 60
+_FACTORS = np.random.default_rng(_SEED).integers(1 << 62, 1 << 63, TABLES * PER_KEY, np.uint64) * np.uint64(2) + np.uint64(1)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted hashes of the different five-word shingles, words as in ``fingerprint``. Fewer than five
+    words form one shingle; no words give none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - SHINGLE_WORDS + 1)
     digest = xxhash.xxh64_intdigest
-    first = np.fromiter((digest(s, _SEED) for s in shingles), dtype="<u8", count=max(1, len(parts) - 2))
-    out = []
-    for j in range(words):
-        h = first + np.uint64((j * _GOLDEN) & (2 ** 64 - 1))
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        ones = np.zeros(64, np.int64)
-        for begin in range(0, len(h), _CHUNK):
-            ones += np.unpackbits(h[begin:begin + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1,
-                                  bitorder="little").sum(axis=0, dtype=np.uint32)
-        out.append(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").tobytes())
-    return b"".join(out)
-
-
-def _wide(docs: DataFrame, words: int) -> DataFrame:
+    return np.unique(np.fromiter(
+        (digest(b" ".join(words[i:i + SHINGLE_WORDS]), _SEED) for i in range(n)), np.uint64, n))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets that are not both empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Sixteen bits of each min-hash of a set that is not empty."""
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
+    for begin in range(0, len(shingles), 1024):
+        part = shingles[begin:begin + 1024]
+        least = np.minimum(least, (_FACTORS[:, None] * part).min(axis=1))
+    return (least * _GOLDEN >> np.uint64(48)).astype(np.uint16)
+
+
+def text_key(text: str = "text") -> list["F.Column"]:
+    """Two hashes, k1 and k2, by which equal texts are known."""
+    column = F.col(text).cast("string")
+    return [F.xxhash64(column).alias("k1"), F.xxhash64(F.lit(1), column).alias("k2")]
+
+
+def _sketched(docs: DataFrame) -> DataFrame:
+    """``(doc_id, k1, k2, node, sketch)``: equal shingle sets are one node; no words, a null node."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [wide_fingerprint(t.as_py(), words) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary())], ["doc_id", "print"])
+            nodes, found = [], []
+            for text in batch.column("text"):
+                shingles = shingle_set(text.as_py())
+                nodes.append(xxhash.xxh64_intdigest(shingles.tobytes(), _SEED) - (1 << 63) if len(shingles) else None)
+                found.append(sketch(shingles).tobytes() if len(shingles) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(nodes, pa.int64()),
+                 pa.array(found, pa.binary())], ["doc_id", "k1", "k2", "node", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, print binary")
+    return docs.select(F.col("doc_id").cast("bigint"), *text_key(), "text").mapInArrow(
+        run, "doc_id bigint, k1 bigint, k2 bigint, node bigint, sketch binary")
 
 
-def _ring(prints: DataFrame, words: int, segments: int) -> DataFrame:
-    """``(start, part, node)``: for each start on the ring the ``segments`` bytes from there."""
-    size = 8 * words
+def _keys(nodes: DataFrame) -> DataFrame:
+    """``(place, part, node)``: the bucket of each node in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(-1, size).astype(np.int64)
-            part = np.zeros_like(rows)
-            for k in range(segments):
-                part = part << 8 | np.roll(rows, -k, axis=1)
-            nodes = batch.column("node").to_numpy()
+            rows = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16)
+            rows = rows.reshape(-1, TABLES, PER_KEY).astype(np.uint64)
+            part = np.zeros(rows.shape[:2], np.uint64)
+            for k in range(PER_KEY):
+                part = (part ^ rows[:, :, k]) * _GOLDEN
+                part ^= part >> np.uint64(29)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.tile(np.arange(size, dtype=np.int16), len(nodes))), pa.array(part.ravel()),
-                pa.array(np.repeat(nodes, size))], ["start", "part", "node"])
-
-    return prints.mapInArrow(run, "start smallint, part bigint, node bigint")
+                pa.array(np.tile(np.arange(TABLES, dtype=np.int16), len(rows))), pa.array(part.ravel().view(np.int64)),
+                pa.array(np.repeat(batch.column("node").to_numpy(), TABLES))], ["place", "part", "node"])
 
+    return nodes.select("node", "sketch").mapInArrow(run, "place smallint, part bigint, node bigint")
 
-def _chained(pairs: DataFrame, words: int, share: float) -> DataFrame:
-    """Pairs that some start of the ring accepts: from there every chain of segments stays within its
-    proportional share of the allowed differences. Then the whole distance is checked."""
-    size = 8 * words
-    limit = int(share * 8 * size)
 
+def _sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, size) for c in ("p", "q"))
-            differ = np.bitwise_count(a ^ b).astype(np.int64)
-            # A chain from i keeps its budgets if no later prefix sum exceeds the one before i.
-            over = np.cumsum(np.hstack([differ, differ]) * size - limit, axis=1)
-            base = np.hstack([np.zeros((len(a), 1), np.int64), over[:, :size - 1]])
-            worst = np.lib.stride_tricks.sliding_window_view(over, size, axis=1)[:, :size].max(axis=2)
-            chained = (worst <= base).any(axis=1)
-            yield batch.filter(pa.array(chained & (differ.sum(axis=1) <= limit))).select(["u", "v"])
+            sets = [shingle_set(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "sketch", "shingles"])
 
-    return pairs.mapInArrow(run, "u bigint, v bigint")
+    return texts.mapInArrow(run, "node bigint, sketch binary, shingles binary")
 
 
-def near_copies(docs: DataFrame, words: int = WIDE_WORDS, share: float = WIDE_SHARE) -> DataFrame:
-    """``(doc_id, component_id)``, one row per row of ``docs``: groups of copies and near copies.
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose shingle sets are similar to SIMILAR."""
 
-    Fingerprints of ``64 * words`` bits are linked if they differ in at most ``share`` of the bits. At such
-    distances pigeonring filtering has no leading segments that must be equal, so candidates are those
-    with ``KEY_SEGMENTS`` equal bytes in a row somewhere on the ring (one more for each 256-fold growth
-    of the corpus); the README gives the measured recall. In a bucket every fingerprint meets its
-    smallest and largest member and the smallest of one of sixteen parts, so candidates grow linearly;
-    chains and the full distance are checked for each.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            close = [similarity(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)) >= SIMILAR
+                     for p, q in zip(batch.column("p"), batch.column("q"))]
+            yield batch.filter(pa.array(close, pa.bool_())).select(["u", "v"])
+
+    known = sets.select("node", "shingles")
+    return pairs.join(known.toDF("u", "p"), "u").join(known.toDF("v", "q"), "v").select(
+        "u", "v", "p", "q").mapInArrow(run, "u bigint, v bigint")
+
+
+def _linked(group: pa.Table) -> pa.Table:
+    """Links between the components of two blocks: every pair is compared until its components are one."""
+    nodes, root = group.column("node").to_numpy(), group.column("root").to_numpy()
+    low, block = group.column("low").to_numpy(), group.column("block").to_numpy()
+    rows = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(len(nodes), -1)
+    sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
+    above, us, vs = {}, [], []
+
+    def top(x):
+        while x in above:
+            x = above[x]
+        return x
+
+    one_block = len(np.unique(block)) == 1
+    for i in range(len(nodes)):
+        # Pairs with the smallest node of the bucket were compared before.
+        todo = (root != root[i]) & (nodes != low[i]) & (nodes[i] != low[i])
+        todo &= np.arange(len(nodes)) > i if one_block else (block > block[i])
+        at = np.flatnonzero(todo)
+        for j in at[(rows[at] == rows[i]).sum(axis=1) >= _LEAST_EQUAL]:
+            a, b = top(root[i]), top(root[j])
+            if a != b and similarity(sets[i], sets[j]) >= SIMILAR:
+                above[a] = b
+                us.append(nodes[i])
+                vs.append(nodes[j])
+    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+
+def _rest(shared: DataFrame, roots: DataFrame, sets: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """Links of the pairs in a bucket that are not compared and not yet in one component.
+
+    Nodes of a bucket are dealt to blocks of about ``block``, large components to blocks of their own,
+    and each pair of blocks is compared by one task.
+    """
+    bucket = ["place", "part"]
+    rooted = shared.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
+        *bucket, "node", "low", F.coalesce("root", "node").alias("root"))
+    many = rooted.groupBy(*bucket).agg(
+        F.count(F.lit(1)).alias("total"), F.min("root").alias("a"), F.max("root").alias("b")).where(
+        "total > 2 and a != b").select(*bucket, "total")
+    left = scratch.keep(rooted.join(many, bucket), "open")
+    sizes = left.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("members"))
+    dealt = left.join(sizes, [*bucket, "root"]).withColumn("alone", F.when(F.col("members") >= block, F.col("root")))
+    number = F.when(F.col("alone").isNotNull(), F.xxhash64("root", F.pmod(
+        F.xxhash64("node"), F.ceil(F.col("members") / block)))).otherwise(
+        F.xxhash64(F.lit(0), F.pmod(F.xxhash64("root"), F.ceil(F.col("total") / block))))
+    dealt = scratch.keep(dealt.select(*bucket, "node", "low", "root", "alone", number.alias("block")), "blocks")
+    names = dealt.select(*bucket, "block", "alone").distinct()
+    other = names.select(*bucket, F.col("block").alias("block2"), F.col("alone").alias("alone2"))
+    meet = names.join(other, bucket).where("block <= block2").where(
+        "alone is null or alone2 is null or alone != alone2").select(
+        *bucket, F.col("block").alias("x"), F.col("block2").alias("y"))
+    sides = meet.select(*bucket, F.explode(F.array_distinct(F.array("x", "y"))).alias("block"), "x", "y")
+    rows = dealt.drop("alone").join(sides, [*bucket, "block"]).join(sets, "node")
+    return rows.groupBy(*bucket, "x", "y").applyInArrow(_linked, "u bigint, v bigint")
+
+
+def near_groups(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, k1, k2, root)``, one row per row of ``docs``; rows of one group have one root.
+
+    k1 and k2 are ``text_key``. Texts without words have a null root. Groups are connected by pairs
+    whose shingle sets are similar to SIMILAR. Equal sets are one node. In every bucket the smallest
+    node is compared with all others; then all pairs that are not in one component yet are.
+    """
+    rows = scratch.keep(_sketched(docs), "sketches")
+    nodes = scratch.keep(rows.where("node is not null").groupBy("node").agg(
+        F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "k1", "k2")).alias("key")), "nodes")
+    keys = scratch.keep(_keys(nodes), "keys")
+    buckets = keys.groupBy("place", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1").drop("n")
+    shared = scratch.keep(keys.join(buckets, ["place", "part"]).select("place", "part", "node", "low"), "shared")
+    scratch.drop(keys)
+    wanted = nodes.select("node", "key.*").toDF("node", "d", "a", "b").join(
+        shared.select("node").distinct(), "node", "left_semi")
+    # One row stands for all copies of a text.
+    texts = docs.select(F.col("doc_id").cast("bigint"), *text_key(), F.col("text").cast("string").alias("text")).join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))).groupBy(
+        "node").agg(F.first("text").alias("text"))
+    sets = scratch.keep(_sets(texts), "sets")
+    pairs = shared.where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
+    edges = scratch.keep(_verified(pairs, sets), "links")
+    roots = scratch.keep(components(edges, scratch), "roots")
+    rest = scratch.keep(_rest(shared, roots, sets, scratch, block), "rest")
+    if rest.head(1):
+        roots = scratch.keep(components(edges.union(rest), scratch), "roots")
+    scratch.drop(sets)
+    scratch.drop(shared)
+    found = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return rows.select("doc_id", "k1", "k2", "node").join(found, "node", "left").select("doc_id", "k1", "k2", "root")
+
+
+def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, component_id)``, one row per row of ``docs``: groups of copies and near copies.
 
-    Nulls, empty texts, ties and repeated rows as in ``near_duplicates``; texts without words are left as
-    they are, each a component of its own.
+    Groups as in ``near_groups``. Nulls, empty texts, ties and repeated rows as in ``near_duplicates``;
+    texts without words are left as they are, each a component of its own.
     """
     scratch = Scratch(docs.sparkSession, "copies")
-    rows = scratch.keep(_wide(docs, words).withColumn("node", F.xxhash64("print")), "wide")
-    empty = F.col("print") == F.lit(bytes(8 * words))
-    nodes = scratch.keep(rows.where(~empty).groupBy("node").agg(
-        F.first("print").alias("print"), F.min("doc_id").alias("least")), "nodes")
-    segments = max(KEY_SEGMENTS, -(-(max(1, nodes.count()).bit_length() + 1) // 8))
-    ring = scratch.keep(_ring(nodes.select("node", "print"), words, segments), "ring")
-    buckets = ring.groupBy("start", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
-    shared = scratch.keep(ring.join(buckets, ["start", "part"]).select("start", "part", "node", "low", "high"), "shared")
-    scratch.drop(ring)
-    salted = shared.withColumn("salt", F.pmod(F.xxhash64("node", "start"), F.lit(_SALTS)))
-    parts = salted.groupBy("start", "part", "salt").agg(F.min("node").alias("third"), F.count(F.lit(1)).alias("n")).where(
-        "n > 1").drop("n")
-    thirds = salted.join(parts, ["start", "part", "salt"]).select("node", F.col("third").alias("other"))
-    met = shared.select("node", F.explode(F.array("low", "high")).alias("other")).union(thirds).where("node != other")
-    pairs = met.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
-    prints = nodes.select("node", "print")
-    with_prints = pairs.join(prints.toDF("u", "p"), "u").join(prints.toDF("v", "q"), "v").select("u", "v", "p", "q")
-    roots = scratch.keep(components(_chained(with_prints, words, share), scratch), "roots")
-    named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = named.select("node", "root").join(least, "root").select("node", "component_id")
-    return rows.where(~empty).select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id").union(
-        rows.where(empty).select("doc_id", F.col("doc_id").alias("component_id")))
+    rows = scratch.keep(near_groups(docs, scratch, block), "groups")
+    named = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.where("root is not null").join(named, "root").select("doc_id", "component_id").union(
+        rows.where("root is null").select("doc_id", F.col("doc_id").alias("component_id")))
