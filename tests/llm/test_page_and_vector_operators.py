@@ -228,3 +228,19 @@ def test_pipeline_stages(spark, tmp_path):
     left = {r.doc_id for r in result.collect()}
     assert left and not left & {200, 201, 202, 8, 16} and documents()
     assert toxicity.held_out is not None
+
+
+def test_near_duplicates_are_removed_by_row_and_not_by_id(spark):
+    import random
+
+    from tests.llm.builders import paragraph
+
+    rng = random.Random(31)
+    texts = [paragraph(rng, 25) for _ in range(6)]
+    edited = texts[0].replace(texts[0].split()[40], "changed", 1)
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[2]), (7, texts[2]), (8, edited), (None, texts[3]), (None, texts[3]),
+            (None, texts[1]), (9, texts[4]), (5, texts[5]), (9, texts[5]), (None, ""), (None, ""), (3, " "), (3, " ")]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(7, texts[0]), (7, texts[1]), (7, texts[2]), (None, texts[3]), (9, texts[4]), (5, texts[5]),
+                           (None, ""), (None, ""), (3, " ")])

@@ -353,3 +353,28 @@ def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     named = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.where("root is not null").join(named, "root").select("doc_id", "component_id").union(
         rows.where("root is null").select("doc_id", F.col("doc_id").alias("component_id")))
+
+
+def one_per_group(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which rows stay, as ``(doc_id, k1, k2)``: one of each group, and all without words.
+
+    Of a group it is the row with the smallest doc_id (null last), then k1 and k2. The second table has
+    those of them that stand for several equal rows, of which one stays; rows with neither id nor words
+    are not equal to each other.
+    """
+    scratch = Scratch(docs.sparkSession, "copies")
+    rows = scratch.keep(near_groups(docs, scratch), "groups")
+    chosen = rows.where("root is not null").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")).alias("row")).select(
+        "row.doc_id", "row.k1", "row.k2")
+    kept = scratch.keep(chosen.union(rows.where("root is null").select("doc_id", "k1", "k2").distinct()), "kept")
+    repeated = rows.where("doc_id is not null or root is not null").groupBy("doc_id", "k1", "k2").agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return kept, scratch.keep(same_rows(repeated, kept, "left_semi"), "repeated")
+
+
+def same_rows(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+    """Join by doc_id and text key; null ids are equal."""
+    a, b, c = (F.col(f"_{i}") for i in range(3))
+    return rows.join(others.toDF("_0", "_1", "_2"), F.col("doc_id").cast("bigint").eqNullSafe(a)
+                     & (F.col("k1") == b) & (F.col("k2") == c), how)
