@@ -266,6 +266,33 @@ def test_contamination_of_and_by_empty_tables(spark, docs, empty):
     assert decontamination.mark(docs, bench.limit(0)).where("size(contaminated_by) > 0").count() == 0
 
 
+def test_masks_hit_every_tolerated_pattern():
+    from itertools import combinations
+
+    for size in range(1, 14):
+        changed = size - decontamination.agreeing(size, 0.8)
+        masks = decontamination.family(size, changed)
+        for gone in combinations(range(size), changed):
+            assert any(all(i + s not in gone for i, c in enumerate(m) if c == "1")
+                       for m in masks for s in range(size - len(m) + 1)), (size, gone)
+
+
+def test_short_items_and_each_pattern_of_changed_words_are_found(spark):
+    bench = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 14)]
+    texts, want = [], []
+    for n, item in bench:
+        changed = {*()} if n < 6 else {0, n // 2} if n > 9 else {n // 2}
+        for gone in [(), changed, (3, 7) if n == 13 else (), (4, 6) if n == 13 else ()]:
+            texts.append("before " + " ".join("zz" if k in gone else w for k, w in enumerate(item.split())) + " after")
+            want.append([n])
+        if 1 < n < 6:  # not exact
+            texts.append(" ".join(item.split()[:-1]) + " zz")
+            want.append([])
+    got = decontamination.mark(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]),
+                               spark.createDataFrame(bench, "item_id long, text string"))
+    assert {r.doc_id: r.contaminated_by for r in got.collect()} == dict(enumerate(want))
+
+
 # Toxicity
 
 

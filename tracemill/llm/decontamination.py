@@ -9,13 +9,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-# Six tokens are read by each mask; 0 is ignored.
+# Six tokens are read by each mask; 0 is ignored. `family` adds what these miss.
 MASKS = ("111111", "11011011", "1010110101")
+# Shorter items must be copied exactly.
+SHORTEST = 6
+# A family of more masks gives way to lighter masks, and more patterns than that to runs.
+_MOST_MASKS, _MOST_PATTERNS = 6, 2000
 # A hit counts if some aligned run of this many tokens (the whole item, if shorter) agrees to this share.
 WINDOW = 13
 SIMILARITY = 0.8
@@ -29,6 +35,51 @@ _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _FILTER_BITS = 20
 
 
+def agreeing(size: int, similarity: float) -> int:
+    """Tokens of ``size`` that must agree."""
+    return size if size < SHORTEST else math.ceil(similarity * size)
+
+
+def _fits(mask: str, size: int) -> list[int]:
+    """The mask at all its places in ``size`` tokens, as bits."""
+    return [int(mask, 2) << shift for shift in range(size - len(mask) + 1)]
+
+
+@lru_cache
+def family(size: int, tolerated: int, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
+    """Masks of which one fits between any ``tolerated`` changed tokens of ``size``, proven by enumeration.
+
+    ``masks`` come first; what they miss is hit by the best further masks of as many tokens as possible.
+    """
+    if not tolerated:
+        return masks if any(len(m) <= size for m in masks) else ("1" * size,)
+    if math.comb(size, tolerated) > _MOST_PATTERNS:
+        # Some run between the changed tokens has at least its share of the others.
+        return masks + ("1" * -(-(size - tolerated) // (tolerated + 1)),)
+    patterns = [sum(1 << i for i in at) for at in combinations(range(size), tolerated)]
+
+    def hit(mask: str) -> set[int]:
+        places = _fits(mask, size)
+        return {p for p in patterns if any(not p & place for place in places)}
+
+    first = tuple(m for m in masks if len(m) <= size)
+    missed = set(patterns).difference(*map(hit, first))
+    for weight in range(min(6, size - tolerated), 0, -1):
+        found, left = first, set(missed)
+        choice = {} if not left else {
+            mask: hit(mask) for length in range(weight, size + 1) for inner in combinations(range(1, length - 1), max(0, weight - 2))
+            for mask in ["".join("1" if i in (0, length - 1, *inner) else "0" for i in range(length))]
+            if mask.count("1") == weight}
+        while left and len(found) < _MOST_MASKS:
+            best = max(choice, key=lambda m: (len(choice[m] & left), m), default=None)
+            if best is None or not choice[best] & left:
+                break
+            found, left = found + (best,), left - choice[best]
+        if not left:
+            return found
+    raise ValueError("no family of masks")  # a mask of one token always fits
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -90,20 +141,25 @@ def _seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     for place, read in enumerate(mask):
         if read == "1":
             found = found * np.uint64(_MIX[0]) + hashes[place:place + n]
-    return found * np.uint64(_MIX[1]) ^ np.uint64(MASKS.index(mask) if mask in MASKS else len(mask))
+    return found * np.uint64(_MIX[1]) ^ _scramble(np.uint64([int(mask, 2)]))
 
 
 class _Benchmark:
     """Seeds of a slice of the benchmark, sorted, with the item and token they start at."""
 
-    def __init__(self, items: list[tuple[int, str | None]], masks: tuple[str, ...]):
-        self.masks, self.ids = masks, [i for i, _ in items]
+    def __init__(self, items: list[tuple[int, str | None]], masks: tuple[str, ...], window: int, similarity: float):
+        self.ids = [i for i, _ in items]
         self.hashes, owner = tokens([t for _, t in items], _Powers())
         self.begins = np.searchsorted(owner, np.arange(len(items) + 1))
-        seeds, places = [], []
-        for mask in masks:
+        sizes = np.minimum(window, np.diff(self.begins, append=len(owner)))
+        # Each length of items has its own masks.
+        families = {n: family(n, n - agreeing(n, similarity), masks) for n in np.unique(sizes).tolist() if n}
+        self.masks = sorted({m for f in families.values() for m in f})
+        seeds, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for mask in self.masks:
             found = _seeds(self.hashes, mask)
-            own = owner[:len(found)] == owner[len(mask) - 1:len(mask) - 1 + len(found)]
+            used = np.isin(sizes, [n for n, f in families.items() if mask in f])
+            own = (owner[:len(found)] == owner[len(mask) - 1:len(mask) - 1 + len(found)]) & used[owner[:len(found)]]
             seeds.append(found[own])
             places.append(np.flatnonzero(own))
         seeds, places = np.concatenate(seeds), np.concatenate(places)
@@ -115,7 +171,7 @@ class _Benchmark:
 
     def hits(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (token of the texts, token of the benchmark) at which equal seeds start."""
-        left, right = [], []
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for mask in self.masks:
             found = _seeds(hashes, mask)
             at = np.flatnonzero(self.filter[found >> np.uint64(64 - _FILTER_BITS)])
@@ -146,7 +202,7 @@ def _verified(bench: _Benchmark, hashes: np.ndarray, owner: np.ndarray, n_texts:
         if high - low < size:
             continue
         same = np.concatenate([[0], np.cumsum(a[low + d:high + d] == b[low:high])])
-        if (same[size:] - same[:-size]).max() >= math.ceil(similarity * size):
+        if (same[size:] - same[:-size]).max() >= agreeing(size, similarity):
             found.setdefault(t, set()).add(bench.ids[i])
     return found
 
@@ -170,8 +226,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
     """Every row of ``docs`` with ``column``: the sorted ids of the benchmark items that it contains.
 
     An item is contained if somewhere ``window`` consecutive tokens of it (all of them, if it has fewer)
-    line up with the text and at least ``similarity`` of them agree. Items of fewer than six tokens have
-    no seed and are never found. Nulls and empty texts contain nothing; null or empty items are never
+    line up with the text and at least ``similarity`` of them agree. Items of fewer than six tokens must
+    be copied exactly. No such overlap is missed: see ``family``. Nulls and empty texts contain nothing; null or empty items are never
     found; a null item_id is left out of the list but its finding shows as a null in it. Repeated rows
     are judged alike, repeated items are listed once, empty tables give no findings. Other columns pass
     through; one named like ``column`` is replaced.
@@ -184,7 +240,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
     schema = T.StructType(list(out.schema.fields) + [T.StructField(column, T.ArrayType(T.LongType()))])
     result = out.withColumn(column, F.array().cast("array<bigint>"))
     for rows in _slices(spark, benchmark, slice_bytes):
-        sent = spark.sparkContext.broadcast(_Benchmark(rows, masks))
+        sent = spark.sparkContext.broadcast(_Benchmark(rows, masks, window, similarity))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             bench, powers = sent.value, _Powers()
