@@ -356,6 +356,18 @@ def test_the_product_automaton_equals_edit_distances():
             assert (found is None and not fits) or found == min(fits, default=None), word
 
 
+def test_terms_inside_tokens_and_beyond_64_letters_are_found(model):
+    lexicon = toxicity.Lexicon(model.words, model.stems)
+    clean = toxicity.features("garden", lexicon)
+    for text in ("you,moron,go", "idiot/moron", "stone...blockhead", "_moron_", "idiot!moron", "x" * 70 + "-moron",
+                 "garden," * 30 + "moron", "moron" + "n" * 80):
+        assert toxicity.features(text, lexicon)[0] > clean[0], text
+    two, one = (toxicity.features(t, lexicon)[0] for t in ("idiot/moron", "moron"))
+    assert two > one and toxicity.features("vermska,moron", lexicon)[0] > one
+    assert lexicon.words("n1ncomp*op,") == [("n1ncomp*op,", 2)]
+    assert toxicity.features("garden,stone/river", lexicon) == clean
+
+
 def test_toxicity_of_nulls_and_empty_tables(spark, model, empty):
     rows = frame(spark, [(1, None, None, None, None), (2, "", None, None, None)] * 2)
     assert len({r.toxicity for r in toxicity.score(rows, model).collect()}) == 1

@@ -36,8 +36,11 @@ WINDOW = 6
 EXACT, MISSPELT, QUOTED, ADDRESSED = 1.0, 0.7, 0.25, 1.5
 _CACHE = 200_000
 _LONGEST_WORD = 64
-_EDGES = re.compile(r"^[^\w$@*!]+|[^\w$@]+$")
+_EDGES = re.compile(r"^(?:[^\w$@*!]|_)+|(?:[^\w$@]|_)+$")
 _REPEATED = re.compile(r"(.)\1{2,}")
+# Words of a token with the punctuation around them; the signs $ @ * ! may stand inside a masked word.
+_INNER = re.compile(r"(?:[^\w$@*!]|_)*(?:[^\W_]|[$@*!])+(?:[^\w$@*!]|_)*")
+_LETTERS = re.compile(r"[\W_]*[^\W_]+[\W_]*")
 
 
 def edits_allowed(term: str, stem: bool) -> int:
@@ -135,14 +138,33 @@ class Lexicon:
             if len(self._cache) >= _CACHE:
                 self._cache.clear()
             word = _EDGES.sub("", token)
-            found = self.edits(word[:_LONGEST_WORD]) if word else None
+            found = self.edits(word) if word else None
             if found is None and (short := _REPEATED.sub(r"\1", word)) != word:
-                found = self.edits(short[:_LONGEST_WORD])
+                found = self.edits(short)
             if len(token) > 2 * _LONGEST_WORD:
                 return found
             self._cache[token] = found
         return self._cache[token]
 
+    def words(self, token: str) -> list[tuple[str, int | None]]:
+        """The token with its ``edits``, or its words with theirs if inner punctuation or signs part terms."""
+        if token.isalnum():
+            return [(token, self.token(token))]
+        inner = _INNER.findall(token)
+        out = [part for piece in inner for part in self._unmasked(piece)]
+        if len(inner) > 1 and all(e is None for _, e in out):
+            return [(token, self.token(token))]
+        return out or [(token, None)]
+
+    def _unmasked(self, piece: str) -> list[tuple[str, int | None]]:
+        """As ``words``, parted at the signs $ @ * ! as well: if these hide a term that the piece has not."""
+        whole, letters = (piece, self.token(piece)), _LETTERS.findall(piece)
+        if len(letters) > 1:
+            parts = [(p, self.token(p)) for p in letters]
+            if sum(e is not None for _, e in parts) > (whole[1] is not None):
+                return parts
+        return [whole]
+
 
 def _quoted(tokens: list[str], at: int) -> bool:
     """A quotation mark opens before or at the token, and one closes at or after it, within the window."""
@@ -154,9 +176,9 @@ def _quoted(tokens: list[str], at: int) -> bool:
 
 def features(text: str | None, lexicon: Lexicon) -> tuple[float, float, float, float]:
     """Abuse, quotation, abuse per hundred words and misspelling, each as a logarithm of one plus it."""
-    tokens = (text or "").lower().split()
-    look = lexicon.token
-    hits = [(i, e) for i, e in enumerate(map(look, tokens)) if e is not None]
+    words = [w for t in (text or "").lower().split() for w in lexicon.words(t)]
+    tokens = [t for t, _ in words]
+    hits = [(i, e) for i, (_, e) in enumerate(words) if e is not None]
     abuse = quoted = misspelt = 0.0
     for at, edits in hits:
         weight = EXACT if edits == 0 else MISSPELT
@@ -270,8 +292,8 @@ def probability(text: str | None, lexicon: Lexicon, weights: tuple[float, ...])
 def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
     """Every row of ``docs`` with ``column``, the probability that its whole text is toxic.
 
-    Only the text is used. Null and empty texts have no hit and get the score of that. Words beyond 64
-    letters are judged by these. Equal texts score equally, an empty table gives no rows, other columns
+    Only the text is used. Null and empty texts have no hit and get the score of that. Words of any
+    length are read whole, and words inside a token are looked up if punctuation parts them. Equal texts score equally, an empty table gives no rows, other columns
     pass through; one named like ``column`` is replaced.
     """
     out = docs.drop(column)
