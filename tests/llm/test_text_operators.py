@@ -217,6 +217,30 @@ def test_sentences_join_to_the_text():
         assert "".join(sentence_spans.sentences(text)) == text
 
 
+def test_repeated_passages_without_sentence_boundaries_are_cut(spark):
+    import random
+
+    rng = random.Random(41)
+
+    def words(n):
+        return " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+
+    def signs(n):
+        return "".join(chr(rng.randrange(0x4e00, 0x9f00)) for _ in range(n))
+
+    one, plain, long, dense = words(25) + ". ", words(300), words(120), signs(300)
+    chinese = "".join(signs(12) + "。" for _ in range(8))
+    rows = [(1, "A first text. " + one + "Its end."), (2, "Another text here. " + one + "More of it."),
+            (3, plain), (4, plain), (5, words(40) + " " + long + " " + words(40)), (6, words(33) + " " + long),
+            (7, chinese), (8, signs(20) + "。" + chinese), (9, dense), (10, signs(50) + dense), (11, "ab c " * 400),
+            (12, "ab c " * 400)]
+    got = {r.doc_id: r for r in sentence_spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].kept_text == "Another text here. More of it." and got[4].kept_text == "" and got[12].kept_text == ""
+    assert len(got[6].kept_text.split()) < 33 + 40 and len(got[8].kept_text) == 21 and len(got[10].kept_text) < 150
+    assert all(got[i].n_removed == 0 for i in (1, 3, 5, 7, 9))
+    assert all("".join(sentence_spans.sentences(t)) == t for _, t in rows)
+
+
 def test_sentence_spans_of_an_empty_table(empty):
     assert sentence_spans.without_repeats(empty).count() == 0
 

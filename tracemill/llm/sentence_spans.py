@@ -1,6 +1,6 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of consecutive sentences is hashed and the hashes are joined over the whole corpus. Of a
+Every run of consecutive sentences, and every long sentence alone, is hashed and the hashes are joined over the whole corpus. Of a
 repeated run the first occurrence stays; sentences covered by any other occurrence go.
 """
 
@@ -19,19 +19,75 @@ from tracemill.llm.scratch import Scratch
 # A run is the shortest one of at least so many sentences that holds at least so many words.
 MIN_SENTENCES = 2
 MIN_WORDS = 12
-_BOUNDARY = re.compile(r"[.!?]\s+|\n\s*")
+# A sentence of so many words is also a run alone; longer ones are cut at places their words choose.
+SINGLE_WORDS = 20
+LONG_WORDS = 32
+_BOUNDARY = re.compile(r"[.!?]\s+|\n\s*|[。！？｡．؟۔।॥።։][」』”’）]*\s*")
+# Scripts without spaces: each character is a unit. Other words are units, or their characters if very long.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_UNIT = re.compile(rf"[{_DENSE}]|[^\s{_DENSE}]+")
+_LONGEST_WORD = 32
+# Sizes in sixths of a word: a word, a character of a dense script, a character of a very long word.
+_WORD, _SIGN, _LETTER = 6, 3, 1
+# A cut stands where the hash of three units is the smallest among so many on both sides, or after so many words.
+_NEAR = {_WORD: 4, _SIGN: 8, _LETTER: 24}
+_FORCED_WORDS = 64
+_IS_DENSE = re.compile(f"[{_DENSE}]")
+
+
+def _units(text: str) -> list[tuple[int, int, int]]:
+    """``(begin, end, size)`` of the units of a text."""
+    found = []
+    for m in _UNIT.finditer(text):
+        a, b = m.span()
+        if b - a > _LONGEST_WORD:
+            found += [(i, i + 1, _LETTER) for i in range(a, b)]
+        else:
+            found.append((a, b, _SIGN if b - a == 1 and _IS_DENSE.match(text, a) else _WORD))
+    return found
+
+
+def _size(text: str) -> int:
+    """Sixths of words in a text."""
+    words = text.split()
+    if text.isascii() and max(map(len, words), default=0) <= _LONGEST_WORD:
+        return _WORD * len(words)
+    return sum(u[2] for u in _units(text))
+
+
+def _cuts(text: str) -> list[int]:
+    """Places inside a long piece at which it is cut. They depend on a few units around them only, so
+    equal passages are cut alike in any surroundings; the forced cut serves texts of one repeated word."""
+    units = _units(text)
+    parts = [text[a:b].encode("utf-8", "surrogatepass") for a, b, _ in units]
+    hashes = [xxhash.xxh32_intdigest(b"\0".join(parts[max(0, i - 2):i + 1])) for i in range(len(parts))]
+    cuts, held = [], 0
+    for i, (_, _, size) in enumerate(units[:-1]):
+        held += size
+        near = _NEAR[size]
+        if held >= _FORCED_WORDS * _WORD or near <= i and hashes[i] < min(hashes[i - near:i]) and \
+                hashes[i] <= min(hashes[i + 1:i + near + 1]):
+            cuts.append(units[i + 1][0])
+            held = 0
+    return cuts
 
 
 def sentences(text: str | None) -> list[str]:
     """The pieces of a text, ending after sentence marks or line breaks with the space that follows.
 
-    Joined they are the text again. Null and empty texts have none.
+    Pieces of more than LONG_WORDS words are cut by ``_cuts``. Joined they are the text again. Null and
+    empty texts have none.
     """
     text = text or ""
     ends = [m.end() for m in _BOUNDARY.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
-    return [text[a:b] for a, b in zip([0, *ends], ends) if a < b]
+    pieces = []
+    for a, b in zip([0, *ends], ends):
+        piece = text[a:b]
+        at = [0, *(_cuts(piece) if len(piece) > LONG_WORDS and _size(piece) > LONG_WORDS * _WORD else ()), len(piece)]
+        pieces += [piece[x:y] for x, y in zip(at, at[1:]) if x < y]
+    return pieces
 
 
 def _key(text: str | None) -> tuple[int, int]:
@@ -48,23 +104,35 @@ def _long(start: int) -> "F.Column":
 
 
 def runs(pieces: list[str], min_sentences: int, min_words: int) -> list[tuple[int, int, bytes]]:
-    """``(first, last, digest)`` of the run that starts at each sentence; runs that the text cannot
-    complete are left out. White space does not count."""
+    """``(first, last, digest)`` of the run that starts at each sentence, of the shortest run up to the
+    end, and of each sentence of SINGLE_WORDS; runs that the text cannot complete are left out. White
+    space does not count."""
     words = [p.split() for p in pieces]
     # Pieces without words (blank lines) neither start a run nor count as sentences.
     full = [i for i, w in enumerate(words) if w]
     texts = [" ".join(words[i]).encode("utf-8", "surrogatepass") for i in full]
-    counts = [len(words[i]) for i in full]
+    counts = [_size(pieces[i]) for i in full]
+    least = min_words * _WORD
+
+    def digest(begin: int, end: int) -> tuple[int, int, bytes]:
+        return full[begin], full[end - 1], xxhash.xxh3_128_digest(b"\n".join(texts[begin:end]))
+
     found, end, held = [], 0, 0
     for begin in range(len(full)):
-        while end < len(full) and (held < min_words or end - begin < min_sentences):
+        while end < len(full) and (held < least or end - begin < min_sentences):
             held += counts[end]
             end += 1
-        if held < min_words or end - begin < min_sentences:
+        if held < least or end - begin < min_sentences:
             break
-        found.append((full[begin], full[end - 1], xxhash.xxh3_128_digest(b"\n".join(texts[begin:end]))))
+        found.append(digest(begin, end))
         held -= counts[begin]
-    return found
+    if found and found[-1][1] < full[-1]:
+        begin, held = len(full), 0
+        while held < least or len(full) - begin < min_sentences:
+            begin -= 1
+            held += counts[begin]
+        found.append(digest(begin, len(full)))
+    return found + [digest(i, i + 1) for i, n in enumerate(counts) if n >= SINGLE_WORDS * _WORD]
 
 
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
