@@ -1,6 +1,6 @@
 """DuckDB statements with the results of the registered queries that SQL can express."""
 
-from tracemill.llm import mixing, sharding
+from tracemill.llm import fill_in_middle, mixing, sharding
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -83,4 +83,24 @@ scored AS (
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_fill_in_middle": f"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('{fill_in_middle.SALT}' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+drawn AS (
+  SELECT doc_id, t, length(t)::BIGINT AS n, CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1,
+         CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3,
+         CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4 FROM hashed),
+cut AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                OR h3 % 100 >= {fill_in_middle.PLAIN_FROM} THEN 'plain'
+              WHEN h4 % 100 < {fill_in_middle.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM parts""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracemill.llm import (
-    decontamination, mixing, sentence_spans, sharding, simhash, suffix_dedup, topk, toxicity, url_filter, warc,
+    decontamination, fill_in_middle, mixing, sentence_spans, sharding, simhash, suffix_dedup, topk, toxicity, url_filter, warc,
 )
 
 
@@ -68,6 +68,16 @@ def op10_sentence_spans(spark, sf_dir):
         "doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    made = fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"),
+        F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"),
+        F.sha2("fim_text", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored("fim_text", "fim_form"), 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mixing, op2_extendible_sharding, op3_toxicity, op4_url_filter, op5_suffix_dedup,
-    op6_cover_tree_topk, op7_decontamination, op8_simhash, op9_warc, op10_sentence_spans)}
+    op6_cover_tree_topk, op7_decontamination, op8_simhash, op9_warc, op10_sentence_spans,
+    op11_fill_in_middle)}
