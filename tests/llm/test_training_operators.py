@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.builders import documents, frame, with_clashes
-from tracemill.llm import fill_in_middle as fim
+from tracemill.llm import fill_in_middle as fim, whitening
 
 # Fill in the middle
 
@@ -74,3 +74,83 @@ def test_examples_of_awkward_tables(spark):
     made = fim.transform(docs)
     assert made.columns == [c for c in docs.columns if c != "fim_form"] + list(fim.ADDED)
     assert made.count() == len(documents()) and {r.fim_form for r in made.collect()} <= {"plain", "psm", "spm"}
+
+
+# Whitening
+
+VECTORS = "vec_id bigint, embedding array<float>, label int"
+
+
+def vectors(n=90, dim=12, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim)) * np.linspace(0.2, 1.5, dim)
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
+    odd = [(900, None, 1), (901, [1.0, None] + [0.0] * (dim - 2), 1), (902, [float("nan")] * dim, 1),
+           (903, [float("inf")] + [0.0] * (dim - 1), 1), (904, [], 1), (905, [0.5, -0.25], 1), (906, [1e30] * dim, 1)]
+    return rows + odd + [rows[0], rows[0], (None, rows[1][1], None)]
+
+
+def brute_whitening(rows, dim, k):
+    """Ids, exact deviations, whitened columns up to sign, and shares of variance."""
+    fine = [(i, [float(np.float32(c)) for c in v] + [0.0] * (dim - len(v))) for i, v, _ in rows
+            if v is not None and all(c is not None and abs(c) < 2 ** 31 for c in v)]
+    x = np.array([[int(np.floor(1024 * c)) + 100_000 for c in v] for _, v in fine], dtype=object)
+    n, sums = len(x), x.sum(0)
+    deviation = ((n * x - sums) ** 2).sum(1)
+    centred = ((n * x - sums) / n).astype(float)
+    values, basis = np.linalg.eigh(centred.T @ centred / n)
+    values, basis = values[::-1][:k], basis[:, ::-1][:, :k]
+    return [i for i, _ in fine], deviation, centred @ basis / np.sqrt(values), values / np.trace(centred.T @ centred / n)
+
+
+@pytest.mark.parametrize("dim,k", [(12, 8), (3, 8), (40, 2)])
+def test_whitened_vectors_equal_a_dense_decomposition(spark, monkeypatch, dim, k):
+    monkeypatch.setattr(whitening, "BLOCK_ROWS", 16)
+    rows = vectors(dim=dim)
+    got = whitening.whiten(spark.createDataFrame(rows, VECTORS).repartition(3), k).toPandas()
+    ids, deviation, whitened, explained = brute_whitening(rows, dim, min(k, dim))
+    assert len(got) == len(ids) * min(k, dim) and (got["n"] == len(ids)).all()
+    assert got["identity_error"].nunique() == 1 and got["identity_error"][0] < 1e-10
+    for c in range(min(k, dim)):
+        part = got[got.component == c + 1]
+        key = lambda i, d, w: (-1 if i is None or i != i else int(i), int(d), round(float(w), 7) + 0.0)
+        want = [sorted(key(*r) for r in zip(ids, deviation, sign * whitened[:, c])) for sign in (1, -1)]
+        assert sorted(key(*r) for r in zip(part.vec_id, part.deviation, part.whitened)) in want
+        assert np.allclose(part.explained, explained[c], rtol=1e-10)
+
+
+def test_whitening_without_variance(spark):
+    for rows in ([], [(1, [1.0, 2.0], 0)], [(i, [1.0, 2.0], 0) for i in range(5)], [(1, None, 0)], [(1, [], 0)]):
+        got = whitening.whiten(spark.createDataFrame(rows, VECTORS))
+        assert got.columns[0] == "vec_id" and got.count() == 0
+    # Three vectors span a plane: two components.
+    flat = whitening.whiten(with_clashes(spark.createDataFrame(
+        [(i, [float(i == j) for j in range(9)], 0) for i in range(3)], VECTORS))).collect()
+    assert sorted((r.vec_id, r.component) for r in flat) == [(i, c) for i in range(3) for c in (1, 2)]
+
+
+def test_deviations_beyond_63_bits_are_null_and_others_exact():
+    x = np.array([[1 << 40, 0], [0, 1 << 20]], dtype=np.int64)
+    d = whitening._deviations(x, 1 << 25, np.array([1 << 60, 5], dtype=object))
+    assert d.tolist() == [[(1 << 65) - (1 << 60), -5], [-(1 << 60), (1 << 45) - 5]]
+    assert whitening._squares(d) == [None, None]
+    assert whitening._squares(np.array([[3, -4], [2 << 30, 1 << 30]])) == [25, 5 << 60]
+
+
+def test_jacobi_davidson_finds_clustered_and_repeated_eigenvalues():
+    rng = np.random.default_rng(2)
+    values = np.concatenate([[5, 5, 5 - 1e-9, 4.999], np.linspace(1, 4.99, 196)])
+    basis = np.linalg.qr(rng.standard_normal((200, 200)))[0]
+    matrix = (basis * values) @ basis.T
+    found, directions = whitening.jacobi_davidson(lambda u: matrix @ u, 200, 6)
+    assert np.allclose(found, np.sort(values)[::-1][:6], rtol=1e-13, atol=0)
+    assert np.abs(matrix @ directions - directions * found).max() < 1e-12
+    assert np.allclose(directions.T @ directions, np.eye(6), atol=1e-13)
+
+
+def test_minres_solves_indefinite_systems_side_by_side():
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal((30, 30))
+    a, shifts, right = a + a.T, np.array([0.0, 3.0, -2.0]), rng.standard_normal((30, 3))
+    x = whitening.minres(lambda v: a @ v - v * shifts, right, 200, 1e-12)
+    assert np.allclose(a @ x - x * shifts, right, atol=1e-8)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracemill.llm import (
     decontamination, fill_in_middle, mixing, sentence_spans, sharding, simhash, suffix_dedup, topk, toxicity, url_filter, warc,
+    whitening,
 )
 
 
@@ -77,7 +78,11 @@ def op11_fill_in_middle(spark, sf_dir):
         F.sha2(fill_in_middle.restored("fim_text", "fim_form"), 256).alias("restored_sha256"))
 
 
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mixing, op2_extendible_sharding, op3_toxicity, op4_url_filter, op5_suffix_dedup,
     op6_cover_tree_topk, op7_decontamination, op8_simhash, op9_warc, op10_sentence_spans,
-    op11_fill_in_middle)}
+    op11_fill_in_middle, op12_whitening)}
