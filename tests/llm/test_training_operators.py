@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tests.llm.builders import documents, frame, with_clashes
-from tracemill.llm import fill_in_middle as fim, whitening
+from tracemill.llm import fill_in_middle as fim, language_model as lm, whitening
 
 # Fill in the middle
 
@@ -104,10 +106,9 @@ def brute_whitening(rows, dim, k):
 
 
 @pytest.mark.parametrize("dim,k", [(12, 8), (3, 8), (40, 2)])
-def test_whitened_vectors_equal_a_dense_decomposition(spark, monkeypatch, dim, k):
-    monkeypatch.setattr(whitening, "BLOCK_ROWS", 16)
+def test_whitened_vectors_equal_a_dense_decomposition(spark, dim, k):
     rows = vectors(dim=dim)
-    got = whitening.whiten(spark.createDataFrame(rows, VECTORS).repartition(3), k).toPandas()
+    got = whitening.whiten(spark.createDataFrame(rows, VECTORS).repartition(3), k, block_rows=16).toPandas()
     ids, deviation, whitened, explained = brute_whitening(rows, dim, min(k, dim))
     assert len(got) == len(ids) * min(k, dim) and (got["n"] == len(ids)).all()
     assert got["identity_error"].nunique() == 1 and got["identity_error"][0] < 1e-10
@@ -154,3 +155,89 @@ def test_minres_solves_indefinite_systems_side_by_side():
     a, shifts, right = a + a.T, np.array([0.0, 3.0, -2.0]), rng.standard_normal((30, 3))
     x = whitening.minres(lambda v: a @ v - v * shifts, right, 200, 1e-12)
     assert np.allclose(a @ x - x * shifts, right, atol=1e-8)
+
+
+# Language model
+
+
+def brute_scores(rows, order):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) from plain counts."""
+    texts = []
+    for doc_id, text, *_ in rows:
+        held = zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
+        texts.append((doc_id, held, (text or "").encode().lower().split() + [None]))
+    counts = [Counter() for _ in range(order)]
+    for _, held, words in texts:
+        for k in range(order if not held else 0):
+            counts[k].update(tuple(words[i - k:i + 1]) for i in range(k, len(words)))
+    stats = np.zeros((order, 66))
+    for k, c in enumerate(counts):
+        stats[k, :2] = len(c), sum(n == 1 for n in c.values())
+        for n in c.values():
+            stats[k, 2 + n.bit_length() - 1] += n
+    curve = lm.Smoothing.of(stats)
+    n, v = sum(counts[0].values()), len(counts[0])
+
+    def probability(context, word):
+        if not context:
+            return (counts[0][(word,)] + 1) / (n + v + 1)
+        shorter, held = probability(context[1:], word), counts[len(context) - 1][context]
+        if not held:
+            return shorter
+        left = 1 / (1 + curve.slopes[len(context) - 1] * np.log1p(held))
+        return (1 - left) * counts[len(context)][(*context, word)] / held + left * shorter
+
+    return [(d, held, len(w), sum(counts[0][(x,)] > 0 for x in w), n,
+             sum(np.log10((counts[0][(x,)] + 1) / (n + v + 1)) for x in w),
+             sum(np.log10(probability(tuple(w[max(0, i - order + 1):i]), x)) for i, x in enumerate(w)))
+            for d, held, w in texts], probability, counts
+
+
+def lm_rows():
+    rng = random.Random(8)
+    words = ["Alpha", "beta", "BETA", "gamma", "Ünit", "ünit", "x y", "d.", "漢字"]
+    texts = [" \t\n\r\x0b\x0c"[i % 6].join(rng.choices(words, [40, 20, 9, 5, 4, 3, 2, 2, 1], k=rng.randrange(30))) for i in range(120)]
+    texts += ["beta alpha " * 300, "w" * 5000 + " alpha", "only here", " alpha ", texts[0], texts[0]]
+    return [(i, t, None, None, None) for i, t in enumerate(texts)] + documents(n=15)
+
+
+@pytest.mark.parametrize("order,block,part,piece", [(1, 500, 1 << 21, 1 << 20), (2, 2_000_000, 1 << 21, 1 << 20),
+                                                     (2, 150, 40, 64), (3, 70, 300, 200), (4, 50, 1000, 30)])
+def test_scores_equal_plain_counts(spark, order, block, part, piece):
+    rows = lm_rows()
+    got = lm.score(frame(spark, rows).repartition(2), order, block_tokens=block, part_keys=part, piece_bytes=piece).collect()
+    want, _, _ = brute_scores(rows, order)
+    key = lambda r: repr(tuple(r[:5]))
+    got, want = sorted(map(tuple, got), key=lambda r: (key(r), r[6])), sorted(want, key=lambda r: (key(r), r[6]))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
+    assert order == 1 or sum(r[6] for r in got if r[1]) > sum(r[5] for r in got if r[1])
+
+
+def test_probabilities_of_all_words_add_up_to_one():
+    rows = lm_rows()[:100]
+    _, probability, counts = brute_scores(rows, 3)
+    for context in [(), (b"beta",), (b"alpha", b"beta"), (b"never",), *list(counts[1])[:20]]:
+        if context[-1:] != (None,):
+            assert np.isclose(sum(probability(context, w[0]) for w in counts[0]) + probability(context, b"never seen"), 1)
+
+
+def test_a_long_text_is_read_alike_in_stretches_of_any_length():
+    packer = lm._Packer(3, 10 ** 9, 100, None)
+    rng = random.Random(1)
+    list(packer.add(0, 1, False, " ".join(rng.choices("abcdefg", k=500)).encode()))
+    block = {**packer.lists, "tokens": np.concatenate(packer.tokens).tobytes(),
+             "words": np.arange(len(packer.vocabulary), dtype=np.uint64).tobytes()}
+    runs = lm._Runs(block, 3)
+    totals = [runs.counts(k) for k in (1, 2, 3)]
+    automaton = lm.Automaton(runs, totals, lm.Smoothing(501, 8, (0.3, 0.5)))
+    assert np.allclose([automaton.read(runs, lane)[0] for lane in (1, 2, 7, 100, 4096)], automaton.read(runs)[0])
+
+
+def test_scores_of_awkward_tables(spark):
+    assert lm.score(frame(spark, [])).count() == 0
+    only_held = [(i, "a b a", None, None, None) for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score(frame(spark, only_held)).collect()} == {(0, 0, 0.0, 0.0)}
+    got = lm.score(with_clashes(frame(spark, documents())).selectExpr("*", "1 AS held", "2 AS block", "3 AS tokens"))
+    assert got.count() == len(documents()) and got.where("score > 0 or score is null").count() == 0
+    assert [r.n_tokens for r in lm.score(frame(spark, [(None, None, None, None, None)])).collect()] == [1]

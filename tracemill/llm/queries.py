@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracemill.llm import (
-    decontamination, fill_in_middle, mixing, sentence_spans, sharding, simhash, suffix_dedup, topk, toxicity, url_filter, warc,
-    whitening,
+    decontamination, fill_in_middle, language_model, mixing, sentence_spans, sharding, simhash, suffix_dedup, topk,
+    toxicity, url_filter, warc, whitening,
 )
 
 
@@ -82,7 +82,12 @@ def op12_whitening(spark, sf_dir):
     return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_language_model(spark, sf_dir):
+    return language_model.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mixing, op2_extendible_sharding, op3_toxicity, op4_url_filter, op5_suffix_dedup,
     op6_cover_tree_topk, op7_decontamination, op8_simhash, op9_warc, op10_sentence_spans,
-    op11_fill_in_middle, op12_whitening)}
+    op11_fill_in_middle, op12_whitening,
+    op13_language_model)}

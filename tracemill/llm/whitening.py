@@ -45,14 +45,14 @@ def _clean(vectors: DataFrame) -> DataFrame:
     return vectors.where(v.isNotNull()).where(fine).select("vec_id", F.transform(v, _double).alias("v"))
 
 
-def _packed(clean: DataFrame, dim: int) -> DataFrame:
+def _packed(clean: DataFrame, dim: int, block_rows: int) -> DataFrame:
     """Blocks of rows: ids, and the whole numbers floor(SCALE * c) + OFFSET. Short vectors end in zeros."""
     kind = clean.schema["vec_id"].dataType
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for begin in range(0, len(whole), BLOCK_ROWS):
-                batch = whole.slice(begin, BLOCK_ROWS)
+            for begin in range(0, len(whole), block_rows):
+                batch = whole.slice(begin, block_rows)
                 lists = batch.column(1)
                 lengths = np.diff(lists.offsets.to_numpy())
                 cells = np.zeros((len(batch), dim))
@@ -272,7 +272,7 @@ def _identity_error(centred: DataFrame, dim: int, model: Whitening) -> float:
     return float(np.abs(_summed(centred, dim, (k, k), products) / model.n - np.eye(k)).max())
 
 
-def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
+def whiten(vectors: DataFrame, components: int = COMPONENTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(vec_id, component, n, deviation, whitened, explained, identity_error)``, a row per vector and component.
 
     Each entry c of ``embedding`` becomes x = floor(1024 c) + 100000; all vectors are the fit list.
@@ -294,7 +294,7 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
         return spark.createDataFrame([], schema)
     n, dim = size.n, size.dim
     scratch = Scratch(spark, "whitening")
-    packed = scratch.keep(_packed(clean, dim), "packed")
+    packed = scratch.keep(_packed(clean, dim, block_rows), "packed")
     sums = _summed(packed, dim, (dim,), lambda x: x.sum(0), np.int64)
     centred = scratch.keep(_centred(packed, dim, n, sums), "centred")
     scratch.drop(packed)
