@@ -678,6 +678,25 @@ STATEMENTS = {
           CAST(sum(lost) OVER q AS BIGINT) AS lost_events FROM tel WINDOW q AS (PARTITION BY run_id ORDER BY pos))
         SELECT run_id, true AS collector_connected, CAST(arg_max(records, pos) AS DOUBLE) * 1000000000 / greatest(1, arg_max(m, pos)) AS event_rate,
           arg_max(lost_events, pos) AS lost_events, true AS recording FROM h GROUP BY 1""",
+    "ingest_runs": f"""
+WITH {TEL},
+cut AS (SELECT max(pos) + 1 AS n FROM tel),
+dealt AS (
+  SELECT run_id, tgid > 0 AS good, ts_ns, lost, (pos >= n // 5)::INT + (pos >= 2 * n // 5)::INT + (pos >= 3 * n // 5)::INT
+    + (pos >= 4 * n // 5)::INT AS batch_id FROM tel, cut),
+news AS (
+  -- A process id of 0 breaks the contract: such records do not count and mark their run.
+  SELECT run_id, batch_id, count(*) FILTER (good) AS n, max(ts_ns) FILTER (good) AS last_ns,
+    coalesce(sum(lost) FILTER (good), 0) AS lost, bool_or(NOT good) AS bad FROM dealt GROUP BY ALL
+  UNION ALL SELECT DISTINCT run_id, unnest([1, 5]), 0, 0, 0, false FROM tel),
+grown AS (
+  SELECT DISTINCT run_id, batch_id,
+    CAST(sum(n) OVER w AS BIGINT) AS records, max(last_ns) OVER w AS last_ns, CAST(sum(lost) OVER w AS BIGINT) AS lost_events,
+    bool_or(bad) OVER w AS bad
+  FROM news WINDOW w AS (PARTITION BY run_id ORDER BY batch_id))
+SELECT CAST(batch_id AS BIGINT) AS batch_id, run_id, records,
+  CASE WHEN batch_id = 5 THEN 0.0 WHEN batch_id >= 1 THEN records * 1e9 / greatest(last_ns, 1) END AS event_rate,
+  lost_events, batch_id < 5 AS connected, batch_id < 5 AS recording,
+  CASE WHEN bad THEN 'a record breaks the contract' END AS error
+FROM grown""",
 }
-STATEMENTS["stream_windows"] = STATEMENTS["feature_windows_full"]
-STATEMENTS["stream_windows_batches"] = STATEMENTS["feature_windows_full"]

@@ -10,6 +10,8 @@ from tracemill.operators import (
 from tracemill.plans import table_views as views
 from tracemill.plans.table_views import DAY_NS, HOUR_NS
 from tracemill.sources import recordings, sinks, tables
+from tracemill.streaming import open_runs
+from tracemill.streaming.ingest import RunIngest, stream_lines
 from tracemill.streaming.windows import WindowStream
 from tracemill.schemas import WINDOW_KEY
 from tracemill.session import shared_folder, written
@@ -650,6 +652,25 @@ def stream_windows_batches(spark, sf_dir):
     return _longs(stream.windows(spark).withColumn("quality", F.array_join("quality", ",")))
 
 
+def ingest_runs(spark, sf_dir):
+    """Health of open runs after each of six arrivals of JSON lines; run starts come with the second, ends last."""
+    folder = shared_folder(spark, "open-runs")
+    records = views.telemetry(spark, sf_dir).withColumn("filename", F.when(F.col("type") == "event", ""))
+    starts, ends = views.envelope_records(views.run_bounds(records))
+    starts = starts.withColumn("source", F.lit("live"))
+    ends = ends.withColumns({"collector_sequence": F.lit(1 << 40), "status": F.lit("complete"),
+                             "total_lost_events": F.lit(0).cast("bigint")})
+    last = records.agg(F.max("pos")).first()[0] or 0
+    live = RunIngest(f"{folder}/state")
+    for number in range(6):
+        low, high = number * (last + 1) // 5, (number + 1) * (last + 1) // 5
+        part = records.filter((F.col("pos") >= low) & (F.col("pos") < high))
+        part = ends if number == 5 else part.unionByName(starts) if number == 1 else part
+        sinks.canonical_lines(part).select("value").write.mode("append").text(f"{folder}/lines")
+        live.watch(stream_lines(spark, f"{folder}/lines"), f"{folder}/checkpoint").awaitTermination()
+    return live.open_runs().log(spark).select("batch_id", *open_runs.FIELDS)
+
+
 def republished_state(spark, sf_dir):
     """Predictions and alerts after all runs but one were published again, at a higher threshold and
     with fewer windows."""

@@ -298,6 +298,18 @@ def telemetry_records(parsed: DataFrame) -> DataFrame:
     ])
 
 
+def progress_records(parsed: DataFrame) -> DataFrame:
+    """What the health of an open run needs of every record; ``bad`` marks records that break the contract."""
+    bad = "size(violations) > 0"
+
+    def integer(name: str) -> str:
+        return f"IF({bad}, NULL, try_variant_get(x_{name}, '$', 'bigint')) AS {name}"
+
+    return parsed.filter("type IS NULL OR type NOT IN ('process_identity', 'feature_window')").selectExpr(
+        f"{_text('run_id')} AS run_id", "type", *[
+            integer(n) for n in ("timestamp_ns", "lost_events", "capture_start_ns")], f"{bad} AS bad")
+
+
 def feature_windows(parsed: DataFrame) -> DataFrame:
     """Feature windows only; ``violations`` also names foreign records and wrong window ids."""
     flat = parsed.selectExpr(

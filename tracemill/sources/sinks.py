@@ -10,6 +10,7 @@ from tracemill.functions.json_text import json_string
 from tracemill.functions.ordered import BUCKET_ROWS, order_bucket, running
 from tracemill.operators import labelled, serving
 from tracemill.schemas import CONTRACT_VERSION
+from tracemill.session import shared_folder, written
 
 RESULT_TABLES = ("windows", "predictions", "alerts")
 
@@ -18,6 +19,11 @@ class ByteBudgetExceeded(RuntimeError):
     """At least one recording does not fit its byte budget."""
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def _text(name: str) -> str:
     return json_string(name, ascii_only=False)
 
@@ -191,6 +197,20 @@ def publish_runs(
         spark.catalog.refreshByPath(f"{path}/{name}")
 
 
+def withdraw_runs(refused: DataFrame, path: str) -> None:
+    """Take published runs out of sight of readers; runs that were never published stay unknown."""
+    spark = refused.sparkSession
+    if not path_exists(spark, f"{path}/runs"):
+        return
+    # The schema is given, since a first publication may have been empty.
+    shape = "source string, started_ns bigint, status string, version string, run_id string"
+    stored = spark.read.schema(shape).parquet(f"{path}/runs").filter("status = 'complete'").join(
+        refused.select("run_id").distinct(), "run_id", "left_semi")
+    # A partition cannot be replaced while it is read; there is one row per run.
+    _replace(written(stored.withColumn("status", F.lit("withdrawn")), "withdrawn"), f"{path}/runs")
+    spark.catalog.refreshByPath(f"{path}/runs")
+
+
 def _replace(table: DataFrame, path: str) -> None:
     """Replace the run partitions a table holds; a large run is spread over several tasks."""
     table.hint("rebalance", "run_id").write.mode("overwrite").option(
@@ -224,8 +244,6 @@ def upsert(changes: DataFrame, path: str, keys: list[str]) -> None:
     partition cannot be overwritten while it is read.
     """
     spark = changes.sparkSession
-    from tracemill.session import shared_folder
-
     newest = changes
     try:
         touched = changes.select("run_id").distinct()

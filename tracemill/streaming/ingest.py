@@ -12,6 +12,7 @@ from tracemill.operators import health, score, validate, windows as ops
 from tracemill.schemas import DEFAULT_THRESHOLD, SECOND_NS, TELEMETRY, WINDOW_NS
 from tracemill.session import written
 from tracemill.sources import recordings, sinks
+from tracemill.streaming.open_runs import IDLE_MS, OpenRuns
 
 
 def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -70,6 +71,7 @@ class RunIngest:
         runs = accepted.select(
             "run_id", "source", F.col("capture_start_ns").alias("started_ns"), F.lit("complete").alias("status"))
         sinks.publish_runs(runs, found, score.score_windows(found, self.threshold), f"{self.root}/results")
+        sinks.withdraw_runs(verdicts.filter(~F.col("accepted")).select("run_id"), f"{self.root}/results")
 
     def _append(self, df: DataFrame, name: str, batch_id: int, *partitions: str) -> None:
         rows = df.withColumn("batch_id", F.lit(batch_id))
@@ -89,6 +91,19 @@ class RunIngest:
         return self._records(spark).select("recording", "run_id").distinct().join(bad, "recording").groupBy(
             "run_id").agg(F.sum("_n").alias("_bad_lines"))
 
+    def open_runs(self, idle_ms: int = IDLE_MS) -> OpenRuns:
+        """The log of runs that are still being recorded."""
+        return OpenRuns(f"{self.root}/open", idle_ms)
+
+    def watch(self, lines: DataFrame, checkpoint: str, available_now: bool = True,
+              idle_ms: int = IDLE_MS) -> StreamingQuery:
+        """Follow rate and loss of open runs, in a query beside that of ``start``.
+
+        A line that breaks the contract shows as the error of its run from that batch on.
+        """
+        parsed = recordings.parse_records(lines.withColumn("pos", F.lit(0).cast("bigint")))
+        return self.open_runs(idle_ms).start(recordings.progress_records(parsed), checkpoint, available_now)
+
     def start(self, lines: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         writer = lines.writeStream.foreachBatch(lambda batch, number: self.apply(batch, number)).option(
             "checkpointLocation", checkpoint)
