@@ -1,12 +1,14 @@
 import csv
 import hashlib
+import io
 import json
+import random
 
 import pytest
 
 from tracemill.operators import audit
 from tracemill.plans.audit_job import run_audit, write_report
-from tracemill.sources import tables
+from tracemill.sources import byte_ranges, split_csv, tables
 
 SECOND = 1_000_000_000
 
@@ -116,9 +118,23 @@ def test_audit_of_a_small_checkout(spark, tmp_path):
     assert report.verdict.first()["ok"], report.verdict.first()
     assert report.captures.filter("events = 3").count() == 2
 
+    # A bad split is reported, the other one is audited.
     (root / "data/training_data.csv").write_text("PID,C_max,D_max,Z\n")
-    with pytest.raises(ValueError, match="unexpected feature schema"):
-        run_audit(spark, str(root), manifest, expected)
+    (root / "data/testing_labels.csv").unlink()
+    report = run_audit(spark, str(root), manifest, expected)
+    assert {r["split"]: (r["status"], r["reason"]) for r in report.splits.collect()} == {
+        "training": ("invalid", "data/training_data.csv: unexpected feature schema"),
+        "testing": ("invalid", "data/testing_labels.csv: file is not available")}
+    _write(root / "data/testing_labels.csv", [["PID"], ["7.0"], [8]])
+    (root / "logs/training/a.csv").write_text("")
+    report = run_audit(spark, str(root), manifest, expected)
+    assert {r["split"]: r["status"] for r in report.splits.collect()} == {"training": "invalid", "testing": "audited"}
+    assert {(r["path"], r["violation"]) for r in report.problems.collect()} == {
+        ("data/training_data.csv", "unexpected feature schema"), ("logs/training/a.csv", "empty schema or duplicate columns")}
+    verdict = report.verdict.first()
+    assert not verdict["ok"] and verdict["invalid_splits"] == 1 and report.differences.count() == 0
+    assert {r["split"] for r in report.captures.collect()} == {"testing"}
+    _write(root / "logs/training/a.csv", [tables.CAPTURE_COLUMNS] + [(n, 7, kind, 0, 1, 0, 0, 0, 0, "a,b") for n, kind in enumerate([0, 1, 2])])
     _write(root / "data/training_data.csv", [["PID", "C_sum", "C_max", "EEE"], [7, 2, 1, 0], [9, 0, 0, 0]])
     (root / "logs/extra.csv").write_text("PID\n1\n")
     report = run_audit(spark, str(root), manifest, expected)
@@ -139,9 +155,48 @@ def test_malformed_captures_are_reported(spark, tmp_path):
     got = tables.read_captures(spark, str(tmp_path / "a.csv")).orderBy("row").collect()
     assert [r["violations"] for r in got] == [
         [], ["malformed row width"], ["unknown event type"], ["expected a nonnegative 64-bit integer"]]
-    _write(tmp_path / "b.csv", [tables.CAPTURE_COLUMNS[::-1], good])
-    with pytest.raises(Exception):
-        tables.read_captures(spark, str(tmp_path / "b.csv")).collect()
+    for name, header in (("b", tables.CAPTURE_COLUMNS[::-1]), ("c", [c.lower() for c in tables.CAPTURE_COLUMNS])):
+        _write(tmp_path / f"{name}.csv", [header, good])
+        got = tables.read_captures(spark, str(tmp_path / f"{name}.csv")).orderBy("row").collect()
+        assert [r["violations"] for r in got] == [["unexpected capture schema"], []]
+
+
+def by_the_csv_module(content: bytes):
+    """The rows of a file as the standard library reads them, or None where a quote is wrong."""
+    try:
+        return [row for row in csv.reader(io.StringIO(content.decode(), newline=""), strict=True)]
+    except csv.Error:
+        return None
+
+
+def test_rows_of_files_cut_anywhere_equal_the_csv_module(spark, tmp_path):
+    rng = random.Random(6)
+    contents = []
+    for n in range(30):
+        rows = [[rng.choice(["a", "", "b c", 'q"t', "x,y", "two\nlines", "cr\rin", "crlf\r\nin", '"', "\n\n"])
+                 for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 12))]
+        out = io.StringIO()
+        csv.writer(out, lineterminator=rng.choice(["\n", "\r\n", "\r"])).writerows(rows)
+        text = out.getvalue()
+        if n % 3 == 0:  # damaged files
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(['"', "\n", ",", 'x"']) + text[at:]
+        contents.append(text.rstrip("\n").encode() if n % 5 == 0 else text.encode())
+        (tmp_path / f"{n:02}.csv").write_bytes(contents[-1])
+    for block, ranges in (("1m", 4096), ("30b", 3)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = {}
+        for r in split_csv.read_csv_rows(spark, str(tmp_path), ranges).collect():
+            got.setdefault(int(r["path"][-6:-4]), []).append((r["pos"], r["sub"], r["cells"], r["problem"]))
+        for n, content in enumerate(contents):
+            want, rows = by_the_csv_module(content), sorted(got.get(n, []), key=lambda r: r[:2])
+            if want is None:
+                assert any(r[3] == split_csv.QUOTING for r in rows), content
+            else:
+                assert [r[2] for r in rows] == want, content
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_overlap_lists_each_file_once(spark):
@@ -149,3 +204,40 @@ def test_overlap_lists_each_file_once(spark):
     inventory = spark.createDataFrame(rows, "path string, actual_sha256 string, split string, kind string")
     got = {r["path"]: r["partners"] for r in audit.content_overlap(inventory).collect()}
     assert got == {"t0": 1, "t1": 1, "t2": 1, "u1": 3}
+
+
+def test_files_of_any_size_are_hashed_in_ranges(spark, tmp_path):
+    big = tmp_path / "deep" / "big.bin"
+    big.parent.mkdir()
+    with big.open("wb") as stream:
+        stream.truncate((2 << 30) + 5)  # a sparse file takes no disk
+    small = {"a.txt": b"abc", "empty": b"", "deep/b.txt": b"x" * 100}
+    for name, content in small.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["path"]: (r["actual_size"], r["actual_sha256"]) for r in tables.file_inventory(spark, str(tmp_path)).collect()}
+    zeros = hashlib.sha256()
+    for _ in range(2048):
+        zeros.update(bytes(1 << 20))
+    zeros.update(bytes(5))
+    assert got == {**{n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in small.items()},
+                   "deep/big.bin": ((2 << 30) + 5, zeros.hexdigest())}
+
+
+def test_changed_blocks_are_found_by_their_digests(spark, tmp_path):
+    for name, size in (("a", 35), ("b", 20), ("c", 0), ("d", 5)):
+        (tmp_path / name).write_bytes(bytes(range(size)))
+
+    def blocks():
+        rows = byte_ranges.block_digests(spark, str(tmp_path), block_bytes=10).collect()
+        return spark.createDataFrame(rows, "path string, size bigint, block bigint, block_size bigint, sha256 string")
+
+    before = blocks()
+    assert sorted((r["path"], r["block"], r["block_size"]) for r in before.collect()) == [
+        ("a", 0, 10), ("a", 1, 10), ("a", 2, 10), ("a", 3, 5), ("b", 0, 10), ("b", 1, 10), ("c", 0, 0), ("d", 0, 5)]
+    (tmp_path / "a").write_bytes(bytes(range(12)) + b"!" + bytes(range(13, 35)))
+    (tmp_path / "d").unlink()
+    changed = byte_ranges.changed_blocks(before, blocks()).collect()
+    assert sorted((r["path"], r["block"], r["after"] is None) for r in changed) == [("a", 1, False), ("d", 0, True)]
+    tree = {r["path"]: (r["n_blocks"], r["tree_sha256"]) for r in byte_ranges.tree_digests(before).collect()}
+    halves = [hashlib.sha256(bytes(range(20))[i:i + 10]).hexdigest() for i in (0, 10)]
+    assert tree["b"] == (2, hashlib.sha256("".join(halves).encode()).hexdigest())

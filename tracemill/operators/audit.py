@@ -243,9 +243,9 @@ def content_overlap(inventory: DataFrame) -> DataFrame:
 
 def audit_verdict(
     inventory: DataFrame, unlisted: DataFrame, regressions: DataFrame,
-    differences: DataFrame, overlap: DataFrame, collisions: DataFrame,
+    differences: DataFrame, overlap: DataFrame, collisions: DataFrame, splits: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: each check of the audit and whether all of them hold."""
+    """One row: each check of the audit and whether all of them hold. ``splits`` may tell invalid ones."""
     def count(df: DataFrame, name: str, condition: str = "true") -> DataFrame:
         return df.agg(F.count_if(F.expr(condition)).alias(name))
 
@@ -256,6 +256,7 @@ def audit_verdict(
         count(differences, "feature_differences"),
         count(overlap, "overlapping_captures"),
         count(collisions, "colliding_identities"),
+        *([count(splits, "invalid_splits", "status <> 'audited'")] if splits is not None else []),
     ]
     names = [item.columns[0] for item in checks]
     return side_by_side(checks).select(*names, F.expr(" + ".join(names) + " = 0").alias("ok"))

@@ -699,4 +699,49 @@ SELECT CAST(batch_id AS BIGINT) AS batch_id, run_id, records,
   lost_events, batch_id < 5 AS connected, batch_id < 5 AS recording,
   CASE WHEN bad THEN 'a record breaks the contract' END AS error
 FROM grown""",
+    "capture_rows": """
+SELECT 'capture-' || CASE WHEN event_id % 6 = 5 THEN 'last' ELSE CAST(event_id % 6 AS VARCHAR) END || '.csv' AS path,
+  8 * (event_id + 1) AS row, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) * 1000 AS ts, user_id AS pid,
+  CASE event_type WHEN 'purchase' THEN 'C' WHEN 'signup' THEN 'D' WHEN 'error' THEN 'E' ELSE 'O' END AS kind, event_id % 5 AS pattern
+FROM events WHERE event_id % 101 <> 0 AND event_id % 103 <> 0 AND event_id % 107 <> 0 AND event_id % 109 <> 0 AND event_id % 113 <> 0""",
+    "capture_file_violations": """
+WITH e AS (
+  SELECT event_id AS n, 'capture-' || CASE WHEN event_id % 6 = 5 THEN 'last' ELSE CAST(event_id % 6 AS VARCHAR) END || '.csv' AS path
+  FROM events),
+wrong AS (
+  SELECT *, CASE WHEN n % 109 = 0 THEN 'malformed row width' WHEN n % 113 = 0 THEN 'malformed quoting'
+                 WHEN n % 101 = 0 THEN 'malformed row width' END AS broken FROM e)
+SELECT path, 8 * (n + 1) AS row, broken AS violation FROM wrong WHERE broken IS NOT NULL
+UNION ALL SELECT path, 8 * (n + 1), 'expected a nonnegative 64-bit integer' FROM wrong WHERE broken IS NULL AND n % 107 = 0
+UNION ALL SELECT path, 8 * (n + 1), 'unknown event type' FROM wrong
+  WHERE (broken IS NULL OR (n % 109 <> 0 AND n % 113 <> 0)) AND n % 103 = 0
+UNION ALL SELECT DISTINCT path, 0, 'unexpected capture schema' FROM e WHERE path = 'capture-last.csv'""",
+    "feature_file_violations": """
+WITH c AS (
+  SELECT c_custkey AS n, 'features-' || CASE WHEN c_custkey % 4 = 3 THEN 'last' ELSE CAST(c_custkey % 4 AS VARCHAR) END || '.csv' AS path,
+    CASE WHEN c_custkey % 17 = 0 THEN 17 ELSE c_custkey END AS pid,
+    CASE WHEN c_custkey % 19 = 0 OR c_custkey % 13 = 0 THEN 'malformed row width'
+         WHEN c_custkey % 11 = 0 THEN 'expected a nonnegative 64-bit integer' END AS broken FROM customer)
+SELECT path, 8 * (n + 1) AS row, broken AS violation FROM c WHERE broken IS NOT NULL
+UNION ALL SELECT path, 8 * (n + 1), 'duplicate identifier' FROM (
+  SELECT *, count(*) OVER (PARTITION BY path, pid) AS uses FROM c WHERE broken IS NULL) WHERE uses > 1
+UNION ALL SELECT DISTINCT path, 0, 'unexpected feature schema' FROM c WHERE path = 'features-last.csv'""",
+    "feature_file_cells": """
+WITH c AS (
+  SELECT c_custkey AS n, 'features-' || CASE WHEN c_custkey % 4 = 3 THEN 'last' ELSE CAST(c_custkey % 4 AS VARCHAR) END || '.csv' AS path,
+    CASE WHEN c_custkey % 17 = 0 THEN 17 ELSE c_custkey END AS pid FROM customer
+  WHERE c_custkey % 19 <> 0 AND c_custkey % 13 <> 0 AND c_custkey % 11 <> 0)
+SELECT path, pid, 1::BIGINT AS position, 'C_max' AS feature, n % 7 AS value FROM c
+UNION ALL SELECT path, pid, 2, 'C_sum', n % 5 FROM c
+UNION ALL SELECT path, pid, 3, CASE WHEN path = 'features-last.csv' THEN 'oox' ELSE 'OOO' END, 2 FROM c""",
+    "label_file_violations": """
+WITH s AS (
+  SELECT s_suppkey AS n, 'labels-' || CASE WHEN s_suppkey % 3 = 2 THEN 'last' ELSE CAST(s_suppkey % 3 AS VARCHAR) END || '.csv' AS path,
+    CASE WHEN s_suppkey % 11 = 0 AND s_suppkey % 7 <> 0 THEN 11 ELSE s_suppkey END AS pid,
+    CASE WHEN s_suppkey % 13 = 0 OR s_suppkey % 3 = 2 THEN 'malformed row width'
+         WHEN s_suppkey % 7 = 0 THEN 'expected a nonnegative 64-bit integer' END AS broken FROM supplier)
+SELECT path, 8 * (n + 1) AS row, broken AS violation FROM s WHERE broken IS NOT NULL
+UNION ALL SELECT path, 8 * (n + 1), 'duplicate identifier' FROM (
+  SELECT *, count(*) OVER (PARTITION BY path, pid) AS uses FROM s WHERE broken IS NULL) WHERE uses > 1
+UNION ALL SELECT DISTINCT path, 0, 'empty schema or duplicate columns' FROM s WHERE path = 'labels-last.csv'""",
 }

@@ -9,7 +9,7 @@ from tracemill.operators import (
 )
 from tracemill.plans import table_views as views
 from tracemill.plans.table_views import DAY_NS, HOUR_NS
-from tracemill.sources import recordings, sinks, tables
+from tracemill.sources import recordings, sinks, split_csv, tables
 from tracemill.streaming import open_runs
 from tracemill.streaming.ingest import RunIngest, stream_lines
 from tracemill.streaming.windows import WindowStream
@@ -652,6 +652,31 @@ def stream_windows_batches(spark, sf_dir):
     return _longs(stream.windows(spark).withColumn("quality", F.array_join("quality", ",")))
 
 
+def capture_rows(spark, sf_dir):
+    """Events of CSV captures whose quoted names may hold line breaks."""
+    rows = split_csv.csv_rows(views.capture_lines(spark, sf_dir), RANGE_ROWS)
+    return tables.capture_events(rows).filter("size(violations) = 0").select(
+        "path", "row", F.col("ts").cast("bigint"), F.col("pid").cast("bigint"), "kind", F.col("pattern").cast("bigint"))
+
+
+def capture_file_violations(spark, sf_dir):
+    return tables.file_violations(split_csv.csv_rows(views.capture_lines(spark, sf_dir), RANGE_ROWS), "capture").drop("part")
+
+
+def feature_file_violations(spark, sf_dir):
+    return tables.file_violations(split_csv.csv_rows(views.feature_lines(spark, sf_dir), RANGE_ROWS), "feature").drop("part")
+
+
+def feature_file_cells(spark, sf_dir):
+    rows = split_csv.csv_rows(views.feature_lines(spark, sf_dir), RANGE_ROWS)
+    return tables.feature_cells(rows).select(
+        "path", "feature", *[F.col(c).cast("bigint") for c in ("pid", "position", "value")])
+
+
+def label_file_violations(spark, sf_dir):
+    return tables.file_violations(split_csv.csv_rows(views.label_lines(spark, sf_dir), RANGE_ROWS), "label").drop("part")
+
+
 def ingest_runs(spark, sf_dir):
     """Health of open runs after each of six arrivals of JSON lines; run starts come with the second, ends last."""
     folder = shared_folder(spark, "open-runs")

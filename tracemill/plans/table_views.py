@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tracemill.operators import labelled
 from tracemill.schemas import TELEMETRY
+from tracemill.sources.tables import CAPTURE_COLUMNS
 
 DAY_NS = 86_400_000_000_000
 HOUR_NS = 3_600_000_000_000
@@ -333,3 +334,51 @@ def timed_loss_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("pos"), (micros_since_2024() * 1000).alias("timestamp_ns"))
     return loss_counters(spark, sf_dir).join(times, "pos")
+
+
+def _csv_lines(rows: DataFrame, header: Column, broken_header: Column, number: str) -> DataFrame:
+    """Physical lines of CSV files from ``(path, text)`` rows numbered by ``number``; the header is line 0."""
+    body = rows.select(F.col("path").alias("recording"), F.col(number), F.posexplode(F.split("text", "\n")).alias("k", "value")).select(
+        "recording", (F.lit(8) * (F.col(number) + 1) + F.col("k")).alias("pos"), "value")
+    heads = rows.select("path").distinct().select(
+        F.col("path").alias("recording"), F.lit(0).cast("bigint").alias("pos"),
+        F.when(F.col("path").endswith("last.csv"), broken_header).otherwise(header).alias("value"))
+    return heads.unionByName(body)
+
+
+def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six capture files of all events; half of the names need quotes, a quarter hold a line break, some rows are broken."""
+    n = F.col("event_id")
+    kind = F.expr("CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'error' THEN 3 ELSE 0 END")
+    name = F.expr("CASE event_id % 4 WHEN 0 THEN concat('f', event_id) WHEN 1 THEN concat('\"a,', event_id, '\"')"
+                  " WHEN 2 THEN concat('\"say \"\"x\"\" ', event_id, '\"') ELSE concat('\"two\\nlines ', event_id, '\"') END")
+    zero = F.lit("0")
+    cells = [(micros_since_2024() * 1000).cast("string"), F.when(n % 107 == 0, "x").otherwise(F.col("user_id").cast("string")),
+             F.when(n % 103 == 0, "7").otherwise(kind.cast("string")), zero, (n % 5).cast("string"), zero, zero, zero, zero]
+    text = (F.when(n % 109 == 0, "").when(n % 113 == 0, F.concat_ws(",", *cells, F.lit('"a"b')))
+            .when(n % 101 == 0, F.concat_ws(",", *cells)).otherwise(F.concat_ws(",", *cells, name)))
+    path = F.concat(F.lit("capture-"), F.when(n % 6 == 5, "last").otherwise((n % 6).cast("string")), F.lit(".csv"))
+    header = ",".join(CAPTURE_COLUMNS)
+    return _csv_lines(table(spark, sf_dir, "events").select("event_id", path.alias("path"), text.alias("text")),
+                      F.lit(header), F.lit(header.lower()), "event_id")
+
+
+def feature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four wide feature files of all customers, with fractions, rows too wide, blank rows and repeated ids."""
+    n = F.col("c_custkey")
+    pid = F.when(n % 17 == 0, "17").otherwise(n.cast("string"))
+    cells = [pid, (n % 7).cast("string"), F.when(n % 11 == 0, "1.5").otherwise((n % 5).cast("string")), F.lit("2.0")]
+    text = F.when(n % 19 == 0, "").when(n % 13 == 0, F.concat_ws(",", *cells, F.lit("9"))).otherwise(F.concat_ws(",", *cells))
+    path = F.concat(F.lit("features-"), F.when(n % 4 == 3, "last").otherwise((n % 4).cast("string")), F.lit(".csv"))
+    return _csv_lines(table(spark, sf_dir, "customer").select(n, path.alias("path"), text.alias("text")),
+                      F.lit("PID,C_max,C_sum,OOO"), F.lit("PID,C_max,C_sum,oox"), "c_custkey")
+
+
+def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three label files of all suppliers, with words for numbers, blank rows and repeated ids."""
+    n = F.col("s_suppkey")
+    text = (F.when(n % 13 == 0, "").when(n % 7 == 0, "abc").when(n % 11 == 0, "11")
+            .when(n % 5 == 0, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(F.concat(n, F.lit(".0"))))
+    path = F.concat(F.lit("labels-"), F.when(n % 3 == 2, "last").otherwise((n % 3).cast("string")), F.lit(".csv"))
+    return _csv_lines(table(spark, sf_dir, "supplier").select(n, path.alias("path"), text.alias("text")),
+                      F.lit("PID"), F.lit("PID,PID"), "s_suppkey")

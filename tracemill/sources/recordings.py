@@ -21,9 +21,9 @@ ROW_IN_PARTITION = "(monotonically_increasing_id() & 8589934591)"
 POSITION = f"2 * _metadata.file_block_start + {ROW_IN_PARTITION}"
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """Every line of the files with ``recording`` (its file), ``block`` and ``pos``."""
-    return spark.read.text(path, lineSep="\n").selectExpr(
+    return spark.read.options(**options).text(path, lineSep="\n").selectExpr(
         "value", "_metadata.file_path AS recording", "_metadata.file_block_start AS block",
         f"{POSITION} AS pos",
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tracemill.schemas import FILE_MANIFEST, PLAN_RUN, RUN_MANIFEST
-from tracemill.sources.recordings import POSITION
+from tracemill.sources import byte_ranges
+from tracemill.sources.split_csv import read_csv_rows
 
 # Fixed values of the published files.
 CAPTURE_COLUMNS = (
@@ -26,62 +27,96 @@ def whole_number(text: str) -> str:
     )
 
 
-def _csv(spark: SparkSession, path, names: tuple[str, ...], multi_line: bool) -> DataFrame:
-    shape = T.StructType([T.StructField(name, T.StringType()) for name in names]
-                         + [T.StructField("_malformed", T.StringType())])
-    # A pruned last column would hide that a row is too short.
-    return spark.read.option("columnPruning", "false").csv(
-        path, schema=shape, header=True, enforceSchema=False, mode="PERMISSIVE", escape='"',
-        columnNameOfCorruptRecord="_malformed", multiLine=multi_line,
-    )
+HEADER = "empty schema or duplicate columns"
+WIDTH = "malformed row width"
+NUMBER = "expected a nonnegative 64-bit integer"
+KIND = "unknown event type"
+REPEATED = "duplicate identifier"
+SCHEMAS = {kind: f"unexpected {kind} schema" for kind in ("capture", "feature", "label")}
+
+
+def _with_header(rows: DataFrame) -> DataFrame:
+    """Every row beside its file's header; one header per file is joined."""
+    header = rows.filter("pos = 0 AND sub = 0").select("path", F.col("cells").alias("header"))
+    return rows.join(header, "path", "left")
+
+
+def _header_problem(kind: str) -> str:
+    """SQL for what is wrong with ``header``, else null."""
+    fits = {
+        "capture": f"header = array({', '.join(map(repr, CAPTURE_COLUMNS))})",
+        "feature": f"get(header, 0) = 'PID' AND size(header) > 1 AND forall(slice(header, 2, size(header)), n -> n RLIKE r'{FEATURE_NAME}')",
+        "label": "header = array('PID')",
+    }[kind]
+    return (f"CASE WHEN size(header) < 1 OR size(array_distinct(header)) < size(header) THEN '{HEADER}'"
+            f" WHEN header IS NOT NULL AND NOT ({fits}) THEN '{SCHEMAS[kind]}' END")
+
 
+def _checked(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows with ``violations``: of the file's schema at its first row, else of the row itself."""
+    numbers = "slice(cells, 1, size(cells) - 1)" if kind == "capture" else "cells"
+    rules = [
+        ("problem IS NOT NULL", "problem"), (f"problem IS NULL AND pos = 0 AND sub = 0 AND {_header_problem(kind)} IS NOT NULL", _header_problem(kind)),
+        ("size(cells) <> size(header)", f"'{WIDTH}'"),
+        (f"NOT _first AND size(cells) = size(header) AND exists({numbers}, c -> {whole_number('c')} IS NULL)", f"'{NUMBER}'"),
+    ]
+    if kind == "capture":
+        rules.append((f"NOT _first AND {whole_number('get(cells, 2)')} > 3", f"'{KIND}'"))
+    listed = ", ".join(f"IF({test}, {message}, NULL)" for test, message in rules)
+    return _with_header(rows).withColumn("_first", F.expr("pos = 0 AND sub = 0")).selectExpr(
+        "path", "pos", "sub", "cells", "header", "_first", f"array_compact(array({listed})) AS violations")
 
-def read_captures(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
-    """Capture events in row order with ``violations``; a wrong header fails the read.
 
-    Set ``multi_line`` for files whose quoted names hold line breaks; such a file is then one
-    task. Without it those rows are reported as malformed, never read wrongly.
+def capture_events(rows: DataFrame) -> DataFrame:
+    """Capture events in row order with ``violations``, from rows of ``split_csv``.
+
+    A good header is left out; one that is not exactly the published one is a row with that violation.
     """
-    cells = _csv(spark, path, CAPTURE_COLUMNS, multi_line)
-    numbers = CAPTURE_COLUMNS[:-1]
-    bad_number = " OR ".join(f"{whole_number(name)} IS NULL" for name in numbers)
-    return cells.selectExpr("*", "_metadata.file_path AS path", f"{POSITION} AS row").selectExpr(
-        "path", "row",
-        f"{whole_number('TS')} AS ts",
-        f"{whole_number('PID')} AS pid",
-        f"CASE WHEN {whole_number('TYPE')} <= 3 THEN substring('{KIND_CODES}', int({whole_number('TYPE')}) + 1, 1)"
-        " ELSE '' END AS kind",
-        f"{whole_number('PATTERN')} AS pattern",
-        "array_compact(array(IF(_malformed IS NOT NULL, 'malformed row width', NULL),"
-        f" IF({bad_number}, 'expected a nonnegative 64-bit integer', NULL),"
-        f" IF({whole_number('TYPE')} > 3, 'unknown event type', NULL))) AS violations",
-    )
+    number = {name: whole_number(f"get(cells, {at})") for at, name in enumerate(CAPTURE_COLUMNS)}
+    return _checked(rows, "capture").filter("NOT _first OR size(violations) > 0").selectExpr(
+        "path", "pos AS row", "sub AS part", f"{number['TS']} AS ts", f"{number['PID']} AS pid",
+        f"CASE WHEN {number['TYPE']} <= 3 THEN substring('{KIND_CODES}', int({number['TYPE']}) + 1, 1) ELSE '' END AS kind",
+        f"{number['PATTERN']} AS pattern", "violations")
 
 
-def header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of one CSV file; only its first line is read."""
-    return spark.read.csv(path, header=True, inferSchema=False).columns
+def read_captures(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Capture events of CSV files; quoted names may hold line breaks, and a file is read by many tasks."""
+    return capture_events(read_csv_rows(spark, path))
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """A wide feature file in long form: ``pid``, ``position``, ``feature``, ``value``."""
-    names = header(spark, path)
-    rest = spark.createDataFrame([(name,) for name in names[1:]], "name string")
-    if names[:1] != ["PID"] or len(names) < 2 or rest.filter(~F.col("name").rlike(FEATURE_NAME)).count():
-        raise ValueError("unexpected feature schema")
-    cells = _csv(spark, path, tuple(names), False)
-    pairs = ", ".join(
-        f"{index}, '{name}', {whole_number(name)}" for index, name in enumerate(names[1:], start=1))
-    return cells.selectExpr(
-        f"{whole_number('PID')} AS pid", "_malformed",
-        f"stack({len(names) - 1}, {pairs}) AS (position, feature, value)",
-    )
+def feature_cells(rows: DataFrame) -> DataFrame:
+    """Wide feature files in long form: ``path``, ``pid``, ``position``, ``feature``, ``value``.
+
+    Rows with violations are left out; ``file_violations`` lists them.
+    """
+    good = _checked(rows, "feature").filter("size(violations) = 0")
+    cells = good.filter("NOT _first").selectExpr(
+        "path", f"{whole_number('get(cells, 0)')} AS pid", "posexplode(slice(arrays_zip(header, cells), 2, size(header))) AS (at, c)")
+    return cells.selectExpr("path", "pid", "at + 1 AS position", "c.header AS feature", f"{whole_number('c.cells')} AS value")
+
 
+def label_ids(rows: DataFrame) -> DataFrame:
+    """``path`` and ``pid`` of the label files' good rows."""
+    return _checked(rows, "label").filter("size(violations) = 0 AND NOT _first").selectExpr(
+        "path", f"{whole_number('get(cells, 0)')} AS pid")
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    if header(spark, path) != ["PID"]:
-        raise ValueError("unexpected label schema")
-    return _csv(spark, path, ("PID",), False).selectExpr(f"{whole_number('PID')} AS pid")
+
+def file_violations(rows: DataFrame, kind: str) -> DataFrame:
+    """``(path, row, part, violation)`` of capture, feature or label files.
+
+    ``row`` and ``part`` name the line where the row begins. A repeated identifier is reported at each
+    of its rows; a file whose header is missing altogether at row 0.
+    """
+    checked = _checked(rows, kind)
+    found = checked.selectExpr("path", "pos AS row", "sub AS part", "explode(violations) AS violation")
+    if kind == "capture":
+        return found
+    ids = checked.filter("size(violations) = 0 AND NOT _first").selectExpr(
+        "path", "pos AS row", "sub AS part", f"{whole_number('get(cells, 0)')} AS pid")
+    # A count per identifier is combined before the shuffle; only repeated ones are joined back.
+    twice = ids.groupBy("path", "pid").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1").drop("uses")
+    return found.unionByName(ids.join(twice, ["path", "pid"], "left_semi").select(
+        "path", "row", "part", F.lit(REPEATED).alias("violation")))
 
 
 def duplicate_ids(ids: DataFrame, *keys: str) -> DataFrame:
@@ -122,27 +157,27 @@ def plan_differences(plan: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Relative path, size and SHA-256 of every file below ``root`` (each file below 2 GiB)."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern).load(root)
-    )
+    """Relative path, size and SHA-256 of every file below ``root``.
+
+    Files of any size are read in bounded chunks. In a store that only Spark opens, each file is one row of
+    its binary source: files must be below 2 GiB there, and empty ones are not listed.
+    """
+    if byte_ranges.readable(root):
+        found = byte_ranges.whole_files(spark, root, pattern)
+    else:
+        found = _binary_files(spark, root, pattern).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return found.select("path", F.col("size").alias("actual_size"), F.col("sha256").alias("actual_sha256"))
+
+
+def _binary_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     base = root.rstrip("/") + "/"
-    return files.select(
-        F.substring_index(F.col("path"), base, -1).alias("path"),
-        F.col("length").alias("actual_size"),
-        F.sha2("content", 256).alias("actual_sha256"),
-    )
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", pattern).load(root).withColumn("path", F.substring_index("path", base, -1))
 
 
 def file_listing(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
     """Relative paths and sizes only; file contents are not read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern).load(root)
-    )
-    base = root.rstrip("/") + "/"
-    return files.select(F.substring_index(F.col("path"), base, -1).alias("path"), F.col("length").alias("size"))
+    return _binary_files(spark, root, pattern).select("path", F.col("length").alias("size"))
 
 
 def unlisted_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:
