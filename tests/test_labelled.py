@@ -1,5 +1,6 @@
 import hashlib
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from tests.builders import LENGTH, beat, bounds, event, frame, gone, row
 from tracemill.operators import acceptance, labelled, models, selection, serving, validate, windows
 from tracemill.schemas import FEATURES, LABELED_WINDOW, RUN_MANIFEST
 from tracemill.sources import recordings, sinks, tables
+from tracemill.sources.commits import VersionedTable
 
 
 def manifest(run="controlled-copying-seed-11", **changes):
@@ -107,7 +109,7 @@ def test_dataset_is_published_once_and_bound_to_its_manifest(spark, tmp_path):
         sinks.assemble_dataset(data, plan, path)
     with pytest.raises(ValueError, match="label or split"):
         sinks.assemble_dataset(data.withColumn("split", F.lit("test")), plan, str(tmp_path / "other"))
-    captures = spark.read.parquet(f"{path}/captures")
+    captures = spark.read.parquet(f"{VersionedTable(path).published(spark)}/captures")
     tampered = data.withColumn("features", F.when(F.col("window_id") == "w-3-0", F.array_repeat(F.lit(1.0), 33)).otherwise(F.col("features")))
     assert [tuple(r) for r in labelled.manifest_differences(tampered, captures).collect()] == [("c3", "differs in content_digest")]
     sinks.write_labelled_rows(data, str(tmp_path / "lines"))
@@ -213,11 +215,24 @@ def test_models_are_selected_stored_and_evaluated_once(spark, tmp_path):
     metrics = models.evaluate(loaded, data.filter("split = 'test'"))
     assert metrics.first()["f1"] == 1.0
     with pytest.raises(ValueError):
-        models.record_evaluation(spark, path, metrics, model_id="m", dataset_digest="c" * 64)
-    models.record_evaluation(spark, path, metrics, model_id="m", dataset_digest="b" * 64)
+        models.record_evaluation(spark, path, metrics, dataset_digest="c" * 64)
+    models.record_evaluation(spark, path, metrics, dataset_digest="b" * 64)
     with pytest.raises(FileExistsError):
-        models.record_evaluation(spark, path, metrics, model_id="m", dataset_digest="b" * 64)
+        models.record_evaluation(spark, path, metrics, dataset_digest="b" * 64)
     assert models.report(spark, path).count() == 1
+    with pytest.raises(FileExistsError):
+        models.save_model(kept, path, selection_digest="a" * 64, dataset_digest="b" * 64)
+    for wrong in (data, data.filter("label > 1"), data.filter("split = 'test'").withColumn("label", F.lit(2)),
+                  data.filter("split = 'test'").withColumn("feature_version", F.lit(1))):
+        with pytest.raises(ValueError, match="test rows"):
+            models.evaluate(loaded, wrong)
+    # A changed stage is not loaded.
+    stages = VersionedTable(path).published(spark) + "/stages/0"
+    changed = next(f for f in sorted(pathlib.Path(stages).rglob("*")) if f.name.startswith("part-"))
+    changed.write_bytes(changed.read_bytes() + b" ")
+    changed.with_name(f".{changed.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="stages differ"):
+        models.load_model(spark, path)
 
 
 def test_alert_life_cycle(spark):

@@ -1,9 +1,15 @@
 """Streams: health of open runs, withdrawn runs."""
 
+import os
+import random
+
+from tests.builders import LENGTH, event, frame, row
 from tests.test_recordings import golden, write
 from tracemill.sources import sinks
 from tracemill.streaming.ingest import RunIngest, stream_lines
+from tracemill.sources.commits import VersionedTable
 from tracemill.streaming.open_runs import SILENT, UNREADABLE, state_of
+from tracemill.streaming.windows import WindowStream
 
 
 def renamed(records, run):
@@ -60,3 +66,37 @@ def test_a_run_that_a_late_file_breaks_is_withdrawn(spark, tmp_path):
         ingest.start(stream_lines(spark, str(folder)), str(tmp_path / "check")).awaitTermination()
         assert [sinks.read_results(spark, results, n).count() for n in ("runs", "windows", "alerts")] == [shown] * 3
     assert [r["status"] for r in spark.read.parquet(f"{results}/runs").collect()] == ["withdrawn"]
+
+
+def test_window_state_stays_small_and_ended_runs_are_forgotten(spark, tmp_path):
+    rng = random.Random(3)
+    root = str(tmp_path / "state")
+    stream = WindowStream(root, bucket_rows=4, keep_ended=1, keep_changes=3)
+    everything = WindowStream(str(tmp_path / "all"), bucket_rows=4)
+    for batch in range(9):
+        # Every run lives for two batches; its first telemetry comes one batch before its start.
+        part = []
+        for run, phase in ((f"r/{batch}", 0), (f"r/{batch - 1}", 1)):
+            if batch - phase < 0:
+                continue
+            sequence = 10 * phase + 1
+            part += [event(sequence + i, rng.randrange(3 * LENGTH), run_id=run) for i in range(4)]
+            if phase:
+                part += [row("run_start", None, run_id=run, capture_start_ns=0),
+                         row("run_end", sequence + 5, 4 * LENGTH, run_id=run)]
+        records = frame(spark, part)
+        for s in (stream, everything):
+            s.apply(records, batch)
+        if batch == 4:
+            stream.apply(records, batch)  # a repeated batch changes nothing
+    key = lambda s: sorted((r["window_id"], r["O_sum"], r["late_event_count"], r["partial"]) for r in s.windows(spark).collect())
+    assert key(stream) == key(everything) and key(stream)
+    left = sorted(os.listdir(tmp_path / "state" / "marked"))
+    assert [n for n in left if n.startswith("run_id=")] == ["run_id=r%2F7"]
+    assert len([n for n in os.listdir(tmp_path / "state" / "changes") if n.startswith("batch_id=")]) <= 4
+    for name in ("runs", "held", "windows"):
+        assert len(VersionedTable(f"{root}/{name}").latest(spark).folders) <= 6
+    # A record of a forgotten run changes nothing and is put aside.
+    before = key(stream)
+    stream.apply(frame(spark, [event(99, 5, "D", run_id="r/0")]), 9)
+    assert key(stream) == before and spark.read.parquet(f"{root}/after_end").count() == 1

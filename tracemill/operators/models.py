@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tracemill.operators import labelled, selection
 from tracemill.schemas import FEATURE_VERSION, FEATURES
 from tracemill.session import written
-from tracemill.sources.sinks import append_once
+from tracemill.sources.commits import VersionedTable
+from tracemill.sources.tables import file_inventory
 
 FOURIER_FEATURES = 200
 # The candidates, simplest first: a later one has to be better to win.
@@ -167,7 +168,19 @@ def train_and_select(
 
 
 def evaluate(selected: Selected, rows: DataFrame) -> DataFrame:
-    """One row of confusion counts and rates; scores must be finite, one per row."""
+    """One row of confusion counts and rates over test rows; scores must be finite, one per row.
+
+    No row at all is an error, and so is a row of another split than the test split, a label other than 0 or 1, or
+    features of another version or order.
+    """
+    wrong = (F.coalesce(F.col("split") != "test", F.lit(True)) | ~F.coalesce(F.col("label").isin(0, 1), F.lit(False))
+             | ~F.coalesce((F.col("feature_version") == FEATURE_VERSION)
+                           & (F.col("feature_names") == F.array(*map(F.lit, FEATURES))), F.lit(False)))
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("wrong")).first()
+    if not found.n:
+        raise ValueError("there are no test rows")
+    if found.wrong:
+        raise ValueError(f"{found.wrong} rows are no valid test rows")
     scored = written(selected.score(rows).select("label", "score"), "evaluation")
     if not scored.filter("score IS NULL OR isnan(score) OR abs(score) = double('inf')").isEmpty():
         raise ValueError("scores must be finite and complete")
@@ -176,54 +189,84 @@ def evaluate(selected: Selected, rows: DataFrame) -> DataFrame:
 
 _METADATA = (
     "model_name string, threshold double, parameters array<string>, seed bigint, feature_version int,"
-    " feature_names array<string>, selection_digest string, dataset_digest string"
+    " feature_names array<string>, selection_digest string, dataset_digest string, stages_digest string"
 )
 
 
+def _stages_digest(spark: SparkSession, folder: str) -> str:
+    """One digest over the files of all stages; there are a few per stage."""
+    files = file_inventory(spark, f"{folder}/stages").filter("path NOT LIKE '%.crc'")
+    ordered = F.array_sort(F.collect_list(F.concat_ws(":", "path", "actual_sha256")))
+    return files.agg(F.sha2(F.array_join(ordered, ","), 256).alias("d")).first().d
+
+
 def save_model(selected: Selected, path: str, *, selection_digest: str, dataset_digest: str) -> None:
-    """Store model stages, metadata bound to the dataset, and the validation metrics."""
+    """Store model stages, metadata bound to the stages and the dataset, and the validation metrics.
+
+    All of it appears at once; a path that holds a model is an error.
+    """
     spark = selected.evaluations.sparkSession
     for digest in (selection_digest, dataset_digest):
         if len(digest) != 64 or set(digest) - set("0123456789abcdef"):
             raise ValueError("dataset digests must be 64 lower-case hex digits")
     parameters = [] if selected.candidate is None else [str(value) for value in selected.candidate.parameters]
-    row = (selected.name, selected.threshold, parameters, selected.seed, FEATURE_VERSION, list(FEATURES),
-           selection_digest, dataset_digest)
-    for index, stage in enumerate(selected.stages):
-        stage.save(f"{path}/stage-{index}")
-    selected.evaluations.write.mode("errorifexists").parquet(f"{path}/evaluations")
-    spark.createDataFrame([row], _METADATA).write.mode("errorifexists").parquet(f"{path}/metadata")
+
+    def write(folder: str) -> None:
+        for index, stage in enumerate(selected.stages):
+            stage.save(f"{folder}/stages/{index}")
+        bound = _stages_digest(spark, folder) if selected.stages else ""
+        row = (selected.name, selected.threshold, parameters, selected.seed, FEATURE_VERSION, list(FEATURES),
+               selection_digest, dataset_digest, bound)
+        selected.evaluations.write.parquet(f"{folder}/evaluations")
+        spark.createDataFrame([row], _METADATA).write.parquet(f"{folder}/metadata")
+
+    VersionedTable(path).publish_once(spark, write)
+
+
+def _metadata(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_METADATA).parquet(f"{folder}/metadata")
 
 
 def load_model(spark: SparkSession, path: str) -> Selected:
-    metadata = spark.read.schema(_METADATA).parquet(f"{path}/metadata").first()
+    """The stored model, only if its features and the files of its stages are those it was stored with."""
+    folder = VersionedTable(path).published(spark)
+    metadata = _metadata(spark, folder).first()
     if metadata["feature_version"] != FEATURE_VERSION or tuple(metadata["feature_names"]) != FEATURES:
         raise ValueError("features have another version, names or order")
     name, parameters = metadata["model_name"], metadata["parameters"]
     candidate, stages = None, []
     if name != "rule":
+        if _stages_digest(spark, folder) != metadata["stages_digest"]:
+            raise ValueError("stages differ from those that were stored")
         parsed = ((float(parameters[0]), parameters[1]) if name == "rbf_svm"
                   else (int(parameters[0]), int(parameters[1])))
         candidate = Candidate(name, parsed, metadata["seed"])
-        stages = [PipelineModel.load(f"{path}/stage-{index}") for index in range(2 if name == "rbf_svm" else 1)]
+        stages = [PipelineModel.load(f"{folder}/stages/{index}") for index in range(2 if name == "rbf_svm" else 1)]
     return Selected(name, metadata["threshold"], candidate, stages,
-                    spark.read.parquet(f"{path}/evaluations"), metadata["seed"])
+                    spark.read.parquet(f"{folder}/evaluations"), metadata["seed"])
+
 
+def model_id(metadata: DataFrame) -> DataFrame:
+    """The metadata with ``model_id``, a digest over all of it: name, parameters, data and stages."""
+    return metadata.withColumn("model_id", F.sha2(F.to_json(F.struct(*metadata.columns)), 256))
 
-def record_evaluation(spark: SparkSession, path: str, metrics: DataFrame, *, model_id: str, dataset_digest: str) -> None:
-    """The one test evaluation of a model: a second one, or other data, is refused."""
-    metadata = spark.read.schema(_METADATA).parquet(f"{path}/metadata").first()
-    if metadata["dataset_digest"] != dataset_digest:
+
+def record_evaluation(spark: SparkSession, path: str, metrics: DataFrame, *, dataset_digest: str) -> None:
+    """The one test evaluation of a model: a second one, or other data, is refused.
+
+    Its key is the digest of the model's own metadata, not a name that the caller picks.
+    """
+    stored = model_id(_metadata(spark, VersionedTable(path).published(spark))).first()
+    if stored["dataset_digest"] != dataset_digest:
         raise ValueError("model was selected for another test set")
     if not selection.metric_disagreements(metrics).isEmpty():
         raise ValueError("stored metrics differ from those of the counts")
-    append_once(
-        metrics.select(F.lit(model_id).alias("model_id"), F.lit(dataset_digest).alias("dataset_digest"), "*"),
-        f"{path}/ledger", "model_id", "test evaluation")
+    VersionedTable(f"{path}/ledger").append_unique(
+        metrics.select(F.lit(stored["model_id"]).alias("model_id"), F.lit(dataset_digest).alias("dataset_digest"), "*"),
+        "model_id", "test evaluation")
 
 
 def report(spark: SparkSession, path: str) -> DataFrame:
     """Selection metadata beside the single test evaluation."""
-    metadata = spark.read.schema(_METADATA).parquet(f"{path}/metadata").drop("feature_names")
-    ledger = spark.read.parquet(f"{path}/ledger")
-    return metadata.join(ledger, "dataset_digest")
+    metadata = model_id(_metadata(spark, VersionedTable(path).published(spark))).drop("feature_names", "dataset_digest")
+    return metadata.join(VersionedTable(f"{path}/ledger").read(spark), "model_id")

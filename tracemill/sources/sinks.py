@@ -11,6 +11,7 @@ from tracemill.functions.ordered import BUCKET_ROWS, order_bucket, running
 from tracemill.operators import labelled, serving
 from tracemill.schemas import CONTRACT_VERSION
 from tracemill.session import shared_folder, written
+from tracemill.sources.commits import VersionedTable, delete, path_exists
 
 RESULT_TABLES = ("windows", "predictions", "alerts")
 
@@ -19,11 +20,6 @@ class ByteBudgetExceeded(RuntimeError):
     """At least one recording does not fit its byte budget."""
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def _text(name: str) -> str:
     return json_string(name, ascii_only=False)
 
@@ -99,66 +95,55 @@ def write_labelled_rows(rows: DataFrame, path: str) -> None:
     rows.select(labelled.row_json().alias("value")).write.mode("errorifexists").text(path)
 
 
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(path(target)):
-        raise FileExistsError(f"refusing to overwrite {target}")
-    if not files.rename(path(source), path(target)):
-        raise OSError(f"could not publish {target}")
-
-
 def assemble_dataset(rows: DataFrame, plan: DataFrame, path: str) -> None:
-    """Check, write all roles and the manifest to a staging folder, then publish by one rename."""
+    """Write all roles and the manifest to a new folder, check what was written, publish it once.
+
+    The input is read once; rows that break a rule leave nothing behind. Of several writers one publishes.
+    """
     spark = rows.sparkSession
-    for check in (labelled.row_violations(rows), labelled.capture_consistency(rows, plan),
-                  labelled.leakage_violations(rows),
-                  labelled.set_completeness(plan, rows.select(F.col("capture_id").alias("run_id")))):
-        problem = check.first()
-        if problem is not None:
-            raise ValueError(f"dataset is not acceptable: {problem.asDict()}")
-    staging = f"{path.rstrip('/')}.staging"
-    labelled.role_projection(rows).write.partitionBy("role").mode("overwrite").parquet(f"{staging}/rows")
-    stored = spark.read.parquet(f"{staging}/rows").filter("role = 'all'")
-    captures = labelled.capture_summary(stored).join(
-        labelled.content_digest(stored, ["capture_id"]).select(F.col("capture_id").alias("run_id"), "content_digest"),
-        "run_id")
-    captures.write.mode("overwrite").parquet(f"{staging}/captures")
-    labelled.role_totals(stored.drop("role")).write.mode("overwrite").parquet(f"{staging}/roles")
-    _rename(spark, staging, path)
+    table = VersionedTable(path)
+
+    def write(folder: str) -> None:
+        labelled.role_projection(rows).write.partitionBy("role").parquet(f"{folder}/rows")
+        stored = spark.read.parquet(f"{folder}/rows").filter("role = 'all'").drop("role")
+        for check in (labelled.row_violations(stored), labelled.capture_consistency(stored, plan),
+                      labelled.leakage_violations(stored),
+                      labelled.set_completeness(plan, stored.select(F.col("capture_id").alias("run_id")))):
+            problem = check.first()
+            if problem is not None:
+                delete(spark, folder)
+                raise ValueError(f"dataset is not acceptable: {problem.asDict()}")
+        captures = labelled.capture_summary(stored).join(
+            labelled.content_digest(stored, ["capture_id"]).select(F.col("capture_id").alias("run_id"), "content_digest"),
+            "run_id")
+        captures.write.parquet(f"{folder}/captures")
+        labelled.role_totals(stored).write.parquet(f"{folder}/roles")
+        plan.write.parquet(f"{folder}/plan")
+
+    table.publish_once(spark, write)
 
 
 def load_dataset(spark: SparkSession, path: str, role: str) -> DataFrame:
     """Rows of one role, only if they match the manifest written beside them."""
     if role not in labelled.ROLES:
         raise ValueError("role is none of all, selection, test")
+    folder = VersionedTable(path).published(spark)
     rows = spark.read.schema(
-        spark.read.parquet(f"{path}/rows").schema).parquet(f"{path}/rows").filter(F.col("role") == role).drop("role")
-    manifest = labelled.role_rows(spark.read.parquet(f"{path}/captures"), role)
+        spark.read.parquet(f"{folder}/rows").schema).parquet(f"{folder}/rows").filter(F.col("role") == role).drop("role")
+    manifest = labelled.role_rows(spark.read.parquet(f"{folder}/captures"), role)
     problem = labelled.manifest_differences(rows, manifest).first()
     if problem is not None:
         raise ValueError(f"dataset does not match its manifest: {problem.asDict()}")
     return rows
 
 
-def append_once(df: DataFrame, path: str, key: str, what: str) -> None:
-    """Append rows whose key is new; a key that is already stored is an error."""
-    spark = df.sparkSession
-    repeated = df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)
-    try:
-        stored = spark.read.parquet(path).select(key)
-        repeated = repeated.unionByName(df.join(stored, key, "left_semi").select(key))
-    except Exception as error:  # the first write has nothing to compare with
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    row = repeated.first()
-    if row is not None:
-        raise FileExistsError(f"{what} already recorded: {row[0]}")
-    df.write.mode("append").parquet(path)
+def write_capture_acceptance(acceptance: DataFrame, path: str) -> None:
+    """Add accepted captures; a run that is stored already is an error, also with several writers at once."""
+    VersionedTable(path).append_unique(acceptance.filter("status = 'accepted'"), "run_id", "capture acceptance")
 
 
-def write_capture_acceptance(acceptance: DataFrame, path: str) -> None:
-    append_once(acceptance.filter("status = 'accepted'"), path, "run_id", "capture acceptance")
+def read_capture_acceptance(spark: SparkSession, path: str) -> DataFrame | None:
+    return VersionedTable(path).read(spark)
 
 
 def write_differences(differences: DataFrame, path: str) -> None:
@@ -245,13 +230,10 @@ def upsert(changes: DataFrame, path: str, keys: list[str]) -> None:
     """
     spark = changes.sparkSession
     newest = changes
-    try:
+    if path_exists(spark, path):
         touched = changes.select("run_id").distinct()
         newest = changes.unionByName(
             spark.read.parquet(path).join(touched, "run_id", "left_semi"), allowMissingColumns=True)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
     keyed = ["run_id", *[key for key in keys if key != "run_id"]]
     merged = shared_folder(spark, "merge")
     serving.latest(newest, keyed).write.parquet(merged)

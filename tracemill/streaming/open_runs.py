@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from tracemill.sources.commits import VersionedTable, path_exists
+
 IDLE_MS = 15 * 60 * 1000
 _PARTIAL = "run_id string, start_ns bigint, records bigint, last_ns bigint, lost bigint, ended boolean, bad boolean"
 HEALTH = ("run_id string, records bigint, event_rate double, lost_events bigint, connected boolean,"
@@ -112,9 +114,17 @@ class OpenRuns:
     root: str
     idle_ms: int = IDLE_MS
 
+    @property
+    def _current(self) -> VersionedTable:
+        return VersionedTable(f"{self.root}/current", ("run_id",))
+
     def _log(self, rows: DataFrame, batch_id: int) -> None:
         rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{self.root}/health")
+        # Read back, because evaluating a stateful batch twice would count it twice.
+        spark = rows.sparkSession
+        if path_exists(spark, f"{self.root}/health/batch_id={batch_id}"):
+            self._current.append(spark.read.schema(HEALTH).parquet(f"{self.root}/health/batch_id={batch_id}"), batch_id)
 
     def start(self, records: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         spark = records.sparkSession
@@ -130,9 +140,8 @@ class OpenRuns:
         return spark.read.schema(f"{HEALTH}, batch_id bigint").parquet(f"{self.root}/health")
 
     def current(self, spark: SparkSession) -> DataFrame:
-        """The last health of every run."""
-        newest = F.max_by(F.struct("*"), "batch_id").alias("h")
-        return self.log(spark).groupBy("run_id").agg(newest).select("h.*")
+        """The last health of every run, from a table of few files however many batches there were."""
+        return self._current.read(spark)
 
 
 def state_of(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -18,27 +18,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import StreamingQuery
 
 from tracemill.functions.ordered import BUCKET_ROWS
-from tracemill.operators import serving, windows as ops
+from tracemill.operators import windows as ops
 from tracemill.schemas import SECOND_NS, TELEMETRY, WINDOW_KEY, WINDOW_NS
 from tracemill.session import written
+from tracemill.sources.commits import VersionedTable, delete, path_exists
 
 _OPEN_END = 2**62
-_RUNS = T.StructType([
-    T.StructField("run_id", T.StringType()),
-    T.StructField("capture_start_ns", T.LongType()),
-    T.StructField("capture_end_ns", T.LongType()),
-    T.StructField("watermark_ns", T.LongType()),
-    T.StructField("batch_id", T.LongType()),
-])
+_TIMES = ("capture_start_ns", "capture_end_ns", "watermark_ns")
+_RUNS = ("run_id string, capture_start_ns bigint, capture_end_ns bigint, watermark_ns bigint, news boolean,"
+         " ended_in bigint, batch_id bigint")
 _MARKED = T.StructType([*TELEMETRY.fields, *[
     T.StructField(name, T.LongType()) for name in ("watermark_ns", "slot", "batch_id")]])
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 @dataclass(frozen=True)
 class WindowStream:
     """Micro-batch window maintenance below ``root``.
@@ -46,6 +38,10 @@ class WindowStream:
     Records are flat telemetry with run start and end records. ``pos`` must grow with arrival
     inside a run, over batches too; ``collector_sequence`` is such a position in a valid stream.
     ``slot_windows`` is the number of windows per partition of the stored telemetry.
+
+    What grows with the number of batches is kept in versioned tables whose small folders are merged by
+    key. ``keep_ended`` batches after a run's end its telemetry is deleted; records that come later are put
+    aside and change nothing. ``keep_changes`` batches of the log of window versions stay. None keeps all.
     """
 
     root: str
@@ -53,10 +49,25 @@ class WindowStream:
     bucket_ns: int = SECOND_NS
     bucket_rows: int = BUCKET_ROWS
     slot_windows: int = 360
+    keep_ended: int | None = None
+    keep_changes: int | None = None
+
+    # The last two batches are never merged: a repeated batch must find what was there before it.
+    @property
+    def _runs_table(self) -> VersionedTable:
+        return VersionedTable(f"{self.root}/runs", ("run_id",), unmerged=2)
+
+    @property
+    def _held_table(self) -> VersionedTable:
+        return VersionedTable(f"{self.root}/held", unmerged=2)
+
+    @property
+    def _windows_table(self) -> VersionedTable:
+        return VersionedTable(f"{self.root}/windows", ("window_id",))
 
     def _read(self, spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
         path = f"{self.root}/{name}"
-        if table_exists(spark, path):
+        if path_exists(spark, path):
             return spark.read.schema(schema).parquet(path)
         return spark.createDataFrame([], schema)
 
@@ -65,17 +76,15 @@ class WindowStream:
             "partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(f"{self.root}/{name}")
 
     def runs(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        """Bounds and watermark of every run seen so far."""
-        stored = self._read(spark, "runs", _RUNS)
-        if before is not None:
-            stored = stored.filter(F.col("batch_id") < before)
-        return stored.groupBy("run_id").agg(
-            *[F.max(name).alias(name) for name in ("capture_start_ns", "capture_end_ns", "watermark_ns")])
+        """Bounds and watermark of every run seen so far, or before a batch."""
+        stored = self._runs_table.read(spark) if before is None else self._runs_table.before(spark, before)
+        return spark.createDataFrame([], _RUNS) if stored is None else stored
 
     def apply(self, records: DataFrame, batch_id: int) -> None:
         """Take one micro-batch into the state and log new window versions."""
         spark = records.sparkSession
         earlier = self.runs(spark, before=batch_id)
+        records = self._of_open_runs(records, earlier, batch_id)
         starts = records.filter("type = 'run_start'").select("run_id", "capture_start_ns")
         begun = earlier.filter("capture_start_ns IS NOT NULL").select("run_id", "capture_start_ns")
         bounds = begun.unionByName(starts).groupBy("run_id").agg(
@@ -89,18 +98,43 @@ class WindowStream:
         self._write(
             self._stored_rows(carried).withColumn("batch_id", F.lit(batch_id)).select(*_MARKED.names),
             "marked", "run_id", "slot", "batch_id")
-        self._write(
-            starts.select("run_id", "capture_start_ns")
+        seen = (
+            starts.select("run_id", "capture_start_ns", F.lit(True).alias("news"))
             .unionByName(records.filter("type = 'run_end'").select(
-                "run_id", F.col("timestamp_ns").alias("capture_end_ns")), allowMissingColumns=True)
+                "run_id", F.col("timestamp_ns").alias("capture_end_ns"), F.lit(True).alias("news")), allowMissingColumns=True)
             .unionByName(carried.select("run_id", "watermark_ns"), allowMissingColumns=True)
-            .groupBy("run_id").agg(*[
-                F.max(name).alias(name) for name in ("capture_start_ns", "capture_end_ns", "watermark_ns")])
-            .withColumn("batch_id", F.lit(batch_id)).select(*_RUNS.names),
-            "runs", "batch_id")
+            .groupBy("run_id").agg(*[F.max(c).alias(c) for c in _TIMES], F.coalesce(F.max("news"), F.lit(False)).alias("news")))
+        before = earlier.select("run_id", *[F.col(c).alias(f"_{c}") for c in (*_TIMES, "ended_in")])
+        # Rows hold all that is known of a run, so that the newest one is enough.
+        known = seen.join(before, "run_id", "left").select(
+            "run_id", *[F.greatest(c, f"_{c}").alias(c) for c in _TIMES], "news",
+            F.coalesce("_ended_in", F.when(F.col("capture_end_ns").isNotNull(), batch_id).cast("bigint")).alias("ended_in"))
+        self._runs_table.append(known, batch_id)
         if not carried.isEmpty() or not records.filter("type = 'run_end'").isEmpty():
             batch = self._read(spark, "marked", _MARKED).filter(F.col("batch_id") == batch_id)
             self._write(self._new_versions(spark, batch, batch_id), "changes", "batch_id")
+            if path_exists(spark, f"{self.root}/changes/batch_id={batch_id}"):
+                self._windows_table.append(
+                    spark.read.parquet(f"{self.root}/changes").filter(F.col("batch_id") == batch_id).drop("batch_id"), batch_id)
+        self._forget(spark, batch_id)
+
+    def _of_open_runs(self, records: DataFrame, earlier: DataFrame, batch_id: int) -> DataFrame:
+        """The records without those of runs whose telemetry is gone, which are put aside."""
+        if self.keep_ended is None:
+            return records
+        gone = earlier.filter(F.col("ended_in") < batch_id - self.keep_ended).select("run_id")
+        self._write(records.join(gone, "run_id", "left_semi").withColumn("batch_id", F.lit(batch_id)), "after_end", "batch_id")
+        return records.join(gone, "run_id", "left_anti")
+
+    def _forget(self, spark: SparkSession, batch_id: int) -> None:
+        """Delete telemetry of runs that ended long ago, and old batches of the log."""
+        if self.keep_ended is not None:
+            # The runs that ended in one batch.
+            for r in self.runs(spark).filter(F.col("ended_in") == batch_id - self.keep_ended).select("run_id").collect():
+                name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(r.run_id)
+                delete(spark, f"{self.root}/marked/run_id={name}")
+        if self.keep_changes is not None:
+            delete(spark, f"{self.root}/changes/batch_id={batch_id - self.keep_changes}")
 
     def _with_held(self, records: DataFrame, fresh: DataFrame, bounds: DataFrame, batch_id: int) -> DataFrame:
         """The batch together with what waited for run starts that it brings.
@@ -108,13 +142,15 @@ class WindowStream:
         Telemetry of runs without a start is stored until the start comes; nothing is dropped.
         """
         spark = records.sparkSession
-        self._write(
-            records.filter("type NOT IN ('run_start', 'run_end')").join(bounds, "run_id", "left_anti")
-            .withColumn("batch_id", F.lit(batch_id)), "held", "batch_id")
-        shape = T.StructType([*records.schema.fields, T.StructField("batch_id", T.LongType())])
-        waiting = self._read(spark, "held", shape).filter(F.col("batch_id") < batch_id).join(
-            fresh.select("run_id").distinct(), "run_id", "left_semi").drop("batch_id")
-        return records.unionByName(waiting)
+        early = records.filter("type NOT IN ('run_start', 'run_end')").join(bounds, "run_id", "left_anti")
+        if not early.isEmpty():
+            begun = self.runs(spark, before=batch_id).filter("capture_start_ns IS NOT NULL").select("run_id")
+            # What has been taken by a start is dropped when its folders are merged.
+            self._held_table.append(early, batch_id, lambda rows: rows.join(begun, "run_id", "left_anti"))
+        waiting = self._held_table.before(spark, batch_id)
+        if waiting is None:
+            return records
+        return records.unionByName(waiting.join(fresh.select("run_id").distinct(), "run_id", "left_semi").drop("batch_id"))
 
     def _slot(self, start: Column) -> Column:
         return F.floor(start / F.lit(self.window_ns * self.slot_windows))
@@ -145,11 +181,9 @@ class WindowStream:
     def _new_versions(self, spark: SparkSession, batch: DataFrame, batch_id: int) -> DataFrame:
         """Windows this batch closed or changed after closing."""
         before = self.runs(spark, before=batch_id).select("run_id", F.col("watermark_ns").alias("_from"))
-        known = self._read(spark, "runs", _RUNS).filter(F.col("batch_id") <= batch_id)
-        present = known.filter(F.col("batch_id") == batch_id).select(
-            "run_id", F.coalesce("capture_end_ns", "capture_start_ns").isNotNull().alias("_news"))
-        now = known.groupBy("run_id").agg(*[
-            F.max(name).alias(name) for name in ("capture_start_ns", "capture_end_ns", "watermark_ns")])
+        now = self.runs(spark).drop("ended_in")
+        present = now.filter(F.col("batch_id") == batch_id).select("run_id", F.col("news").alias("_news"))
+        now = now.select("run_id", *_TIMES)
         # A run ends in the batch of its end record, or of its start if that comes later.
         runs = written(now.join(present, "run_id").join(before, "run_id", "left").withColumn(
             "_ended", F.col("_news") & F.col("capture_end_ns").isNotNull()).drop("_news").filter(
@@ -190,13 +224,14 @@ class WindowStream:
             .drop("_mark", "_over").withColumn("batch_id", F.lit(batch_id)))
 
     def changes(self, spark: SparkSession) -> DataFrame:
-        """Every logged window version; later versions replace earlier ones by ``window_id``."""
+        """The logged window versions; later ones replace earlier ones by ``window_id``."""
         return spark.read.parquet(f"{self.root}/changes").withColumnRenamed("batch_id", "version").withColumn(
             "version", F.col("version").cast("bigint"))
 
     def windows(self, spark: SparkSession) -> DataFrame:
         """The current version of every closed window."""
-        return serving.latest(self.changes(spark), ["window_id"]).drop("version")
+        found = self._windows_table.read(spark)
+        return self.changes(spark).drop("version") if found is None else found.drop("batch_id")
 
     def start(self, records: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         """Run over a streaming DataFrame of telemetry."""
