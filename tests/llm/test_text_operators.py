@@ -479,10 +479,21 @@ def test_shards_fit_and_split_only_where_needed(docs):
             assert sum(v for s, v in sizes.items() if s.startswith(parent)) > 2500
 
 
-def test_repeats_of_one_row_are_dealt_to_parts(spark):
-    table = frame(spark, [(1, "x" * 100, None, None, None)] * 40)
-    rows = sharding.shard(table, limit=1000).collect()
-    assert len(rows) == 40 and max(Counter(r.shard for r in rows).values()) <= 20 and len({r.shard for r in rows}) > 1
+@pytest.mark.parametrize("size,copies,limit,part_rows", [(100, 40, 1000, 10), (10, 3, 16, 1), (100, 5, 99, 1), (30, 7, 100, 3), (7, 1, 3, 1)])
+def test_repeats_of_one_row_are_dealt_to_parts_that_fit(spark, size, copies, limit, part_rows):
+    table = frame(spark, [(1, "x" * size, None, None, None)] * copies + [(i, "y", None, None, None) for i in range(2, 9)])
+    rows = sharding.shard(table.repartition(3), limit=limit).collect()
+    assert len(rows) == copies + 7
+    members = {}
+    for r in rows:
+        members.setdefault(r.shard, []).append(r)
+    for shard in members.values():
+        whole = sum(len(r.text) for r in shard)
+        assert {(r.shard_rows, r.shard_bytes, r.oversize) for r in shard} == {(len(shard), whole, whole > limit)}
+        assert whole <= limit or len(shard) == 1
+    dealt = sorted((len(m) for m in members.values() if m[0].doc_id == 1), reverse=True)
+    if size * copies > limit and copies > 1:
+        assert dealt == [part_rows] * (copies // part_rows) + [copies % part_rows] * (copies % part_rows > 0)
 
 
 def test_sharding_of_an_empty_table(empty):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tracemill.llm.scratch import Scratch
 
@@ -81,9 +81,9 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
     shard is the bucket's prefix as a bit string ('' if one shard holds all). The size of a row is its
     text in UTF-8 bytes. Rows are placed by doc_id and text, so a hot doc_id spreads. Nulls count as
-    empty. Only a bucket that no bit can split, a row above the limit or repeats of one row, stays
-    above the limit; it is ``oversize``, and its repeats are dealt to numbered parts ('…/0', '…/1')
-    that fit. An empty table gives no rows; columns of docs with the names of the result are replaced.
+    empty. No bit can split repeats of one row: where they exceed the limit they are dealt to numbered
+    parts ('…/0', '…/1') of as many rows as fit, with their own bytes and rows. Only a single row above
+    the limit is a shard or part above it; that one is ``oversize``. An empty table gives no rows; columns of docs with the names of the result are replaced.
     """
     scratch = Scratch(docs.sparkSession, "shards")
     names = ["shard", "shard_depth", "shard_bytes", "shard_rows", "oversize"]
@@ -105,13 +105,34 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         owned = placed.withColumn("cell", _prefix((depths or [1])[0])).join(owners.drop("cell_bits"), "cell")
     bits = F.when(F.col("depth") == 0, "").otherwise(
         F.expr("lpad(bin(prefix), depth, '0')"))
-    over = F.col("shard_bytes") > limit
-    parts = F.ceil(F.col("shard_bytes") / limit)
-    repeats = over & (F.col("n_bytes") <= limit) & (F.col("shard_rows") > 1)
-    name = F.when(repeats, F.concat(bits, F.lit("/"), (F.monotonically_increasing_id() % parts).cast("string"))
-                  ).otherwise(bits)
-    return owned.select("row.*", name.alias("shard"), F.col("depth").alias("shard_depth"), "shard_bytes",
-                        "shard_rows", over.alias("oversize"))
+    over = (F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)
+    result = ["row.*", "shard", F.col("depth").alias("shard_depth"), "shard_bytes", "shard_rows",
+              (F.col("shard_bytes") > limit).alias("oversize")]
+    named = owned.withColumn("shard", bits)
+    if not owners.where(over).head(1):
+        return named.select(*result)
+    return named.where(~over).select(*result).union(_parts(named.where(over), limit, scratch).select(*result))
+
+
+def _parts(repeats: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """Repeats of one row dealt to numbered parts of as many as fit, one at least.
+
+    Rows are written first, so that their numbers stay if a task is repeated. They are counted inside
+    the written partitions, then over one summary row per partition, so no task gets all repeats of a row.
+    """
+    task = F.shiftright("id", 33)
+    stored = scratch.keep(repeats.withColumn("id", F.monotonically_increasing_id()), "repeats").withColumn("task", task)
+    counts = stored.groupBy("position", "task").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("position").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("position", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("position", "task").orderBy("id")
+    numbered = stored.withColumn("number", F.row_number().over(inside) - 1).join(before, ["position", "task"])
+    fits = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("n_bytes"))).cast("bigint")
+    part = F.floor((F.col("before") + F.col("number")) / F.col("fits")).cast("bigint")
+    own = F.least(F.col("fits"), F.col("shard_rows") - F.col("part") * F.col("fits"))
+    return numbered.withColumn("fits", fits).withColumn("part", part).withColumns({
+        "shard": F.concat("shard", F.lit("/"), F.col("part").cast("string")),
+        "shard_rows": own, "shard_bytes": own * F.col("n_bytes")})
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
