@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.builders import documents, frame
@@ -180,6 +181,60 @@ def test_top_k_equals_brute_force(spark):
         assert by_query[i] == [(j, -s) for s, j in scored]
 
 
+def clustered(n=4000, dim=16, clusters=40, seed=4):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((clusters, dim)) * 60
+    return np.floor(centres[rng.integers(clusters, size=n)] + rng.standard_normal((n, dim)))
+
+
+@pytest.mark.parametrize("x", [clustered(), clustered(300, 2, 5), np.floor(np.random.default_rng(1).standard_normal((700, 3)) * 40),
+                               np.zeros((50, 4)), np.repeat(clustered(40, 3, 4), 30, 0), np.array([[1.0, 2.0]])])
+def test_cover_trees_cover_separate_and_nest(x):
+    tree = topk.CoverTree.build(x)
+    assert (tree.rows == x[tree.order]).all() and sorted(tree.order) == list(range(len(x)))
+    seen = np.zeros(len(x), int)
+    for node in range(len(tree.radii)):
+        rows = tree.rows[tree.low[node]:tree.high[node]]
+        reach = np.sqrt(((rows - tree.centres[node]) ** 2).sum(1))
+        assert reach.max() <= tree.radii[node] + 1e-9
+        kids = tree.children(node)
+        if not len(kids):
+            seen[tree.low[node]:tree.high[node]] += 1
+            continue
+        cover = topk.SHRINK * tree.radii[node]
+        assert (tree.radii[kids[~tree.loose[kids]]] <= cover + 1e-9).all() and tree.loose[kids[:-1]].sum() == 0
+        # Centres of children, with those that stand alone.
+        alone = tree.rows[tree.low[kids[-1]]:tree.high[kids[-1]]] if tree.loose[kids[-1]] else tree.rows[:0]
+        centres = np.vstack([tree.centres[kids[~tree.loose[kids]]], alone])
+        assert (centres == tree.centres[node]).all(1).any()
+        apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))
+        assert (apart[~np.eye(len(centres), dtype=bool)] > cover - 1e-9).all()
+        assert (tree.low[kids[0]], tree.high[kids[-1]]) == (tree.low[node], tree.high[node])
+    assert (seen == 1).all()
+
+
+def test_clustered_vectors_are_pruned():
+    x = clustered()
+    queries, data = topk.CoverTree.build(x[::50]), topk.CoverTree.build(x)
+    best = topk.Best(np.arange(len(x))[::50][queries.order], 5)
+    scored = topk.dual_search(queries, data, np.arange(len(x))[data.order], best)
+    assert scored < len(queries.rows) * len(x) / 3
+    exact = x[::50][queries.order] @ x.T
+    exact[np.arange(len(exact)), best.own] = -np.inf
+    assert (best.scores == -np.sort(-exact, 1)[:, :5]).all()
+
+
+def test_a_repeated_id_and_many_copies_stay_in_small_blocks(spark):
+    from tracemill.llm.scratch import Scratch
+
+    rows = spark.createDataFrame([(7, [1.0, 2.0])] * 300 + [(i, [float(i), 1.0]) for i in range(50)], "vec_id long, v array<double>")
+    blocks = topk._blocks(rows.repartition(4), 2, 32, Scratch(spark, "test"), "data").select("n").collect()
+    assert sum(r.n for r in blocks) == 350 and max(r.n for r in blocks) <= 64
+    table = rows.select("vec_id", F.col("v").alias("embedding"))
+    got = topk.top_k(table.where("vec_id = 49"), table, block_rows=32).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got)] == [(i + 1, 48 - i, 256 * 256 * ((48 - i) * 49 + 1)) for i in range(5)]
+
+
 def test_top_k_of_few_and_no_rows(spark):
     few = spark.createDataFrame([(50, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(few.where("vec_id % 50 = 0"), few).collect()] == [(50, 1, 1, 256 * 512)]

@@ -1,10 +1,11 @@
 """Exact top-k inner products by a dual-tree search over cover trees.
 
-Vectors are dealt to blocks around pivots, and every block of data and of queries gets a cover tree:
-a node holds all its vectors within a radius around its centre, children have smaller radii and
-centres far from each other. For a pair of nodes no inner product can exceed
-``<c, d> + r |d| + s |c| + r s``. Pairs below the worst kth score of their query group are pruned, first
-whole blocks, then tree nodes inside the blocks that are left.
+Vectors are dealt to blocks around pivots, and every block of data and of queries gets a cover tree,
+once: centres are vectors of the block, every vector below a node lies within the covering radius of its
+centre, children cover half the radius of their node and their centres are farther apart than that.
+For a pair of nodes no inner product can exceed ``<c, d> + r |d| + s |c| + r s``. Pairs below the worst
+kth score of their query group are pruned, first whole blocks, then tree nodes inside the blocks that
+are left. Vectors that lie all equally far from each other leave nothing to prune; results stay exact.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ SCALE = 256
 # Rows of a block; pivots are a bounded sample, larger cells are split by a hash.
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 512
-LEAF_ROWS = 64
-_FANOUT = 8
+LEAF_ROWS = 32
+# Children cover this share of their node's radius.
+SHRINK = 0.5
+_SALTS = 16
 _NEVER = -(1 << 62)
 
 
@@ -41,56 +44,80 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 class CoverTree:
-    """Nodes in arrays: centre, radius, children as a range of nodes, vectors as a range of rows.
+    """Nodes in arrays, in breadth-first order: centre (a row), covering radius, range of rows, range of children.
 
-    The root covers all rows. Children of a node are found farthest first, so that their centres are
-    at least half the node's radius apart, until every row lies within half the radius of one of them
-    or the fan-out is reached.
+    Covering: the rows of a child lie within ``SHRINK`` times the node's radius of the child's centre.
+    Separation: centres of children are farther apart than that. Nesting: the node's centre is the first of
+    its children's. Centres are taken farthest first until all rows are covered, however many that needs.
+    Centres that cover themselves alone are not nodes of their own: they are kept together in a ``loose``
+    last child, a leaf as wide as the node, whose rows are bounded one by one.
     """
 
-    def __init__(self, x: np.ndarray):
-        self.order = np.arange(len(x))
-        self.centres, self.radii, self.spans, self.children = [], [], [], []
-        self._add(x, 0, len(x))
-        todo = [0]
-        while todo:
-            node = todo.pop()
-            low, high = self.spans[node]
-            if high - low <= LEAF_ROWS or self.radii[node] == 0:
-                continue
-            for begin, end in self._split(x, node, low, high):
-                child = self._add(x, begin, end)
-                self.children[node].append(child)
-                todo.append(child)
-        self.centres, self.radii = np.array(self.centres), np.array(self.radii)
+    def __init__(self, rows: np.ndarray, order: np.ndarray, nodes: np.ndarray):
+        self.rows, self.order, self.nodes = rows, order, nodes
+        self.points, self.low, self.high, self.first, self.last = (nodes[:, i].astype(np.int64) for i in (0, 2, 3, 4, 5))
+        self.loose = nodes[:, 6] > 0
+        self.radii, self.centres = nodes[:, 1], rows[self.points]
         self.norms = np.sqrt((self.centres ** 2).sum(1))
-        self.rows = x[self.order]
-
-    def _add(self, x: np.ndarray, low: int, high: int) -> int:
-        rows = x[self.order[low:high]]
-        centre = rows.mean(0)
-        self.centres.append(centre)
-        self.radii.append(float(np.sqrt(((rows - centre) ** 2).sum(1).max())))
-        self.spans.append((low, high))
-        self.children.append([])
-        return len(self.spans) - 1
-
-    def _split(self, x: np.ndarray, node: int, low: int, high: int) -> list[tuple[int, int]]:
-        rows = x[self.order[low:high]]
-        near = ((rows - rows[0]) ** 2).sum(1)
-        owner, enough = np.zeros(len(rows), int), (self.radii[node] / 2) ** 2
-        for child in range(1, _FANOUT):
+
+    @classmethod
+    def build(cls, x: np.ndarray) -> "CoverTree":
+        order = np.arange(len(x))
+        middle = int(((x - x.mean(0)) ** 2).sum(1).argmin())
+        norms = (x ** 2).sum(1)
+        # Row of the centre in x, radius, rows from and to, children from and to, whether it is loose.
+        nodes = [[middle, np.sqrt(cls._squares(x, norms, x, norms, middle).max()), 0, len(x), 0, 0, 0]]
+        for node in nodes:  # grows while it is walked
+            centre, radius, low, high = node[:4]
+            if high - low <= LEAF_ROWS or radius == 0 or node[6]:
+                continue
+            kids = cls._children(x, norms, order, int(centre), radius, low, high)
+            if kids:
+                node[4:6] = len(nodes), len(nodes) + len(kids)
+                nodes.extend(kids)
+        at = np.empty(len(x), np.int64)
+        at[order] = np.arange(len(x))
+        table = np.array(nodes, np.float64)
+        table[:, 0] = at[table[:, 0].astype(np.int64)]
+        return cls(x[order], order, table)
+
+    @staticmethod
+    def _squares(rows: np.ndarray, row_norms: np.ndarray, x: np.ndarray, norms: np.ndarray, centre: int) -> np.ndarray:
+        """Squared distances to a row; exact, as components are whole numbers."""
+        return np.maximum(row_norms + norms[centre] - 2 * (rows @ x[centre]), 0)
+
+    @classmethod
+    def _children(cls, x: np.ndarray, norms: np.ndarray, order: np.ndarray, centre: int, radius: float, low: int,
+                  high: int) -> list[list]:
+        members = order[low:high]
+        rows, own, centres, cover = x[members], norms[members], [centre], (radius * SHRINK) ** 2
+        near = cls._squares(rows, own, x, norms, centre)
+        owner = np.zeros(len(rows), np.int64)
+        while True:
             far = int(near.argmax())
-            if near[far] <= min(enough, near.max() * 0.999) and child > 1:
+            if near[far] <= cover:
                 break
-            distance = ((rows - rows[far]) ** 2).sum(1)
+            distance = cls._squares(rows, own, x, norms, int(members[far]))
             closer = distance < near
-            owner[closer], near = child, np.minimum(near, distance)
-        by_owner = np.argsort(owner, kind="stable")
-        self.order[low:high] = self.order[low:high][by_owner]
-        cuts = np.flatnonzero(np.diff(owner[by_owner])) + 1
-        edges = [0, *cuts.tolist(), len(rows)]
-        return [(low + a, low + b) for a, b in zip(edges, edges[1:])] if len(edges) > 2 else []
+            owner[closer], near = len(centres), np.minimum(near, distance)
+            centres.append(int(members[far]))
+        sizes = np.bincount(owner, minlength=len(centres))
+        if sizes.max() == 1:
+            return []
+        # Groups of several rows first, then all that stand alone.
+        by_owner = np.lexsort((owner, sizes[owner] == 1))
+        order[low:high] = members[by_owner]
+        groups = np.flatnonzero(sizes > 1)
+        ends = low + np.cumsum(sizes[groups])
+        kids = []
+        for group, end in zip(groups, ends):
+            kids.append([centres[group], np.sqrt(near[owner == group].max()), end - sizes[group], end, 0, 0, 0])
+        if ends[-1] < high:
+            kids.append([centre, radius, ends[-1], high, 0, 0, 1])
+        return kids
+
+    def children(self, node: int) -> np.ndarray:
+        return np.arange(self.first[node], self.last[node])
 
 
 def _exact(q: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -124,55 +151,65 @@ class Best:
         return int(self.scores[low:high, -1].min())
 
 
-def dual_search(queries: CoverTree, data: CoverTree, data_ids: np.ndarray, best: Best) -> None:
-    """Offers to ``best`` every data row that may belong to a query's k best."""
-    stack = [(0, 0)]
+def dual_search(queries: CoverTree, data: CoverTree, data_ids: np.ndarray, best: Best) -> int:
+    """Offers to ``best`` every data row that may belong to a query's k best. Returns how many pairs were scored."""
+    stack, scored = [(0, 0)], 0
     while stack:
         q, d = stack.pop()
         r, s = queries.radii[q], data.radii[d]
         bound = float(queries.centres[q] @ data.centres[d]) + r * data.norms[d] + s * queries.norms[q] + r * s
-        low, high = queries.spans[q]
+        low, high = queries.low[q], queries.high[q]
         if bound + 1e-6 * (1 + abs(bound)) < best.worst(low, high):
             continue
-        q_kids, d_kids = queries.children[q], data.children[d]
-        if not q_kids and not d_kids:
-            begin, end = data.spans[d]
-            best.offer(low, high, _exact(queries.rows[low:high], data.rows[begin:end]),
-                       data_ids[data.order[begin:end]][None, :])
-        elif d_kids and (not q_kids or s >= r):
+        q_kids, d_kids = queries.children(q), data.children(d)
+        if not len(q_kids) and not len(d_kids):
+            rows = np.arange(data.low[d], data.high[d])
+            if data.loose[d]:
+                reach = data.rows[rows] @ queries.centres[q] + r * np.sqrt((data.rows[rows] ** 2).sum(1))
+                rows = rows[reach + 1e-6 * (1 + np.abs(reach)) >= best.worst(low, high)]
+            best.offer(low, high, _exact(queries.rows[low:high], data.rows[rows]), data_ids[rows][None, :])
+            scored += int((high - low) * len(rows))
+        elif len(d_kids) and (not len(q_kids) or s >= r):
             # The most promising child is taken first, so that the others meet a better kth score.
             promise = data.centres[d_kids] @ queries.centres[q] + data.radii[d_kids] * queries.norms[q]
             stack += [(q, d_kids[i]) for i in np.argsort(promise)]
         else:
             stack += [(c, d) for c in q_kids]
+    return scored
 
 
 def _unpack(blob: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(blob, np.float64).reshape(-1, dim)
 
 
-_BLOCK = "block string, dim int, n int, ids binary, vectors binary, centre binary, radius double"
+_BLOCK = "block string, n int, ids binary, vectors binary, nodes binary, centre binary, radius double"
 
 
 def _packed(rows: DataFrame, dim: int) -> DataFrame:
-    """One row per block: its ids, vectors, centre and radius. ``rows``: (block, vec_id, v)."""
+    """One row per block: its cover tree, with ids and vectors in the tree's order. ``rows``: (block, vec_id, v)."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
         x = np.zeros((len(pdf), dim))
         for i, v in enumerate(pdf["v"]):
             x[i, :len(v)] = v
-        centre = x.mean(0)
+        tree = CoverTree.build(x)
         return pd.DataFrame([{
-            "block": pdf["block"].iloc[0], "dim": dim, "n": len(pdf),
-            "ids": pdf["vec_id"].fillna(-1).to_numpy(np.int64).tobytes(), "vectors": x.tobytes(), "centre": centre.tobytes(),
-            "radius": float(np.sqrt(((x - centre) ** 2).sum(1).max()))}])
+            "block": pdf["block"].iloc[0], "n": len(pdf), "ids": pdf["vec_id"].to_numpy(np.int64)[tree.order].tobytes(),
+            "vectors": tree.rows.tobytes(), "nodes": tree.nodes.tobytes(), "centre": tree.centres[0].tobytes(),
+            "radius": float(tree.radii[0])}])
 
     return rows.groupBy("block").applyInPandas(pack, _BLOCK)
 
 
+def _tree(vectors: bytes, nodes: bytes, dim: int) -> CoverTree:
+    return CoverTree(_unpack(vectors, dim), np.zeros(0, np.int64), _unpack(nodes, 7))
+
+
 def _blocks(rows: DataFrame, dim: int, block_rows: int, scratch: Scratch, name: str) -> DataFrame:
-    """Rows dealt to the nearest pivot and packed. Cells above ``block_rows`` are split by a hash."""
+    """Rows dealt to the nearest pivot and packed. Cells above ``block_rows`` are split by row, so that neither
+    many copies nor a repeated id makes a block larger.
+    """
     count = rows.count()
     wanted = max(1, min(MAX_PIVOTS, -(-count // block_rows)))
     # A bounded sample: at most MAX_PIVOTS vectors, chosen by a hash of the id.
@@ -182,17 +219,21 @@ def _blocks(rows: DataFrame, dim: int, block_rows: int, scratch: Scratch, name:
     norms = (pivots ** 2).sum(1)
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done = 0
         for pdf in frames:
             x = np.zeros((len(pdf), dim))
             for i, v in enumerate(pdf["v"]):
                 x[i, :len(v)] = v
-            yield pdf.assign(pivot=(norms - 2 * x @ pivots.T).argmin(1).astype(np.int32))
+            yield pdf.assign(pivot=(norms - 2 * x @ pivots.T).argmin(1).astype(np.int32),
+                             turn=np.arange(done, done + len(pdf)))
+            done += len(pdf)
 
-    dealt = scratch.keep(rows.mapInPandas(deal, "vec_id bigint, v array<double>, pivot int"), f"{name}-dealt")
+    # Written once, so that a row keeps its turn if a task is repeated.
+    dealt = scratch.keep(rows.mapInPandas(deal, "vec_id bigint, v array<double>, pivot int, turn bigint"), f"{name}-dealt")
     # At most MAX_PIVOTS rows.
     cells = dealt.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).select(
         "pivot", F.ceil(F.col("n") / block_rows).alias("parts"))
-    block = F.concat_ws(":", "pivot", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    block = F.concat_ws(":", "pivot", F.pmod(F.xxhash64("vec_id", "turn"), F.col("parts")))
     return scratch.keep(_packed(dealt.join(F.broadcast(cells), "pivot").select(
         block.alias("block"), "vec_id", "v"), dim), name)
 
@@ -203,7 +244,7 @@ _FOUND = "query_id bigint, vec_id bigint, score bigint"
 def _searched(pairs: DataFrame, dim: int, k: int) -> DataFrame:
     """The k best of every pair of a query block and a data block.
 
-    ``pairs``: (q_ids, q_vectors, d_ids, d_vectors, floor); floor is a score that each query of the
+    ``pairs``: (q_ids, q_vectors, q_nodes, d_ids, d_vectors, d_nodes, floor); floor is a score that each query of the
     block is known to reach k times.
     """
 
@@ -211,13 +252,12 @@ def _searched(pairs: DataFrame, dim: int, k: int) -> DataFrame:
         held: tuple = (None, None)
         for pdf in frames:
             out = []
-            for q_ids, q_vectors, d_ids, d_vectors, floor in zip(
-                    pdf.q_ids, pdf.q_vectors, pdf.d_ids, pdf.d_vectors, pdf.floor):
-                ids = np.frombuffer(q_ids, np.int64)
+            for q_ids, q_vectors, q_nodes, d_ids, d_vectors, d_nodes, floor in zip(
+                    pdf.q_ids, pdf.q_vectors, pdf.q_nodes, pdf.d_ids, pdf.d_vectors, pdf.d_nodes, pdf.floor):
                 if held[0] != q_ids:
-                    held = (q_ids, CoverTree(_unpack(q_vectors, dim)))
-                queries, data = held[1], CoverTree(_unpack(d_vectors, dim))
-                best = Best(ids[queries.order], k)
+                    held = (q_ids, _tree(q_vectors, q_nodes, dim))
+                queries, data = held[1], _tree(d_vectors, d_nodes, dim)
+                best = Best(np.frombuffer(q_ids, np.int64), k)
                 if not pd.isna(floor):
                     # Scores below the floor cannot be among the k best: empty places start just below it.
                     best.scores[:] = int(floor) - 1
@@ -232,9 +272,12 @@ def _searched(pairs: DataFrame, dim: int, k: int) -> DataFrame:
 
 
 def _kept(found: DataFrame, k: int) -> DataFrame:
-    """The k best per query, ties to the smaller id. A query has k rows per searched block at most."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    return found.groupBy("query_id").agg(best.alias("best")).select(
+    """The k best per query, ties to the smaller id, over the k best of each of a few salted parts."""
+    entry = F.struct((-F.col("score")).alias("s"), "vec_id")
+    part = found.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(_SALTS)).alias("salt")).agg(
+        F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("best"))
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
+    return part.groupBy("query_id").agg(best.alias("best")).select(
         "query_id", F.posexplode("best").alias("at", "b")).select(
         "query_id", (F.col("at") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
@@ -250,8 +293,8 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = K, block_rows: int = BLO
     smallest vector. Fewer than k candidates: all of them. An
     empty table gives no rows. Other columns are not read.
 
-    Query blocks first search the data block of the nearest centre, which gives each a worst kth
-    score; then all pairs of blocks are bounded, and only those that can still matter are searched.
+    Query blocks first search their most promising data block, which gives each a worst kth score; then
+    all pairs of blocks are bounded, and only those that can still matter become rows and are searched.
     """
     scratch = Scratch(data.sparkSession, "topk")
     rows = scratch.keep(quantised(data.where("vec_id is not null"), scale), "rows")
@@ -263,15 +306,16 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = K, block_rows: int = BLO
         return data.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     d_blocks = _blocks(rows, dim, block_rows, scratch, "data")
     q_blocks = _blocks(asked, dim, max(1, block_rows // 8), scratch, "queries")
-    bounds = scratch.keep(_bounds(q_blocks, d_blocks, dim), "bounds")
-    firsts = bounds.groupBy("q").agg(F.max_by("d", "promise").alias("d")).select("q", "d")
-    q_side = q_blocks.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    d_side = d_blocks.select(F.col("block").alias("d"), F.col("ids").alias("d_ids"), F.col("vectors").alias("d_vectors"))
+    met = _meetings(q_blocks, d_blocks)
+    firsts = scratch.keep(_bounded(met, False).groupBy("q").agg(F.max_by("d", "promise").alias("d")), "firsts")
+    names = ("ids", "vectors", "nodes")
+    q_side = q_blocks.select(F.col("block").alias("q"), *[F.col(n).alias(f"q_{n}") for n in names])
+    d_side = d_blocks.select(F.col("block").alias("d"), *[F.col(n).alias(f"d_{n}") for n in names])
 
     def pairs(keys: DataFrame) -> DataFrame:
         # One task per few pairs: a pair is two blocks of bounded size.
         return keys.join(q_side, "q").join(d_side, "d").repartition("q", "d").select(
-            "q_ids", "q_vectors", "d_ids", "d_vectors", "floor")
+            *[f"q_{n}" for n in names], *[f"d_{n}" for n in names], "floor")
 
     none = F.lit(None).cast("bigint")
     first = scratch.keep(_searched(pairs(firsts.withColumn("floor", none)), dim, k), "first")
@@ -280,10 +324,9 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = K, block_rows: int = BLO
     members = q_blocks.select(F.col("block").alias("q"), "ids").mapInPandas(_members, "q string, query_id bigint")
     floors = members.join(worst, "query_id", "left").groupBy("q").agg(F.when(
         F.min(F.coalesce("n", F.lit(0))) >= k, F.min("kth")).alias("floor"))
-    left = bounds.join(floors, "q").join(firsts.withColumn("done", F.lit(True)), ["q", "d"], "left").where(
-        "done is null and (floor is null or bound >= floor)").select("q", "d", "floor")
-    rest = _searched(pairs(left), dim, k)
-    return _kept(first.union(rest), k)
+    left = scratch.keep(_bounded(met.join(floors, "q"), True).join(firsts, ["q", "d"], "left_anti").join(floors, "q").select(
+        "q", "d", "floor"), "left")
+    return _kept(first.union(_searched(pairs(left), dim, k)), k)
 
 
 def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,11 +336,10 @@ def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "query_id": np.concatenate(lists) if lists else np.zeros(0, np.int64)})
 
 
-def _bounds(q_blocks: DataFrame, d_blocks: DataFrame, dim: int, group: int = 256) -> DataFrame:
-    """``(q, d, bound, promise)`` for every pair of a query block and a data block.
+def _meetings(q_blocks: DataFrame, d_blocks: DataFrame, group: int = 256) -> DataFrame:
+    """``(q, centre, radius, nodes)``: every query block beside groups of about ``group`` data blocks.
 
-    Only centres and radii travel: the data side in groups of ``group`` blocks, which every query block
-    meets through the number of the group.
+    Only centres and radii travel; a group is met through its number.
     """
     slim = ["block", "centre", "radius"]
     groups = max(1, -(-d_blocks.count() // group))
@@ -305,19 +347,30 @@ def _bounds(q_blocks: DataFrame, d_blocks: DataFrame, dim: int, group: int = 256
     sides = d_blocks.select(*slim, number.alias("group")).groupBy("group").agg(
         F.collect_list(F.struct(*slim)).alias("nodes"))
     asking = q_blocks.select(*slim).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return asking.join(sides, "group").select(F.col("block").alias("q"), "centre", "radius", "nodes")
 
+
+def _bounded(met: DataFrame, with_floor: bool) -> DataFrame:
+    """``(q, d, promise)`` of the data blocks in each group that can matter.
+
+    Without floors only the most promising one of a group; with them all whose bound reaches the floor. So
+    no row is made for a pair of blocks that is not searched.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
-            for q, centre, r, nodes in zip(pdf.block, pdf.centre, pdf.radius, pdf.nodes):
-                a = np.frombuffer(centre, np.float64)
-                c = np.array([np.frombuffer(n["centre"], np.float64) for n in nodes])
-                s = np.array([n["radius"] for n in nodes])
+            out = [pd.DataFrame({"q": [], "d": [], "promise": []})]
+            for row in pdf.itertuples(index=False):
+                a, r = np.frombuffer(row.centre, np.float64), row.radius
+                c = np.array([np.frombuffer(n["centre"], np.float64) for n in row.nodes])
+                s = np.array([n["radius"] for n in row.nodes])
                 inner, length = c @ a, np.sqrt((c ** 2).sum(1))
-                bound = inner + r * length + s * np.sqrt(a @ a) + r * s
-                out.append(pd.DataFrame({"q": q, "d": [n["block"] for n in nodes],
-                                         "bound": bound + 1e-6 * (1 + np.abs(bound)), "promise": inner}))
-            yield pd.concat(out) if out else pd.DataFrame({"q": [], "d": [], "bound": [], "promise": []})
-
-    return asking.join(sides, "group").select(*slim, "nodes").mapInPandas(
-        run, "q string, d string, bound double, promise double")
+                if not with_floor:
+                    kept = np.array([inner.argmax()])
+                else:
+                    bound = inner + r * length + s * np.sqrt(a @ a) + r * s
+                    bound += 1e-6 * (1 + np.abs(bound))
+                    kept = np.arange(len(s)) if pd.isna(row.floor) else np.flatnonzero(bound >= row.floor)
+                out.append(pd.DataFrame({"q": row.q, "d": [row.nodes[i]["block"] for i in kept], "promise": inner[kept]}))
+            yield pd.concat(out)
+
+    return met.mapInPandas(run, "q string, d string, promise double")
