@@ -4,6 +4,7 @@ import hashlib
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -479,6 +480,30 @@ def test_shards_fit_and_split_only_where_needed(docs):
             assert sum(v for s, v in sizes.items() if s.startswith(parent)) > 2500
 
 
+@pytest.mark.parametrize("item,hit", [("so " * 400, True), ("so so so no " * 100, False), ("so " * 9 + "no " * 4 + "so " * 200, True),
+                                      (" ".join(f"so so w{i}" for i in range(130)), False)])
+def test_texts_of_one_word_have_bounded_hits(item, hit):
+    """Tens of millions of equal seeds: told in pieces, each alignment verified once."""
+    import tracemalloc
+
+    bench = decontamination._Benchmark([(7, item), (8, "nothing else " * 20)], decontamination.MASKS, 13, 0.8)
+    hashes, owner = decontamination.tokens(["so " * 40_000, "other text", "so " * 500], decontamination._Powers())
+    tracemalloc.start()
+    found = decontamination._verified(bench, hashes, owner, 3, 13, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == ({0: {7}, 2: {7}} if hit else {}) and peak < 200 << 20
+
+
+def test_alignments_are_told_once():
+    for n_texts in (3, 1 << 60):  # packed into one number, or not
+        told = decontamination._Alignments(n_texts, 10, 1000)
+        assert told.packed == (n_texts == 3)
+        triples = np.array([[0, 9, -1000], [2, 0, 1000], [1, 5, 0], [1, 5, 0]])
+        assert sorted(told.fresh(*triples.T)) == [(0, 9, -1000), (1, 5, 0), (2, 0, 1000)]
+        assert told.fresh(*np.array([[1, 5, 0], [1, 5, 1]]).T) == [(1, 5, 1)]
+
+
 @pytest.mark.parametrize("size,copies,limit,part_rows", [(100, 40, 1000, 10), (10, 3, 16, 1), (100, 5, 99, 1), (30, 7, 100, 3), (7, 1, 3, 1)])
 def test_repeats_of_one_row_are_dealt_to_parts_that_fit(spark, size, copies, limit, part_rows):
     table = frame(spark, [(1, "x" * size, None, None, None)] * copies + [(i, "y", None, None, None) for i in range(2, 9)])

@@ -29,6 +29,8 @@ SIMILARITY = 0.8
 SLICE_BYTES = 8 << 20
 # Bytes of text that are tokenised together.
 _CHUNK = 1 << 20
+# Hits that are looked at together; a text of one word has more than its length times the item's.
+_HITS = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -169,9 +171,8 @@ class _Benchmark:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.seeds >> np.uint64(64 - _FILTER_BITS)] = True
 
-    def hits(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (token of the texts, token of the benchmark) at which equal seeds start."""
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def hits(self, hashes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (token of the texts, token of the benchmark) at which equal seeds start, some at a time."""
         for mask in self.masks:
             found = _seeds(hashes, mask)
             at = np.flatnonzero(self.filter[found >> np.uint64(64 - _FILTER_BITS)])
@@ -179,31 +180,62 @@ class _Benchmark:
             low = np.searchsorted(self.seeds, found[at], "left")
             count = np.searchsorted(self.seeds, found[at], "right") - low
             at, low, count = at[count > 0], low[count > 0], count[count > 0]
-            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            left.append(np.repeat(at, count))
-            right.append(self.places[np.repeat(low, count) + offset])
-        return np.concatenate(left), np.concatenate(right)
+            ends = np.cumsum(count)
+            for begin in range(0, int(ends[-1]) if len(ends) else 0, _HITS):
+                number = np.arange(begin, min(begin + _HITS, int(ends[-1])))
+                which = np.searchsorted(ends, number, "right")
+                yield at[which], self.places[low[which] + number - (ends[which] - count[which])]
+
+
+class _Alignments:
+    """Distinct (text, item, shift): each is told once, however many hits it has."""
+
+    def __init__(self, n_texts: int, n_items: int, longest: int):
+        self.n_items, self.width = max(1, n_items), (2 * longest + 1).bit_length()
+        self.packed = (n_texts * self.n_items).bit_length() + self.width <= 63
+        self.middle, self.known = longest, np.zeros(0, np.int64)
+        self.told: set[tuple[int, int, int]] = set()
+
+    def fresh(self, text: np.ndarray, item: np.ndarray, shift: np.ndarray) -> list[tuple[int, int, int]]:
+        if not self.packed:
+            new = set(map(tuple, np.unique(np.stack([text, item, shift], 1), axis=0).tolist())) - self.told
+            self.told |= new
+            return sorted(new)
+        keys = np.unique(((text * self.n_items + item) << self.width) + shift + self.middle)
+        keys = keys[~np.isin(keys, self.known, assume_unique=True)]
+        self.known = np.union1d(self.known, keys)
+        pair, shift = keys >> self.width, (keys & ((1 << self.width) - 1)) - self.middle
+        return list(zip((pair // self.n_items).tolist(), (pair % self.n_items).tolist(), shift.tolist()))
 
 
 def _verified(bench: _Benchmark, hashes: np.ndarray, owner: np.ndarray, n_texts: int, window: int,
               similarity: float) -> dict[int, set[int]]:
     """Items found in each text, by number of the text."""
     begins = np.searchsorted(owner, np.arange(n_texts + 1))
-    left, right = bench.hits(hashes, owner)
-    text, item = owner[left], bench.owner[right]
-    shift = (left - begins[text]) - (right - bench.begins[item])
+    alignments = _Alignments(n_texts, len(bench.ids), len(hashes) + len(bench.hashes))
     found: dict[int, set[int]] = {}
-    for t, i, d in np.unique(np.stack([text, item, shift], 1), axis=0).tolist():
-        if bench.ids[i] in found.get(t, ()):
-            continue
-        a, b = hashes[begins[t]:begins[t + 1]], bench.hashes[bench.begins[i]:bench.begins[i + 1]]
-        low, high = max(0, -d), min(len(b), len(a) - d)
-        size = min(window, len(b))
-        if high - low < size:
-            continue
-        same = np.concatenate([[0], np.cumsum(a[low + d:high + d] == b[low:high])])
-        if (same[size:] - same[:-size]).max() >= agreeing(size, similarity):
-            found.setdefault(t, set()).add(bench.ids[i])
+    done = np.zeros(0, np.int64)  # pairs of text and item that need no more hits
+    for left, right in bench.hits(hashes, owner):
+        text, item = owner[left], bench.owner[right]
+        if len(done):
+            open_ = ~np.isin(text * len(bench.ids) + item, done)
+            left, right, text, item = left[open_], right[open_], text[open_], item[open_]
+        shift = (left - begins[text]) - (right - bench.begins[item])
+        new = set()
+        for t, i, d in alignments.fresh(text, item, shift):
+            if bench.ids[i] in found.get(t, ()):
+                new.add(t * len(bench.ids) + i)
+                continue
+            a, b = hashes[begins[t]:begins[t + 1]], bench.hashes[bench.begins[i]:bench.begins[i + 1]]
+            low, high = max(0, -d), min(len(b), len(a) - d)
+            size = min(window, len(b))
+            if high - low < size:
+                continue
+            same = np.concatenate([[0], np.cumsum(a[low + d:high + d] == b[low:high])])
+            if (same[size:] - same[:-size]).max() >= agreeing(size, similarity):
+                found.setdefault(t, set()).add(bench.ids[i])
+                new.add(t * len(bench.ids) + i)
+        done = np.union1d(done, list(new)).astype(np.int64)
     return found
 
 
