@@ -540,3 +540,14 @@ def test_rows_without_an_id_spread_over_the_ranges(spark):
     columns = ["text", "source", "mix_tokens", "mix_epoch", "mix_block", "mix_order"]
     assert counted(whole.select(columns).collect()) == counted(parts.select(columns).collect())
     assert len({r.mix_order for r in whole.where("source = 'a'").collect()}) > 30
+
+
+def test_rows_of_one_id_spread_over_the_ranges(spark):
+    """Different texts of one id lie in many ranges, without changing the mix."""
+    docs = spark.createDataFrame([(7, f"{'word ' * (i % 7 + 1)}{i}", "a") for i in range(200)], "doc_id long, text string, source string")
+    whole, parts = (mixing.mix(docs, range_rows=n) for n in (1000, 4))
+    columns = ["text", "mix_tokens", "mix_epoch", "mix_block", "mix_order"]
+    assert counted(whole.select(columns).collect()) == counted(parts.select(columns).collect())
+    places = {r.place for r in mixing._dealt(docs.select(F.concat_ws(":", "doc_id", F.md5("text")).alias("who"), "source"), spark.createDataFrame(
+        [("a", 0, 50)], "source string, passes long, ranges long")).select(F.col("range").alias("place")).collect()}
+    assert len(places) > 30

@@ -7,7 +7,7 @@ _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 STATEMENTS = {
     "op1_source_mixing": f"""
 WITH RECURSIVE rows AS (
-  SELECT doc_id, source, {_WORDS} AS t FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, {_WORDS} AS t FROM documents),
 sums AS (
   SELECT source, CAST(sum(t) AS BIGINT) AS whole, sum(t) / (SELECT sum(t) FROM rows)::DOUBLE AS share
   FROM rows GROUP BY source HAVING sum(t) > 0),
@@ -36,10 +36,10 @@ budgets AS (
   SELECT source, whole, CAST(floor(round(p / (SELECT sum(p) FROM powers), 9) * (SELECT sum(t) FROM rows)) AS BIGINT) AS budget
   FROM powers),
 passes AS (
-  SELECT doc_id, source, t, whole, budget, budget // whole AS n_passes, unnest(range(budget // whole + 1)) AS epoch
+  SELECT doc_id, source, digest, t, whole, budget, budget // whole AS n_passes, unnest(range(budget // whole + 1)) AS epoch
   FROM rows JOIN budgets USING (source)),
 running AS (
-  SELECT *, CAST(sum(t) OVER (PARTITION BY source, epoch ORDER BY substr(md5(epoch || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15),
+  SELECT *, CAST(sum(t) OVER (PARTITION BY source, epoch ORDER BY substr(md5(epoch || ':' || coalesce(doc_id::VARCHAR, '') || ':' || digest), 1, 15),
                               doc_id NULLS FIRST, t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM passes)
 SELECT doc_id, source, t AS mix_tokens, epoch AS mix_epoch,
        CAST(floor((epoch * whole + upto - t) / {mixing.BLOCK_TOKENS}) AS BIGINT) AS mix_block,

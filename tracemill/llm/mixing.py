@@ -99,18 +99,19 @@ def _dealt(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTROPY_SHARE,
         max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, range_rows: int = RANGE_ROWS,
-        tokens: str | None = None) -> DataFrame:
+        tokens: str | None = None, content: str | None = None) -> DataFrame:
     """The mixed corpus: rows of ``docs``, repeated or left out, with ``mix_tokens``, ``mix_epoch``,
     ``mix_block`` and ``mix_order``.
 
     A source passes over its documents as often as its budget holds; the last pass ends before the
     first document that would exceed the budget. Tokens are the words of ``text``, or the numbers in the
-    column that ``tokens`` names; then the texts need not be there. Every pass is a permutation of its own. mix_block
+    column that ``tokens`` names; then the texts need not be there, and ``content`` may name a digest of
+    them. Rows are placed by id and text, so that many rows of one id spread over all ranges. Every pass is a permutation of its own. mix_block
     numbers the pieces of ``block_tokens`` tokens in a source's stream; ordering rows by mix_order
     (place in the stream, in millionths) interleaves all sources evenly. Rows without words spend
     nothing and go along with every pass; a source without any words has weight zero and is left out.
-    Null texts count as empty, null is a source of its own, rows without a doc_id are placed by their
-    content, repeated rows are used like different documents, an empty table gives no rows, other
+    Null texts count as empty, null is a source of its own, a null doc_id counts as empty, repeated rows
+    are used like different documents and follow each other, an empty table gives no rows, other
     columns pass through.
 
     Running sums are made inside ranges of the permutation and then over one summary row per range,
@@ -130,8 +131,9 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTRO
     plan = scratch.keep(plan.join(sums.select("source", ranges), "source"), "plan")
     whole_row = F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row")
     source = F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source")
-    content = F.xxhash64(*[c for c in ("text", tokens) if c in base.columns])
-    who = F.coalesce(F.col("doc_id").cast("string"), content.cast("string")).alias("who")
+    digest = (F.md5(F.coalesce("text", F.lit(""))) if content is None and "text" in base.columns
+              else F.coalesce(F.col(content or tokens).cast("string"), F.lit("")))
+    who = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest).alias("who")
     dealt = _dealt(base.select(whole_row, "doc_id", who, source, size), plan)
     part = ["source", "epoch", "range"]
     slim = _dealt(base.select(who, source, size), plan.where("ranges > 1"))

@@ -15,8 +15,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_source_mixing(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words().alias("n_words"))
-    return mixing.mix(docs, tokens="n_words").select(
+    digest = F.md5(F.coalesce("text", F.lit(""))).alias("digest")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", digest, mixing.words().alias("n_words"))
+    return mixing.mix(docs, tokens="n_words", content="digest").select(
         "doc_id", "source", "mix_tokens", "mix_epoch", "mix_block", "mix_order")
 
 
