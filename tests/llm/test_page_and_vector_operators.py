@@ -136,6 +136,22 @@ def test_merged_index_is_in_global_order(spark, tmp_path):
     assert runs.select("archive").distinct().count() > 10
 
 
+def test_records_are_read_in_several_tasks(spark, tmp_path):
+    from tracemill.llm.scratch import Scratch
+
+    rows = spark.createDataFrame([(i, f"http://h{i}.org/", "x" * 5000) for i in range(200)], PAGES).repartition(4)
+    scratch = Scratch(spark, "test")
+    runs = scratch.keep(warc.write_archives(warc.roles(rows), str(tmp_path), archive_bytes=50_000), "runs")
+    read = warc.read_records(warc.merged_index(runs, scratch), str(tmp_path))
+    assert read.count() == 200 and read.select(F.spark_partition_id()).distinct().count() > 3
+
+
+def test_url_keys_reverse_the_host_alone():
+    keys = {"http://a.Example.org:8080/x?Q": "org,example,a:8080)/x?q", "https://org": "org)", "http://b.org?x#y": "org,b)?x",
+            None: ")", "no scheme": "no scheme)"}
+    assert {u: warc.url_key(u) for u in keys} == keys
+
+
 def test_loser_tree_merges_any_number_of_runs():
     import random
 

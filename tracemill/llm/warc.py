@@ -24,6 +24,8 @@ from tracemill.llm.scratch import Scratch
 REVISIT_BYTES = 1000
 # Payload bytes per archive file, and index rows per merged range.
 ARCHIVE_BYTES = 32 << 20
+# Bytes of archives that one reading task takes, about; a small set is spread over the cores instead.
+READ_BYTES = 64 << 20
 RANGE_ROWS = 1 << 16
 _SALTS = 16
 _FIRST_CAPTURE = 1_700_000_000  # seconds; captures are a second apart, in order of page_id
@@ -83,6 +85,7 @@ def _record(kind: str, url: str | None, page_id: int | None, refers_to: int | No
         head.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                 f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers_to}')}>",
                  f"X-Refers-To-Page-ID: {refers_to}"]
     raw = "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
     packer = zlib.compressobj(3, zlib.DEFLATED, 31)
@@ -105,12 +108,12 @@ def _parsed(member: bytes) -> dict:
 
 
 def url_key(url: str | None) -> str:
-    """Host labels in reverse, then path and query, lower-cased: ``org,example)/path?x``. Null sorts as ''."""
+    """Host labels in reverse, port, path and query, lower-cased: ``org,example:81)/path?x``. Null sorts as ''."""
     rest = (url or "").partition("://")[2] if "://" in (url or "") else url or ""
     rest = rest.partition("#")[0]
     cut = min((i for i in (rest.find("/"), rest.find("?")) if i >= 0), default=len(rest))
-    host, path = rest[:cut], rest[cut:]
-    return (",".join(reversed(host.split("."))) + ")" + path).lower()
+    (host, colon, port), path = rest[:cut].partition(":"), rest[cut:]
+    return (",".join(reversed(host.split("."))) + colon + port + ")" + path).lower()
 
 
 def roles(pages: DataFrame) -> DataFrame:
@@ -221,7 +224,8 @@ def merged_index(runs: DataFrame, scratch: Scratch, range_rows: int = RANGE_ROWS
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of every indexed record.
 
-    Index rows are gathered by archive and read in the order of their offsets.
+    Index rows are gathered by archive and read in the order of their offsets. The number of tasks follows the
+    bytes of the archives; those of the index, by which Spark would choose it, are a hundredth of them.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
@@ -242,7 +246,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         if source:
             source.close()
 
-    return index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions(
+    size = index.agg(F.sum("length").alias("bytes"), F.approx_count_distinct("archive").alias("archives")).first()
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-(size.bytes or 0) // READ_BYTES), min(2 * cores, size.archives or 1))
+    return index.select("archive", "offset", "length").repartition(tasks, "archive").sortWithinPartitions(
         "archive", "offset").mapInArrow(
         run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
