@@ -6,6 +6,7 @@ import threading
 import pytest
 
 from tracemill.sources import sinks
+from tracemill.sources.sorted_store import SortedStore
 from tracemill.sources.commits import FANOUT, KEPT_VERSIONS, VersionedTable, VersionExists, create_once
 
 ROW = "run_id string, v int"
@@ -109,3 +110,25 @@ def test_ended_runs_are_evicted_without_coming_back(spark, tmp_path):
         assert state(spark, table).get("old", -1) == (0 if batch == 0 else -1)
     assert {r: v for r, v in state(spark, table).items() if r != "old"} == {f"n{b}": b for b in range(2, 9)}
     assert "old" not in state(spark, table)
+
+
+def test_pages_read_the_files_around_their_key(spark, tmp_path):
+    store = SortedStore(str(tmp_path / "s"), (("b", True), ("a", False)), rows_per_part=10)
+    content = [(f"k{i:03}", i * 7 % 13, i) for i in range(95)]
+    ordered = sorted(content, key=lambda r: (-r[1], r[0]))
+    store.write(spark.createDataFrame(content, "a string, b int, v int").repartition(3))
+    assert store.rows(spark) == 95 and store.index(spark).count() > 5
+    for offset in (0, 7, 44, 90, 95, 500):
+        assert [(r.a, r.b, r.v) for r in store.page(spark, 20, offset).collect()] == ordered[offset:offset + 20]
+    page = store.page(spark, 3, 41)
+    assert len(page.inputFiles()) <= 2
+    for at in (0, 30, 93, 94):
+        key = {"a": ordered[at][0], "b": ordered[at][1]}
+        assert [r.position for r in store.after(spark, key, 15).collect()] == list(range(at + 1, min(at + 16, 95)))
+    assert store.after(spark, {"a": "", "b": 99}, 1).first().position == 0
+    assert store.after(spark, {"a": "zzz", "b": ordered[20][1]}, 1).first().b < ordered[20][1]
+    for wrong in ((0, 0), (101, 0), (5, -1)):
+        with pytest.raises(ValueError):
+            store.page(spark, *wrong)
+    store.write(spark.createDataFrame([("x", 1, 1)], "a string, b int, v int"))
+    assert [r.v for r in store.page(spark).collect()] == [1] and store.page(spark, 5, 1).count() == 0

@@ -27,8 +27,13 @@ def rule_score() -> Column:
 
 def score_windows(windows: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """One prediction per window; windows that cannot be classified get no score."""
-    threshold = check_threshold(threshold)
     check_feature_order(windows)
+    return score_counts(windows, threshold)
+
+
+def score_counts(windows: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """The same from windows that hold sums and quality only."""
+    threshold = check_threshold(threshold)
     score = F.when(F.col("classifiable"), rule_score())
     return windows.select(
         "window_id", "run_id",

@@ -212,10 +212,14 @@ def window_closings(
 
 def windows_from_marked(
     marked: DataFrame, runs: DataFrame, *, window_ns: int = WINDOW_NS,
-    bucket_ns: int = SECOND_NS, bucket_rows: int = BUCKET_ROWS,
+    bucket_ns: int = SECOND_NS, bucket_rows: int = BUCKET_ROWS, trigrams: bool = True,
 ) -> DataFrame:
-    """Feature windows from telemetry that already carries ``watermark_ns``."""
-    profile = window_trigrams(marked, window_ns, bucket_rows)
+    """Feature windows from telemetry that already carries ``watermark_ns``.
+
+    Without ``trigrams`` these columns are left out, and with them their sort: rule scores need sums and
+    quality only.
+    """
+    profile = window_trigrams(marked, window_ns, bucket_rows) if trigrams else operation_counts(marked, window_ns)
     closings = window_closings(marked, runs, window_ns, bucket_ns).drop("partial_by_exit")
     losses = loss_by_window(marked, window_ns)
     joined = (
@@ -227,14 +231,14 @@ def windows_from_marked(
     return with_quality(joined).select(
         window_id().alias("window_id"), *WINDOW_KEY, "end_ns",
         F.lit(FEATURE_VERSION).alias("feature_version"),
-        *SUMS, *MAXIMA, *GRAMS,
+        *SUMS, *MAXIMA, *(GRAMS if trigrams else ()),
         "partial", "loss_count", "late_event_count", "quality", "complete", "classifiable",
     )
 
 
 def extract_windows(
     telemetry: DataFrame, runs: DataFrame, *, window_ns: int = WINDOW_NS,
-    bucket_ns: int = SECOND_NS, bucket_rows: int = BUCKET_ROWS,
+    bucket_ns: int = SECOND_NS, bucket_rows: int = BUCKET_ROWS, trigrams: bool = True,
 ) -> DataFrame:
     """Telemetry and run bounds to one row per process window.
 
@@ -243,7 +247,7 @@ def extract_windows(
     """
     marked = written(mark_telemetry(telemetry, runs, bucket_rows), "marked")
     return windows_from_marked(
-        marked, runs, window_ns=window_ns, bucket_ns=bucket_ns, bucket_rows=bucket_rows
+        marked, runs, window_ns=window_ns, bucket_ns=bucket_ns, bucket_rows=bucket_rows, trigrams=trigrams
     )
 
 

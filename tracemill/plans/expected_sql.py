@@ -744,6 +744,18 @@ SELECT path, 8 * (n + 1) AS row, broken AS violation FROM s WHERE broken IS NOT
 UNION ALL SELECT path, 8 * (n + 1), 'duplicate identifier' FROM (
   SELECT *, count(*) OVER (PARTITION BY path, pid) AS uses FROM s WHERE broken IS NULL) WHERE uses > 1
 UNION ALL SELECT DISTINCT path, 0, 'empty schema or duplicate columns' FROM s WHERE path = 'labels-last.csv'""",
+    "deep_pages": f"""{WINDOWS}, placed AS (
+  SELECT window_id, run_id, tgid, start_ns, O_sum, C_sum, D_sum,
+    row_number() OVER (ORDER BY start_ns DESC, window_id) - 1 AS position, count(*) OVER () AS n FROM full_windows),
+asked AS (SELECT unnest([0, 1, 2, 3]) AS page),
+offsets AS (
+  SELECT DISTINCT page, n, CASE page WHEN 0 THEN 0 WHEN 1 THEN n // 2 WHEN 2 THEN greatest(0, n - 30) ELSE n END AS low
+  FROM asked, placed),
+pages AS (
+  SELECT page, low, least(low + 100, n) AS high FROM offsets
+  UNION ALL SELECT page + 10, least(low + 100, n), least(low + 120, n) FROM offsets WHERE low < n)
+SELECT window_id, run_id, tgid, start_ns, O_sum, C_sum, D_sum, position, page::BIGINT AS page
+FROM placed JOIN pages ON position >= low AND position < high""",
 }
 STATEMENTS["stream_windows"] = STATEMENTS["feature_windows_full"]
 STATEMENTS["stream_windows_batches"] = STATEMENTS["feature_windows_full"]

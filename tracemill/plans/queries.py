@@ -10,6 +10,7 @@ from tracemill.operators import (
 from tracemill.plans import table_views as views
 from tracemill.plans.table_views import DAY_NS, HOUR_NS
 from tracemill.sources import recordings, sinks, split_csv, tables
+from tracemill.sources.sorted_store import SortedStore
 from tracemill.streaming import open_runs
 from tracemill.streaming.ingest import RunIngest, stream_lines
 from tracemill.streaming.windows import WindowStream
@@ -37,15 +38,15 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.running_watermark(_bounded(spark, sf_dir), RANGE_ROWS)
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _windows(spark: SparkSession, sf_dir: str, trigrams: bool = True) -> DataFrame:
     records = views.telemetry(spark, sf_dir)
     runs = written(views.run_bounds(records), "bounds")
     return windows.extract_windows(
-        records, runs, window_ns=DAY_NS, bucket_ns=HOUR_NS, bucket_rows=RANGE_ROWS)
+        records, runs, window_ns=DAY_NS, bucket_ns=HOUR_NS, bucket_rows=RANGE_ROWS, trigrams=trigrams)
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.score_windows(_windows(spark, sf_dir), threshold=0.2)
+    return score.score_counts(_windows(spark, sf_dir, trigrams=False), threshold=0.2)
 
 
 def successful_events(spark, sf_dir):
@@ -546,6 +547,21 @@ def list_windows(spark, sf_dir):
         "array_join(transform(array_sort(map_keys(features)), k -> concat(k, '=', features[k])), ',')"))
 
 
+def deep_pages(spark, sf_dir):
+    """Pages of stored windows far behind the first, by offset and from a key on."""
+    store = SortedStore(f"{shared_folder(spark, 'sorted')}/windows", (("start_ns", True), ("window_id", False)), rows_per_part=512)
+    store.write(_windows(spark, sf_dir, trigrams=False).select("window_id", "run_id", "tgid", "start_ns", "O_sum", "C_sum", "D_sum"))
+    total = store.rows(spark)
+    found = None
+    for number, offset in enumerate((0, total // 2, max(0, total - 30), total)):
+        page = store.page(spark, limit=100, offset=offset).withColumn("page", F.lit(number))
+        last = page.orderBy(F.desc("position")).first()
+        both = page if last is None else page.unionByName(
+            store.after(spark, {"start_ns": last.start_ns, "window_id": last.window_id}, limit=20).withColumn("page", F.lit(10 + number)))
+        found = both if found is None else found.unionByName(both)
+    return _longs(found)
+
+
 def _changes(spark, sf_dir):
     """Three prediction versions per window: two thresholds, then a partial replacement."""
     scored = windows.tumbling_assign(_bounded(spark, sf_dir), DAY_NS).groupBy(*WINDOW_KEY, "end_ns").agg(
