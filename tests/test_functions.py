@@ -65,3 +65,17 @@ def test_window_id_is_the_digest_of_its_identity(spark):
         rows, "run_id string, boot_id string, tgid bigint, start_time_ns bigint, start_ns bigint, end_ns bigint")
     got = [r[0] for r in df.select(window_id()).collect()]
     assert got == [hashlib.sha256(json.dumps([*r, 2], separators=(",", ":")).encode()).hexdigest() for r in rows]
+
+
+def test_ranks_do_not_depend_on_ranges(spark):
+    from tracemill.functions.ordered import ranks
+
+    rows = [("ab"[i % 7 == 0], i * 37 % 101 // 5, i) for i in range(101)]
+    want = {}
+    for key in "ab":
+        for rank, r in enumerate(sorted(r for r in rows if r[0] == key)):
+            want[r] = rank
+    df = spark.createDataFrame(rows, "k string, v int, id int").repartition(3)
+    for size in (1, 2, 3, 1000):
+        assert {tuple(r)[:3]: r["rank"] for r in ranks(df, ["k"], ["v", "id"], "rank", size).collect()} == want
+    assert ranks(df.limit(0), ["k"], ["v", "id"], "rank").count() == 0

@@ -1,8 +1,10 @@
-"""Streams: health of open runs, withdrawn runs."""
+"""Streams: health of open runs, withdrawn runs, state that stays small, chunks."""
 
 import os
 import random
 
+import pytest
+
 from tests.builders import LENGTH, event, frame, row
 from tests.test_recordings import golden, write
 from tracemill.sources import sinks
@@ -100,3 +102,19 @@ def test_window_state_stays_small_and_ended_runs_are_forgotten(spark, tmp_path):
     before = key(stream)
     stream.apply(frame(spark, [event(99, 5, "D", run_id="r/0")]), 9)
     assert key(stream) == before and spark.read.parquet(f"{root}/after_end").count() == 1
+
+
+def test_chunks_of_any_size_give_equal_windows(spark, tmp_path):
+    rng = random.Random(12)
+    part = [row("run_start", 0, run_id="r", capture_start_ns=0)]
+    part += [event(i, rng.randrange(2 * LENGTH), "OCD"[i % 3]) for i in range(1, 9)]
+    records = frame(spark, [*part, row("run_end", 9, 2 * LENGTH)])
+    found = []
+    for n, sizes in enumerate(([], [1] * 4, [7, 0, 2], [0, 3, 0, 7])):
+        stream = WindowStream(str(tmp_path / str(n)), bucket_rows=3)
+        stream.replay(records, sizes)
+        found.append(sorted((r["window_id"], r["O_sum"], r["OCD"], r["late_event_count"], r["partial"]) for r in stream.windows(spark).collect()))
+    assert found[0] and all(f == found[0] for f in found)
+    for wrong in ([-1], [2.0], [True], [5, 6]):
+        with pytest.raises(ValueError, match="chunk sizes"):
+            stream.replay(records, wrong)

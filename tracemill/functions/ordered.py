@@ -13,6 +13,8 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tracemill.session import written
+
 BUCKET_ROWS = 1 << 20
 
 
@@ -94,6 +96,24 @@ def previous(
     )
 
 
+def ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, range_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add the zero-based rank of each row inside its keys along ``order``, whose columns tell rows apart.
+
+    Rows are cut into even ranges of about ``range_rows`` over (keys, order) and sorted inside; then
+    only one summary row per key and range is counted up. Ranges are written once, because they come from a
+    sample that another run would draw anew.
+    """
+    along = [*keys, *order]
+    ranges = max(1, -(-df.count() // range_rows))
+    placed = written(df.repartitionByRange(ranges, *along).sortWithinPartitions(*along).withColumns({
+        "_range": F.spark_partition_id(), "_at": F.expr("monotonically_increasing_id() & 8589934591")}), "ranked")
+    counted = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.select(*keys, "_range", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return placed.join(before, [*keys, "_range"]).withColumn(
+        name, F.col("_before") + F.col("_at") - F.col("_first")).select(*df.columns, name)
+
+
 def trigram_profile(
     df: DataFrame,
     keys: Sequence[str],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracemill.functions.ordered import running
+from tracemill.functions.ordered import BUCKET_ROWS, ranks, running
 from tracemill.session import written
 
 # Fixed values of the selection rule.
@@ -37,20 +37,17 @@ def selection_guard(rows: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def assign_folds(rows: DataFrame, seed: int = 37, folds: int = FOLDS) -> DataFrame:
+def assign_folds(rows: DataFrame, seed: int = 37, folds: int = FOLDS, range_rows: int = BUCKET_ROWS) -> DataFrame:
     """Stratified grouped folds: each capture in one fold, captures dealt by size per label.
 
-    Captures of a label are ranked by size and then by a seeded digest; ranks are counted over
-    ranges of (size, digest prefix), never in one sorted group.
+    Captures of a label are ranked by size and then by a seeded digest, over ranges of captures. No
+    task gets all captures of a label, and each range adds one summary row per label.
     """
     captures = rows.groupBy("capture_id").agg(F.max("label").alias("label"), F.count("*").alias("n"))
-    keyed = captures.select(
-        "*", F.md5(F.concat("capture_id", F.lit(f":{seed}"))).alias("_mark"), (-F.col("n")).alias("_size"),
-    ).withColumn("_prefix", F.substring("_mark", 1, 3))
-    ranked = running(
-        keyed, ["label"], [F.col("_size"), F.col("_mark"), F.col("capture_id")], ["_size", "_prefix"],
-        {"_rank": ("count", F.lit(1))})
-    return ranked.select("capture_id", "label", "n", F.pmod(F.col("_rank") - 1, F.lit(folds)).cast("int").alias("fold"))
+    keyed = written(captures.select(
+        "*", F.md5(F.concat("capture_id", F.lit(f":{seed}"))).alias("_mark"), (-F.col("n")).alias("_size")), "captures")
+    ranked = ranks(keyed, ["label"], ["_size", "_mark", "capture_id"], "_rank", range_rows)
+    return ranked.select("capture_id", "label", "n", F.pmod(F.col("_rank"), F.lit(folds)).cast("int").alias("fold"))
 
 
 def confusion(scored: DataFrame, keys: list[str], predicted: Column) -> DataFrame:

@@ -12,12 +12,13 @@ dropped, which rules out the built-in event-time watermark.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tracemill.functions.ordered import BUCKET_ROWS
+from tracemill.functions.ordered import BUCKET_ROWS, ranks
 from tracemill.operators import windows as ops
 from tracemill.schemas import SECOND_NS, TELEMETRY, WINDOW_KEY, WINDOW_NS
 from tracemill.session import written
@@ -223,6 +224,23 @@ class WindowStream:
             .filter(F.col("partial") | F.col("_over") | (F.col("end_ns") <= F.col("_mark")))
             .drop("_mark", "_over").withColumn("batch_id", F.lit(batch_id)))
 
+    def replay(self, records: DataFrame, sizes: Sequence[int], first_batch: int = 0) -> None:
+        """Take records in chunks of the given numbers, in arrival order; what is left is the last chunk.
+
+        A chunk may end anywhere inside a run, and may be empty. The windows do not depend on the cuts.
+        """
+        if any(type(n) is not int or n < 0 for n in sizes):
+            raise ValueError("chunk sizes must be whole numbers from 0 up")
+        numbered = written(ranks(records, [], ["pos", "run_id", "type"], "_place", self.bucket_rows), "chunks")
+        total, done = numbered.count(), 0
+        if sum(sizes) > total:
+            raise ValueError(f"chunk sizes exceed the {total} records")
+        for number, size in enumerate([*sizes, total - sum(sizes)]):
+            if size:
+                chunk = numbered.filter((F.col("_place") >= done) & (F.col("_place") < done + size)).drop("_place")
+                self.apply(chunk, first_batch + number)
+            done += size
+
     def changes(self, spark: SparkSession) -> DataFrame:
         """The logged window versions; later ones replace earlier ones by ``window_id``."""
         return spark.read.parquet(f"{self.root}/changes").withColumnRenamed("batch_id", "version").withColumn(
