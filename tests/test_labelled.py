@@ -265,3 +265,14 @@ def test_publishing_refuses_inconsistent_results(spark, tmp_path):
     with pytest.raises(ValueError, match="window without run"):
         sinks.publish_runs(runs, found, score.score_windows(found), str(tmp_path / "r"))
     assert not (tmp_path / "r").exists()
+
+
+def test_plan_digest_is_that_of_canonical_json(spark):
+    plans = [("b", "Zoë \"x\"\n", 11, 1.0, True, None), ("a", "\u2028😀\\", -3, 1e-7, False, 2.5e20), ("c", None, 5, 123456.789, None, 0.1)]
+    names = ["run_id", "scenario", "seed", "seconds", "held", "share"]
+    df = spark.createDataFrame(plans, "run_id string, scenario string, seed bigint, seconds double, held boolean, share double")
+    documents = sorted((dict(zip(names, p)) for p in plans), key=lambda d: d["run_id"])
+    text = json.dumps(documents, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+    assert labelled.plan_digest(df.repartition(3)).first().plan_digest == hashlib.sha256(text.encode()).hexdigest()
+    with pytest.raises(ValueError, match="no canonical JSON"):
+        labelled.plan_digest(df.withColumn("x", F.array(F.lit(1))))

@@ -271,3 +271,19 @@ def test_labelled_rows_need_exact_fields(spark):
     got = {r["pos"]: r for r in recordings.labeled_rows(lines).collect()}
     assert {i: r["violations"] for i, r in got.items()} == {i: v for i, (_, v) in enumerate(cases) if v is not None}
     assert got[0]["features"] == [1.0, 2.5]
+
+
+def test_damaged_collector_lines_are_told(spark):
+    event_ = {"schema_version": 1, "record_type": "event", "run_id": "r", "collector_sequence": 1, "monotonic_ns": 2**64 - 1,
+              "process": {}, "tid": 1, "event_type": "process_exit", "attempt": None, "result": None, "filename": None}
+    state = {"schema_version": 1, "record_type": "collector_health", "run_id": "r", "monotonic_ns": 5, "connected": True,
+             "loss_counters": {}, "loss_total": 0, "telemetry_complete": True}
+    cases = [(event_, None), (state, None), ("{", "invalid JSON"), ("", "blank JSONL record"), ("[1]", "line is no JSON object"),
+             ({**event_, "record_type": "x"}, "unknown record type"), ({**state, "connected": 1}, "connected is neither true nor false"),
+             ({**event_, "process": 1}, "process is no JSON object"), ({**event_, "attempt": "open"}, "attempt is neither an object nor null"),
+             ({**state, "tid": 1}, "record has a field that is not known"), ({**event_, "schema_version": True}, "schema_version is not the known one"),
+             ({**event_, "monotonic_ns": -1}, "monotonic_ns is no integer from 0 to 2^64 - 1")]
+    lines = spark.createDataFrame(
+        [(c if isinstance(c, str) else json.dumps(c), "f", i) for i, (c, _) in enumerate(cases)], "value string, recording string, pos bigint")
+    got = {r["pos"]: r["violations"] for r in recordings.collector_violations(lines).collect()}
+    assert got == {i: [v] for i, (_, v) in enumerate(cases) if v}

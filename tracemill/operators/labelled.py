@@ -376,9 +376,21 @@ def manifest_consistency(captures: DataFrame, roles: DataFrame, plan: DataFrame)
     return entries.unionByName(repeated).unionByName(counts)
 
 
+def canonical_json(df: DataFrame, columns: list[str]) -> Column:
+    """A row as canonical JSON: sorted keys, no spaces, ASCII with escapes; flat columns only."""
+    def value(name: str) -> str:
+        kind = df.schema[name].dataType.simpleString()
+        texts = {"string": json_string(name), "double": json_double(name), "boolean": json_boolean(name)}
+        if kind not in texts and kind not in ("tinyint", "smallint", "int", "bigint"):
+            raise ValueError(f"{name} has no canonical JSON: {kind}")
+        return f"IF({name} IS NULL, 'null', {texts.get(kind, f'CAST({name} AS STRING)')})"
+
+    pairs = [f"concat('\"{name}\":', {value(name)})" for name in sorted(columns)]
+    return F.expr(f"concat('{{', concat_ws(',', {', '.join(pairs)}), '}}')")
+
+
 def plan_digest(plan: DataFrame) -> DataFrame:
-    """Digest of a plan document: runs as sorted-key JSON, in run order."""
-    columns = sorted(name for name in plan.columns if name != "plan_order")
-    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    """Digest of a plan document: runs as canonical JSON, in run order; a plan has tens of runs."""
+    text = canonical_json(plan, [name for name in plan.columns if name != "plan_order"])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("run_id", text.alias("_t")))), lambda r: r["_t"])
     return plan.agg(F.sha2(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")), 256).alias("plan_digest"))

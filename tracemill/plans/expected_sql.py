@@ -756,6 +756,15 @@ pages AS (
   UNION ALL SELECT page + 10, least(low + 100, n), least(low + 120, n) FROM offsets WHERE low < n)
 SELECT window_id, run_id, tgid, start_ns, O_sum, C_sum, D_sum, position, page::BIGINT AS page
 FROM placed JOIN pages ON position >= low AND position < high""",
+    "collector_violations": """
+SELECT * FROM (
+  SELECT 'rec-' || user_id % 5 AS recording, event_id AS pos,
+    CASE WHEN event_id % 31 = 0 THEN 'invalid JSON' WHEN event_id % 37 = 0 THEN 'line is no JSON object'
+         WHEN event_id % 53 = 0 THEN 'blank JSONL record' WHEN event_id % 41 = 0 THEN 'unknown record type'
+         ELSE concat_ws('; ', CASE WHEN event_id % 43 = 0 THEN 'record has a field that is not known' END,
+           CASE WHEN event_id % 83 = 0 THEN 'run_id is no text or empty' END,
+           CASE WHEN event_id % 47 = 0 AND event_id % 43 <> 0 THEN 'tid is no integer from 1 to 2^32 - 1' END) END AS violations
+  FROM events) WHERE violations <> ''""",
 }
 STATEMENTS["stream_windows"] = STATEMENTS["feature_windows_full"]
 STATEMENTS["stream_windows_batches"] = STATEMENTS["feature_windows_full"]

@@ -693,6 +693,11 @@ def label_file_violations(spark, sf_dir):
     return tables.file_violations(split_csv.csv_rows(views.label_lines(spark, sf_dir), RANGE_ROWS), "label").drop("part")
 
 
+def collector_violations(spark, sf_dir):
+    return recordings.collector_violations(views.collector_lines(spark, sf_dir)).select(
+        "recording", "pos", F.array_join("violations", "; ").alias("violations"))
+
+
 def ingest_runs(spark, sf_dir):
     """Health of open runs after each of six arrivals of JSON lines; run starts come with the second, ends last."""
     folder = shared_folder(spark, "open-runs")

@@ -382,3 +382,16 @@ def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("labels-"), F.when(n % 3 == 2, "last").otherwise((n % 3).cast("string")), F.lit(".csv"))
     return _csv_lines(table(spark, sf_dir, "supplier").select(n, path.alias("path"), text.alias("text")),
                       F.lit("PID"), F.lit("PID,PID"), "s_suppkey")
+
+
+def collector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as raw collector lines, some of them damaged."""
+    raw = raw_syscalls(spark, sf_dir).withColumns({"schema_version": F.lit(1), "record_type": F.expr("IF(event_id % 41 = 0, 'other', 'event')")})
+    names = ["schema_version", "record_type", "run_id", "collector_sequence", "monotonic_ns", "process", "tid", "event_type",
+             "attempt", "result", "filename"]
+    text = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    n = F.col("event_id")
+    damaged = (F.when(n % 31 == 0, F.substring(text, 1, 40)).when(n % 37 == 0, "[]").when(n % 53 == 0, " ")
+               .when(n % 43 == 0, F.concat(F.expr("substring(text, 1, length(text) - 1)"), F.lit(',"extra":1}')))
+               .when(n % 47 == 0, F.regexp_replace("text", '"tid":[0-9]+', '"tid":"x"')).otherwise(F.col("text")))
+    return raw.withColumn("text", text).select("recording", "pos", damaged.alias("value"))

@@ -369,8 +369,51 @@ def labeled_rows(lines: DataFrame) -> DataFrame:
     )
 
 
+def _object(path: str) -> str:
+    return f"{_kind(path)} LIKE 'OBJECT%'"
+
+
+def _object_or_null(path: str) -> tuple[str, str]:
+    return f"{path} is neither an object nor null", f"({_missing(path)} OR {_kind(path)} = 'VOID' OR {_object(path)})"
+
+
+_COLLECTOR_SHARED = [_VERSION, _RUN_ID, _u64("monotonic_ns")]
+# Per record type of a collector: its fields and the conditions a valid line meets.
+COLLECTOR_KINDS: dict[str, tuple[tuple[str, ...], list[tuple[str, str]]]] = {
+    "event": (
+        ("schema_version", "record_type", "run_id", "collector_sequence", "monotonic_ns", "process", "tid", "event_type",
+         "attempt", "result", "filename"),
+        [*_COLLECTOR_SHARED, _SEQUENCE, ("process is no JSON object", _object("process")), _TID,
+         ("event_type is neither syscall nor process_exit", _good_choice("event_type", ("syscall", "process_exit"))),
+         *map(_object_or_null, ("attempt", "result", "filename"))],
+    ),
+    "collector_health": (
+        ("schema_version", "record_type", "run_id", "monotonic_ns", "connected", "loss_counters", "loss_total", "telemetry_complete"),
+        [*_COLLECTOR_SHARED, ("connected is neither true nor false", f"{_kind('connected')} = 'BOOLEAN'"),
+         ("loss_counters is no JSON object", _object("loss_counters")),
+         ("telemetry_complete is neither true nor false", f"{_kind('telemetry_complete')} = 'BOOLEAN'")],
+    ),
+}
+
+
+def collector_violations(lines: DataFrame) -> DataFrame:
+    """Raw collector lines that break their shape, with every violated rule; good lines are left out."""
+    names = sorted({name for fields, _ in COLLECTOR_KINDS.values() for name in fields})
+    branches = "".join(
+        f" WHEN '{kind}' THEN array_remove(array("
+        + f"IF(size(array_except(map_keys(fields), array({', '.join(map(repr, fields))}))) > 0, 'record has a field that is not known', ''), "
+        + ", ".join(f"IF(coalesce({good}, false), '', '{message}')" for message, good in rules) + "), '')"
+        for kind, (fields, rules) in COLLECTOR_KINDS.items())
+    violations = (
+        r"CASE WHEN NOT is_valid_utf8(value) THEN array('invalid UTF-8') WHEN NOT value RLIKE r'\S' THEN array('blank JSONL record')"
+        " WHEN v IS NULL THEN array('invalid JSON') WHEN fields IS NULL THEN array('line is no JSON object')"
+        f" ELSE coalesce(CASE {_text('record_type')}{branches} END, array('unknown record type')) END")
+    return _evaluated(_fields(lines, names), {"violations": violations}).filter("size(violations) > 0").select(
+        "recording", "pos", "violations")
+
+
 def raw_syscalls(lines: DataFrame) -> DataFrame:
-    """Collector event lines; lines of another shape give nulls."""
+    """Collector event lines; ``collector_violations`` tells of lines of another shape, which give nulls."""
     return lines.select("recording", "pos", F.from_json("value", RAW_SYSCALL).alias("r")).filter(
         "r.record_type = 'event'").select("recording", "pos", "r.*")
 
