@@ -97,6 +97,22 @@ def test_digests(spark):
                for a, b in zip(once, doubled))
 
 
+def test_changed_rows_are_found_by_their_tree(spark, tmp_path):
+    data = rows(spark)
+    plan = data.groupBy("capture_id").agg(F.max("split").alias("split"), F.max("label").alias("label")).select(
+        F.col("capture_id").alias("run_id"), "split", F.when(F.col("label") == 1, "suspicious").otherwise("benign").alias("behavior_label"))
+    changed = data.withColumn("features", F.when(F.col("window_id") == "w-3-0", F.array_repeat(F.lit(1.0), 33)).otherwise(F.col("features")))
+    for name, content in (("a", data), ("b", data.repartition(5)), ("c", changed)):
+        sinks.assemble_dataset(content, plan, str(tmp_path / name))
+    assert sinks.dataset_changes(spark, str(tmp_path / "a"), str(tmp_path / "b")).count() == 0
+    found = sinks.dataset_changes(spark, str(tmp_path / "a"), str(tmp_path / "c")).collect()
+    texts = {r["window_id"]: hashlib.sha256(r["t"].encode()).hexdigest()[:6] for df in (data, changed) for r in
+             df.filter("capture_id = 'c3'").select("window_id", labelled.row_json().alias("t")).collect()}
+    old = hashlib.sha256(data.filter("window_id = 'w-3-0'").select(labelled.row_json().alias("t")).first().t.encode()).hexdigest()[:6]
+    assert {(r["capture_id"], r["prefix"], r["rows_before"], r["rows_after"]) for r in found} == {
+        ("c3", old, 1, None), ("c3", texts["w-3-0"], None, 1)}
+
+
 def test_dataset_is_published_once_and_bound_to_its_manifest(spark, tmp_path):
     data = rows(spark)
     plan = data.groupBy("capture_id").agg(F.max("split").alias("split"), F.max("label").alias("label")).select(

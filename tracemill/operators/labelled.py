@@ -12,6 +12,7 @@ from tracemill.functions.json_text import (
     is_digest, json_array, json_boolean, json_double, json_string,
 )
 from tracemill.schemas import FEATURE_VERSION, FEATURES, PROCESS
+from tracemill.session import written
 
 # Fixed values of the controlled experiment.
 SCENARIOS = {
@@ -275,8 +276,8 @@ def row_json() -> Column:
     return F.expr(f"concat('{{', {parts}, '}}')")
 
 
-def content_digest(rows: DataFrame, keys: list[str], levels: tuple[int, ...] = DIGEST_LEVELS) -> DataFrame:
-    """Order-independent digest of row contents per key, for groups of any size.
+def digest_tree(rows: DataFrame, keys: list[str], levels: tuple[int, ...] = DIGEST_LEVELS) -> DataFrame:
+    """``(keys, length, prefix, row_count, digest)``: all nodes of an order-independent digest of row contents.
 
     Rows are hashed alone and equal rows become one digest with a count. The digests are combined
     along shrinking prefixes: first all with the same six hex digits, then three, then the rest.
@@ -285,12 +286,75 @@ def content_digest(rows: DataFrame, keys: list[str], levels: tuple[int, ...] = D
     pieces = rows.select(*keys, F.sha2(row_json(), 256).alias("_digest")).groupBy(*keys, "_digest").agg(
         F.count("*").alias("_n")).select(
         *keys, "_n", F.col("_digest").alias("_path"), F.concat("_digest", F.lit(":"), "_n").alias("_digest"))
+    nodes = None
     for length in levels:
         joined = F.transform(F.array_sort(F.collect_list(F.struct("_path", "_digest"))), lambda c: c["_digest"])
         pieces = pieces.groupBy(*keys, F.substring("_path", 1, length).alias("_prefix")).agg(
             F.sum("_n").alias("_n"), F.sha2(F.array_join(joined, ""), 256).alias("_digest"),
         ).select(*keys, "_n", F.col("_prefix").alias("_path"), "_digest")
-    return pieces.select(*keys, F.col("_n").alias("row_count"), F.col("_digest").alias("content_digest"))
+        level = pieces.select(*keys, F.lit(length).alias("length"), F.col("_path").alias("prefix"),
+                              F.col("_n").alias("row_count"), F.col("_digest").alias("digest"))
+        nodes = level if nodes is None else nodes.unionByName(level)
+    return nodes
+
+
+def content_digest(rows: DataFrame, keys: list[str], levels: tuple[int, ...] = DIGEST_LEVELS) -> DataFrame:
+    """Order-independent digest of row contents per key, for groups of any size: the roots of ``digest_tree``."""
+    root = digest_tree(rows, keys, levels).filter(F.col("length") == levels[-1])
+    return root.select(*keys, "row_count", F.col("digest").alias("content_digest"))
+
+
+def tree_differences(before: DataFrame, after: DataFrame, keys: list[str],
+                     levels: tuple[int, ...] = DIGEST_LEVELS) -> DataFrame:
+    """Smallest parts that differ between two digest trees: ``(keys, prefix, rows_before, rows_after)``.
+
+    Only children of nodes that differ are compared, and no row is read: a changed row costs the nodes
+    on its path. A prefix names the rows whose digest begins with it.
+    """
+    parents = None
+    for length in reversed(levels):
+        sides = []
+        for tree, name in ((before, "before"), (after, "after")):
+            level = tree.filter(F.col("length") == length)
+            if parents is not None:
+                above = F.substring("prefix", 1, parents[1]).alias("_above")
+                level = level.withColumn("_above", above).join(
+                    parents[0].withColumnRenamed("prefix", "_above"), [*keys, "_above"], "left_semi").drop("_above")
+            sides.append(level.select(*keys, "prefix", F.col("row_count").alias(f"rows_{name}"), F.col("digest").alias(f"_{name}")))
+        found = written(sides[0].join(sides[1], [*keys, "prefix"], "full_outer").filter(
+            ~F.col("_before").eqNullSafe(F.col("_after"))).drop("_before", "_after"), "differing")
+        parents = (found.select(*keys, "prefix"), length)
+    return found
+
+
+def dataset_contract(rows: DataFrame, captures: DataFrame, roles: DataFrame, plan: DataFrame, bound: DataFrame) -> DataFrame:
+    """Every rule a stored dataset breaks against its manifest: ``(subject, violation)``.
+
+    ``captures`` and ``roles`` are the manifest's tables; ``bound`` is its one row with ``plan_digest``,
+    ``feature_version``, ``feature_names`` and ``n_captures``.
+    """
+    listed = manifest_differences(rows, captures).select(F.col("run_id").alias("subject"), F.col("difference").alias("violation"))
+    totals = role_totals(rows).select("role", *[F.col(c).alias(f"_{c}") for c in ("row_count", "splits", "content_digest")])
+    wrong = F.array_compact(F.array(*[
+        F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in ("row_count", "splits", "content_digest")]))
+    by_role = roles.join(totals, "role", "full_outer").filter(F.size(wrong) > 0).select(
+        F.col("role").alias("subject"), F.concat(F.lit("role differs in "), F.array_join(wrong, ",")).alias("violation"))
+    features = rows.filter(
+        (F.col("feature_version") != FEATURE_VERSION) | (F.col("feature_names") != F.array(*map(F.lit, FEATURES)))
+    ).groupBy("capture_id").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("capture_id").alias("subject"), F.lit("features have another version, names or order").alias("violation"))
+    # One row each: what the manifest is bound to, the plan's digest and its number of runs.
+    told = bound.crossJoin(plan_digest(plan).withColumnRenamed("plan_digest", "_digest")).crossJoin(
+        plan.agg(F.count(F.lit(1)).alias("_planned"))).crossJoin(captures.agg(F.count(F.lit(1)).alias("_listed")))
+    manifest = told.select(F.lit("manifest").alias("subject"), F.explode(F.array_compact(F.array(
+        F.when(~F.col("plan_digest").eqNullSafe(F.col("_digest")), F.lit("plan digest differs")),
+        F.when(~F.col("feature_version").eqNullSafe(F.lit(FEATURE_VERSION)), F.lit("feature_version is not the known one")),
+        F.when(~F.coalesce(F.col("feature_names") == F.array(*map(F.lit, FEATURES)), F.lit(False)),
+               F.lit("feature names or their order differ")),
+        F.when((F.col("n_captures") != F.col("_listed")) | (F.col("n_captures") != F.col("_planned")),
+               F.lit("number of captures differs from entries or plan")),
+    ))).alias("violation"))
+    return listed.unionByName(by_role).unionByName(features).unionByName(manifest)
 
 
 def sequential_digest(rows: DataFrame) -> DataFrame:

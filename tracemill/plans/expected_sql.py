@@ -765,6 +765,23 @@ SELECT * FROM (
            CASE WHEN event_id % 83 = 0 THEN 'run_id is no text or empty' END,
            CASE WHEN event_id % 47 = 0 AND event_id % 43 <> 0 THEN 'tid is no integer from 1 to 2^32 - 1' END) END AS violations
   FROM events) WHERE violations <> ''""",
+    "dataset_changes": f"""{CLEAN}, sides AS (
+  SELECT capture_id, 'before' AS side, sha256(text) AS d FROM texts
+  UNION ALL SELECT capture_id, 'after',
+    sha256(CASE WHEN doc_id % 97 = 5 THEN replace(text, '"quality":"good"', '"quality":"other"') ELSE text END) FROM texts),
+parts AS (
+  SELECT capture_id, side, substr(d, 1, 6) AS prefix, count(*) AS n, string_agg(d, ',' ORDER BY d) AS content FROM sides GROUP BY ALL)
+SELECT coalesce(b.capture_id, a.capture_id) AS capture_id, coalesce(b.prefix, a.prefix) AS prefix, b.n AS rows_before, a.n AS rows_after
+FROM (FROM parts WHERE side = 'before') b FULL JOIN (FROM parts WHERE side = 'after') a
+  ON a.capture_id = b.capture_id AND a.prefix = b.prefix WHERE a.content IS DISTINCT FROM b.content""",
+    "dataset_contract": f"""{CLEAN}, {ROLES}, caps AS (SELECT DISTINCT capture_id AS run_id FROM rows)
+SELECT run_id AS subject, 'capture missing from manifest' AS violation FROM caps WHERE run_id = 'cap-1-3'
+UNION ALL SELECT role, 'role differs in ' || CASE role WHEN 'test' THEN 'row_count,splits,content_digest' ELSE 'splits' END
+  FROM (SELECT DISTINCT role FROM roled)
+UNION ALL SELECT 'manifest', unnest(['feature_version is not the known one', 'feature names or their order differ'])
+UNION ALL SELECT 'manifest', 'plan digest differs' FROM caps WHERE run_id = 'cap-0-2'
+UNION ALL SELECT 'manifest', 'number of captures differs from entries or plan' FROM (
+  SELECT count(*) FILTER (run_id <> 'cap-1-3') AS a, count(*) FILTER (run_id <> 'cap-0-2') AS b FROM caps) WHERE a <> 3 OR b <> 3""",
 }
 STATEMENTS["stream_windows"] = STATEMENTS["feature_windows_full"]
 STATEMENTS["stream_windows_batches"] = STATEMENTS["feature_windows_full"]

@@ -14,7 +14,7 @@ from tracemill.sources.sorted_store import SortedStore
 from tracemill.streaming import open_runs
 from tracemill.streaming.ingest import RunIngest, stream_lines
 from tracemill.streaming.windows import WindowStream
-from tracemill.schemas import WINDOW_KEY
+from tracemill.schemas import FEATURES, WINDOW_KEY
 from tracemill.session import shared_folder, written
 
 # Small ranges, so that the bucketed paths are taken on the test tables as well.
@@ -358,6 +358,26 @@ def manifest_consistency(spark, sf_dir):
     return labelled.manifest_consistency(captures, roles, plan)
 
 
+def dataset_changes(spark, sf_dir):
+    """Parts of a dataset that differ after one row of some captures was changed, from digest trees alone."""
+    rows = views.labelled_rows(spark, sf_dir, clean=True)
+    changed = rows.withColumn("quality", F.when(F.col("doc_id") % 97 == 5, "other").otherwise(F.col("quality")))
+    trees = [written(labelled.digest_tree(r, ["capture_id"]), "tree") for r in (rows, changed)]
+    return labelled.tree_differences(*trees, ["capture_id"])
+
+
+def dataset_contract(spark, sf_dir):
+    """A dataset whose stored rows, manifest, roles and plan were changed in places."""
+    rows = written(views.labelled_rows(spark, sf_dir, clean=True).drop("doc_id"), "rows")
+    digests = labelled.content_digest(rows, ["capture_id"]).select(F.col("capture_id").alias("run_id"), "content_digest")
+    captures = written(labelled.capture_summary(rows).join(digests, "run_id"), "captures")
+    plan = captures.select("run_id", "split")
+    bound = labelled.plan_digest(plan).withColumns({
+        "feature_version": F.lit(1), "feature_names": F.array(*map(F.lit, FEATURES[::-1])), "n_captures": F.lit(3)})
+    roles = labelled.role_totals(rows).filter("role <> 'test'").withColumn("splits", F.lit("none"))
+    return labelled.dataset_contract(rows, captures.filter("run_id <> 'cap-1-3'"), roles, plan.filter("run_id <> 'cap-0-2'"), bound)
+
+
 def plan_digest(spark, sf_dir):
     """Digest of the capture list of the labelled rows, as a plan document."""
     plan = views.labelled_rows(spark, sf_dir, clean=True).groupBy("capture_id").agg(F.max("split").alias("split")).select(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tracemill.functions.json_text import json_string
 from tracemill.functions.ordered import BUCKET_ROWS, order_bucket, running
 from tracemill.operators import labelled, serving
-from tracemill.schemas import CONTRACT_VERSION
+from tracemill.schemas import CONTRACT_VERSION, FEATURE_VERSION, FEATURES
 from tracemill.session import shared_folder, written
 from tracemill.sources.commits import VersionedTable, delete, path_exists
 
@@ -118,7 +118,11 @@ def assemble_dataset(rows: DataFrame, plan: DataFrame, path: str) -> None:
             "run_id")
         captures.write.parquet(f"{folder}/captures")
         labelled.role_totals(stored).write.parquet(f"{folder}/roles")
+        labelled.digest_tree(stored, ["capture_id"]).write.parquet(f"{folder}/tree")
         plan.write.parquet(f"{folder}/plan")
+        labelled.plan_digest(spark.read.parquet(f"{folder}/plan")).withColumns({
+            "feature_version": F.lit(FEATURE_VERSION), "feature_names": F.array(*map(F.lit, FEATURES)),
+            "n_captures": F.lit(spark.read.parquet(f"{folder}/captures").count()).cast("bigint")}).write.parquet(f"{folder}/bound")
 
     table.publish_once(spark, write)
 
@@ -130,13 +134,22 @@ def load_dataset(spark: SparkSession, path: str, role: str) -> DataFrame:
     folder = VersionedTable(path).published(spark)
     rows = spark.read.schema(
         spark.read.parquet(f"{folder}/rows").schema).parquet(f"{folder}/rows").filter(F.col("role") == role).drop("role")
-    manifest = labelled.role_rows(spark.read.parquet(f"{folder}/captures"), role)
-    problem = labelled.manifest_differences(rows, manifest).first()
+    parts = {name: spark.read.parquet(f"{folder}/{name}") for name in ("captures", "roles", "plan", "bound")}
+    if role == "all":
+        problem = labelled.dataset_contract(rows, **parts).first()
+    else:
+        problem = labelled.manifest_differences(rows, labelled.role_rows(parts["captures"], role)).first()
     if problem is not None:
         raise ValueError(f"dataset does not match its manifest: {problem.asDict()}")
     return rows
 
 
+def dataset_changes(spark: SparkSession, before: str, after: str) -> DataFrame:
+    """Where two published datasets differ, from their digest trees alone; no rows are read."""
+    trees = [spark.read.parquet(f"{VersionedTable(p).published(spark)}/tree") for p in (before, after)]
+    return labelled.tree_differences(*trees, ["capture_id"])
+
+
 def write_capture_acceptance(acceptance: DataFrame, path: str) -> None:
     """Add accepted captures; a run that is stored already is an error, also with several writers at once."""
     VersionedTable(path).append_unique(acceptance.filter("status = 'accepted'"), "run_id", "capture acceptance")
