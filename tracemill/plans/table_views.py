@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores is dealt to all cores, where work per row is dear; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < min(cores, 8) else df
+
+
 def micros_since_2024(column: str = "ts") -> Column:
     """Microseconds since the start of 2024, independent of the session time zone."""
     return F.expr(
@@ -169,7 +175,7 @@ def contract_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         """IF(event_id % 67 = 0, ',"extra":1', '')""", "'}'",
     ]
     whole = f"concat({', '.join(pieces)})"
-    return table(spark, sf_dir, "events").withColumn("us", micros_since_2024()).selectExpr(
+    return _spread(table(spark, sf_dir, "events")).withColumn("us", micros_since_2024()).selectExpr(
         "concat('file-', event_id % 3) AS recording", "CAST(0 AS BIGINT) AS block", "event_id AS pos",
         f"CASE WHEN event_id % 73 = 0 THEN '  ' WHEN event_id % 71 = 0 THEN substring({whole}, 1, 40)"
         f" ELSE {whole} END AS value")
