@@ -551,3 +551,12 @@ def test_rows_of_one_id_spread_over_the_ranges(spark):
     places = {r.place for r in mixing._dealt(docs.select(F.concat_ws(":", "doc_id", F.md5("text")).alias("who"), "source"), spark.createDataFrame(
         [("a", 0, 50)], "source string, passes long, ranges long")).select(F.col("range").alias("place")).collect()}
     assert len(places) > 30
+
+
+def test_a_hot_id_teaches_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, f"other {i}") for i in range(2, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, toxic int")
+    sample = toxicity._sample(docs.repartition(5), labels, 8000).collect()
+    held = {r.doc_id for r in labels.where(toxicity.held_out()).collect()}
+    assert len(sample) == 29 - len(held) and sum(r.text.startswith("text") for r in sample) == (1 not in held)
+    assert sorted(sample) == sorted(toxicity._sample(docs.repartition(2), labels, 8000).collect())

@@ -255,20 +255,28 @@ def _terms(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     return tuple(sorted(words | set(KNOWN_TERMS))), tuple(sorted(stems))
 
 
+def _sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """``(text, toxic)`` of about ``rows`` labelled ids that are not held out, one row per id however often it stands."""
+    known = labels.where(F.col("toxic").isin(0, 1)).where(~held_out()).groupBy("doc_id").agg(
+        F.max("toxic").cast("int").alias("toxic"))
+    share = rows / max(rows, known.count())
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # About `rows` pairs of two integers: the bound holds for any input.
+    taught = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return taught.groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text"), F.max("toxic").alias("toxic")).select(
+        "text", "toxic")
+
+
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model from labelled documents that are not held out, at most about ``rows`` of them.
 
     Labels other than 0 and 1, null ids and texts teach nothing; of several labels of a document the
-    larger counts. Without labels the known terms and the prior weights are used.
+    larger counts, and of several texts of an id the one with the smallest digest. Without labels the known
+    terms and the prior weights are used. The lexicon holds the ``MAX_TERMS`` best terms; words above
+    ``_LONGEST_WORD`` letters are not learned (they are looked up like others).
     """
     scratch = Scratch(documents.sparkSession, "toxicity")
-    known = labels.where(F.col("toxic").isin(0, 1)).where(~held_out()).groupBy("doc_id").agg(
-        F.max("toxic").cast("int").alias("toxic"))
-    share = rows / max(rows, known.count())
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    # About `rows` pairs of two integers: the bound holds for any input.
-    sample = scratch.keep(documents.where("text is not null").select("doc_id", "text").join(
-        F.broadcast(chosen), "doc_id").select("text", "toxic"), "sample")
+    sample = scratch.keep(_sample(documents, labels, rows), "sample")
     words, stems = _terms(sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
