@@ -2,11 +2,12 @@ import hashlib
 import json
 import pathlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.builders import LENGTH, beat, bounds, event, frame, gone, row
-from tracemill.operators import acceptance, labelled, models, selection, serving, validate, windows
+from tracemill.operators import acceptance, kernel_machine, labelled, models, selection, serving, validate, windows
 from tracemill.schemas import FEATURES, LABELED_WINDOW, RUN_MANIFEST
 from tracemill.sources import recordings, sinks, tables
 from tracemill.sources.commits import VersionedTable
@@ -292,3 +293,34 @@ def test_plan_digest_is_that_of_canonical_json(spark):
     assert labelled.plan_digest(df.repartition(3)).first().plan_digest == hashlib.sha256(text.encode()).hexdigest()
     with pytest.raises(ValueError, match="no canonical JSON"):
         labelled.plan_digest(df.withColumn("x", F.array(F.lit(1))))
+
+
+@pytest.mark.parametrize("working,penalty", [(1024, 1.0), (20, 0.5)])
+def test_the_kernel_machine_is_optimal(spark, working, penalty):
+    """The gap between primal and dual, from the whole kernel matrix, is closed; scores are those of the dual."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.standard_normal((60, 4)), rng.standard_normal((50, 4)) * 0.7 + 1])
+    x = np.hstack([x, np.full((110, 1), 5.0)])
+    y = np.array([0] * 60 + [1] * 50)
+    y[[3, 77]] ^= 1
+    rows = spark.createDataFrame([(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, y))] + [(110, x[0].tolist(), int(y[0]))],
+                                 "doc_id int, features array<double>, label int").repartition(3)
+    machine = kernel_machine.fit(rows, penalty, working=working, tolerance=1e-7)
+    got = {r.doc_id: r.score for r in machine.score(rows).collect()}
+    z = np.array([x[i % 110] for i in range(111)])
+    spread = z.std(0)
+    spread[spread == 0] = 1
+    z, sign = (z - z.mean(0)) / spread, np.append(2 * y - 1, 2 * y[0] - 1)
+    k = np.exp(-0.25 * ((z[:, None] - z[None]) ** 2).sum(2))
+    parts = machine.support.collect()
+    vectors = np.vstack([np.frombuffer(r.vectors).reshape(-1, 5) for r in parts])
+    weights = np.concatenate([np.frombuffer(r.weights) for r in parts])
+    assert len(weights) == machine.n_support and np.isclose(weights.sum(), 0, atol=1e-9) and np.abs(weights).max() <= penalty + 1e-12
+    outputs = np.exp(-0.25 * ((z[:, None] - vectors[None]) ** 2).sum(2)) @ weights - machine.bias
+    assert np.allclose([got[i] for i in range(111)], outputs, atol=1e-9)
+    square = weights @ np.exp(-0.25 * ((vectors[:, None] - vectors[None]) ** 2).sum(2)) @ weights
+    primal = square / 2 + penalty * np.maximum(0, 1 - sign * outputs).sum()
+    dual = np.abs(weights).sum() - square / 2
+    assert 0 <= primal - dual + 1e-9 and primal - dual < 1e-4 * primal
+    with pytest.raises(ValueError, match="both labels"):
+        kernel_machine.fit(rows.filter("label = 1"))

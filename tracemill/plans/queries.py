@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracemill.operators import (
-    acceptance, audit, health, labelled, models, normalize, score, selection, serving, validate, windows,
+    acceptance, audit, health, kernel_machine, labelled, models, normalize, score, selection, serving, validate, windows,
 )
 from tracemill.plans import table_views as views
 from tracemill.plans.table_views import DAY_NS, HOUR_NS
@@ -657,6 +657,13 @@ def svm_scores(spark, sf_dir):
     return candidate.score(candidate.fit(rows.filter("split = 'training'")), rows).select("doc_id", "label", "score")
 
 
+def kernel_scores(spark, sf_dir):
+    """Scores of the exact kernel machine."""
+    rows = views.labelled_rows(spark, sf_dir, clean=True)
+    machine = kernel_machine.fit(rows.filter("split = 'training'"))
+    return machine.score(rows).select("doc_id", "label", "score")
+
+
 def stream_windows(spark, sf_dir):
     """The events table as a stream: windows, late replacements and losses through micro-batches."""
     folder = shared_folder(spark, "stream")
