@@ -221,10 +221,10 @@ def test_models_are_selected_stored_and_evaluated_once(spark, tmp_path):
     assert chosen.name == "rule"
     assert {r["model"] for r in chosen.evaluations.collect()} == {"rule", "rbf_svm", "random_forest"}
     assert all(r["f1"] == 1.0 for r in chosen.evaluations.collect())
-    for name, parameters in (("rbf_svm", (1.0, "scale")), ("random_forest", (5, 3))):
-        candidate = models.Candidate(name, parameters, 37)
+    for name, parameters, exact in (("rbf_svm", (1.0, "scale"), 1000), ("rbf_svm", (1.0, "scale"), 0), ("random_forest", (5, 3), 0)):
+        candidate = models.Candidate(name, parameters, 37, exact)
         kept = models.Selected(name, candidate.cut, candidate, candidate.fit(data), chosen.evaluations, 37)
-        path = str(tmp_path / name)
+        path = str(tmp_path / f"{name}-{exact}")
         models.save_model(kept, path, selection_digest="a" * 64, dataset_digest="b" * 64)
         loaded = models.load_model(spark, path)
         before = kept.score(data).select("window_id", F.round("score", 9)).orderBy("window_id").collect()

@@ -1,7 +1,8 @@
 """Model candidates on labelled rows with Spark ML: fit, select, store and evaluate once.
 
-The kernel machine of the original has no Spark ML estimator. It is approximated by random Fourier
-features in front of a linear machine; forests follow Spark's split finding. Fold assignment,
+The kernel machine of the original has no Spark ML estimator. Up to ``EXACT_ROWS`` training rows its dual is
+solved exactly; beyond, where rows times support vectors are too many, it is approximated by random
+Fourier features in front of a linear machine. Forests follow Spark's split finding. Fold assignment,
 threshold choice and the choice between models are exact.
 """
 
@@ -19,13 +20,15 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tracemill.operators import labelled, selection
+from tracemill.operators import kernel_machine, labelled, selection
+from tracemill.operators.kernel_machine import KernelMachine
 from tracemill.schemas import FEATURE_VERSION, FEATURES
 from tracemill.session import written
 from tracemill.sources.commits import VersionedTable
 from tracemill.sources.tables import file_inventory
 
 FOURIER_FEATURES = 200
+EXACT_ROWS = 50_000
 # The candidates, simplest first: a later one has to be better to win.
 SVM_GRID = ((0.5, "scale"), (0.5, "0.1"), (1.0, "scale"), (1.0, "0.1"))
 # Spark's deepest tree stands for "no depth limit".
@@ -68,14 +71,17 @@ class Candidate:
     name: str
     parameters: tuple
     seed: int
+    exact_rows: int = EXACT_ROWS
 
-    def fit(self, rows: DataFrame) -> list[PipelineModel]:
+    def fit(self, rows: DataFrame) -> list[PipelineModel | KernelMachine]:
         if self.name == "random_forest":
             trees, depth = self.parameters
             forest = RandomForestClassifier(
                 featuresCol="vector", labelCol="target", numTrees=trees, maxDepth=depth, seed=self.seed)
             return [Pipeline(stages=[forest]).fit(with_vector(rows))]
-        penalty, _ = self.parameters
+        penalty, gamma = self.parameters
+        if rows.count() <= self.exact_rows:
+            return [kernel_machine.fit(rows, penalty, gamma)]
         vectors = with_vector(rows)
         scaler = Pipeline(stages=[StandardScaler(
             inputCol="vector", outputCol="scaled", withMean=True, withStd=True)]).fit(vectors)
@@ -87,8 +93,10 @@ class Candidate:
         project = fourier_features(self.parameters[1], self.seed)
         return scaled.withColumn("waves", array_to_vector(project(vector_to_array("scaled"))))
 
-    def score(self, stages: list[PipelineModel], rows: DataFrame) -> DataFrame:
+    def score(self, stages: list[PipelineModel | KernelMachine], rows: DataFrame) -> DataFrame:
         """Add ``score``: probability of the positive class, or the signed distance."""
+        if isinstance(stages[0], KernelMachine):
+            return stages[0].score(rows)
         vectors = with_vector(rows)
         if self.name == "random_forest":
             scored = stages[0].transform(vectors).withColumn("score", vector_to_array("probability")[1])
@@ -241,7 +249,9 @@ def load_model(spark: SparkSession, path: str) -> Selected:
         parsed = ((float(parameters[0]), parameters[1]) if name == "rbf_svm"
                   else (int(parameters[0]), int(parameters[1])))
         candidate = Candidate(name, parsed, metadata["seed"])
-        stages = [PipelineModel.load(f"{folder}/stages/{index}") for index in range(2 if name == "rbf_svm" else 1)]
+        exact = kernel_machine.is_saved(spark, f"{folder}/stages/0")
+        stages = [KernelMachine.load(spark, f"{folder}/stages/0")] if exact else [
+            PipelineModel.load(f"{folder}/stages/{index}") for index in range(2 if name == "rbf_svm" else 1)]
     return Selected(name, metadata["threshold"], candidate, stages,
                     spark.read.parquet(f"{folder}/evaluations"), metadata["seed"])
 

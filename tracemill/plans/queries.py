@@ -653,7 +653,7 @@ def forest_scores(spark, sf_dir):
 
 def svm_scores(spark, sf_dir):
     rows = views.labelled_rows(spark, sf_dir, clean=True)
-    candidate = models.Candidate("rbf_svm", (1.0, "scale"), 37)
+    candidate = models.Candidate("rbf_svm", (1.0, "scale"), 37, exact_rows=0)
     return candidate.score(candidate.fit(rows.filter("split = 'training'")), rows).select("doc_id", "label", "score")
 
 
