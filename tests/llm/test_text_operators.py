@@ -195,7 +195,7 @@ def brute_spans(rows):
                        key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
     first, gone = {}, {}
     for n, (_, _, text) in enumerate(documents):
-        for a, b, digest in sentence_spans.runs(sentence_spans.sentences(text), 2, 12):
+        for a, b, digest in sentence_spans.runs(sentence_spans._measured(text), 2, 12):
             if digest in first:
                 gone.setdefault(n, set()).update(range(a, b + 1))
             first.setdefault(digest, (n, a))

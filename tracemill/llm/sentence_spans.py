@@ -72,22 +72,40 @@ def _cuts(text: str) -> list[int]:
     return cuts
 
 
-def sentences(text: str | None) -> list[str]:
-    """The pieces of a text, ending after sentence marks or line breaks with the space that follows.
+def _counts_by_spaces(text: str) -> bool:
+    """Whether every unit of a text is a word between spaces: no dense script, no very long word."""
+    return max(map(len, text.split()), default=0) <= _LONGEST_WORD and (text.isascii() or not _IS_DENSE.search(text))
 
-    Pieces of more than LONG_WORDS words are cut by ``_cuts``. Joined they are the text again. Null and
-    empty texts have none.
-    """
+
+def _measured(text: str | None) -> list[tuple[str, list[str], int]]:
+    """The pieces of a text with their words and size. Words are split, and their kind is told, once."""
     text = text or ""
     ends = [m.end() for m in _BOUNDARY.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
-    pieces = []
+    plain, found = _counts_by_spaces(text), []
     for a, b in zip([0, *ends], ends):
         piece = text[a:b]
-        at = [0, *(_cuts(piece) if len(piece) > LONG_WORDS and _size(piece) > LONG_WORDS * _WORD else ()), len(piece)]
-        pieces += [piece[x:y] for x, y in zip(at, at[1:]) if x < y]
-    return pieces
+        words = piece.split()
+        size = _WORD * len(words) if plain else _size(piece)
+        if size <= LONG_WORDS * _WORD:
+            if piece:
+                found.append((piece, words, size))
+            continue
+        at = [0, *_cuts(piece), len(piece)]
+        for part in (piece[x:y] for x, y in zip(at, at[1:]) if x < y):
+            words = part.split()
+            found.append((part, words, _WORD * len(words) if plain else _size(part)))
+    return found
+
+
+def sentences(text: str | None) -> list[str]:
+    """The pieces of a text, ending after sentence marks or line breaks with the space that follows.
+
+    Pieces of more than LONG_WORDS words are cut by ``_cuts``. Joined they are the text again. Null and
+    empty texts have none.
+    """
+    return [piece for piece, _, _ in _measured(text)]
 
 
 def _key(text: str | None) -> tuple[int, int]:
@@ -103,15 +121,14 @@ def _long(start: int) -> "F.Column":
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def runs(pieces: list[str], min_sentences: int, min_words: int) -> list[tuple[int, int, bytes]]:
+def runs(pieces: list[tuple[str, list[str], int]], min_sentences: int, min_words: int) -> list[tuple[int, int, bytes]]:
     """``(first, last, digest)`` of the run that starts at each sentence, of the shortest run up to the
     end, and of each sentence of SINGLE_WORDS; runs that the text cannot complete are left out. White
     space does not count."""
-    words = [p.split() for p in pieces]
     # Pieces without words (blank lines) neither start a run nor count as sentences.
-    full = [i for i, w in enumerate(words) if w]
-    texts = [" ".join(words[i]).encode("utf-8", "surrogatepass") for i in full]
-    counts = [_size(pieces[i]) for i in full]
+    full = [i for i, (_, words, _) in enumerate(pieces) if words]
+    texts = [" ".join(pieces[i][1]).encode("utf-8", "surrogatepass") for i in full]
+    counts = [pieces[i][2] for i in full]
     least = min_words * _WORD
 
     def digest(begin: int, end: int) -> tuple[int, int, bytes]:
@@ -148,7 +165,7 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
         for batch in batches:
             counts, lists, keys = [], [], []
             for text in batch.column("text"):
-                pieces = sentences(text.as_py())
+                pieces = _measured(text.as_py())
                 keys.append(_key(text.as_py()))
                 counts.append(len(pieces))
                 lists.append([
