@@ -782,6 +782,17 @@ UNION ALL SELECT 'manifest', unnest(['feature_version is not the known one', 'fe
 UNION ALL SELECT 'manifest', 'plan digest differs' FROM caps WHERE run_id = 'cap-0-2'
 UNION ALL SELECT 'manifest', 'number of captures differs from entries or plan' FROM (
   SELECT count(*) FILTER (run_id <> 'cap-1-3') AS a, count(*) FILTER (run_id <> 'cap-0-2') AS b FROM caps) WHERE a <> 3 OR b <> 3""",
+    "file_manifest_violations": """
+WITH d AS (
+  SELECT doc_id AS n, lang, n_chars, CASE WHEN doc_id % 11 = 0 THEN '../' WHEN doc_id % 13 = 0 THEN '/' WHEN doc_id % 17 = 0 THEN 'a/../'
+    ELSE 'a..b/' END || doc_id AS path FROM documents),
+langs AS (SELECT DISTINCT lang, CASE WHEN lang = 'fr' THEN 'http' ELSE 'https' END || '://example.invalid/' || lang AS repository FROM d)
+SELECT repository AS subject, 'schema_version is not the known one' AS violation FROM langs WHERE lang = 'de'
+UNION ALL SELECT repository, 'repository is no https address' FROM langs WHERE lang = 'fr' OR lang IS NULL
+UNION ALL SELECT repository, 'commit is not 40 hex digits' FROM langs WHERE lang = 'es' OR lang IS NULL
+UNION ALL SELECT path, 'path leaves the checkout' FROM d WHERE path NOT LIKE 'a..b/%'
+UNION ALL SELECT path, 'sha256 is not 64 hex digits' FROM d WHERE n % 23 = 0
+UNION ALL SELECT path, 'size is no number from 0 up' FROM d WHERE n % 29 = 0 OR n % 31 = 0""",
 }
 STATEMENTS["stream_windows"] = STATEMENTS["feature_windows_full"]
 STATEMENTS["stream_windows_batches"] = STATEMENTS["feature_windows_full"]

@@ -521,6 +521,17 @@ def verification_status(spark, sf_dir):
     return audit.verification_status(*views.document_files(spark, sf_dir))
 
 
+def file_manifest_violations(spark, sf_dir):
+    """Manifests of all documents, one per language, some of them broken."""
+    listed = views.table(spark, sf_dir, "documents").selectExpr(
+        "IF(lang = 'de', 2L, 1L) AS schema_version", "concat(IF(lang = 'fr', 'http', 'https'), '://example.invalid/', lang) AS repository",
+        "IF(lang = 'es', 'short', upper(sha1(lang))) AS commit",
+        "concat(CASE WHEN doc_id % 11 = 0 THEN '../' WHEN doc_id % 13 = 0 THEN '/' WHEN doc_id % 17 = 0 THEN 'a/../' ELSE 'a..b/' END, doc_id) AS path",
+        "IF(doc_id % 23 = 0, 'zz', upper(sha2(CAST(doc_id AS STRING), 256))) AS sha256",
+        "CASE WHEN doc_id % 29 = 0 THEN -1L WHEN doc_id % 31 <> 0 THEN n_chars END AS size")
+    return tables.file_manifest_violations(listed)
+
+
 def unlisted_files(spark, sf_dir):
     manifest, inventory = views.document_files(spark, sf_dir)
     return tables.unlisted_files(inventory, manifest).select("path")

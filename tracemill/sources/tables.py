@@ -135,6 +135,28 @@ def read_file_manifest(spark: SparkSession, path: str) -> DataFrame:
     ).select("schema_version", "repository", "commit", "f.*")
 
 
+def file_manifest_violations(manifest: DataFrame) -> DataFrame:
+    """``(subject, violation)`` of file manifests as ``read_file_manifest`` gives them.
+
+    A manifest is named by its repository, a file by its path. Rules of a manifest: the known schema version,
+    a repository at an https address, a full commit. Of a file: a path inside the checkout, a SHA-256, a size.
+    """
+    def listed(rows: DataFrame, subject: str, rules: list[tuple[str, str]]) -> DataFrame:
+        tests = ", ".join(f"IF(coalesce({good}, false), NULL, '{message}')" for message, good in rules)
+        return rows.selectExpr(f"{subject} AS subject", f"explode(array_compact(array({tests}))) AS violation")
+
+    whole = manifest.select("schema_version", "repository", "commit").distinct()
+    return listed(whole, "repository", [
+        ("schema_version is not the known one", "schema_version = 1"),
+        ("repository is no https address", "repository RLIKE '^https://[^/?#]+'"),
+        ("commit is not 40 hex digits", "lower(trim(commit)) RLIKE '^[0-9a-f]{40}$'"),
+    ]).unionByName(listed(manifest, "path", [
+        ("path leaves the checkout", "NOT (startswith(path, '/') OR array_contains(split(path, '/'), '..'))"),
+        ("sha256 is not 64 hex digits", "lower(sha256) RLIKE '^[0-9a-f]{64}$'"),
+        ("size is no number from 0 up", "size >= 0"),
+    ]))
+
+
 def read_run_manifests(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One JSON document per run."""
     return spark.read.json(path, schema=RUN_MANIFEST, multiLine=True)
