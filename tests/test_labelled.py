@@ -153,6 +153,15 @@ def test_acceptance_needs_tracked_activity_and_exit(spark, tmp_path):
     assert got[names[1]]["violations"] == ["a tracked process has no exit"]
     assert got[names[2]]["violations"] == ["recording is shorter or longer than planned",
                                            "no event of any tracked process"]
+    # A run's own plan digest has to agree, too.
+    for digest, status in (("0" * 64, "accepted"), ("1" * 64, "rejected")):
+        digested = plan.withColumn("plan_sha256", F.lit(digest))
+        judged = acceptance.accept_captures(
+            telemetry, validate.validate_runs(telemetry), manifests(spark, tmp_path, values[0]), digested)
+        assert judged.first()["status"] == status
+    evidence = spark.createDataFrame([(names[0], 10, "a" * 64)], "run_id string, actual_size bigint, actual_sha256 string")
+    full = acceptance.with_file_evidence(judged, evidence, evidence, labelled.plan_digest(plan.select("run_id", "seed"))).first()
+    assert full["raw_sha256"] == full["runtime_manifest_sha256"] == "a" * 64 and len(full["experiment_plan_sha256"]) == 64
     accepted = spark.createDataFrame([("r1", "accepted")], "run_id string, status string")
     path = str(tmp_path / "accepted")
     sinks.write_capture_acceptance(accepted, path)

@@ -26,18 +26,22 @@ def tracked_activity(telemetry: DataFrame, manifests: DataFrame) -> DataFrame:
 def accept_captures(
     telemetry: DataFrame, verdicts: DataFrame, manifests: DataFrame, plan: DataFrame,
 ) -> DataFrame:
-    """One row per manifest: counts, times and every broken rule."""
+    """One row per manifest: counts, times and every broken rule.
+
+    Where both tables have ``plan_sha256``, the digest of a run's own plan, it has to agree like the names do.
+    """
+    names = ["scenario", "seed", "split", "behavior_label"]
+    names += [name for name in ("plan_sha256",) if name in manifests.columns and name in plan.columns]
     planned = plan.select(
-        "run_id", "capture_duration_seconds",
-        *[F.col(name).alias(f"_plan_{name}") for name in ("scenario", "seed", "split", "behavior_label")])
+        "run_id", "capture_duration_seconds", *[F.col(name).alias(f"_plan_{name}") for name in names])
     joined = (
-        manifests.select("run_id", "scenario", "seed", "split", "behavior_label")
+        manifests.select("run_id", *names)
         .join(planned, "run_id", "left")
         .join(verdicts, "run_id", "left")
         .join(tracked_activity(telemetry, manifests), "run_id", "left")
     )
     agrees = F.lit(True)
-    for name in ("scenario", "seed", "split", "behavior_label"):
+    for name in names:
         agrees = agrees & F.col(name).eqNullSafe(F.col(f"_plan_{name}"))
     duration = F.col("capture_end_ns") - F.col("capture_start_ns")
     wanted = (F.col("capture_duration_seconds") * SECOND_NS).cast("bigint")
@@ -63,8 +67,22 @@ def accept_captures(
     ).withColumn("status", F.when(F.size("violations") == 0, "accepted").otherwise("rejected"))
 
 
-def with_file_evidence(acceptance: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Add raw file size and hash; ``inventory`` has ``run_id``, ``actual_size``, ``actual_sha256``."""
+def with_file_evidence(
+    acceptance: DataFrame, inventory: DataFrame, manifest_files: DataFrame | None = None,
+    plan_digest: DataFrame | None = None,
+) -> DataFrame:
+    """Add size and hash of the raw file, the hash of the run's manifest file and the digest of the plan.
+
+    ``inventory`` and ``manifest_files`` have ``run_id``, ``actual_size``, ``actual_sha256``; ``plan_digest`` is the one
+    row of ``labelled.plan_digest``. A file that is missing leaves its columns null.
+    """
     evidence = inventory.select(
         "run_id", F.col("actual_sha256").alias("raw_sha256"), F.col("actual_size").alias("raw_bytes"))
-    return acceptance.join(evidence, "run_id", "left")
+    found = acceptance.join(evidence, "run_id", "left")
+    if manifest_files is not None:
+        found = found.join(manifest_files.select(
+            "run_id", F.col("actual_sha256").alias("runtime_manifest_sha256")), "run_id", "left")
+    if plan_digest is not None:
+        # One row.
+        found = found.withColumn("experiment_plan_sha256", F.lit(plan_digest.first()["plan_digest"]))
+    return found
