@@ -217,6 +217,8 @@ def save_model(selected: Selected, path: str, *, selection_digest: str, dataset_
     for digest in (selection_digest, dataset_digest):
         if len(digest) != 64 or set(digest) - set("0123456789abcdef"):
             raise ValueError("dataset digests must be 64 lower-case hex digits")
+    if not selection.unequal_totals(selected.evaluations, []).isEmpty():
+        raise ValueError("models were measured on different numbers of rows")
     parameters = [] if selected.candidate is None else [str(value) for value in selected.candidate.parameters]
 
     def write(folder: str) -> None:

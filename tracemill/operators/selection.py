@@ -140,6 +140,20 @@ def finalist(evaluations: DataFrame, model: str = "model") -> DataFrame:
         F.desc("f1"), "false_positives", "complexity").limit(1)
 
 
+COUNTS = ("true_negatives", "false_positives", "false_negatives", "true_positives")
+
+
+def unequal_totals(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, fewest, most)`` where models were not measured on equally many rows, or a count is missing or negative."""
+    total = sum((F.col(name) for name in COUNTS[1:]), F.col(COUNTS[0]))
+    sound = F.lit(True)
+    for name in COUNTS:
+        sound = sound & F.coalesce(F.col(name) >= 0, F.lit(False))
+    return metrics.groupBy(*keys).agg(
+        F.min(total).alias("fewest"), F.max(total).alias("most"), F.count_if(~sound).alias("_unsound")).filter(
+        (F.col("fewest") != F.col("most")) | (F.col("_unsound") > 0)).drop("_unsound")
+
+
 def metric_disagreements(metrics: DataFrame) -> DataFrame:
     """Stored metrics that do not follow from their own confusion counts."""
     names = ("precision", "recall", "f1", "mcc")

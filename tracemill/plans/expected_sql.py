@@ -793,6 +793,9 @@ UNION ALL SELECT repository, 'commit is not 40 hex digits' FROM langs WHERE lang
 UNION ALL SELECT path, 'path leaves the checkout' FROM d WHERE path NOT LIKE 'a..b/%'
 UNION ALL SELECT path, 'sha256 is not 64 hex digits' FROM d WHERE n % 23 = 0
 UNION ALL SELECT path, 'size is no number from 0 up' FROM d WHERE n % 29 = 0 OR n % 31 = 0""",
+    "unequal_totals": f"""{CLEAN}, n AS (SELECT capture_id, count(*) AS n FROM rows GROUP BY 1)
+SELECT capture_id, n AS fewest, n + CASE WHEN capture_id LIKE '%-2' THEN 2 ELSE 0 END AS most FROM n
+WHERE capture_id LIKE '%-2' OR capture_id LIKE '%-3'""",
 }
 STATEMENTS["stream_windows"] = STATEMENTS["feature_windows_full"]
 STATEMENTS["stream_windows_batches"] = STATEMENTS["feature_windows_full"]

@@ -438,6 +438,15 @@ def metric_disagreements(spark, sf_dir):
         "capture_id", "model", F.array_join("disagrees", ",").alias("disagrees"))
 
 
+def unequal_totals(spark, sf_dir):
+    """Captures for which one model was measured on more rows than the others, or with a negative count."""
+    counts = selection.confusion(_scored(spark, sf_dir), ["capture_id", "model"], F.col("score") >= 0.5).withColumns({
+        "true_positives": F.expr("true_positives + IF(capture_id LIKE '%-2' AND model = 'rule', 2, 0)"),
+        "true_negatives": F.expr("IF(capture_id LIKE '%-3', -1 - true_negatives, true_negatives)"),
+        "false_positives": F.expr("IF(capture_id LIKE '%-3', false_positives + 1 + 2 * true_negatives, false_positives)")})
+    return _longs(selection.unequal_totals(counts, ["capture_id"]))
+
+
 # --- audit ----------------------------------------------------------------------------------------
 
 
