@@ -157,7 +157,7 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
 
     k1 and k2 are the first 16 bytes of the text's SHA-256 as two longs, removed the sorted numbers
     (from 0) of the sentences to take out. The first occurrence of a run is the one with the smallest
-    doc_id (null first), then k1 and k2, then place. Equal rows count as one document.
+    doc_id (null first), then k1, then place. Equal rows count as one document.
     """
     scratch = Scratch(docs.sparkSession, "spans")
 
@@ -189,18 +189,19 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
         same = (per_row.doc_id.eqNullSafe(repeats.doc_id)) & (per_row.k1 == repeats.k1) & (per_row.k2 == repeats.k2)
         again = per_row.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
         single = scratch.keep(per_row.join(repeats, same, "left_anti").union(again), "single")
-    spans = single.select("doc_id", "k1", "k2", F.inline("runs"))
+    # Between documents of one id 64 bits of the digest are enough; each run carries them twice through a shuffle.
+    spans = single.select("doc_id", "k1", F.inline("runs"))
     firsts = spans.groupBy("high", "low").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k1", "k2", "first")).alias("kept")).where("n > 1")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k1", "first")).alias("kept")).where("n > 1")
     others = spans.join(scratch.keep(firsts.drop("n"), "firsts"), ["high", "low"]).where(
         ~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("first") == F.col("kept.first"))
-          & (F.col("k1") == F.col("kept.k1")) & (F.col("k2") == F.col("kept.k2"))))
+          & (F.col("k1") == F.col("kept.k1"))))
     # One list per document; it is no longer than the document.
-    covered = others.groupBy("doc_id", "k1", "k2").agg(
+    covered = others.groupBy("doc_id", "k1").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last"))))).alias("removed"))
     counts = single.select("doc_id", "k1", "k2", "n_sentences")
-    return counts.join(covered.toDF("d", "a", "b", "removed"), (
-        F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b")), "left").select(
+    return counts.join(covered.toDF("d", "a", "removed"), (
+        F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("k1") == F.col("a")), "left").select(
         "doc_id", "k1", "k2", "n_sentences", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
