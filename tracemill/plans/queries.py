@@ -30,8 +30,10 @@ def _longs(df: DataFrame) -> DataFrame:
 
 
 def _bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry with run starts. Bounds are written, so that their real size decides the join: where it is
+    not known, all records are shuffled to one task per run."""
     records = views.telemetry(spark, sf_dir)
-    return windows.with_run_bounds(records, views.run_bounds(records))
+    return windows.with_run_bounds(records, written(views.run_bounds(records), "bounds"))
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +148,7 @@ def engine_violations(spark, sf_dir):
     records = views.telemetry(spark, sf_dir).withColumn(
         "collector_sequence", F.when(F.col("pos") % 101 == 0, F.col("collector_sequence") + 1)
         .otherwise(F.col("collector_sequence")))
-    runs = views.run_bounds(records).withColumn("capture_start_ns", F.lit(3_600_000_000_000))
+    runs = written(views.run_bounds(records).withColumn("capture_start_ns", F.lit(3_600_000_000_000)), "bounds")
     return validate.engine_violations(windows.with_run_bounds(records, runs))
 
 
@@ -235,7 +237,7 @@ def loss_deltas(spark, sf_dir):
 def heartbeat_losses(spark, sf_dir):
     """Health snapshots as heartbeats that feed the loss of windows."""
     beats = normalize.heartbeats(views.timed_loss_counters(spark, sf_dir), RANGE_ROWS)
-    return windows.loss_by_window(windows.with_run_bounds(beats, views.run_bounds(beats)), DAY_NS)
+    return windows.loss_by_window(windows.with_run_bounds(beats, written(views.run_bounds(beats), "bounds")), DAY_NS)
 
 
 def counter_health(spark, sf_dir):

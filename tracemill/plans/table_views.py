@@ -18,6 +18,8 @@ HOUR_NS = 3_600_000_000_000
 RUNS = 20
 
 
+# Rows of a narrow table that one task reads; a file of a few megabytes may hold millions.
+TASK_ROWS = 1 << 17
 _SCHEMAS: dict[str, T.StructType] = {}
 
 
@@ -35,6 +37,12 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < min(cores, 8) else df
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows in tasks of about TASK_ROWS, placed by the hash of ``keys``; a small table stays as it is."""
+    tasks = -(-df.count() // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > 1 else df
+
+
 def micros_since_2024(column: str = "ts") -> Column:
     """Microseconds since the start of 2024, independent of the session time zone."""
     return F.expr(
@@ -68,7 +76,7 @@ def telemetry(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
     is_exit = number % 97 == 0
     run = F.expr("CAST(IF(user_id % 10 < 6, 0, user_id % 10 - 5) AS STRING)")
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-    events = table(spark, sf_dir, "events") if events is None else events
+    events = _dealt(table(spark, sf_dir, "events"), "event_id", "user_id", "ts") if events is None else events
     return _fill(events.select(
         F.concat(F.lit("rec-"), run).alias("recording"),
         F.concat(F.lit("run-"), run).alias("run_id"),
