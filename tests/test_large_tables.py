@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill.operators import serving
 from tracemill.plans import queries, table_views
 
 # Shuffles by the run alone: one task would get a whole run.
@@ -43,6 +44,15 @@ def test_records_are_not_shuffled_by_run(spark, folder, small_broadcasts, name):
     assert not BY_RUN.search(first_plan(queries.REGISTERED[name](spark, folder)))
 
 
+def test_windows_are_not_shuffled_by_run_to_find_missing_runs(spark, folder, small_broadcasts):
+    assert not BY_RUN.search(first_plan(queries.integrity_violations(spark, folder)))
+    changes = spark.range(5000).select(
+        F.col("id").cast("string").alias("window_id"), F.concat(F.lit("run-"), F.col("id") % 3).alias("run_id"))
+    found = serving.integrity_violations(
+        changes.select("run_id").distinct().filter("run_id <> 'run-1'"), changes, changes, changes)
+    assert not BY_RUN.search(first_plan(found)) and found.count() == sum(i % 3 == 1 for i in range(5000))
+
+
 def test_events_of_a_large_table_are_dealt_to_tasks(spark, folder, monkeypatch):
     whole = table_views.telemetry(spark, folder)
     monkeypatch.setattr(table_views, "TASK_ROWS", 500)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tracemill.schemas import FEATURES, PROCESS
+from tracemill.session import written
 
 MAX_PAGE = 100
 
@@ -112,8 +113,10 @@ def integrity_violations(runs: DataFrame, windows: DataFrame, predictions: DataF
         return df.select(F.lit(text).alias("violation"), F.col(key).alias("key"))
 
     repeated = predictions.groupBy("window_id").agg(F.count("*").alias("n")).filter("n > 1")
+    # Their real size decides the join: where it is not known, all windows are shuffled to one task per run.
+    listed = written(runs.select("run_id"), "runs")
     return (
-        reason(windows.join(runs.select("run_id"), "run_id", "left_anti"), "window without run", "window_id")
+        reason(windows.join(listed, "run_id", "left_anti"), "window without run", "window_id")
         .unionByName(reason(predictions.join(windows.select("window_id"), "window_id", "left_anti"),
                             "prediction does not match its window", "window_id"))
         .unionByName(reason(windows.join(predictions.select("window_id"), "window_id", "left_anti"),

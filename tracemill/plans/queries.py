@@ -649,7 +649,8 @@ def metrics(spark, sf_dir):
 
 
 def integrity_violations(spark, sf_dir):
-    now = serving.latest(_changes(spark, sf_dir).select("window_id", "run_id", "tgid", "version", "suspicious"), ["window_id"])
+    changes = _changes(spark, sf_dir).select("window_id", "run_id", "tgid", "version", "suspicious")
+    now = written(serving.latest(changes, ["window_id"]), "now")
     runs = now.select("run_id").distinct().filter("run_id <> 'run-1'")
     predicted = now.filter("tgid % 13 <> 1")
     return serving.integrity_violations(
