@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import serving
 from tracemill.plans import queries, table_views
+from tracemill.sources import sorted_store
 
 # Shuffles by the run alone: one task would get a whole run.
 BY_RUN = re.compile(r"hashpartitioning\(run_id#\d+, \d+[,)]")
@@ -60,3 +61,19 @@ def test_events_of_a_large_table_are_dealt_to_tasks(spark, folder, monkeypatch):
     sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 12 and max(r["count"] for r in sizes) < 1000
     assert whole.exceptAll(dealt).isEmpty() and dealt.count() == whole.count()
+
+
+def test_small_parts_of_a_store_share_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sorted_store, "TASK_ROWS", 400)
+    store = sorted_store.SortedStore(str(tmp_path / "s"), (("b", True), ("a", False)), rows_per_part=10)
+    rows = [(i % 7, i) for i in range(1000)]
+    store.write(spark.createDataFrame(rows, "b long, a long"))
+    index = store.index(spark).orderBy("part").collect()
+    assert len(index) >= 100 and all(r.n <= 10 for r in index) and [r.before for r in index] == [
+        sum(q.n for q in index[:i]) for i in range(len(index))]
+    # One task per 400 rows, not one per part.
+    assert len({r.part // sorted_store._STRIDE for r in index}) <= 3
+    want = sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert [(r.b, r.a) for r in store.page(spark, 100, 395).collect()] == want[395:495]
+    got = store.after(spark, {"b": want[604][0], "a": want[604][1]}, 30).collect()
+    assert [(r.b, r.a) for r in got] == want[605:635]

@@ -16,6 +16,10 @@ from tracemill.operators.serving import check_page
 from tracemill.sources.commits import VersionedTable
 
 ROWS_PER_PART = 1 << 20
+# Rows that one task sorts and cuts into parts, where parts are smaller.
+TASK_ROWS = 1 << 17
+# Parts of one task have consecutive numbers below this distance.
+_STRIDE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -43,10 +47,14 @@ class SortedStore:
         def fill(folder: str) -> None:
             rows.write.parquet(f"{folder}/unsorted")
             stored = spark.read.schema(rows.schema).parquet(f"{folder}/unsorted")
-            parts = max(1, -(-stored.count() // self.rows_per_part))
-            sorted_ = stored.repartitionByRange(parts, *self._sorting()).sortWithinPartitions(*self._sorting())
-            placed = sorted_.withColumns({
+            # The driver keeps a record of every task, so a task writes as many parts as it can sort.
+            tasks = max(1, -(-stored.count() // max(self.rows_per_part, TASK_ROWS)))
+            sorted_ = stored.repartitionByRange(tasks, *self._sorting()).sortWithinPartitions(*self._sorting())
+            numbered = sorted_.withColumns({
                 "part": F.spark_partition_id(), "at": F.expr("monotonically_increasing_id() & 8589934591")})
+            placed = numbered.withColumns({
+                "part": F.col("part").cast("bigint") * _STRIDE + F.expr(f"at div {self.rows_per_part}"),
+                "at": F.expr(f"at % {self.rows_per_part}")}).sortWithinPartitions("part", "at")
             placed.write.partitionBy("part").parquet(f"{folder}/rows")
             key = F.struct(*self._keys)
             counted = spark.read.parquet(f"{folder}/rows").groupBy("part").agg(
