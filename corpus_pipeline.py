@@ -32,6 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group, that with the smallest doc_id.
 
+    Texts are linked by fingerprints (pigeonring, as `op8_simhash` does) and, beyond its distance, as near copies.
     Groups are of rows, not of ids: rows that share an id but not their text stay, and rows without an
     id are in groups like others. Rows without words all stay; equal ones with an id stay once.
     """

@@ -190,22 +190,36 @@ def text_key(text: str = "text") -> list["F.Column"]:
     return [F.xxhash64(column).alias("k1"), F.xxhash64(F.lit(1), column).alias("k2")]
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
-    """``(doc_id, k1, k2, node, sketch)``: equal shingle sets are one node; no words, a null node."""
+def _sketched(docs: DataFrame, by_print: bool) -> DataFrame:
+    """``(doc_id, k1, k2, node, sketch, fp)``: equal shingle sets are one node; no words, a null node.
+
+    fp is the fingerprint as in ``fingerprints``, null unless ``by_print``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, found = [], []
+            nodes, found, prints = [], [], []
             for text in batch.column("text"):
                 shingles = shingle_set(text.as_py())
+                prints.append(_signed(fingerprint(text.as_py())) if by_print and len(shingles) else None)
                 nodes.append(xxhash.xxh64_intdigest(shingles.tobytes(), _SEED) - (1 << 63) if len(shingles) else None)
                 found.append(sketch(shingles).tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(nodes, pa.int64()),
-                 pa.array(found, pa.binary())], ["doc_id", "k1", "k2", "node", "sketch"])
+                 pa.array(found, pa.binary()), pa.array(prints, pa.int64())], ["doc_id", "k1", "k2", "node", "sketch", "fp"])
 
     return docs.select(F.col("doc_id").cast("bigint"), *text_key(), "text").mapInArrow(
-        run, "doc_id bigint, k1 bigint, k2 bigint, node bigint, sketch binary")
+        run, "doc_id bigint, k1 bigint, k2 bigint, node bigint, sketch binary, fp bigint")
+
+
+def _print_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(u, v)``: the nodes whose texts are in one component of linked fingerprints, each with the smallest."""
+    prints = scratch.keep(rows.where("node is not null").select("node", "fp").distinct(), "prints")
+    roots = scratch.keep(components(links(prints, scratch), scratch), "print_roots")
+    placed = scratch.keep(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "node", F.coalesce("root", "fp").alias("component")).distinct(), "placed")
+    least = placed.groupBy("component").agg(F.min("node").alias("v"))
+    return placed.join(least, "component").where("node != v").select(F.col("node").alias("u"), "v")
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
@@ -308,14 +322,15 @@ def _rest(shared: DataFrame, roots: DataFrame, sets: DataFrame, scratch: Scratch
     return rows.groupBy(*bucket, "x", "y").applyInArrow(_linked, "u bigint, v bigint")
 
 
-def near_groups(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+def near_groups(docs: DataFrame, scratch: Scratch, block: int = BLOCK, by_print: bool = False) -> DataFrame:
     """``(doc_id, k1, k2, root)``, one row per row of ``docs``; rows of one group have one root.
 
     k1 and k2 are ``text_key``. Texts without words have a null root. Groups are connected by pairs
-    whose shingle sets are similar to SIMILAR. Equal sets are one node. In every bucket the smallest
-    node is compared with all others; then all pairs that are not in one component yet are.
+    whose shingle sets are similar to SIMILAR, with ``by_print`` also by all fingerprints that ``links`` links.
+    Equal sets are one node. In every bucket the smallest node is compared with all others; then all pairs
+    that are not in one component yet are.
     """
-    rows = scratch.keep(_sketched(docs), "sketches")
+    rows = scratch.keep(_sketched(docs, by_print), "sketches")
     nodes = scratch.keep(rows.where("node is not null").groupBy("node").agg(
         F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "k1", "k2")).alias("key")), "nodes")
     keys = scratch.keep(_keys(nodes), "keys")
@@ -332,6 +347,8 @@ def near_groups(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFr
     sets = scratch.keep(_sets(texts), "sets")
     pairs = shared.where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
     edges = scratch.keep(_verified(pairs, sets), "links")
+    if by_print:
+        edges = scratch.keep(edges.union(_print_links(rows, scratch)), "links")
     roots = scratch.keep(components(edges, scratch), "roots")
     rest = scratch.keep(_rest(shared, roots, sets, scratch, block), "rest")
     if rest.head(1):
@@ -356,14 +373,15 @@ def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Which rows stay, as ``(doc_id, k1, k2)``: one of each group, and all without words.
+    """Which rows stay, as ``(doc_id, k1, k2)``: one of each group, and all without words. Groups are of linked
+    fingerprints, as in ``near_duplicates``, and of near copies.
 
     Of a group it is the row with the smallest doc_id (null last), then k1 and k2. The second table has
     those of them that stand for several equal rows, of which one stays; rows with neither id nor words
     are not equal to each other.
     """
     scratch = Scratch(docs.sparkSession, "copies")
-    rows = scratch.keep(near_groups(docs, scratch), "groups")
+    rows = scratch.keep(near_groups(docs, scratch, by_print=True), "groups")
     chosen = rows.where("root is not null").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")).alias("row")).select(
         "row.doc_id", "row.k1", "row.k2")
